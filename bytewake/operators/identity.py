@@ -13,6 +13,7 @@ from bytewake.config import (
 )
 from bytewake.functions import process
 from bytewake.functions.calendar import utc_date
+from bytewake.staging import Stage, as_is
 
 RECORD = NATURAL_KEY + DISPLAY
 # Ways in which the lookups below a shallow directory are spread.
@@ -291,7 +292,7 @@ def surrogate_id(fresh: DataFrame, after: Column) -> DataFrame:
     )
 
 
-def identity_delta(sightings: DataFrame, dimension: DataFrame) -> DataFrame:
+def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as_is) -> DataFrame:
     """Rows of the dimension that ``sightings`` create or change.
 
     Known keys keep id and first_seen; new keys get ids above the highest one.
@@ -300,7 +301,7 @@ def identity_delta(sightings: DataFrame, dimension: DataFrame) -> DataFrame:
     known = dimension.select(
         "id", *NATURAL_KEY, *[F.col(c).alias(f"old_{c}") for c in (*DISPLAY, "first_seen", "last_seen")]
     )
-    matched = news.join(known, list(NATURAL_KEY), "left")
+    matched = stage(news.join(known, list(NATURAL_KEY), "left"), "matched")
     newer = F.col("last_seen") >= F.col("old_last_seen")
     touched = matched.where(F.col("id").isNotNull()).select(
         "id",
@@ -329,9 +330,9 @@ def identity_merge(rows: DataFrame) -> DataFrame:
     )
 
 
-def identity_upsert(sightings: DataFrame, dimension: DataFrame) -> DataFrame:
+def identity_upsert(sightings: DataFrame, dimension: DataFrame, stage: Stage = as_is) -> DataFrame:
     """The dimension after ``sightings``: the touched rows replace the old ones."""
-    delta = identity_delta(sightings, dimension)
+    delta = identity_delta(sightings, dimension, stage)
     version = F.lit(1)
     return identity_merge(
         dimension.withColumn("version", F.lit(0)).unionByName(delta.withColumn("version", version))

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake import session
 from bytewake.config import NATURAL_KEY, PROCESS
 from bytewake.functions.calendar import minute_start
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
 from bytewake.operators.tiers import byte_sums
 from bytewake.sources.store import IDENTITY_TABLE, Store
+from bytewake.staging import Stage, as_is, stage_in
 
 LIFETIME = [*PROCESS, "gen_start"]
 
@@ -29,28 +29,7 @@ class Feeds:
     markers: DataFrame
 
 
-def as_is(df: DataFrame, name: str) -> DataFrame:
-    """No staging: leave the plan lazy."""
-    return df
-
-
-def stage_in(spark: SparkSession, label: str):
-    """Staging as written tables in a fresh shared folder.
-
-    Later stages then read a stage instead of repeating it, and a lost
-    executor costs only its own tasks.
-    """
-    scratch = session.work_dir(spark, label)
-
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        path = f"{scratch}/{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return stage
-
-
-def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage=as_is) -> DataFrame:
+def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage = as_is) -> DataFrame:
     """Minute counters per process lifetime, exact to the microsecond.
 
     Samples are folded by minute first and the folds, not the samples, are
@@ -128,11 +107,11 @@ def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str) -> No
     store.commit_batches([(IDENTITY_TABLE, batch_id), ("minute", batch_id)])
 
 
-def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage) -> DataFrame:
+def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:
     """Minute facts of staged folds; the identities they need are staged with them."""
     seen = stage(sightings(folds, feeds), "sightings")
     before = stage(store.identities(), "dimension")
-    delta = stage(ids.identity_delta(seen, before), "delta")
+    delta = stage(ids.identity_delta(seen, before, stage), "delta")
     store.stage_identities(delta, batch_id)
     # every key of this batch is in its own delta, so the old dimension is not read again
     return minute_facts(folds, seen, delta)

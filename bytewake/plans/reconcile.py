@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from bytewake.config import TIER_KEY, TIERS
 from bytewake.functions import calendar
 from bytewake.operators import tiers
-from bytewake.plans.attribution import Feeds, attribute, lifetime_folds, stage_in
+from bytewake.plans.attribution import Feeds, attribute, lifetime_folds
 from bytewake.sources.store import IDENTITY_TABLE, Store
+from bytewake.staging import stage_in
 
 BYTES = ("ingress_bytes", "egress_bytes")
 

@@ -17,6 +17,7 @@ from bytewake.operators import verbs
 from bytewake.plans import attribution
 from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import IDENTITY_TABLE, Store
+from bytewake.staging import stage_in
 
 
 def _interval(delay: timedelta) -> str:
@@ -76,7 +77,7 @@ def ingest_stream(
 
     def write(folds: DataFrame, number: int) -> None:
         spark = folds.sparkSession
-        stage = attribution.stage_in(spark, "micro-batch")
+        stage = stage_in(spark, "micro-batch")
         feeds = load()
         name = batch_name(stream, number)
         minutes = stage(folds, "minutes")
@@ -124,7 +125,7 @@ def stream_watch(
     """
 
     def rank(folds: DataFrame, number: int) -> None:
-        stage = attribution.stage_in(folds.sparkSession, "watch")
+        stage = stage_in(folds.sparkSession, "watch")
         facts, identity = identify(stage(folds, "minutes"))
         emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
 

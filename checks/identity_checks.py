@@ -11,6 +11,7 @@ from bytewake.operators import verbs
 from bytewake.operators.samples import direction_sums
 from bytewake.operators.tiers import byte_sums
 from bytewake.plans.attribution import LIFETIME, Feeds, lifetime_folds, minute_facts, sightings
+from bytewake.staging import stage_in
 from checks import fixtures as fx
 from checks.fixtures import DISPLAYED, KEY, PAIR, ms, oracle, us
 from checks.registry import as_ms, as_us, check
@@ -83,7 +84,8 @@ def unresolved_from_meta(spark, sf):
   CAST(min(epoch_us(ts)) AS BIGINT) AS min_us, CAST(max(epoch_us(ts)) AS BIGINT) AS max_us
   FROM placed GROUP BY host, tgid, gen_start, scope""", "placed"))
 def tgid_lifetime(spark, sf):
-    folds = lifetime_folds(fx.samples(spark, sf), fx.view(spark, sf, "proc_snapshot"))
+    stage = stage_in(spark, "lifetimes")
+    folds = lifetime_folds(fx.samples(spark, sf), fx.view(spark, sf, "proc_snapshot"), stage)
     lives = folds.groupBy(*LIFETIME, "scope").agg(
         *byte_sums(), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
@@ -96,7 +98,7 @@ def tgid_lifetime(spark, sf):
 @check(oracle(f"SELECT {KEY}, source, {PAIR} FROM attributed GROUP BY {KEY}, source", "attributed"))
 def resolve_chain(spark, sf):
     f = feeds(spark, sf)
-    folds = lifetime_folds(f.samples, f.snapshots)
+    folds = lifetime_folds(f.samples, f.snapshots, stage_in(spark, "resolve"))
     lives = folds.groupBy(*LIFETIME).agg(*byte_sums())
     resolved = ids.resolve_chain(
         lives, ids.snapshot_records(f.snapshots, f.passwd, f.markers), ids.meta_records(f.meta, f.passwd)
@@ -123,13 +125,14 @@ UPSERT = {
   {ms('k.first_seen', 'first_ms')}, {ms('k.last_seen', 'last_ms')}
   FROM numbered k JOIN newest n ON {' AND '.join(f'k.{c} = n.{c}' for c in NATURAL_KEY)}""", "live", **UPSERT))
 def identity_upsert(spark, sf):
-    seen = snapshot_sightings(records(spark, sf))
+    stage = stage_in(spark, "upsert")
+    seen = snapshot_sightings(stage(records(spark, sf), "records"))
     second = F.col("seen_at") >= calendar.at(fx.SECOND_BATCH)
     renamed = seen.where(second).withColumn(
         "username", F.when(F.col("uid") % 7 == 0, F.lit(None)).otherwise(F.col("username"))
     )
-    first = ids.identity_upsert(seen.where(~second), fx.empty_identities(spark))
-    after = ids.identity_upsert(renamed, first)
+    first = stage(ids.identity_upsert(seen.where(~second), fx.empty_identities(spark), stage), "first")
+    after = ids.identity_upsert(renamed, first, stage)
     return after.select(
         "id", *NATURAL_KEY, *DISPLAY, as_ms("first_seen", "first_ms"), as_ms("last_seen", "last_ms")
     )
@@ -138,16 +141,20 @@ def identity_upsert(spark, sf):
 @check(oracle(f"SELECT CAST({NUMBERED} AS BIGINT) AS id, {KEY} FROM keyed", "live",
               keyed=f"SELECT {KEY}, min(seen_at) AS first_seen FROM live GROUP BY {KEY}"))
 def surrogate_id(spark, sf):
-    fresh = ids.identity_fold(snapshot_sightings(records(spark, sf)))
+    fresh = stage_in(spark, "numbering")(ids.identity_fold(snapshot_sightings(records(spark, sf))), "fresh")
     return ids.surrogate_id(fresh, F.lit(0)).select("id", *NATURAL_KEY)
 
 
-def attributed(spark, sf):
-    """(minute facts, identities) of all samples."""
+def attributed(spark, sf, window=None):
+    """(minute facts, identities) of the samples in a window of whole minutes."""
     f = feeds(spark, sf)
-    folds = lifetime_folds(f.samples, f.snapshots)
-    seen = sightings(folds, f)
-    dimension = ids.identity_delta(seen, fx.empty_identities(spark))
+    samples = f.samples if window is None else f.samples.where(
+        (F.col("ts") >= calendar.at(window[0])) & (F.col("ts") < calendar.at(window[1]))
+    )
+    stage = stage_in(spark, "attributed")
+    folds = stage(lifetime_folds(samples, f.snapshots, stage), "folds")
+    seen = stage(sightings(folds, f), "sightings")
+    dimension = stage(ids.identity_delta(seen, fx.empty_identities(spark), stage), "dimension")
     return minute_facts(folds, seen, dimension), dimension
 
 
@@ -164,6 +171,5 @@ def attributed_minutes(spark, sf):
   GROUP BY host, exe ORDER BY ingress_bytes + egress_bytes DESC, host, group_key LIMIT 10""", "attributed"))
 def top_exe_of_week(spark, sf):
     """From raw samples to the ten biggest programs of one week."""
-    facts, dimension = attributed(spark, sf)
-    week = (fx.SAMPLES_NOW.replace(day=24), fx.SAMPLES_NOW)
-    return verbs.top(verbs.in_window(facts, week), dimension, by="exe", limit=10)
+    facts, dimension = attributed(spark, sf, (fx.SAMPLES_NOW.replace(day=24), fx.SAMPLES_NOW))
+    return verbs.top(facts, dimension, by="exe", limit=10)
