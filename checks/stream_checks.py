@@ -66,7 +66,7 @@ def idempotent_commit(spark, sf):
     return fact_rows(store.scan("minute"), host)
 
 
-@check(oracle(f"""SELECT {MINUTE}, host, exe AS group_key, scope, {PAIR} FROM attributed WHERE scope = 'loopback' GROUP BY ALL
+@check(oracle(f"""SELECT * FROM (SELECT {MINUTE}, host, exe AS group_key, scope, {PAIR} FROM attributed WHERE scope = 'loopback' GROUP BY ALL) g
   QUALIFY row_number() OVER (PARTITION BY bucket_ms ORDER BY ingress_bytes + egress_bytes DESC, host, group_key) <= 5""",
   "attributed"))
 def stream_watch(spark, sf):
