@@ -12,7 +12,7 @@ from bytewake.config import (
     DISPLAY, NATURAL_KEY, NO_PROJECT, PROCESS, PROJECT_MARKERS, UNKNOWN_UID, UNRESOLVED,
 )
 from bytewake.functions import process
-from bytewake.functions.calendar import utc_date
+from bytewake.functions.calendar import minute_start, utc_date
 from bytewake.staging import Stage, as_is
 
 RECORD = NATURAL_KEY + DISPLAY
@@ -215,22 +215,39 @@ def tgid_lifetime(rows: DataFrame, starts: DataFrame, ts: str, slice_seconds: in
     )
 
 
-def lifetime_ends(starts: DataFrame) -> DataFrame:
-    """Add ``gen_end``, the start of the next process of the same number.
+def minute_lifetime(folds: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add ``gen_start`` to minute folds, and ``torn`` where it cannot be told.
 
-    Starts are chained inside days, then from day to day, so that a number
-    with very many starts is spread over tasks.
+    Starts shrink to the first and last of each minute before the shuffle.
+    With at most two folds per minute a process then brings three rows per
+    minute of the period at hand, however many samples or starts it has.  A
+    minute is torn when another process may have taken over the number between
+    its first and its last sample.
     """
-    keys = [*PROCESS, "day"]
-    daily = starts.withColumn("day", utc_date(F.col("gen_start")))
-    heads = daily.groupBy(*keys).agg(F.min("gen_start").alias("head"))
-    by_day = Window.partitionBy(*PROCESS).orderBy("day")
-    heads = heads.select(*keys, F.lead("head").over(by_day).alias("next_head"))
-    in_day = Window.partitionBy(*keys).orderBy("gen_start")
+    minute = F.unix_seconds("bucket").alias("minute")
+    marks = starts.groupBy(*PROCESS, minute_start(F.col("gen_start")).alias("bucket")).agg(
+        F.min("gen_start").alias("head"), F.max("gen_start").alias("tail")
+    )
+    rows = folds.unionByName(marks, allowMissingColumns=True).withColumn("minute", minute)
+    whole = Window.partitionBy(*PROCESS)
+    earlier = whole.orderBy("minute").rangeBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*PROCESS, "minute")
+    placed = (
+        rows.withColumn("before", F.max("tail").over(earlier))
+        .withColumn("first", F.min("head").over(whole))
+        .withColumn("head", F.min("head").over(here))
+        .withColumn("tail", F.max("tail").over(here))
+        .where(F.col("min_ts").isNotNull())
+    )
+    settled = F.coalesce(F.col("tail") <= F.col("min_ts"), F.lit(False))
+    later = F.coalesce(F.col("head") > F.col("max_ts"), F.lit(True))
+    only_first = F.coalesce(F.col("tail") == F.col("first"), F.lit(False))
     return (
-        daily.withColumn("next", F.lead("gen_start").over(in_day))
-        .join(heads, keys)
-        .select(*PROCESS, "gen_start", F.coalesce("next", "next_head").alias("gen_end"))
+        placed.withColumn(
+            "gen_start", F.when(settled, F.col("tail")).otherwise(F.coalesce("before", "first"))
+        )
+        .withColumn("torn", ~(settled | later | only_first))
+        .drop("minute", "before", "first", "head", "tail")
     )
 
 

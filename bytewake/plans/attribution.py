@@ -13,7 +13,7 @@ from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
 from bytewake.operators.tiers import byte_sums
 from bytewake.sources.store import IDENTITY_TABLE, Store
-from bytewake.staging import Stage, as_is, stage_in
+from bytewake.staging import Stage, stage_in
 
 LIFETIME = [*PROCESS, "gen_start"]
 
@@ -29,7 +29,7 @@ class Feeds:
     markers: DataFrame
 
 
-def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage = as_is) -> DataFrame:
+def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage) -> DataFrame:
     """Minute counters per process lifetime, exact to the microsecond.
 
     Samples are folded by minute first and the folds, not the samples, are
@@ -38,19 +38,19 @@ def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage = as_i
     assigned one by one.
     """
     starts = ids.lifetime_starts(snapshots)
-    folds = stage(smp.minute_fold(samples), "minutes")
-    placed = stage(ids.tgid_lifetime(folds, starts, "min_ts"), "placed")
-    ended = placed.join(ids.lifetime_ends(starts), LIFETIME, "left")
-    changes = F.coalesce(F.col("max_ts") >= F.col("gen_end"), F.lit(False))
+    placed = stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed")
     columns = [*LIFETIME, "bucket", "scope", "ingress_bytes", "egress_bytes", "min_ts", "max_ts"]
-    whole = ended.where(~changes).select(*columns)
+    whole = placed.where(~F.col("torn")).select(*columns)
+    torn = placed.where("torn").select(*PROCESS, "bucket", "scope")
+    if torn.isEmpty():
+        return whole
 
-    torn = ended.where(changes).select(*PROCESS, "bucket", "scope").distinct()
     again = smp.transfers(samples).withColumn("bucket", minute_start(F.col("ts")))
     again = again.join(torn, [*PROCESS, "bucket", "scope"], "left_semi")
     # one row per instant, so a slice of one second has a fixed upper size
-    instants = smp.direction_pivot(again, *PROCESS, "bucket", "scope", "ts")
-    exact = ids.tgid_lifetime(instants, starts, "ts", slice_seconds=1)
+    instants = stage(smp.direction_pivot(again, *PROCESS, "bucket", "scope", "ts"), "instants")
+    reused = starts.join(torn.select(*PROCESS).distinct(), list(PROCESS), "left_semi")
+    exact = ids.tgid_lifetime(instants, reused, "ts", slice_seconds=1)
     pieces = exact.groupBy(*LIFETIME, "bucket", "scope").agg(
         *byte_sums(), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")
     )
@@ -101,14 +101,14 @@ def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str) -> No
     Running the same batch again replaces what it wrote.
     """
     stage = stage_in(spark, "ingest")
-    folds = stage(lifetime_folds(feeds.samples, feeds.snapshots, stage), "folds")
+    folds = lifetime_folds(feeds.samples, feeds.snapshots, stage)
     facts = attribute(store, folds, feeds, batch_id, stage)
     store.stage("minute", facts, batch_id)
     store.commit_batches([(IDENTITY_TABLE, batch_id), ("minute", batch_id)])
 
 
 def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:
-    """Minute facts of staged folds; the identities they need are staged with them."""
+    """Minute facts of folds; the identities they need are staged with them."""
     seen = stage(sightings(folds, feeds), "sightings")
     before = stage(store.identities(), "dimension")
     delta = stage(ids.identity_delta(seen, before, stage), "delta")

@@ -54,7 +54,7 @@ def reconcile(
     landed = feeds.samples.where(
         (F.col("ts") >= calendar.at(from_ts)) & (F.col("ts") < calendar.at(through))
     )
-    folds = stage(lifetime_folds(landed, feeds.snapshots, stage), "folds")
+    folds = lifetime_folds(landed, feeds.snapshots, stage)
     facts = attribute(store, folds, feeds, batch_id, stage)
     counted = store.scan("minute", from_ts, through)
     delta = stage(late_samples(facts, counted), "minute_delta")

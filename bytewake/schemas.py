@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -57,3 +59,8 @@ TRAFFIC_STORED = T.StructType(
     TRAFFIC.fields + _struct(("dt", T.DateType()), ("batch_id", _string)).fields
 )
 IDENTITY_STORED = T.StructType(IDENTITY.fields + _struct(("batch_id", _string)).fields)
+
+
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows; the optimizer sees that and drops what is joined with it."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -20,8 +20,10 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta, timezone
 from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -54,7 +56,7 @@ class Store:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return schemas.empty(self.spark, schema)
 
     def _remove(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -70,12 +72,17 @@ class Store:
 
     def _commit(self, entries: list[tuple]) -> None:
         """Append entries as one file, so they become visible together."""
-        rows = [
-            (*entry[:4], *[moment and _utc(moment) for moment in entry[4:]]) for entry in entries
-        ]
-        self.spark.createDataFrame(rows, schemas.COMMIT).coalesce(1).write.mode("append").parquet(
-            self._path("commit_log")
+        fields = schemas.COMMIT.fields
+        columns = list(zip(*entries))
+        table = pa.table(
+            {
+                field.name: pa.array(
+                    [_utc(v) if isinstance(v, datetime) else v for v in values], to_arrow_type(field.dataType)
+                )
+                for field, values in zip(fields, columns)
+            }
         )
+        self.spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(self._path("commit_log"))
 
     def _moment(self, condition: Column) -> datetime | None:
         """Latest to_ts of the matching log entries: one row, one value."""

@@ -11,7 +11,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake.config import NATURAL_KEY, DISPLAY
+from bytewake import schemas
+from bytewake.config import DISPLAY, NATURAL_KEY
 from bytewake.session import tune
 
 TZ = "America/New_York"
@@ -122,9 +123,7 @@ def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_identities(spark: SparkSession) -> DataFrame:
-    from bytewake.schemas import IDENTITY
-
-    return spark.createDataFrame([], IDENTITY)
+    return schemas.empty(spark, schemas.IDENTITY)
 
 
 # -- the oracle side --------------------------------------------------------

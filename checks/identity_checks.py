@@ -152,7 +152,7 @@ def attributed(spark, sf, window=None):
         (F.col("ts") >= calendar.at(window[0])) & (F.col("ts") < calendar.at(window[1]))
     )
     stage = stage_in(spark, "attributed")
-    folds = stage(lifetime_folds(samples, f.snapshots, stage), "folds")
+    folds = lifetime_folds(samples, f.snapshots, stage)
     seen = stage(sightings(folds, f), "sightings")
     dimension = stage(ids.identity_delta(seen, fx.empty_identities(spark), stage), "dimension")
     return minute_facts(folds, seen, dimension), dimension
