@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        parent = tempfile.mkdtemp(prefix="bytewake-")
-        spark.conf.set("spark.checkpoint.dir", parent)
+        parent = _local_parent()
     return f"{parent.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_parent() -> str:
+    return tempfile.mkdtemp(prefix="bytewake-")
