@@ -13,7 +13,7 @@ from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
 from bytewake.operators.tiers import byte_sums
 from bytewake.sources.store import IDENTITY_TABLE, Store
-from bytewake.staging import Stage, stage_in
+from bytewake.staging import Stage, staging
 
 LIFETIME = [*PROCESS, "gen_start"]
 
@@ -100,10 +100,9 @@ def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str) -> No
 
     Running the same batch again replaces what it wrote.
     """
-    stage = stage_in(spark, "ingest")
-    folds = lifetime_folds(feeds.samples, feeds.snapshots, stage)
-    facts = attribute(store, folds, feeds, batch_id, stage)
-    store.stage("minute", facts, batch_id)
+    with staging(spark, "ingest") as stage:
+        folds = lifetime_folds(feeds.samples, feeds.snapshots, stage)
+        store.stage("minute", attribute(store, folds, feeds, batch_id, stage), batch_id)
     store.commit_batches([(IDENTITY_TABLE, batch_id), ("minute", batch_id)])
 
 

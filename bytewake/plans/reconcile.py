@@ -12,7 +12,7 @@ from bytewake.functions import calendar
 from bytewake.operators import tiers
 from bytewake.plans.attribution import Feeds, attribute, lifetime_folds
 from bytewake.sources.store import IDENTITY_TABLE, Store
-from bytewake.staging import stage_in
+from bytewake.staging import staging
 
 BYTES = ("ingress_bytes", "egress_bytes")
 
@@ -50,22 +50,22 @@ def reconcile(
         # a minute cut by the bound is gone in full
         from_ts = calendar.floor_moment(pruned, "minute", tz)
         from_ts = from_ts if from_ts == pruned else from_ts + calendar.MINUTE
-    stage = stage_in(spark, "reconcile")
     landed = feeds.samples.where(
         (F.col("ts") >= calendar.at(from_ts)) & (F.col("ts") < calendar.at(through))
     )
-    folds = lifetime_folds(landed, feeds.snapshots, stage)
-    facts = attribute(store, folds, feeds, batch_id, stage)
-    counted = store.scan("minute", from_ts, through)
-    delta = stage(late_samples(facts, counted), "minute_delta")
-    store.stage("minute", delta, batch_id)
     batches = [(IDENTITY_TABLE, batch_id), ("minute", batch_id)]
-    for tier in TIERS[1:]:
-        watermark = store.watermark(tier)
-        if watermark is None:
-            break
-        below = delta.where(F.col("bucket") < calendar.at(watermark))
-        delta = stage(tiers.roll(below, tier, tz), f"{tier}_delta")
-        store.stage(tier, delta, batch_id)
-        batches.append((tier, batch_id))
+    with staging(spark, "reconcile") as stage:
+        folds = lifetime_folds(landed, feeds.snapshots, stage)
+        facts = attribute(store, folds, feeds, batch_id, stage)
+        counted = store.scan("minute", from_ts, through)
+        delta = stage(late_samples(facts, counted), "minute_delta")
+        store.stage("minute", delta, batch_id)
+        for tier in TIERS[1:]:
+            watermark = store.watermark(tier)
+            if watermark is None:
+                break
+            below = delta.where(F.col("bucket") < calendar.at(watermark))
+            delta = stage(tiers.roll(below, tier, tz), f"{tier}_delta")
+            store.stage(tier, delta, batch_id)
+            batches.append((tier, batch_id))
     store.commit_batches(batches)

@@ -55,3 +55,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
 @cache
 def _local_parent() -> str:
     return tempfile.mkdtemp(prefix="bytewake-")
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders on whatever file system holds them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)

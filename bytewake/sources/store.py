@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from bytewake import schemas
+from bytewake import schemas, session
 from bytewake.config import ALL_SCOPES, COARSER, FINER, TIERS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
@@ -58,13 +58,6 @@ class Store:
                 raise
             return schemas.empty(self.spark, schema)
 
-    def _remove(self, paths: list[str]) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-
     # -- commit log ---------------------------------------------------------
 
     def log(self) -> DataFrame:
@@ -268,7 +261,7 @@ class Store:
             gone += [
                 f"{table}/dt={row.dt}" for row in dates.where(F.col("dt") < F.lit(bound.date())).collect()
             ]
-        self._remove(gone)
+        session.remove(self.spark, gone)
         return gone
 
     def maintain(self, now: datetime, settings: Settings, complete_through: datetime | None = None) -> None:

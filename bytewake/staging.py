@@ -8,7 +8,8 @@ without one the plan stays lazy.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,21 @@ def as_is(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_in(spark: SparkSession, label: str) -> Stage:
+    """Stages that outlive the caller, for results that are still lazy."""
+    return _stage_under(spark, session.work_dir(spark, label))
+
+
+@contextmanager
+def staging(spark: SparkSession, label: str) -> Iterator[Stage]:
+    """Stages of one job, removed when it has written its result."""
     scratch = session.work_dir(spark, label)
+    try:
+        yield _stage_under(spark, scratch)
+    finally:
+        session.remove(spark, [scratch])
+
+
+def _stage_under(spark: SparkSession, scratch: str) -> Stage:
     taken: dict[str, int] = {}
 
     def stage(df: DataFrame, name: str) -> DataFrame:

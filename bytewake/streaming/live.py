@@ -17,7 +17,7 @@ from bytewake.operators import verbs
 from bytewake.plans import attribution
 from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import IDENTITY_TABLE, Store
-from bytewake.staging import stage_in
+from bytewake.staging import staging
 
 
 def _interval(delay: timedelta) -> str:
@@ -76,19 +76,17 @@ def ingest_stream(
     """
 
     def write(folds: DataFrame, number: int) -> None:
-        spark = folds.sparkSession
-        stage = stage_in(spark, "micro-batch")
         feeds = load()
         name = batch_name(stream, number)
-        minutes = stage(folds, "minutes")
-        last = minutes.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
-        if last is None:
-            return
-        # the whole minute goes to the process that opened it; reconciling refines that
-        starts = ids.lifetime_starts(feeds.snapshots)
-        placed = stage(ids.tgid_lifetime(minutes, starts, "min_ts"), "placed")
-        facts = attribution.attribute(store, placed, feeds, name, stage)
-        store.stage("minute", facts, name)
+        with staging(folds.sparkSession, "micro-batch") as stage:
+            minutes = stage(folds, "minutes")
+            last = minutes.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
+            if last is None:
+                return
+            # the whole minute goes to the process that opened it; reconciling refines that
+            starts = ids.lifetime_starts(feeds.snapshots)
+            placed = stage(ids.tgid_lifetime(minutes, starts, "min_ts"), "placed")
+            store.stage("minute", attribution.attribute(store, placed, feeds, name, stage), name)
         through = calendar.EPOCH + timedelta(microseconds=last) + calendar.MINUTE
         store.commit_batches([(IDENTITY_TABLE, name), ("minute", name)], None, through)
 
@@ -125,8 +123,8 @@ def stream_watch(
     """
 
     def rank(folds: DataFrame, number: int) -> None:
-        stage = stage_in(folds.sparkSession, "watch")
-        facts, identity = identify(stage(folds, "minutes"))
-        emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
+        with staging(folds.sparkSession, "watch") as stage:
+            facts, identity = identify(stage(folds, "minutes"))
+            emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
 
     return stream_minute_fold(samples, delay).writeStream.outputMode("update").foreachBatch(rank)
