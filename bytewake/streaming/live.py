@@ -49,8 +49,8 @@ def stream_minute_fold(samples: DataFrame, delay: timedelta) -> DataFrame:
 def stream_first_sight(samples: DataFrame, delay: timedelta) -> DataFrame:
     """Processes that have not been seen for a while: candidates for a lookup.
 
-    A process that comes back after the delay is announced again; resolving it
-    twice yields the same identity.
+    A process that comes back once the watermark has left it behind is announced
+    again; resolving it twice yields the same identity.
     """
     return (
         smp.transfers(samples)

@@ -1,0 +1,45 @@
+"""Every check against DuckDB on the smallest driver tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+SF_DIR = "/root/testdata/sf0.001"
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+ARROW = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are absent")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    return con
+
+
+def test_every_query_has_an_oracle():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_same_rows(spark, duck, name):
+    df = contract.queries()[name](spark, SF_DIR)
+    columns = sorted(df.columns)
+    got = sorted(repr(tuple(row[c] for c in columns)) for row in df.collect())
+    result = duck.execute(contract.oracle_sql()[name])
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    at = {d[0]: i for i, d in enumerate(result.description)}
+    want = sorted(repr(tuple(row[at[c]] for c in columns)) for row in result.fetchall())
+    assert sorted(at) == columns
+    assert {c: ARROW[t] for c, t in df.dtypes} == kinds
+    assert got == want
+
+
+def test_entry_has_rows(spark):
+    assert contract.entry(spark).count() > 0

@@ -1,0 +1,97 @@
+"""What the plans must look like to hold at scale."""
+
+import os
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from bytewake import schemas
+from bytewake.operators import identity as ids
+from bytewake.operators import samples as smp
+from bytewake.operators import tiers, verbs
+from bytewake.sources import landing
+from bytewake.sources.store import Store
+from tests.conftest import utc
+from tests.test_samples import sample
+from tests.test_tiers import facts
+from tests.test_verbs import identity
+
+START = utc(2024, 1, 1)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(df) -> list[str]:
+    """The scan nodes with their filters in full."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    return [part for part in text.split("\n\n") if "Scan parquet" in part.strip().split("\n")[0] and "ReadSchema" in part]
+
+
+@pytest.fixture
+def landed(spark, tmp_path):
+    rows = [sample(i, START + timedelta(minutes=i), i % 5, "tcp_sendmsg", i) for i in range(20)]
+    spark.createDataFrame(rows, schemas.SOCKET_SAMPLE).write.parquet(f"{tmp_path}/samples")
+    return landing.scan_samples(spark, f"{tmp_path}/samples")
+
+
+def test_sample_filter_and_columns_reach_the_scan(landed):
+    (scan,) = scans(smp.counter_fold(smp.transfers(landed)))
+    assert "GreaterThan(ret,0)" in scan
+    assert "sample_id" not in scan.split("ReadSchema")[1]
+
+
+def test_minute_fold_hashes_before_its_only_shuffle(landed):
+    text = plan(smp.minute_fold(landed))
+    assert text.count("Exchange") == 1
+    assert text.count("HashAggregate") == 2
+    assert "SortAggregate" not in text
+
+
+def test_window_reaches_folders_and_row_groups(spark, root):
+    store = Store(spark, root)
+    store.append("minute", facts(spark, *[(START + timedelta(hours=h), 1, "external", 1, 1) for h in range(72)]), "a")
+    window = store.deltas("minute", START + timedelta(hours=24), START + timedelta(hours=30), "external")
+    scan = next(text for text in scans(window) if "traffic_minute" in text)
+    partition, pushed = scan.split("PartitionFilters")[1].split("PushedFilters")
+    assert "dt" in partition and ">=" in partition and "<=" in partition
+    assert "GreaterThanOrEqual(bucket" in pushed and "LessThan(bucket" in pushed and "EqualTo(scope,external)" in pushed
+
+
+def test_one_shuffle_per_rollup(spark, root):
+    df = facts(spark, (START, 1, "external", 1, 1))
+    for tier in ("hour", "day", "month"):
+        text = plan(tiers.rollup(df, tier, START + timedelta(days=90), "America/New_York"))
+        assert text.count("Exchange") == 1 and text.count("HashAggregate") == 2
+
+
+def test_top_sums_before_it_joins_and_never_sorts_everything(spark):
+    text = plan(verbs.top(facts(spark, (START, 1, "external", 1, 1)), identity(spark), "project"))
+    assert "TakeOrderedAndProject" in text
+    join = text.index("Join")
+    assert "partial_sum(ingress_bytes" in text[join:]
+
+
+def test_rank_per_bucket_drops_losers_before_the_shuffle(spark):
+    text = plan(verbs.top_per_bucket(facts(spark, (START, 1, "external", 1, 1)), identity(spark), limit=3))
+    assert "WindowGroupLimit" in text
+
+
+def test_no_cross_join_and_no_python_anywhere(spark):
+    sources = []
+    base = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "bytewake")
+    for folder, _, names in os.walk(base):
+        sources += [open(os.path.join(folder, n)).read() for n in names if n.endswith(".py")]
+    text = "\n".join(sources)
+    for word in ("crossJoin", "pandas_udf", "applyInPandas", "F.udf", "localCheckpoint", "toPandas", "collect_list"):
+        assert word not in text, word
+
+
+def test_lookups_of_shared_ancestors_are_spread(spark):
+    dirs = spark.range(2000).select(F.lit("h").alias("host"), F.concat(F.lit("/home/"), F.col("id").cast("string")).alias("cwd"))
+    steps = dirs.select("host", "cwd", F.explode(F.array(F.lit("/"), F.lit("/home"), F.col("cwd"))).alias("dir"))
+    parts = steps.withColumn("part", ids._spread(F.col("dir"), F.col("cwd")))
+    assert parts.where("dir = '/'").select("part").distinct().count() == ids.SHALLOW_SPREAD
