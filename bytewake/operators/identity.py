@@ -313,21 +313,27 @@ def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as
     """Rows of the dimension that ``sightings`` create or change.
 
     Known keys keep id and first_seen; new keys get ids above the highest one.
+    ``dimension`` may hold several rows per identity (base and deltas, told
+    apart by ``version``).  Only rows of the keys at hand are merged: a small
+    batch filters the dimension where it lies instead of shuffling it.
     """
-    news = identity_fold(sightings)
-    known = dimension.select(
-        "id", *NATURAL_KEY, *[F.col(c).alias(f"old_{c}") for c in (*DISPLAY, "first_seen", "last_seen")]
+    key = list(NATURAL_KEY)
+    news = stage(identity_fold(sightings), "news")
+    if "version" not in dimension.columns:
+        dimension = dimension.withColumn("version", F.lit(0))
+    known = identity_merge(dimension.join(news.select(*key), key, "left_semi")).select(
+        "id", *key, *[F.col(c).alias(f"old_{c}") for c in (*DISPLAY, "first_seen", "last_seen")]
     )
-    matched = stage(news.join(known, list(NATURAL_KEY), "left"), "matched")
+    matched = stage(news.join(known, key, "left"), "matched")
     newer = F.col("last_seen") >= F.col("old_last_seen")
     touched = matched.where(F.col("id").isNotNull()).select(
         "id",
-        *NATURAL_KEY,
+        *key,
         *[F.when(newer, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in DISPLAY],
         F.least("first_seen", "old_first_seen").alias("first_seen"),
         F.greatest("last_seen", "old_last_seen").alias("last_seen"),
     )
-    fresh = matched.where(F.col("id").isNull()).select(*NATURAL_KEY, *DISPLAY, "first_seen", "last_seen")
+    fresh = matched.where(F.col("id").isNull()).select(*key, *DISPLAY, "first_seen", "last_seen")
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     numbered = surrogate_id(fresh, top)
     return touched.unionByName(numbered.select(*touched.columns))

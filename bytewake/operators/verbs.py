@@ -117,23 +117,30 @@ def _volume(direction: str) -> Column:
     return columns[0] if len(columns) == 1 else columns[0] + columns[1]
 
 
+def of_identities(facts: DataFrame, identity: DataFrame) -> DataFrame:
+    """Facts of the identities given; only ids travel."""
+    return facts.join(identity.select(F.col("id").alias("identity_id")), "identity_id", "left_semi")
+
+
+def _labelled(identity: DataFrame, by: str) -> DataFrame:
+    key = F.col(GROUP_COLUMNS[by])
+    label = {"identity": F.col("exe"), "user": F.col("username")}.get(by, key)
+    return identity.select(
+        F.col("id").alias("identity_id"), "host", key.alias("group_key"), label.alias("label")
+    )
+
+
 def grouped(facts: DataFrame, identity: DataFrame, by: str, narrowed: bool = False) -> DataFrame:
     """Bytes per group of identities.
 
     Facts shrink to one row per identity before they meet the dimension, so
     the join never sees a busy identity more than once.  ``narrowed`` says that
-    the dimension was filtered: then facts of other identities are dropped
-    first.
+    few identities are left: then facts of the others are dropped first.
     """
     if narrowed:
-        facts = facts.join(identity.select(F.col("id").alias("identity_id")), "identity_id", "left_semi")
+        facts = of_identities(facts, identity)
     totals = facts.groupBy("identity_id").agg(*byte_sums())
-    key = F.col(GROUP_COLUMNS[by])
-    label = {"identity": F.col("exe"), "user": F.col("username")}.get(by, key)
-    labelled = identity.select(
-        F.col("id").alias("identity_id"), "host", key.alias("group_key"), label.alias("label")
-    )
-    joined = totals.join(labelled, "identity_id")
+    joined = totals.join(_labelled(identity, by), "identity_id")
     if by == "identity":
         return joined.select("host", "group_key", "label", "ingress_bytes", "egress_bytes")
     return joined.groupBy("host", "group_key").agg(F.max("label").alias("label"), *byte_sums())
@@ -152,9 +159,19 @@ def top(
 
     Both directions together decide the rank but are not shown as one number.
     Hosts are apart, because user numbers and paths mean nothing across hosts.
+    Single identities are ranked by id before their wide rows are looked up.
     """
-    groups = grouped(in_scope(facts, scope), identity, by, narrowed)
-    ranked = groups.orderBy(_volume(direction).desc(), "host", "group_key").limit(limit or DEFAULT_LIMIT)
+    limit = limit or DEFAULT_LIMIT
+    facts = in_scope(facts, scope)
+    if by == "identity":
+        if narrowed:
+            facts = of_identities(facts, identity)
+        totals = of_identities(facts.groupBy("identity_id").agg(*byte_sums()), identity)
+        first = totals.orderBy(_volume(direction).desc(), "identity_id").limit(limit)
+        ranked = first.join(_labelled(identity, by), "identity_id").orderBy(_volume(direction).desc(), "group_key")
+    else:
+        groups = grouped(facts, identity, by, narrowed)
+        ranked = groups.orderBy(_volume(direction).desc(), "host", "group_key").limit(limit)
     return ranked.select(
         "host", F.col("group_key").cast("string").alias("group_key"), "label", *direction_columns(direction)
     )

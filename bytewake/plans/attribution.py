@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,16 @@ class Feeds:
     markers: DataFrame
 
 
+def narrowed(feeds: Feeds, folds: DataFrame) -> Feeds:
+    """Lookup feeds of the processes at hand; cleaning then skips all others."""
+    processes = folds.select(*PROCESS).distinct()
+    return replace(
+        feeds,
+        snapshots=feeds.snapshots.join(processes, list(PROCESS), "left_semi"),
+        meta=feeds.meta.join(processes, list(PROCESS), "left_semi"),
+    )
+
+
 def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage) -> DataFrame:
     """Minute counters per process lifetime, exact to the microsecond.
 
@@ -108,9 +118,8 @@ def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str) -> No
 
 def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:
     """Minute facts of folds; the identities they need are staged with them."""
-    seen = stage(sightings(folds, feeds), "sightings")
-    before = stage(store.identities(), "dimension")
-    delta = stage(ids.identity_delta(seen, before, stage), "delta")
+    seen = stage(sightings(folds, narrowed(feeds, folds)), "sightings")
+    delta = stage(ids.identity_delta(seen, store.identity_rows(), stage), "delta")
     store.stage_identities(delta, batch_id)
     # every key of this batch is in its own delta, so the old dimension is not read again
     return minute_facts(folds, seen, delta)

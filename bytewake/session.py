@@ -14,7 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a busy key is split over tasks even where that costs one more shuffle
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # INT96 timestamps carry no statistics, so bucket ranges would not be pushed down
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # streaming state lives on disk next to the executor, not on its heap

@@ -77,6 +77,19 @@ class Store:
         )
         self.spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(self._path("commit_log"))
 
+    def compact_log(self) -> None:
+        """Rewrite the log as one file.
+
+        Entries are statements, so an entry found in both the old and the new
+        file between the two steps does no harm.
+        """
+        log = self.log()
+        old = log.inputFiles()
+        if len(old) < 2:
+            return
+        log.distinct().coalesce(1).write.mode("append").parquet(self._path("commit_log"))
+        session.remove(self.spark, list(old))
+
     def _moment(self, condition: Column) -> datetime | None:
         """Latest to_ts of the matching log entries: one row, one value."""
         row = self.log().where(condition).agg(F.unix_micros(F.max("to_ts")).alias("us")).first()
@@ -120,8 +133,9 @@ class Store:
             calendar.utc_date(F.col("bucket")).alias("dt"),
             F.lit(batch_id).alias("batch_id"),
         )
-        # rebalance: few files per date, and a date that holds most rows is split
-        spread = rows.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", "bucket", "identity_id")
+        # rebalance: few files per date, and a date that holds most rows is split;
+        # sorted by identity, a series reads few row groups of each date
+        spread = rows.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", "identity_id", "bucket")
         self._write(self._table(tier), spread, ["dt", "batch_id"])
 
     def stage_identities(self, rows: DataFrame, batch_id: str) -> None:
@@ -177,16 +191,18 @@ class Store:
         """One row per (bucket, identity, scope)."""
         return tiers.minute_merge(self.deltas(tier, from_ts, to_ts, scope))
 
-    def _live_identities(self) -> DataFrame:
+    def identity_rows(self) -> DataFrame:
+        """Base and delta rows of the dimension, not merged yet."""
         rows = self._read(IDENTITY_TABLE, schemas.IDENTITY_STORED)
         dropped = self._dropped(IDENTITY_TABLE).select("batch_id")
-        return rows.join(self._added(IDENTITY_TABLE), "batch_id", "left_semi").join(
+        live = rows.join(self._added(IDENTITY_TABLE), "batch_id", "left_semi").join(
             dropped, "batch_id", "left_anti"
         )
+        return live.withColumnRenamed("batch_id", "version")
 
     def identities(self) -> DataFrame:
         """Current state of the dimension."""
-        return ids.identity_merge(self._live_identities().withColumnRenamed("batch_id", "version"))
+        return ids.identity_merge(self.identity_rows())
 
     # -- upkeep -------------------------------------------------------------
 
@@ -235,7 +251,7 @@ class Store:
 
     def compact_identities(self) -> str | None:
         """Rewrite base and deltas of the dimension as one base."""
-        old = _batches(self._live_identities())
+        old = _batches(self.identity_rows(), "version")
         if len(old) < 2:
             return None
         merged = _merged_name(old)
@@ -276,9 +292,9 @@ def _utc(moment: datetime) -> datetime:
     return moment.astimezone(timezone.utc) if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
 
 
-def _batches(rows: DataFrame) -> list[str]:
+def _batches(rows: DataFrame, column: str = "batch_id") -> list[str]:
     """Batch ids of some delta rows: one value per batch, not per row."""
-    return sorted(row.batch_id for row in rows.select("batch_id").distinct().collect())
+    return sorted(row[0] for row in rows.select(column).distinct().collect())
 
 
 def _merged_name(batches: list[str]) -> str:

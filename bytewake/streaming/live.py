@@ -76,13 +76,13 @@ def ingest_stream(
     """
 
     def write(folds: DataFrame, number: int) -> None:
-        feeds = load()
         name = batch_name(stream, number)
         with staging(folds.sparkSession, "micro-batch") as stage:
             minutes = stage(folds, "minutes")
             last = minutes.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
             if last is None:
                 return
+            feeds = attribution.narrowed(load(), minutes)
             # the whole minute goes to the process that opened it; reconciling refines that
             starts = ids.lifetime_starts(feeds.snapshots)
             placed = stage(ids.tgid_lifetime(minutes, starts, "min_ts"), "placed")

@@ -27,15 +27,15 @@ def identities(spark, sf):
 
 
 def top_sql(key: str, label: str, where: str = "", limit: int = 20, columns: str = "ingress_bytes, egress_bytes",
-            order: str = "ingress_bytes + egress_bytes", scope: str = "scope = 'external'") -> str:
+            order: str = "ingress_bytes + egress_bytes", scope: str = "scope = 'external'", ties: str = "host, g.group_key") -> str:
     return oracle(f"""SELECT host, CAST(group_key AS VARCHAR) AS group_key, label, {columns} FROM (
   SELECT i.host, {key} AS group_key, max({label}) AS label, {SUMS}
   FROM traffic_wide f JOIN identity_wide i ON i.id = f.identity_id
   WHERE {scope} AND {IN_YEAR} {where} GROUP BY i.host, {key}) g
-  ORDER BY {order} DESC, host, g.group_key LIMIT {limit}""", "traffic_wide", "identity_wide")
+  ORDER BY {order} DESC, {ties} LIMIT {limit}""", "traffic_wide", "identity_wide")
 
 
-@check(top_sql("i.id", "i.exe"))
+@check(top_sql("i.id", "i.exe", ties="g.group_key"))
 def top_by_identity(spark, sf):
     return verbs.top(facts(spark, sf), identities(spark, sf), "identity")
 
@@ -55,7 +55,7 @@ def top_by_user(spark, sf):
     return verbs.top(facts(spark, sf), identities(spark, sf), "user", limit=30, scope="all")
 
 
-@check(top_sql("i.id", "i.exe", columns="egress_bytes", order="egress_bytes", limit=25))
+@check(top_sql("i.id", "i.exe", columns="egress_bytes", order="egress_bytes", limit=25, ties="g.group_key"))
 def direction_columns(spark, sf):
     return verbs.top(facts(spark, sf), identities(spark, sf), "identity", limit=25, direction="egress")
 
