@@ -64,11 +64,11 @@ def project_root(directories: DataFrame, markers: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("part", F.explode(F.sequence(F.lit(0), last_part)))
     )
-    return (
-        steps.join(marked, ["host", "dir", "part"])
-        .groupBy("host", "cwd")
-        .agg(F.max_by("dir", F.length("dir")).alias("project_root"))
+    # every candidate is a prefix of cwd, so the longest length names the deepest
+    deepest = steps.join(marked, ["host", "dir", "part"]).groupBy("host", "cwd").agg(
+        F.max(F.length("dir")).alias("length")
     )
+    return deepest.select("host", "cwd", F.substring("cwd", F.lit(1), F.col("length")).alias("project_root"))
 
 
 def with_project_root(rows: DataFrame, markers: DataFrame) -> DataFrame:
@@ -134,9 +134,9 @@ def fully_unresolved(host: Column) -> Column:
     )
 
 
-def _packed(records: DataFrame, name: str) -> DataFrame:
-    keys = [c for c in records.columns if c not in RECORD and c not in PROCESS]
-    return records.select(*PROCESS, *keys, F.struct(*RECORD).alias(name))
+def _one_each(records: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Records packed as one column, one per key: two would count bytes twice."""
+    return records.groupBy(*keys).agg(F.min(F.struct(*RECORD)).alias(name))
 
 
 def resolve_chain(processes: DataFrame, snapshots: DataFrame, meta: DataFrame) -> DataFrame:
@@ -146,8 +146,9 @@ def resolve_chain(processes: DataFrame, snapshots: DataFrame, meta: DataFrame) -
     ``snapshot_records`` and ``meta`` from ``meta_records``.  The first source
     that knows the process wins; nothing is dropped.
     """
-    by_start = _packed(snapshots, "live").withColumnRenamed("seen_at", "gen_start")
-    by_process = _packed(meta, "fallback")
+    starts = snapshots.withColumnRenamed("seen_at", "gen_start")
+    by_start = _one_each(starts, [*PROCESS, "gen_start"], "live")
+    by_process = _one_each(meta, list(PROCESS), "fallback")
     return (
         processes.join(by_start, [*PROCESS, "gen_start"], "left")
         .join(by_process, list(PROCESS), "left")

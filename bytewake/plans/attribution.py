@@ -64,7 +64,7 @@ def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage) -> Da
     pieces = exact.groupBy(*LIFETIME, "bucket", "scope").agg(
         *byte_sums(), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")
     )
-    return whole.unionByName(pieces.select(*columns))
+    return whole.unionByName(stage(pieces.select(*columns), "pieces"))
 
 
 def sightings(folds: DataFrame, feeds: Feeds) -> DataFrame:

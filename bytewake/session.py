@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # streaming state lives on disk next to the executor, not on its heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # and only its changes are uploaded after each micro-batch
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -1,15 +1,18 @@
 """Traffic-shaped views over the driver tables (FIXTURES.md).
 
-Each view is one SQL text that Spark and DuckDB read alike; ``{table}`` stands
-for a driver table.
+Each view is one SQL text for Spark and DuckDB; ``{table}`` stands for a driver
+table and ``{each:1, 2}`` for one row per listed value, the only thing the two
+spell differently.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bytewake import schemas
 from bytewake.config import DISPLAY, NATURAL_KEY
@@ -44,7 +47,7 @@ SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR(9)) AS host, c_custkey AS tgid,
             WHEN c_custkey % 3 = 1 THEN 'serve.py' ELSE '3.5e2' END AS cmdline,
   'Name:' || chr(9) || lower(c_mktsegment) || chr(10) || 'Uid:' || chr(9) || CAST(1000 + c_nationkey AS VARCHAR(9)) || chr(9) || '0' AS status,
   CASE WHEN c_custkey % 13 = 0 THEN 'junk' || chr(10) ELSE '' END || '0::/user.slice/' || lower(c_mktsegment) || '.scope' AS cgroup
-FROM {customer} CROSS JOIN (SELECT 1 AS g UNION ALL SELECT 2 AS g) gen
+FROM (SELECT *, {each:1, 2} AS g FROM {customer}) c
 WHERE c_custkey % 5 <> 0 AND (g = 1 OR c_custkey % 6 = 1)""",
     "pid_meta": """
 SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR(9)) AS host, c_custkey AS tgid, CAST(1000 + c_nationkey AS BIGINT) AS uid,
@@ -53,15 +56,13 @@ FROM {customer} WHERE c_custkey % 10 <> 0""",
     "passwd": """
 SELECT 'h' || CAST(x AS VARCHAR(9)) AS host, CAST(n_nationkey + 25 * d AS BIGINT) AS line_no,
   CAST(1000 + n_nationkey AS BIGINT) AS uid, n_name || CASE WHEN d = 1 THEN '_alt' ELSE '' END AS username
-FROM {nation} CROSS JOIN (SELECT 0 AS x UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) h
-  CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) dup
+FROM (SELECT *, {each:0, 1} AS d FROM (SELECT *, {each:0, 1, 2, 3} AS x FROM {nation}) h) n
 WHERE n_nationkey < 20 AND (d = 0 OR n_nationkey % 4 = 0)""",
     "project_marker": """
-SELECT 'h' || CAST(x AS VARCHAR(9)) AS host, dir, marker FROM (
+SELECT 'h' || CAST(x AS VARCHAR(9)) AS host, dir, marker FROM (SELECT *, {each:0, 1, 2, 3} AS x FROM (
   SELECT '/home/u' || CAST(n_nationkey AS VARCHAR(9)) AS dir, '.git' AS marker FROM {nation} WHERE n_nationkey % 2 = 0
   UNION ALL SELECT '/home/u' || CAST(n_nationkey AS VARCHAR(9)) || '/machinery', 'Cargo.toml' FROM {nation} WHERE n_nationkey % 3 = 0
-  UNION ALL SELECT '/home/u' || CAST(n_nationkey AS VARCHAR(9)) || '/building', 'README.md' FROM {nation}) m
-CROSS JOIN (SELECT 0 AS x UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) h""",
+  UNION ALL SELECT '/home/u' || CAST(n_nationkey AS VARCHAR(9)) || '/building', 'README.md' FROM {nation}) m) h""",
     "traffic_wide": """
 SELECT bucket, identity_id, scope, CAST(sum(i) AS BIGINT) AS ingress_bytes, CAST(sum(e) AS BIGINT) AS egress_bytes FROM (
   SELECT l_shipdate + ((l_orderkey * 7 + l_linenumber * 97) % 1440) * INTERVAL '1' MINUTE AS bucket, l_suppkey AS identity_id,
@@ -84,8 +85,27 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
 }
 
 
+def _spell(sql: str, opening: str, closing: str) -> str:
+    return re.sub(r"\{each:([^}]*)\}", rf"{opening}\1{closing}", sql)
+
+
+def spark_view(name: str) -> str:
+    return _spell(VIEWS[name], "explode(array(", "))")
+
+
+def duckdb_view(name: str) -> str:
+    return _spell(VIEWS[name], "unnest([", "])").replace("{", "").replace("}", "")
+
+
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is looked up once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _tables_of(sql: str) -> list[str]:
@@ -96,7 +116,7 @@ def _tables_of(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str, **replaced: DataFrame) -> DataFrame:
     """A view as DataFrame, instants as TIMESTAMP."""
     tune(spark)
-    sql = VIEWS[name]
+    sql = spark_view(name)
     inputs = {t: replaced[t] if t in replaced else table(spark, sf_dir, t) for t in _tables_of(sql)}
     rows = spark.sql(sql, **inputs)
     for column in ("ts", "bucket", "seen_at", "first_seen", "last_seen"):
@@ -146,7 +166,7 @@ KEY = ", ".join(NATURAL_KEY)
 DISPLAYED = ", ".join(DISPLAY)
 
 PARTS = {
-    **{name: sql.replace("{", "").replace("}", "") for name, sql in VIEWS.items()},
+    **{name: duckdb_view(name) for name in VIEWS},
     "moved": MOVED,
     "clean": r"""
 SELECT host, tgid, seen_at, regexp_replace(exe, '( \(deleted\))+$', '') AS exe, cwd, trim(comm, ' ' || chr(10)) AS comm,

@@ -154,6 +154,18 @@ def test_every_process_resolves(spark):
     ]
 
 
+def test_repeated_lookup_rows_do_not_multiply_processes(spark):
+    f = feeds(
+        spark,
+        snapshots=[snapshot(1, DAY), snapshot(1, DAY, exe="/usr/bin/other"), snapshot(1, DAY, status=None)],
+        meta=[("h", 2, 1000, "42", c, DAY) for c in ("curl\0", "wget\0")],
+    )
+    lives = spark.createDataFrame([("h", 1, DAY), ("h", 2, None)], "host string, tgid long, gen_start timestamp")
+    found = ids.resolve_chain(
+        lives, ids.snapshot_records(f.snapshots, f.passwd, f.markers), ids.meta_records(f.meta, f.passwd))
+    assert rows_of(found, "tgid", "source") == [(1, "snapshot"), (2, "metadata")]
+
+
 def brute_start(starts, ts):
     known = sorted(starts)
     past = [s for s in known if s <= ts]
