@@ -51,4 +51,6 @@ class Settings:
         }
     )
     default_scope: str = EXTERNAL
+    # roll days up from minutes, for zones whose offset is no whole hour
+    exact_days: bool = False
     admin_uids: tuple[int, ...] = (0,)

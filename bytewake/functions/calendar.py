@@ -12,6 +12,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MICROSECOND = timedelta(microseconds=1)
 MINUTE = timedelta(minutes=1)
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 

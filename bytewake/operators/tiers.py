@@ -29,13 +29,24 @@ def roll(facts: DataFrame, tier: str, tz: str) -> DataFrame:
     return facts.groupBy(bucket, "identity_id", "scope").agg(*byte_sums())
 
 
-def closed_bound(tier: str, now: datetime, tz: str) -> datetime:
-    """Start of the open bucket of the tier below; everything before is closed."""
-    return calendar.floor_moment(now, FINER[tier], tz)
+def source_of(tier: str, settings: Settings) -> str:
+    """Tier that ``tier`` is rolled up from.
+
+    Days come from hours, so in a zone whose offset is no whole hour the hour
+    around local midnight goes where its start lies.  ``exact_days`` takes the
+    minutes instead.
+    """
+    return "minute" if tier == "day" and settings.exact_days else FINER[tier]
+
+
+def closed_bound(tier: str, now: datetime, tz: str, source: str | None = None) -> datetime:
+    """Start of the open bucket of the source tier; everything before is closed."""
+    return calendar.floor_moment(now, source or FINER[tier], tz)
 
 
 def rollup(
-    facts: DataFrame, tier: str, now: datetime, tz: str, watermark: datetime | None = None
+    facts: DataFrame, tier: str, now: datetime, tz: str,
+    watermark: datetime | None = None, source: str | None = None,
 ) -> DataFrame:
     """Delta for ``tier``: closed finer buckets at or past the watermark.
 
@@ -43,23 +54,12 @@ def rollup(
     several deltas that add up.
     """
     bucket = F.col("bucket")
-    due = facts.where(bucket < calendar.at(closed_bound(tier, now, tz)))
+    due = facts.where(bucket < calendar.at(closed_bound(tier, now, tz, source)))
     if watermark is not None:
         due = due.where(bucket >= calendar.at(watermark))
     return roll(due, tier, tz)
 
 
-def rollup_exact_days(
-    minutes: DataFrame, now: datetime, tz: str, watermark: datetime | None = None
-) -> DataFrame:
-    """Day delta straight from minutes, for zones whose offset is no whole hour."""
-    bucket = F.col("bucket")
-    due = minutes.where(bucket < calendar.at(calendar.floor_moment(now, "hour", tz)))
-    if watermark is not None:
-        due = due.where(bucket >= calendar.at(watermark))
-    return roll(due, "day", tz)
-
-
 def prune_bound(
     tier: str, now: datetime, settings: Settings, rolled_through: datetime | None
 ) -> datetime | None:

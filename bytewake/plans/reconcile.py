@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake.config import TIER_KEY, TIERS
+from bytewake.config import TIER_KEY, TIERS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import tiers
 from bytewake.plans.attribution import Feeds, attribute, lifetime_folds
@@ -35,7 +35,7 @@ def late_samples(recomputed: DataFrame, counted: DataFrame) -> DataFrame:
 
 def reconcile(
     spark: SparkSession, store: Store, feeds: Feeds, batch_id: str,
-    from_ts: datetime, through: datetime, tz: str,
+    from_ts: datetime, through: datetime, settings: Settings,
 ) -> None:
     """Correct the minutes of [from_ts, through) and every tier built on them.
 
@@ -48,8 +48,7 @@ def reconcile(
     pruned = store.pruned_through("minute")
     if pruned is not None and pruned > from_ts:
         # a minute cut by the bound is gone in full
-        from_ts = calendar.floor_moment(pruned, "minute", tz)
-        from_ts = from_ts if from_ts == pruned else from_ts + calendar.MINUTE
+        from_ts = calendar.floor_moment(pruned - calendar.MICROSECOND, "minute", settings.tz) + calendar.MINUTE
     landed = feeds.samples.where(
         (F.col("ts") >= calendar.at(from_ts)) & (F.col("ts") < calendar.at(through))
     )
@@ -58,14 +57,14 @@ def reconcile(
         folds = lifetime_folds(landed, feeds.snapshots, stage)
         facts = attribute(store, folds, feeds, batch_id, stage)
         counted = store.scan("minute", from_ts, through)
-        delta = stage(late_samples(facts, counted), "minute_delta")
-        store.stage("minute", delta, batch_id)
+        deltas = {"minute": stage(late_samples(facts, counted), "minute_delta")}
+        store.stage("minute", deltas["minute"], batch_id)
         for tier in TIERS[1:]:
             watermark = store.watermark(tier)
             if watermark is None:
                 break
-            below = delta.where(F.col("bucket") < calendar.at(watermark))
-            delta = stage(tiers.roll(below, tier, tz), f"{tier}_delta")
-            store.stage(tier, delta, batch_id)
+            below = deltas[tiers.source_of(tier, settings)].where(F.col("bucket") < calendar.at(watermark))
+            deltas[tier] = stage(tiers.roll(below, tier, settings.tz), f"{tier}_delta")
+            store.stage(tier, deltas[tier], batch_id)
             batches.append((tier, batch_id))
     store.commit_batches(batches)

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from bytewake import schemas, session
-from bytewake.config import ALL_SCOPES, COARSER, FINER, TIERS, Settings
+from bytewake.config import ALL_SCOPES, TIERS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import tiers, verbs
@@ -207,27 +207,30 @@ class Store:
     # -- upkeep -------------------------------------------------------------
 
     def rollup(
-        self, tier: str, now: datetime, tz: str, complete_through: datetime | None = None
+        self, tier: str, now: datetime, settings: Settings, complete_through: datetime | None = None
     ) -> bool:
         """Roll closed finer buckets past the watermark into ``tier``.
 
         ``complete_through`` holds the bound back when the finer tier is still
         being fed behind the clock.  A second run with nothing new does nothing.
         """
+        source, tz = tiers.source_of(tier, settings), settings.tz
         after = self.watermark(tier)
-        through = _utc(tiers.closed_bound(tier, now, tz))
+        through = tiers.closed_bound(tier, now, tz, source)
         if complete_through is not None:
-            through = min(through, _utc(tiers.closed_bound(tier, complete_through, tz)))
+            through = min(through, tiers.closed_bound(tier, complete_through, tz, source))
         if after is not None and through <= after:
             return False
-        delta = tiers.roll(self.deltas(FINER[tier], after, through), tier, tz)
+        delta = tiers.roll(self.deltas(source, after, through), tier, tz)
         run = f"roll-{_stamp(after)}-{_stamp(through)}"
         self.append(tier, delta, run, after, through)
         return True
 
     def prune(self, tier: str, now: datetime, settings: Settings) -> datetime | None:
         """Let rows past retention go, but none that was not rolled up."""
-        rolled = self.watermark(COARSER[tier]) if tier in COARSER else None
+        fed = [coarse for coarse in TIERS[1:] if tiers.source_of(coarse, settings) == tier]
+        marks = [self.watermark(coarse) for coarse in fed]
+        rolled = min(marks) if marks and None not in marks else None
         bound = tiers.prune_bound(tier, _utc(now), settings, rolled)
         before = self.pruned_through(tier)
         if bound is None or (before is not None and bound <= before):
@@ -283,7 +286,7 @@ class Store:
     def maintain(self, now: datetime, settings: Settings, complete_through: datetime | None = None) -> None:
         """Rollup of every tier, fine to coarse, then retention."""
         for tier in TIERS[1:]:
-            self.rollup(tier, now, settings.tz, complete_through)
+            self.rollup(tier, now, settings, complete_through)
         for tier in TIERS:
             self.prune(tier, now, settings)
 

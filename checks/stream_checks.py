@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from bytewake.config import FINER, NATURAL_KEY
+from bytewake.config import FINER, NATURAL_KEY, Settings
 from bytewake.operators import identity as ids
 from bytewake.operators import tiers
 from bytewake.plans.attribution import attribute, ingest, minute_facts, sightings
@@ -20,6 +21,7 @@ from checks.fixtures import KEY, PAIR, TZ, ms, oracle, us
 from checks.identity_checks import feeds
 from checks.registry import as_ms, as_us, check, fact_rows
 
+SETTINGS = Settings(tz=TZ)
 DELAY = timedelta(minutes=2)
 # Minutes the watermark has passed once all samples are read.
 CLOSED = "date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM moved) - INTERVAL 2 MINUTE"
@@ -102,12 +104,12 @@ def late_samples(spark, sf):
     """One host delivers only after its hours were rolled up."""
     store = Store(spark, work_dir(spark, "late"))
     everything = feeds(spark, sf)
-    punctual = feeds(spark, sf, events=fx.table(spark, sf, "events").where(F.col("user_id") % 4 != 3))
+    punctual = replace(everything, samples=everything.samples.where(F.col("host") != "h3"))
     ingest(spark, store, punctual, "punctual")
     for tier in FINER:
-        store.rollup(tier, fx.SAMPLES_NOW, TZ)
+        store.rollup(tier, fx.SAMPLES_NOW, SETTINGS)
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    reconcile(spark, store, everything, "late", start, fx.SAMPLES_NOW, TZ)
+    reconcile(spark, store, everything, "late", start, fx.SAMPLES_NOW, SETTINGS)
     names = store.identities().select(F.col("id").alias("identity_id"), *NATURAL_KEY)
     return store.scan("hour").join(names, "identity_id").select(
         as_ms("bucket", "bucket_ms"), *NATURAL_KEY, "scope", "ingress_bytes", "egress_bytes"

@@ -160,7 +160,7 @@ def rollup_watermark(spark, sf):
     for now in ROLLUP_RUNS:
         for _ in range(2):
             for tier in FINER:
-                store.rollup(tier, now, TZ)
+                store.rollup(tier, now, SETTINGS)
     views = [
         fact_rows(store.scan(tier), F.lit(tier).alias("tier"),
                   F.lit(calendar.micros(store.watermark(tier)) // 1000).alias("rolled_through_ms"))

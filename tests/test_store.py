@@ -61,9 +61,9 @@ def test_rollup_is_idempotent_and_catches_up(spark, root):
     source = minutes(spark, NOON, 400, step=17)
     store.append("minute", source, "a")
     now = NOON + timedelta(hours=20, minutes=1, seconds=5)
-    assert store.rollup("hour", now, "UTC")
-    assert not store.rollup("hour", now, "UTC")
-    assert store.rollup("hour", NOON + timedelta(days=9), "UTC")
+    assert store.rollup("hour", now, Settings())
+    assert not store.rollup("hour", now, Settings())
+    assert store.rollup("hour", NOON + timedelta(days=9), Settings())
     want = tiers.rollup(source, "hour", NOON + timedelta(days=9), "UTC")
     assert stamped(store.scan("hour")) == stamped(want)
 
@@ -72,10 +72,10 @@ def test_rollup_waits_for_a_slow_feed(spark, root):
     store = Store(spark, root)
     store.append("minute", minutes(spark, NOON, 10), "a")
     now = NOON + timedelta(hours=5)
-    store.rollup("hour", now, "UTC", complete_through=NOON + timedelta(minutes=4))
+    store.rollup("hour", now, Settings(), complete_through=NOON + timedelta(minutes=4))
     assert store.watermark("hour") == NOON + timedelta(minutes=4)
     store.append("minute", facts(spark, (NOON + timedelta(minutes=5), 1, "external", 100, 0)), "slow")
-    store.rollup("hour", now, "UTC")
+    store.rollup("hour", now, Settings())
     assert store.scan("hour").agg(F.sum("ingress_bytes")).first()[0] == 110
 
 
@@ -84,7 +84,7 @@ def test_attempt_that_never_committed_does_not_count(spark, root):
     store.append("minute", minutes(spark, NOON, 10), "a")
     lost = tiers.roll(store.deltas("minute"), "hour", "UTC")
     store.stage("hour", lost, "roll-start-lost")
-    store.rollup("hour", NOON + timedelta(hours=3), "UTC")
+    store.rollup("hour", NOON + timedelta(hours=3), Settings())
     assert store.scan("hour").agg(F.sum("ingress_bytes")).first()[0] == 10
 
 
@@ -178,15 +178,15 @@ def test_reconcile_reaches_every_tier_once(spark, root):
     now = utc(2024, 1, 2, 12)
     store.maintain(now, settings)
     everything = world(spark, FIRST + LATE)
-    reconcile(spark, store, everything, "fix-1", utc(2024, 1, 1), utc(2024, 1, 2), "UTC")
+    reconcile(spark, store, everything, "fix-1", utc(2024, 1, 1), utc(2024, 1, 2), settings)
     want = [
         ("<unresolved:curl>", 11, 0), ("<unresolved>", 1000, 0), ("npm run build", 0, 7), ("npm run dev", 0, 105),
     ]
     for tier in ("minute", "hour", "day"):
         assert [(k, i, e) for k, _, i, e in named(store, tier)] == sorted(want), tier
     with pytest.raises(ValueError):
-        reconcile(spark, store, everything, "fix-1", utc(2024, 1, 1), utc(2024, 1, 2), "UTC")
-    reconcile(spark, store, everything, "fix-2", utc(2024, 1, 1), utc(2024, 1, 2), "UTC")
+        reconcile(spark, store, everything, "fix-1", utc(2024, 1, 1), utc(2024, 1, 2), settings)
+    reconcile(spark, store, everything, "fix-2", utc(2024, 1, 1), utc(2024, 1, 2), settings)
     store.maintain(now + timedelta(days=40), settings)
     for tier in ("hour", "day", "month"):
         assert [(k, i, e) for k, _, i, e in named(store, tier)] == sorted(want), tier
@@ -197,7 +197,32 @@ def test_reconcile_leaves_pruned_minutes_alone(spark, root):
     ingest(spark, store, world(spark, FIRST), "a")
     store.maintain(utc(2024, 1, 3, 9, 30), Settings())
     assert [k for k, *_ in named(store, "minute")] == ["npm run build", "npm run dev"]
-    reconcile(spark, store, world(spark, FIRST + LATE), "fix", utc(2024, 1, 1), utc(2024, 1, 3), "UTC")
+    reconcile(spark, store, world(spark, FIRST + LATE), "fix", utc(2024, 1, 1), utc(2024, 1, 3), Settings())
     assert ("<unresolved:curl>", "01 09:00", 11, 0) in named(store, "hour")
     assert ("npm run dev", "01 10:00", 0, 105) in named(store, "hour")
     assert sum(r[2] for r in named(store, "hour")) == 11
+
+
+def test_exact_days_come_from_minutes(spark, root):
+    store, settings = Store(spark, root), Settings(tz="Asia/Kolkata", exact_days=True)
+    # local midnight is 18:30 UTC
+    store.append("minute", facts(spark, (utc(2024, 1, 1, 18, 10), 1, "external", 1, 0),
+                                 (utc(2024, 1, 1, 18, 40), 1, "external", 2, 0)), "a")
+    store.maintain(utc(2024, 1, 1, 18, 45, 30), settings)
+    assert store.watermark("day") == utc(2024, 1, 1, 18, 45)
+    store.append("minute", facts(spark, (utc(2024, 1, 1, 18, 50), 1, "external", 4, 0)), "b")
+    store.maintain(utc(2024, 1, 9), settings)
+    assert stamped(store.scan("day")) == [
+        ("2023-12-31 18:30", 1, "external", 1, 0), ("2024-01-01 18:30", 1, "external", 6, 0)]
+    assert store.scan("minute").count() == 0
+
+
+def test_log_compaction_changes_no_result(spark, root):
+    store = Store(spark, root)
+    for i in range(4):
+        store.append("minute", facts(spark, (NOON, i, "external", 1, 1)), f"b{i}")
+    store.rollup("hour", NOON + timedelta(hours=3), Settings())
+    before = stamped(store.scan("minute")), stamped(store.scan("hour")), store.watermark("hour")
+    store.compact_log()
+    assert len(store.log().inputFiles()) == 1
+    assert (stamped(store.scan("minute")), stamped(store.scan("hour")), store.watermark("hour")) == before

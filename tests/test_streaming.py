@@ -121,7 +121,7 @@ def test_stream_to_store_survives_a_replay_and_takes_late_samples(spark, tmp_pat
     now = START + timedelta(hours=3)
     store.maintain(now, Settings(), complete_through=closed)
     full = lookups(spark, everything + [late])
-    reconcile(spark, store, full, "late-1", START, START + timedelta(hours=1), "UTC")
+    reconcile(spark, store, full, "late-1", START, START + timedelta(hours=1), Settings())
     store.maintain(now + timedelta(hours=3), Settings())
     for tier in ("minute", "hour"):
         assert per_identity(store, tier) == totals(everything + [late]), tier

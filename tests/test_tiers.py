@@ -68,7 +68,7 @@ def test_hour_decides_the_day_unless_exact(spark):
     now = utc(2024, 1, 5)
     via_hours = tiers.rollup(tiers.rollup(df, "hour", now, KOLKATA), "day", now, KOLKATA)
     assert stamped(via_hours) == [("2023-12-31 18:30", 1, "external", 3, 0)]
-    assert stamped(tiers.rollup_exact_days(df, now, KOLKATA)) == [
+    assert stamped(tiers.rollup(df, "day", now, KOLKATA, source="minute")) == [
         ("2023-12-31 18:30", 1, "external", 1, 0), ("2024-01-01 18:30", 1, "external", 2, 0),
     ]
 
