@@ -122,5 +122,8 @@ def tier_violations(facts: DataFrame, identity: DataFrame) -> DataFrame:
 
 
 def watermark_violations(log: DataFrame) -> DataFrame:
-    """Watermark entries of a tier that has none."""
-    return log.where(~F.col("tier").isin(*FINER))
+    """Watermark entries for a tier that has none, counted."""
+    stray = log.where(~F.col("tier").isin(*FINER))
+    return stray.agg(F.count(F.lit(1)).alias("violations")).select(
+        F.lit("watermark_tier").alias("rule"), "violations"
+    )

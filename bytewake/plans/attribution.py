@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake.config import NATURAL_KEY, PROCESS
+from bytewake.config import NATURAL_KEY, PROCESS, Settings
 from bytewake.functions.calendar import minute_start
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
@@ -105,15 +105,19 @@ def minute_facts(folds: DataFrame, seen: DataFrame, dimension: DataFrame) -> Dat
     return folds.join(lookup, same).groupBy("bucket", "identity_id", "scope").agg(*byte_sums())
 
 
-def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str) -> None:
+def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str, settings: Settings) -> None:
     """Attribute one batch of samples and commit it.
 
-    Running the same batch again replaces what it wrote.
+    A batch that was committed before is left alone; one that failed half way
+    replaces what it wrote.
     """
+    if store.committed(batch_id):
+        return
     with staging(spark, "ingest") as stage:
         folds = lifetime_folds(feeds.samples, feeds.snapshots, stage)
-        store.stage("minute", attribute(store, folds, feeds, batch_id, stage), batch_id)
-    store.commit_batches([(IDENTITY_TABLE, batch_id), ("minute", batch_id)])
+        facts = attribute(store, folds, feeds, batch_id, stage)
+        batches = store.stage_minutes(facts, batch_id, settings, stage)
+    store.commit_batches([(IDENTITY_TABLE, batch_id), *batches])
 
 
 def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:

@@ -7,9 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake.config import TIER_KEY, TIERS, Settings
+from bytewake.config import TIER_KEY, Settings
 from bytewake.functions import calendar
-from bytewake.operators import tiers
 from bytewake.plans.attribution import Feeds, attribute, lifetime_folds
 from bytewake.sources.store import IDENTITY_TABLE, Store
 from bytewake.staging import staging
@@ -40,10 +39,10 @@ def reconcile(
     """Correct the minutes of [from_ts, through) and every tier built on them.
 
     Minutes already pruned are left alone: a pruned minute would look missing.
-    Corrections below a tier's watermark are rolled up here; those above it
-    are picked up by the ordinary rollup.
+    Corrections below a tier's watermark are rolled up with them; those above
+    it are picked up by the ordinary rollup.
     """
-    if store.log().where((F.col("batch_id") == batch_id) & (F.col("action") == "add")).take(1):
+    if store.committed(batch_id):
         raise ValueError(f"batch {batch_id!r} was committed before")
     pruned = store.pruned_through("minute")
     if pruned is not None and pruned > from_ts:
@@ -52,19 +51,9 @@ def reconcile(
     landed = feeds.samples.where(
         (F.col("ts") >= calendar.at(from_ts)) & (F.col("ts") < calendar.at(through))
     )
-    batches = [(IDENTITY_TABLE, batch_id), ("minute", batch_id)]
     with staging(spark, "reconcile") as stage:
         folds = lifetime_folds(landed, feeds.snapshots, stage)
         facts = attribute(store, folds, feeds, batch_id, stage)
         counted = store.scan("minute", from_ts, through)
-        deltas = {"minute": stage(late_samples(facts, counted), "minute_delta")}
-        store.stage("minute", deltas["minute"], batch_id)
-        for tier in TIERS[1:]:
-            watermark = store.watermark(tier)
-            if watermark is None:
-                break
-            below = deltas[tiers.source_of(tier, settings)].where(F.col("bucket") < calendar.at(watermark))
-            deltas[tier] = stage(tiers.roll(below, tier, settings.tz), f"{tier}_delta")
-            store.stage(tier, deltas[tier], batch_id)
-            batches.append((tier, batch_id))
-    store.commit_batches(batches)
+        batches = store.stage_minutes(late_samples(facts, counted), batch_id, settings, stage)
+    store.commit_batches([(IDENTITY_TABLE, batch_id), *batches])

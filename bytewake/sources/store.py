@@ -32,6 +32,7 @@ from bytewake.config import ALL_SCOPES, TIERS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import tiers, verbs
+from bytewake.staging import Stage
 
 IDENTITY_TABLE = "identity"
 
@@ -142,11 +143,51 @@ class Store:
         rows = rows.select(*schemas.IDENTITY.fieldNames(), F.lit(batch_id).alias("batch_id"))
         self._write(IDENTITY_TABLE, rows.hint("rebalance"), ["batch_id"])
 
+    def stage_minutes(
+        self, minutes: DataFrame, batch_id: str, settings: Settings, stage: Stage
+    ) -> list[tuple[str, str]]:
+        """Stage minute facts and what they owe to coarser tiers.
+
+        Rows below a tier's watermark would never be picked up by the rollup
+        any more, so they are rolled up here, as part of the same batch.
+        Returns what is to be committed.
+        """
+        deltas = {"minute": stage(minutes, "minute_delta")}
+        self.stage("minute", deltas["minute"], batch_id)
+        staged = [("minute", batch_id)]
+        for tier in TIERS[1:]:
+            watermark = self.watermark(tier)
+            if watermark is None:
+                break
+            source = deltas[tiers.source_of(tier, settings)]
+            below = source.where(F.col("bucket") < calendar.at(watermark))
+            if below.isEmpty():
+                deltas[tier] = schemas.empty(self.spark, schemas.TRAFFIC)
+                continue
+            deltas[tier] = stage(tiers.roll(below, tier, settings.tz), f"{tier}_delta")
+            self.stage(tier, deltas[tier], batch_id)
+            staged.append((tier, batch_id))
+        return staged
+
+    def committed(self, batch_id: str) -> bool:
+        entry = (F.col("batch_id") == batch_id) & (F.col("action") == "add")
+        return not self.log().where(entry).isEmpty()
+
     def commit_batches(
-        self, batches: list[tuple[str, str]], from_ts: datetime | None = None, to_ts: datetime | None = None
+        self,
+        batches: list[tuple[str, str]],
+        from_ts: datetime | None = None,
+        to_ts: datetime | None = None,
+        minutes_through: datetime | None = None,
     ) -> None:
-        """Make staged batches count, all of them or none."""
-        self._commit([(tier, "add", batch_id, None, from_ts, to_ts) for tier, batch_id in batches])
+        """Make staged batches count, all of them or none.
+
+        ``minutes_through`` says up to where the minute tier is complete.
+        """
+        self._commit([
+            (tier, "add", batch_id, None, from_ts, minutes_through if tier == "minute" else to_ts)
+            for tier, batch_id in batches
+        ])
 
     # -- reading ------------------------------------------------------------
 
@@ -211,12 +252,17 @@ class Store:
     ) -> bool:
         """Roll closed finer buckets past the watermark into ``tier``.
 
-        ``complete_through`` holds the bound back when the finer tier is still
+        No further than the source tier itself has got.  ``complete_through`` holds the bound back when the finer tier is still
         being fed behind the clock.  A second run with nothing new does nothing.
         """
         source, tz = tiers.source_of(tier, settings), settings.tz
         after = self.watermark(tier)
         through = tiers.closed_bound(tier, now, tz, source)
+        if source != "minute":
+            fed = self.watermark(source)
+            if fed is None:
+                return False
+            through = min(through, tiers.closed_bound(tier, fed, tz, source))
         if complete_through is not None:
             through = min(through, tiers.closed_bound(tier, complete_through, tz, source))
         if after is not None and through <= after:
@@ -266,20 +312,25 @@ class Store:
         return merged
 
     def vacuum(self, tier: str) -> list[str]:
-        """Remove folders no reader looks at any more."""
-        table = self._path(self._table(tier))
-        dropped = self._dropped(tier).select("dt", "batch_id").distinct().collect()
-        gone = [
-            f"{table}/batch_id={row.batch_id}" if row.dt is None
-            else f"{table}/dt={row.dt}/batch_id={row.batch_id}"
-            for row in dropped
-        ]
-        bound = None if tier == IDENTITY_TABLE else self.pruned_through(tier)
-        if bound is not None:
-            dates = self._read(self._table(tier), schemas.TRAFFIC_STORED).select("dt").distinct()
-            gone += [
-                f"{table}/dt={row.dt}" for row in dates.where(F.col("dt") < F.lit(bound.date())).collect()
-            ]
+        """Remove folders no reader looks at: merged, pruned, never committed."""
+        table, log = self._path(self._table(tier)), self._added(tier)
+        if tier == IDENTITY_TABLE:
+            rows = self._read(table=IDENTITY_TABLE, schema=schemas.IDENTITY_STORED)
+            folders = rows.select("batch_id").distinct()
+            dead = folders.join(log, "batch_id", "left_anti").unionByName(
+                folders.join(self._dropped(tier), "batch_id", "left_semi")
+            )
+            gone = [f"{table}/batch_id={row.batch_id}" for row in dead.collect()]
+        else:
+            folders = self._read(self._table(tier), schemas.TRAFFIC_STORED).select("dt", "batch_id").distinct()
+            dead = folders.join(log, "batch_id", "left_anti").unionByName(
+                folders.join(self._dropped(tier), ["batch_id", "dt"], "left_semi").select("dt", "batch_id")
+            )
+            bound = self.pruned_through(tier)
+            if bound is not None:
+                dead = dead.unionByName(folders.where(F.col("dt") < F.lit(bound.date())))
+            # folder names, not rows
+            gone = [f"{table}/dt={row.dt}/batch_id={row.batch_id}" for row in dead.distinct().collect()]
         session.remove(self.spark, gone)
         return gone
 

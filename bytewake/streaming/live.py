@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from bytewake.config import PROCESS
+from bytewake.config import PROCESS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
@@ -65,12 +65,13 @@ def batch_name(stream: str, number: int) -> str:
 
 
 def ingest_stream(
-    store: Store, samples: DataFrame, load: Callable[[], Feeds], delay: timedelta, stream: str
+    store: Store, samples: DataFrame, load: Callable[[], Feeds], delay: timedelta, stream: str,
+    settings: Settings,
 ) -> DataStreamWriter:
     """Count a sample stream into the store.
 
     ``load`` returns the lookup feeds as of now; their samples are not used.
-    The micro-batch number names the batch, so a replayed one replaces itself.
+    The micro-batch number names the batch, so a replayed one counts once.
     Every minute up to the last one written is complete, which is recorded for
     the rollup.
     """
@@ -78,17 +79,19 @@ def ingest_stream(
     def write(folds: DataFrame, number: int) -> None:
         name = batch_name(stream, number)
         with staging(folds.sparkSession, "micro-batch") as stage:
+            # read in full even when there is nothing to do: that moves the state on
             minutes = stage(folds, "minutes")
             last = minutes.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
-            if last is None:
+            if last is None or store.committed(name):
                 return
             feeds = attribution.narrowed(load(), minutes)
             # the whole minute goes to the process that opened it; reconciling refines that
             starts = ids.lifetime_starts(feeds.snapshots)
             placed = stage(ids.tgid_lifetime(minutes, starts, "min_ts"), "placed")
-            store.stage("minute", attribution.attribute(store, placed, feeds, name, stage), name)
+            facts = attribution.attribute(store, placed, feeds, name, stage)
+            batches = store.stage_minutes(facts, name, settings, stage)
         through = calendar.EPOCH + timedelta(microseconds=last) + calendar.MINUTE
-        store.commit_batches([(IDENTITY_TABLE, name), ("minute", name)], None, through)
+        store.commit_batches([(IDENTITY_TABLE, name), *batches], minutes_through=through)
 
     return (
         stream_minute_fold(samples, delay)

@@ -8,7 +8,6 @@ from bytewake.config import DISPLAY, NATURAL_KEY
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import verbs
-from bytewake.operators.samples import direction_sums
 from bytewake.operators.tiers import byte_sums
 from bytewake.plans.attribution import LIFETIME, Feeds, lifetime_folds, minute_facts, sightings
 from bytewake.staging import stage_in

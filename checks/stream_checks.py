@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from bytewake.config import FINER, NATURAL_KEY, Settings
 from bytewake.operators import identity as ids
-from bytewake.operators import tiers
-from bytewake.plans.attribution import attribute, ingest, minute_facts, sightings
+from bytewake.plans.attribution import ingest, minute_facts, sightings
 from bytewake.plans.reconcile import reconcile
 from bytewake.session import work_dir
 from bytewake.sources.store import Store
 from bytewake.staging import stage_in
 from bytewake.streaming import live
 from checks import fixtures as fx
-from checks.fixtures import KEY, PAIR, TZ, ms, oracle, us
+from checks.fixtures import KEY, PAIR, TZ, ms, oracle
 from checks.identity_checks import feeds
 from checks.registry import as_ms, as_us, check, fact_rows
 
@@ -105,7 +104,7 @@ def late_samples(spark, sf):
     store = Store(spark, work_dir(spark, "late"))
     everything = feeds(spark, sf)
     punctual = replace(everything, samples=everything.samples.where(F.col("host") != "h3"))
-    ingest(spark, store, punctual, "punctual")
+    ingest(spark, store, punctual, "punctual", SETTINGS)
     for tier in FINER:
         store.rollup(tier, fx.SAMPLES_NOW, SETTINGS)
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -124,7 +123,7 @@ def stream_ingest(spark, sf):
     """Stream to store, all the way to identities."""
     store = Store(spark, work_dir(spark, "live"))
     known = feeds(spark, sf)
-    run(live.ingest_stream(store, fx.sample_stream(spark, sf), lambda: known, DELAY, "live"), f"{store.root}/state")
+    run(live.ingest_stream(store, fx.sample_stream(spark, sf), lambda: known, DELAY, "live", SETTINGS), f"{store.root}/state")
     names = store.identities().select(F.col("id").alias("identity_id"), *NATURAL_KEY)
     return store.scan("minute").join(names, "identity_id").select(
         as_ms("bucket", "bucket_ms"), *NATURAL_KEY, "scope", "ingress_bytes", "egress_bytes"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from bytewake.sources.store import Store
 from bytewake.staging import stage_in
 from checks import fixtures as fx
 from checks.fixtures import SUMS, TZ, ms, oracle, us
-from checks.registry import BYTE_COLUMNS, as_ms, as_us, check, fact_rows
+from checks.registry import as_us, check, fact_rows
 
 SETTINGS = Settings(tz=TZ)
 FACT = f"{ms('bucket', 'bucket_ms')}, identity_id, scope, ingress_bytes, egress_bytes"
@@ -201,6 +201,8 @@ BROKEN = """SELECT l_shipdate AS bucket, nullif(l_suppkey, 7) AS identity_id,
   CASE l_returnflag WHEN 'R' THEN 'loopback' WHEN 'A' THEN 'external' ELSE 'lan' END AS scope,
   CAST(l_quantity AS BIGINT) AS ingress_bytes, CASE WHEN l_linenumber < 7 THEN CAST(l_extendedprice AS BIGINT) END AS egress_bytes
   FROM {lineitem}"""
+MARKS = """SELECT CASE o_orderstatus WHEN 'O' THEN 'hour' WHEN 'F' THEN 'day' ELSE 'week' END AS tier,
+  o_orderdate AS rolled_up_through FROM {orders}"""
 TWINS = "SELECT * FROM identity_wide WHERE id % 50 <> 49 UNION ALL SELECT * FROM identity_wide WHERE id % 20 = 3"
 
 
@@ -211,11 +213,13 @@ TWINS = "SELECT * FROM identity_wide WHERE id % 50 <> 49 UNION ALL SELECT * FROM
     GROUP BY bucket, identity_id, scope HAVING count(*) > 1)
   UNION ALL SELECT 'identity_reference', count(*) FROM facts f WHERE identity_id IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM twins t WHERE t.id = f.identity_id)
+  UNION ALL SELECT 'watermark_tier', count(*) FROM marks WHERE tier NOT IN ('hour', 'day', 'month')
   UNION ALL SELECT 'natural_key', count(*) FROM (SELECT 1 FROM twins
     GROUP BY host, uid, unit_or_cgroup, exe, project_root, normalized_cmdline HAVING count(*) > 1)""",
-  "identity_wide", facts=BROKEN.replace("{lineitem}", "lineitem"), twins=TWINS))
+  "identity_wide", facts=BROKEN.replace("{lineitem}", "lineitem"), twins=TWINS, marks=MARKS.replace("{orders}", "orders")))
 def tier_constraints(spark, sf):
     facts = spark.sql(BROKEN, lineitem=fx.table(spark, sf, "lineitem"))
+    marks = spark.sql(MARKS, orders=fx.table(spark, sf, "orders"))
     identity = fx.view(spark, sf, "identity_wide")
     twins = identity.where(F.col("id") % 50 != 49).unionByName(identity.where(F.col("id") % 20 == 3))
-    return tiers.tier_violations(facts, twins)
+    return tiers.tier_violations(facts, twins).unionByName(tiers.watermark_violations(marks))

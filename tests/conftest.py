@@ -18,6 +18,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        # list the few folders of a test on the driver
+        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "1000")
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

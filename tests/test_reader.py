@@ -33,7 +33,7 @@ def store(spark, tmp_path_factory):
             sample(4, at + timedelta(hours=20), 3, "udp_recvmsg", 7),
         ],
     )
-    ingest(spark, root, world, "a")
+    ingest(spark, root, world, "a", SETTINGS)
     root.maintain(NOW, SETTINGS)
     return root
 

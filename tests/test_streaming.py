@@ -108,7 +108,7 @@ def test_stream_to_store_survives_a_replay_and_takes_late_samples(spark, tmp_pat
 
     def start(checkpoint):
         stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True, maxFilesPerTrigger=2)
-        run(live.ingest_stream(store, stream, lambda: known, DELAY, "live"), checkpoint)
+        run(live.ingest_stream(store, stream, lambda: known, DELAY, "live", Settings()), checkpoint)
 
     start(f"{tmp_path}/state")
     closed = store.watermark("minute")

@@ -106,6 +106,11 @@ def test_constraints_name_what_is_wrong(spark):
     assert {v for _, v in rows_of(tiers.tier_violations(fine, identity.where("id = 1")))} == {0}
 
 
+def test_only_coarse_tiers_have_watermarks(spark):
+    log = spark.createDataFrame([("hour",), ("day",), ("month",), ("minute",), ("week",)], "tier string")
+    assert rows_of(tiers.watermark_violations(log)) == [("watermark_tier", 2)]
+
+
 def test_late_correction_may_be_negative(spark):
     want = facts(spark, (NOON, 1, "external", 5, 0), (NOON, 2, "external", 3, 0), (NOON, 4, "external", 1, 1))
     have = facts(spark, (NOON, 1, "external", 7, 0), (NOON, 3, "external", 1, 0), (NOON, 4, "external", 1, 1))
