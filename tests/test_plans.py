@@ -12,7 +12,11 @@ from bytewake.operators import samples as smp
 from bytewake.operators import tiers, verbs
 from bytewake.sources import landing
 from bytewake.sources.store import Store
-from tests.conftest import utc
+from bytewake.config import NATURAL_KEY
+from bytewake.plans.attribution import minute_facts
+from bytewake.staging import stage_in
+from tests.conftest import rows_of, utc
+from tests.test_identity import SIGHTING, sighting
 from tests.test_samples import sample
 from tests.test_tiers import facts
 from tests.test_verbs import identity
@@ -80,6 +84,30 @@ def test_rank_per_bucket_drops_losers_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
+def test_small_batch_filters_the_dimension_where_it_lies(spark, tmp_path):
+    stage = stage_in(spark, "plan")
+    dimension = stage(identity(spark), "dimension")
+    seen = [sighting(START, key="new")]
+    delta = ids.identity_delta(spark.createDataFrame(seen, SIGHTING), dimension, stage)
+    assert rows_of(delta, "id") == [(5,)]
+    news = stage(ids.identity_fold(spark.createDataFrame(seen, SIGHTING)), "keys")
+    text = plan(dimension.join(news.select(*NATURAL_KEY), list(NATURAL_KEY), "left_semi"))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
+def test_facts_find_their_identity_by_hash_keys(spark):
+    folds = spark.createDataFrame(
+        [("h", 1, None, START, "external", 1, 1)],
+        "host string, tgid long, gen_start timestamp, bucket timestamp, scope string, ingress_bytes long, egress_bytes long")
+    seen = spark.createDataFrame(
+        [("h", 1, None, 1000, "u", "/bin/node", "/p/a", "x")],
+        "host string, tgid long, gen_start timestamp, uid long, unit_or_cgroup string, exe string, "
+        "project_root string, normalized_cmdline string")
+    facts_ = minute_facts(folds, seen, identity(spark))
+    assert "NestedLoop" not in plan(facts_) and "Cartesian" not in plan(facts_)
+    assert rows_of(facts_, "identity_id", "ingress_bytes") == [(1, 1)]
+
+
 def test_no_cross_join_and_no_python_anywhere(spark):
     sources = []
     base = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "bytewake")

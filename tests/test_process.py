@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,22 @@ def test_ancestors_include_the_path_and_the_root(spark):
     assert apply(spark, process.ancestors, "/", "/a", "/a/b/c") == [
         ["/"], ["/", "/a"], ["/", "/a", "/a/b", "/a/b/c"],
     ]
+
+
+def is_number(token):
+    """An independent reading of the rule: what float() takes, in ASCII and without underscores."""
+    try:
+        float(token)
+    except ValueError:
+        return False
+    return token.isascii() and "_" not in token
+
+
+def test_number_tokens_against_float(spark):
+    rng = random.Random(11)
+    words = ["inf", "Infinity", "nan", "NaN", "infinit", "na", "١٢", "1_0", "0x1", "1e5", "-.5E+3"]
+    tokens = words + ["+" + w for w in words] + [
+        "".join(rng.choice("0123456789..eE+-inf") for _ in range(rng.randint(1, 7))) for _ in range(4000)
+    ]
+    masked = apply(spark, process.normalize_cmdline, *tokens)
+    assert masked == ["<n>" if is_number(t) else t for t in tokens]
