@@ -79,7 +79,7 @@ def unresolved_from_meta(spark, sf):
     return ids.meta_records(fx.view(spark, sf, "pid_meta"), fx.view(spark, sf, "passwd"))
 
 
-@check(oracle(f"""SELECT host, tgid, {us('gen_start', 'gen_us')}, scope, {PAIR},
+@check(oracle(f"""SELECT host, tgid, coalesce(CAST(epoch_us(gen_start) AS BIGINT), -1) AS gen_us, scope, {PAIR},
   CAST(min(epoch_us(ts)) AS BIGINT) AS min_us, CAST(max(epoch_us(ts)) AS BIGINT) AS max_us
   FROM placed GROUP BY host, tgid, gen_start, scope""", "placed"))
 def tgid_lifetime(spark, sf):
@@ -88,8 +88,10 @@ def tgid_lifetime(spark, sf):
     lives = folds.groupBy(*LIFETIME, "scope").agg(
         *byte_sums(), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
+    # -1: a process without any snapshot
+    started = F.coalesce(F.unix_micros("gen_start"), F.lit(-1)).alias("gen_us")
     return lives.select(
-        "host", "tgid", as_us("gen_start", "gen_us"), "scope", "ingress_bytes", "egress_bytes",
+        "host", "tgid", started, "scope", "ingress_bytes", "egress_bytes",
         as_us("min_ts", "min_us"), as_us("max_ts", "max_us"),
     )
 
