@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 
 from bytewake.config import ALL_SCOPES, BOTH, Settings
 from bytewake.operators import verbs
+from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import Store
+from bytewake.staging import Stage
+from bytewake.streaming import live
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,11 @@ class Reader:
     def _sees_all(self) -> bool:
         return (self.is_admin or self.caller_uid in self.settings.admin_uids) and self.uid is None
 
+    def _visible(self, identity: DataFrame) -> DataFrame:
+        return verbs.visible(identity, self.caller_uid, self.settings, self.is_admin, self.uid)
+
     def identities(self) -> DataFrame:
-        return verbs.visible(self.store.identities(), self.caller_uid, self.settings, self.is_admin, self.uid)
+        return self._visible(self.store.identities())
 
     def window(self, asked: Asked) -> tuple[str, tuple[datetime, datetime]]:
         """Tier and half-open window that answer a question."""
@@ -93,3 +101,18 @@ class Reader:
         return verbs.unresolved_share(
             self._deltas(asked), self.identities(), by, scope or self.settings.default_scope
         )
+
+    def watch(
+        self, samples: DataFrame, load: Callable[[], Feeds], emit: Callable[[DataFrame, int], None],
+        delay: timedelta, by: str = "identity", limit: int = 0, scope: str | None = None,
+    ) -> DataStreamWriter:
+        """Live ranking over a sample stream; ``emit`` gets one set of rows per trigger."""
+        everyone = live.identify_with(self.store, load)
+
+        def identify(folds: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+            facts, identity = everyone(folds, stage)
+            return facts, self._visible(identity)
+
+        return live.stream_watch(
+            samples, identify, emit, delay, by, limit, scope or self.settings.default_scope
+        )

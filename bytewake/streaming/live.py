@@ -17,7 +17,7 @@ from bytewake.operators import verbs
 from bytewake.plans import attribution
 from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import IDENTITY_TABLE, Store
-from bytewake.staging import staging
+from bytewake.staging import Stage, staging
 
 
 def _interval(delay: timedelta) -> str:
@@ -110,9 +110,13 @@ def idempotent_commit(store: Store, tier: str, stream: str) -> Callable[[DataFra
     return write
 
 
+# Turns minute folds into (facts, identities); may use the stage it is given.
+Identify = Callable[[DataFrame, Stage], tuple[DataFrame, DataFrame]]
+
+
 def stream_watch(
     samples: DataFrame,
-    identify: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    identify: Identify,
     emit: Callable[[DataFrame, int], None],
     delay: timedelta,
     by: str = "identity",
@@ -121,13 +125,30 @@ def stream_watch(
 ) -> DataStreamWriter:
     """Ranking of the minutes that changed, once per trigger.
 
-    ``identify`` turns folds into (facts, identities) and ``emit`` receives the
-    ranked rows.  Only changed counters reach a trigger, already summed.
+    ``emit`` receives the ranked rows.  Only changed counters reach a trigger,
+    already summed.
     """
 
     def rank(folds: DataFrame, number: int) -> None:
         with staging(folds.sparkSession, "watch") as stage:
-            facts, identity = identify(stage(folds, "minutes"))
+            facts, identity = identify(stage(folds, "minutes"), stage)
             emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
 
     return stream_minute_fold(samples, delay).writeStream.outputMode("update").foreachBatch(rank)
+
+
+def identify_with(store: Store, load: Callable[[], Feeds]) -> Identify:
+    """Attribution for a live view: nothing is written to the store.
+
+    Identities the store does not know yet get the ids that come next, for
+    this trigger only.
+    """
+
+    def identify(folds: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+        feeds = attribution.narrowed(load(), folds)
+        placed = stage(ids.tgid_lifetime(folds, ids.lifetime_starts(feeds.snapshots), "min_ts"), "placed")
+        seen = stage(attribution.sightings(placed, feeds), "sightings")
+        identity = stage(ids.identity_delta(seen, store.identity_rows(), stage), "identities")
+        return attribution.minute_facts(placed, seen, identity), identity
+
+    return identify

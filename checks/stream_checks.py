@@ -8,12 +8,11 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from bytewake.config import FINER, NATURAL_KEY, Settings
-from bytewake.operators import identity as ids
-from bytewake.plans.attribution import ingest, minute_facts, sightings
+from bytewake.plans.attribution import ingest
+from bytewake.plans.reader import Reader
 from bytewake.plans.reconcile import reconcile
 from bytewake.session import work_dir
 from bytewake.sources.store import Store
-from bytewake.staging import stage_in
 from bytewake.streaming import live
 from checks import fixtures as fx
 from checks.fixtures import KEY, PAIR, TZ, ms, oracle
@@ -75,18 +74,13 @@ def stream_watch(spark, sf):
     folder = work_dir(spark, "watch")
     known = feeds(spark, sf)
 
-    def identify(folds):
-        stage = stage_in(spark, "identify")
-        placed = ids.tgid_lifetime(folds, ids.lifetime_starts(known.snapshots), "min_ts")
-        placed = stage(placed, "placed")
-        seen = stage(sightings(placed, known), "seen")
-        identity = stage(ids.identity_delta(seen, fx.empty_identities(spark), stage), "identity")
-        return minute_facts(placed, seen, identity), identity
+    reader = Reader(Store(spark, f"{folder}/store"), SETTINGS, caller_uid=0)
 
     def emit(ranked, number):
         ranked.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/trigger={number}")
 
-    run(live.stream_watch(fx.sample_stream(spark, sf), identify, emit, DELAY, "exe", 5, "loopback"), f"{folder}/state")
+    watching = reader.watch(fx.sample_stream(spark, sf), lambda: known, emit, DELAY, "exe", 5, "loopback")
+    run(watching, f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/rows")
     latest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
     return rows.join(latest, ["bucket", "batch"]).select(

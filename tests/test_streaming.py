@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bytewake import schemas
 from bytewake.config import Settings
 from bytewake.operators import samples as smp
+from bytewake.plans.reader import Reader
 from bytewake.plans.reconcile import reconcile
 from bytewake.sources import landing
 from bytewake.sources.store import Store
@@ -132,7 +133,7 @@ def test_watch_emits_changed_minutes_per_trigger(spark, tmp_path):
     land(spark, f"{tmp_path}/in", files)
     emitted = {}
 
-    def identify(folds):
+    def identify(folds, stage):
         facts = folds.groupBy("bucket", F.col("tgid").alias("identity_id"), "scope").agg(
             F.sum("ingress_bytes").alias("ingress_bytes"), F.sum("egress_bytes").alias("egress_bytes"))
         people = facts.select(F.col("identity_id").alias("id"), F.lit("h").alias("host")).distinct()
@@ -152,3 +153,19 @@ def test_watch_emits_changed_minutes_per_trigger(spark, tmp_path):
         for ranks in per_minute.values():
             assert [k for k, _ in sorted(ranks)] == [1, 2]
             assert sorted(ranks)[0][1] >= sorted(ranks)[1][1]
+
+
+def test_watch_shows_a_caller_only_what_is_theirs(spark, tmp_path, root):
+    land(spark, f"{tmp_path}/in", [[
+        sample(1, START, 1, "tcp_sendmsg", 5), sample(2, START, 3, "tcp_sendmsg", 9), sample(3, START, 0, "tcp_sendmsg", 7)]])
+    known = lookups(spark)
+    seen = {}
+    for caller in (1000, 0):
+        def emit(ranked, number):
+            seen.setdefault(caller, []).extend(ranked.select("rank", "host", "egress_bytes").collect())
+
+        stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True)
+        reader = Reader(Store(spark, root), Settings(), caller)
+        run(reader.watch(stream, lambda: known, emit, DELAY), f"{tmp_path}/state-{caller}")
+    assert sorted(map(tuple, seen[1000])) == [(1, "h", 9), (2, "h", 5)]
+    assert sorted(map(tuple, seen[0])) == [(1, "h", 9), (2, "h", 7), (3, "h", 5)]
