@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytewake.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, tokenizer_files
+from bytewake import session
+from bytewake.llm import (
+    decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, token_records, tokenizer_files, warc,
+)
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
 
@@ -19,6 +22,13 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op2_warc_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), session.work_dir(spark, "warc"), stage_in(spark, "op2"))
+    return warc.read(archives, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +52,14 @@ def op8_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), stage_in(spark, "op8"))
 
 
+@query
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokenizer_files.content("byte_bpe_50k.json").decode()
+    folder = session.work_dir(spark, "records")
+    manifest = token_records.write(table(spark, sf_dir, "documents"), folder, spec, stage_in(spark, "op9"))
+    return token_records.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -51,6 +69,16 @@ def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+ORACLES["op2_warc_byte_ranges"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    (CAST('0x' || substr(h, 1 + 10 * (j // 8), 10) AS UBIGINT) >> CAST(35 - 5 * (j % 8) AS UBIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g"""
+
 ORACLES["op7_winnowing"] = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
