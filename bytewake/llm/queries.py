@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bytewake import session
 from bytewake.llm import (
-    decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, token_records, tokenizer_files, warc,
+    decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_fst, token_records, tokenizer_files, warc,
 )
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
@@ -42,6 +42,11 @@ def op5_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(docs, model).select("doc_id", *[f.name for f in sentencepiece_fst.FIELDS])
 
 
+@query
+def op6_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
