@@ -10,8 +10,8 @@ shuffle.  A host's boilerplate has at most (distinct lines of its pages) /
 (``max_ratio`` * pages) lines, the average lines of a page over the ratio,
 however many pages it has, so it travels as one array per host and the pages
 themselves are not taken apart and put together again.  The join with hosts is
-left to Spark: it broadcasts the arrays only if they are small, and splits a
-host that holds a large part of all pages.
+left to Spark: it broadcasts the arrays only if their table is small, and
+splits a host that holds a large part of all pages.
 
 Native throughout: DataFrame functions, no Python in the tasks.
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytewake.llm.common import without
+from bytewake.staging import Stage, as_is
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -63,15 +64,17 @@ def boilerplate(
 
 def drop_boilerplate(
     pages: DataFrame, host: str = "host", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-    keep_whole: bool = False, prefix: str = "",
+    keep_whole: bool = False, prefix: str = "", stage: Stage = as_is,
 ) -> DataFrame:
     """Pages with boilerplate lines gone from their text, and the numbers of lines and of dropped ones.
 
     With ``keep_whole`` a page of which nothing but blank lines would be left stays as it is: it is not a
-    page with boilerplate but one of many copies of a page.
+    page with boilerplate but one of many copies of a page.  A ``stage`` lets Spark know the size of the sets
+    of lines before it plans the join; small ones are then sent to the pages, which stay where they are.
     """
     names = [prefix + n for n in RESULT]
-    sets = boilerplate(pages, host, text, max_ratio, min_pages).select(F.col("host").alias("_site"), F.col("drop").alias("_drop"))
+    sets = stage(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate").select(
+        F.col("host").alias("_site"), F.col("drop").alias("_drop"))
     known = without(pages, names)
     joined = known.join(sets, known[host].eqNullSafe(F.col("_site")), "left")
     all_lines = lines_of(F.col(text))

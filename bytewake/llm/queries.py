@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bytewake import session
 from bytewake.llm import (
-    decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_fst, token_records, tokenizer_files, warc,
+    decontamination, line_dedup, lm_scoring, near_dedup, quality_rules, secret_scan, sentencepiece_fst, token_records,
+    tokenizer_files, warc,
 )
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
@@ -22,6 +23,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), stage_in(spark, "op1"))
+
+
 @query
 def op2_warc_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"), session.work_dir(spark, "warc"), stage_in(spark, "op2"))
@@ -68,7 +74,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate(docs, host="source").drop("source")
+    return line_dedup.drop_boilerplate(docs, host="source", stage=stage_in(spark, "op10")).drop("source")
 
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
