@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bytewake import session
 from bytewake.llm import (
-    decontamination, line_dedup, lm_scoring, near_dedup, quality_rules, secret_scan, sentencepiece_fst, token_records,
-    tokenizer_files, warc,
+    decontamination, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan,
+    sentencepiece_fst, token_records, tokenizer_files, warc,
 )
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
@@ -35,6 +35,12 @@ def op2_warc_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*quality_classifier.COLUMNS)
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
