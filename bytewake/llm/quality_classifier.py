@@ -125,7 +125,7 @@ class Classifier:
         if self.views is None:
             same = np.full(len(text), self.prior)
             return same, same, same
-        odds = [a + b * (x @ w) for x, w, (a, b) in zip((text, page), self.views, self.scales)]
+        odds = [a + b * (x * w).sum(1, dtype=np.float64) for x, w, (a, b) in zip((text, page), self.views, self.scales)]
         both = self.joint[0] + self.joint[1] * odds[0] + self.joint[2] * odds[1]
         return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(both)
 

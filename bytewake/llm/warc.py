@@ -169,8 +169,13 @@ def inflate(window: Window, start: int) -> Member | None:
 
 
 def begins(window: Window, at: int) -> bool:
-    """Whether a member or the end of the file is at an offset."""
-    return at >= window.size or window.get(at, len(MAGIC)) == MAGIC
+    """Whether a record or the end of the file is at an offset."""
+    if at >= window.size:
+        return True
+    try:
+        return zlib.decompressobj(31).decompress(window.get(at, FIRST_BYTES), len(VERSION)).startswith(VERSION[:5])
+    except zlib.error:
+        return False
 
 
 def members(window: Window, start: int, end: int) -> Iterator[Member]:

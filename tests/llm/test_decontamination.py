@@ -1,0 +1,98 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from bytewake.llm import decontamination as dc
+from tests.llm.helpers import AWKWARD, documents, prose
+
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(len(w) - 10, 0) + 1 if w else 0):
+            windows.setdefault(tuple(w[i:i + 10]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        w = words(text)
+        hit, found = set(), set()
+        for window, names in windows.items():
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i:i + len(window)]) == window:
+                    hit |= set(range(i, i + len(window)))
+                    found |= names
+        listed = sorted(str(x) for x in found if x is not None)
+        out.append((doc, len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def some(seed=5):
+    rnd = random.Random(seed)
+    items = [(i, prose(100 + i, rnd.choice([1, 2, 4, 9, 10, 11, 30]), 40)) for i in range(14)] + [(3, prose(103, 12, 40)), (None, prose(200, 15, 40)), (20, None), (21, "... !")]
+    docs = []
+    for i in range(40):
+        parts = [prose(i, rnd.randint(0, 60), 40)]
+        for _ in range(rnd.randint(0, 3)):
+            text = rnd.choice(items)[1] or ""
+            cut = words(text)
+            a = rnd.randint(0, max(0, len(cut) - 9))
+            parts += [rnd.choice([text.upper(), " -- ".join(cut[a:a + rnd.choice([9, 10, 12])])]), prose(rnd.random(), 5, 40)]
+        docs.append((i, " ".join(parts)))
+    return docs + [(100 + i, t) for i, t in enumerate(AWKWARD)] + [(100, "x")], items
+
+
+def run(spark, docs, items, **more):
+    found = dc.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **more)
+    return sorted(tuple(r) for r in found.select(
+        "doc_id", "n_words", "n_hit", "n_items", dc.items_digest(F.col("items")), "contaminated").collect())
+
+
+def test_equals_brute_force(spark):
+    docs, items = some()
+    want = sorted(brute(docs, items))
+    assert sum(r[5] for r in want) > 10
+    assert run(spark, docs, items) == want
+
+
+def test_blocks_of_the_benchmark_give_the_same_rows(spark):
+    docs, items = some(6)
+    assert run(spark, docs, items, block_windows=25) == sorted(brute(docs, items))
+
+
+def test_every_shared_span_shares_a_fingerprint():
+    for seed in range(30):
+        span = prose(seed, dc.SPAN, 60)
+        texts = [f"{prose(1000 + seed, 17)} {span} {prose(2000 + seed, 9)}", f"{prose(3000 + seed, 5)} {span} {prose(4000 + seed, 21)}"]
+        a, b = (set(dc.fingerprints(dc.words_of(pa.array([t])))[1].tolist()) for t in texts)
+        assert a & b
+
+
+def test_texts_do_not_run_into_each_other():
+    w = dc.words_of(pa.array(["ab cd", None, "", "ef", "gh-IJ"]).slice(0, 5))
+    assert w.owner.tolist() == [0, 0, 3, 4, 4]
+    assert [w.run(i, 1) for i in range(5)] == [b"ab", b"cd", b"ef", b"gh", b"ij"]
+    assert (dc.gram_hashes(w, 2) != dc.NONE).tolist() == [True, False, False, True, False]
+    sliced = dc.words_of(pa.array(["zz yy", "ab cd"]).slice(1, 1))
+    assert np.array_equal(sliced.hash, w.hash[:2])
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = documents(spark, [prose(1, 30)]).withColumn("N_hit", F.lit("mine")).withColumn("items", F.lit(1))
+    items = spark.createDataFrame([(1, prose(1, 12))], "item_id long, text string")
+    got = dc.find_leaks(docs, items).first()
+    assert got["n_hit"] == 12 and got["items"] == ["1"]
+    assert dc.find_leaks(docs, items.limit(0)).first()["contaminated"] is False
+    assert dc.find_leaks(docs.limit(0), items).count() == 0
+    assert dc.drop_contaminated(docs, items).count() == 0
+    assert dc.drop_contaminated(docs, items.limit(0)).columns == docs.columns

@@ -1,0 +1,81 @@
+import base64
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from bytewake.llm.quality_rules import BANDS, Rules, judge, keep_good
+from tests.llm.helpers import AWKWARD, documents, prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    covered = set()
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    for i, w in enumerate(windows):
+        if windows.count(w) > 1:
+            covered |= {i, i + 1, i + 2}
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    n = len(words)
+    return (
+        n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)),
+        sum(line in lines[:i] for i, line in enumerate(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n,
+    )
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_counts_equal_brute_force(spark):
+    texts = AWKWARD[:9] + AWKWARD[11:] + [prose(i, 60 + 40 * i, 30) for i in range(6)] + ["a b c a b c a b", "x\nx\n\n\nx y\nx y"]
+    got = judge(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in COUNTS) for r in got] == [brute(t) for t in texts]
+
+
+def test_bands_reject_repetition_and_noise_at_every_length(spark):
+    rnd = random.Random(1)
+    texts, want = [], []
+    for n in (60, 300, 1500, 6000, 25000):
+        texts.append(prose(n, n))
+        want.append(True)
+    for n in (300, 3000):
+        texts.append("\n".join(f"{prose(7, 40)} part" for _ in range(n // 20)))  # one passage over and over
+        want.append(False)
+        noise = base64.b64encode(rnd.randbytes(12 * n)).decode()
+        texts.append(" ".join(noise[i:i + 16] for i in range(0, len(noise), 16)))
+        want.append(False)
+    # an ordinary text whose second half is one phrase: only the chunks show it
+    texts.append(prose(3, 4000) + " again and over" * 300)
+    rules = Rules(max_repeat_percent=100, max_bad_chunks=0.1)
+    got = judge(documents(spark, texts), rules).orderBy("doc_id").collect()
+    assert [r["kept"] for r in got] == want + [False]
+    assert got[-1]["n_bad_chunks"] >= 3
+
+
+def test_base_failure_is_final(spark):
+    texts = [None, "", "too short", "the same three " * 40]
+    assert [r["kept"] for r in judge(documents(spark, texts)).collect()] == [False] * 4
+
+
+def test_clashing_columns_are_replaced_and_others_stay(spark):
+    docs = documents(spark, [prose(1, 80)]).withColumn("KEPT", F.lit("x")).withColumn("other", F.lit(5)).withColumn("n_words", F.lit(-1))
+    got = judge(docs)
+    assert got.columns.count("kept") == 1 and "KEPT" not in got.columns
+    assert got.first()["other"] == 5 and got.first()["n_words"] == 80
+    assert keep_good(docs).columns == docs.columns and keep_good(docs).first()["KEPT"] == "x"
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = documents(spark, [prose(1, 80)])
+    assert judge(docs.limit(0)).count() == 0
+    twice = judge(docs.union(docs)).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+@pytest.mark.parametrize("low, high", list(zip(BANDS, BANDS[1:])))
+def test_bands_rise_with_length(low, high):
+    assert low.up_to < high.up_to and low.high < high.high and low.low <= high.low

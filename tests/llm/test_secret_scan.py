@@ -1,0 +1,95 @@
+import hashlib
+import math
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from bytewake.llm import secret_scan as ss
+from tests.llm.helpers import AWKWARD, documents, prose
+
+#: the base patterns as they are agreed; the group and the length that count
+BASE = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+]
+
+
+def base_spans(text):
+    return sorted(
+        (m.start(), rank, kind, m.end()) for rank, (kind, pattern, group, least) in enumerate(BASE)
+        for m in re.finditer(pattern, text) if len(m.group(group)) >= least)
+
+
+def entropy(window):
+    return -sum(window.count(c) / len(window) * math.log2(window.count(c) / len(window)) for c in set(window))
+
+
+def all_spans(text):
+    out = base_spans(text)
+    for rank, c in enumerate(ss.CLASSES, len(BASE)):
+        for m in re.finditer(f"{c.characters}{{{c.window},}}", text):
+            run = m.group()
+            if any(re.search(a, run) for a in ss.ALLOWED):
+                continue
+            hits = [i for i in range(len(run) - c.window + 1) if entropy(run[i:i + c.window]) >= c.bits - 1e-9]
+            if hits:
+                out.append((m.start() + hits[0], rank, c.kind, m.start() + hits[-1] + c.window))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
+
+
+def brute(text):
+    base = base_spans(text or "")
+    n = [sum(s[2] == kind for s in base) for kind, *_ in BASE]
+    return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_spans(text or "")))
+
+
+def check(spark, texts):
+    got = ss.digest(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [brute(t) for t in texts]
+
+
+def test_planted_secrets_equal_brute_force(spark):
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    secret = lambda n, some=letters: "".join(rnd.choices(some, k=n))
+    texts = []
+    for i in range(60):
+        parts = [prose(i, 10)]
+        for _ in range(rnd.randint(0, 4)):
+            parts.append(rnd.choice([
+                f"token={secret(rnd.randint(1, 30))}", f"API_KEY: '{secret(8)}'", f'"Password" = "{secret(5)}"', f"secret:{secret(40)}é",
+                f"AKIA{secret(rnd.randint(10, 25), 'ABCDEFGH0123')}", secret(rnd.randint(20, 70), "0123456789abcdef"),
+                secret(rnd.randint(20, 70), "0123456789ABCDEF"), secret(rnd.randint(20, 90)), secret(60, "ab1"), "\U0001F600é",
+                "/usr/share/some/path/of/words", "thisisoneverylongwordwithoutanysense", "abcdefghij0123456789klmnopqrst",
+                "token=token:abcdefgh", "passwd = = x", "tokentoken=a secret=abcdefgh",
+            ]))
+        texts.append(rnd.choice([" ", "\n", ","]).join(parts))
+    assert sum("entropy" in brute(t)[-1] for t in texts) > 20
+    check(spark, texts + AWKWARD)
+
+
+def test_long_candidate_and_many_matches(spark):
+    rnd = random.Random(9)
+    blob = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    check(spark, [blob, " ".join(f"token=abc{i:05d}" for i in range(400))])
+
+
+def test_allowed_candidates_keep_base_spans(spark):
+    text = "secret=0123456789abcdefghijklmnopqrst and deadbeefdeadbeefdeadbeefdeadbeef0123456789"
+    row = ss.digest(documents(spark, [text])).first()
+    assert row["n_assign"] == 1 and row["n_hex"] == 1 and "entropy" not in row["spans"]
+
+
+def test_empty_table_clashing_columns_and_native_plan(spark):
+    docs = documents(spark, ["token=abcdefgh"]).withColumn("SPANS", F.lit(1)).withColumn("start", F.lit(2))
+    got = ss.scan(docs)
+    assert got.first()["n_assign"] == 1 and got.first()["start"] == 2 and "SPANS" not in got.columns
+    assert ss.scan(docs.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
