@@ -9,6 +9,8 @@ from datetime import timedelta
 UNRESOLVED = "<unresolved>"
 NO_PROJECT = "<none>"
 UNKNOWN_UID = 4294967295
+# Stands for a missing process number, which is never negative.
+UNKNOWN_TGID = -1
 
 # Files whose presence makes a directory a project root.
 PROJECT_MARKERS = (".git", "package.json", "pyproject.toml", "Cargo.toml")
@@ -36,6 +38,9 @@ PROCESS = ("host", "tgid")
 
 DEFAULT_LIMIT = 20
 
+# A snapshot and a capture of one process are taken within this time of each other.
+CAPTURE_TOLERANCE = timedelta(seconds=10)
+
 
 @dataclass(frozen=True)
 class Settings:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MICROSECOND = timedelta(microseconds=1)
@@ -17,6 +17,16 @@ MINUTE = timedelta(minutes=1)
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "Universal", "Etc/Universal", "Zulu", "Etc/Zulu")
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session in whose zone local calendars would come out wrong."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session's zone is {zone}; set spark.sql.session.timeZone to UTC")
+
+
 def _floor_seconds(ts: Column, width: int) -> Column:
     seconds = F.unix_seconds(ts)
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(width)))
@@ -32,6 +42,9 @@ def hour_start(ts: Column) -> Column:
 
 def local_start(ts: Column, unit: str, tz: str) -> Column:
     """UTC instant at which the local day or month of ``ts`` began."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        require_utc(spark)
     return F.to_utc_timestamp(F.date_trunc(unit, F.from_utc_timestamp(ts, tz)), tz)
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytewake.config import (
-    DISPLAY, NATURAL_KEY, NO_PROJECT, PROCESS, PROJECT_MARKERS, UNKNOWN_UID, UNRESOLVED,
+    CAPTURE_TOLERANCE, DISPLAY, NATURAL_KEY, NO_PROJECT, PROCESS, PROJECT_MARKERS, UNKNOWN_UID, UNRESOLVED,
 )
 from bytewake.functions import process
-from bytewake.functions.calendar import minute_start, utc_date
+from bytewake.functions.calendar import MICROSECOND, minute_start, utc_date
 from bytewake.staging import Stage, as_is
 
 RECORD = NATURAL_KEY + DISPLAY
@@ -102,11 +102,37 @@ def snapshot_records(snapshots: DataFrame, passwd: DataFrame, markers: DataFrame
     ).select("tgid", "seen_at", *RECORD)
 
 
+def captures(meta: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Metadata with ``gen_start``, the lifetime that each capture belongs to.
+
+    A capture lands whenever a process number is seen for the first time since
+    its last owner went, so it opens a lifetime, unless a snapshot within
+    CAPTURE_TOLERANCE opened the same one.  A capture without a time is unusable.
+    """
+    taken = snapshots.select(*PROCESS, F.col("seen_at").alias("at"), F.col("seen_at").alias("snap"))
+    timed = meta.where(F.col("captured_at").isNotNull()).withColumn("at", F.col("captured_at"))
+    whole = Window.partitionBy(*PROCESS).orderBy("at")
+    before = F.max("snap").over(whole.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min("snap").over(whole.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = lambda a, b: F.unix_micros(b) - F.unix_micros(a) <= CAPTURE_TOLERANCE // MICROSECOND
+    placed = timed.unionByName(taken, allowMissingColumns=True).withColumn("before", before).withColumn("after", after)
+    return placed.where(F.col("captured_at").isNotNull()).withColumn(
+        "gen_start",
+        F.when(near(F.col("before"), F.col("at")), F.col("before"))
+        .when(near(F.col("at"), F.col("after")), F.col("after")).otherwise(F.col("at")),
+    ).drop("at", "snap", "before", "after")
+
+
 def meta_records(meta: DataFrame, passwd: DataFrame) -> DataFrame:
-    """Degraded records from the metadata that outlives the process."""
+    """Degraded records from the metadata that outlives the process.
+
+    Metadata with an unknown field is unusable, as a snapshot is.
+    """
     comm = process.cut_at_nul(F.col("comm"))
-    degraded = meta.select(
+    lifetime = [c for c in ("gen_start",) if c in meta.columns]
+    degraded = meta.dropna(subset=["uid", "cgroup_id", "comm"]).select(
         *PROCESS,
+        *lifetime,
         "uid",
         F.concat(F.lit("cgroup-id:"), F.col("cgroup_id")).alias("unit_or_cgroup"),
         F.lit(UNRESOLVED).alias("exe"),
@@ -115,7 +141,7 @@ def meta_records(meta: DataFrame, passwd: DataFrame) -> DataFrame:
         comm.alias("comm"),
         F.lit("").alias("raw_cmdline"),
     )
-    return with_username(degraded, passwd).select("tgid", *RECORD)
+    return with_username(degraded, passwd).select("tgid", *lifetime, *RECORD)
 
 
 def fully_unresolved(host: Column) -> Column:
@@ -144,14 +170,15 @@ def resolve_chain(processes: DataFrame, snapshots: DataFrame, meta: DataFrame) -
 
     ``processes`` has (host, tgid, gen_start), ``snapshots`` comes from
     ``snapshot_records`` and ``meta`` from ``meta_records``.  The first source
-    that knows the process wins; nothing is dropped.
+    that knows this lifetime of the process wins; nothing is dropped.
     """
+    of_meta = [*PROCESS, "gen_start"] if "gen_start" in meta.columns else list(PROCESS)
     starts = snapshots.withColumnRenamed("seen_at", "gen_start")
     by_start = _one_each(starts, [*PROCESS, "gen_start"], "live")
-    by_process = _one_each(meta, list(PROCESS), "fallback")
+    by_process = _one_each(meta, of_meta, "fallback")
     return (
         processes.join(by_start, [*PROCESS, "gen_start"], "left")
-        .join(by_process, list(PROCESS), "left")
+        .join(by_process, of_meta, "left")
         .withColumn("record", F.coalesce("live", "fallback", fully_unresolved(F.col("host"))))
         .withColumn(
             "source",
@@ -165,8 +192,12 @@ def resolve_chain(processes: DataFrame, snapshots: DataFrame, meta: DataFrame) -
 
 # -- process lifetimes ------------------------------------------------------
 
-def lifetime_starts(snapshots: DataFrame) -> DataFrame:
-    return snapshots.select(*PROCESS, F.col("seen_at").alias("gen_start")).distinct()
+def lifetime_starts(snapshots: DataFrame, captured: DataFrame | None = None) -> DataFrame:
+    """When process numbers changed hands: at snapshots and at captures (see ``captures``)."""
+    starts = snapshots.select(*PROCESS, F.col("seen_at").alias("gen_start"))
+    if captured is not None:
+        starts = starts.unionByName(captured.select(*PROCESS, "gen_start"))
+    return starts.distinct()
 
 
 def _slice(ts: Column, seconds: int) -> Column:
@@ -311,9 +342,10 @@ def surrogate_id(fresh: DataFrame, after: Column) -> DataFrame:
 
 
 def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as_is) -> DataFrame:
-    """Rows of the dimension that ``sightings`` create or change.
+    """Rows of the dimension that ``sightings`` refer to, as they are afterwards.
 
-    Known keys keep id and first_seen; new keys get ids above the highest one.
+    ``changed`` tells which of them are new or differ from what was known; only
+    those need to be written.  Known keys keep id and first_seen; new keys get ids above the highest one.
     ``dimension`` may hold several rows per identity (base and deltas, told
     apart by ``version``).  Only rows of the keys at hand are merged: a small
     batch filters the dimension where it lies instead of shuffling it.
@@ -333,10 +365,14 @@ def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as
         *[F.when(newer, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in DISPLAY],
         F.least("first_seen", "old_first_seen").alias("first_seen"),
         F.greatest("last_seen", "old_last_seen").alias("last_seen"),
+        (
+            (F.col("first_seen") < F.col("old_first_seen")) | (F.col("last_seen") > F.col("old_last_seen"))
+            | (newer & ~F.struct(*DISPLAY).eqNullSafe(F.struct(*[F.col(f"old_{c}").alias(c) for c in DISPLAY])))
+        ).alias("changed"),
     )
     fresh = matched.where(F.col("id").isNull()).select(*key, *DISPLAY, "first_seen", "last_seen")
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = surrogate_id(fresh, top)
+    numbered = surrogate_id(fresh, top).withColumn("changed", F.lit(True))
     return touched.unionByName(numbered.select(*touched.columns))
 
 
@@ -356,7 +392,7 @@ def identity_merge(rows: DataFrame) -> DataFrame:
 
 def identity_upsert(sightings: DataFrame, dimension: DataFrame, stage: Stage = as_is) -> DataFrame:
     """The dimension after ``sightings``: the touched rows replace the old ones."""
-    delta = identity_delta(sightings, dimension, stage)
+    delta = identity_delta(sightings, dimension, stage).where("changed").drop("changed")
     version = F.lit(1)
     return identity_merge(
         dimension.withColumn("version", F.lit(0)).unionByName(delta.withColumn("version", version))

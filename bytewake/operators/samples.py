@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewake.config import EGRESS, INGRESS, PROCESS
+from bytewake.config import EGRESS, INGRESS, PROCESS, UNKNOWN_TGID, UNRESOLVED
 from bytewake.functions import calendar
 from bytewake.functions.network import direction_of_hook, scope_of
 
@@ -21,11 +21,13 @@ def transfers(samples: DataFrame, *keep: str) -> DataFrame:
     """Counted transfers with direction and scope; addresses end here.
 
     ``keep`` names further sample columns to carry.  Samples of an unknown
-    observation point have no direction and are not counted.
+    observation point have no direction and are not counted.  Bytes without a
+    host or process number are kept, under a host and number that nobody has.
     """
     counted = positive_bytes(samples)
     return counted.select(
-        *PROCESS,
+        F.coalesce("host", F.lit(UNRESOLVED)).alias("host"),
+        F.coalesce("tgid", F.lit(UNKNOWN_TGID)).cast("long").alias("tgid"),
         "ts",
         direction_of_hook(F.col("hook")).alias("dir"),
         scope_of(F.col("family"), F.col("daddr"), F.col("saddr")).alias("scope"),
@@ -52,6 +54,11 @@ def direction_pivot(moved: DataFrame, *keys: str | Column) -> DataFrame:
     return moved.groupBy(*keys).agg(*direction_sums(F.col("dir"), F.col("bytes")))
 
 
+def closed_minute_fold(samples: DataFrame, now: datetime) -> DataFrame:
+    """``minute_fold`` of the minutes strictly before the open one; the bound reaches the scan."""
+    return minute_fold(samples.where(F.col("ts") < calendar.at(calendar.floor_moment(now, "minute", "UTC"))))
+
+
 def minute_fold(samples: DataFrame) -> DataFrame:
     """One row per process, minute and scope, with the span of its samples.
 

@@ -23,6 +23,16 @@ def minute_merge(*deltas: DataFrame) -> DataFrame:
     return rows.groupBy(*TIER_KEY).agg(*byte_sums())
 
 
+def checked(facts: DataFrame) -> DataFrame:
+    """Facts as they are; a row that breaks a constraint of its own fails the query that reads it."""
+    complete = F.lit(True)
+    for column in (*TIER_KEY, "ingress_bytes", "egress_bytes"):
+        complete &= F.col(column).isNotNull()
+    valid = complete & F.col("scope").isin(*SCOPES)
+    told = F.concat(F.lit("not a tier row: "), F.to_json(F.struct(*TIER_KEY)))
+    return facts.withColumn("scope", F.when(valid, F.col("scope")).otherwise(F.raise_error(told).cast("string")))
+
+
 def roll(facts: DataFrame, tier: str, tz: str) -> DataFrame:
     """Aggregate finer facts to ``tier``.  Partial sums form before the shuffle."""
     bucket = calendar.tier_start(F.col("bucket"), tier, tz).alias("bucket")

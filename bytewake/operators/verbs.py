@@ -15,7 +15,7 @@ from bytewake.config import (
     ALL_SCOPES, BOTH, DEFAULT_LIMIT, EGRESS, EXTERNAL, INGRESS, TIERS, UNRESOLVED, Settings,
 )
 from bytewake.functions import calendar
-from bytewake.operators.tiers import byte_sums, minute_merge
+from bytewake.operators.tiers import byte_sums, minute_merge, source_of
 
 GROUP_COLUMNS = {"identity": "id", "project": "project_root", "exe": "exe", "user": "uid"}
 MINUTE_SPAN = timedelta(hours=6)
@@ -73,6 +73,58 @@ def pick_tier(
     return "month"
 
 
+# (tier, start, end): buckets of one tier that begin in [start, end)
+Piece = tuple[str, datetime, datetime]
+
+
+def next_start(moment: datetime, tier: str, tz: str) -> datetime:
+    """First bucket start at or after a moment."""
+    floor = calendar.floor_moment(moment, tier, tz)
+    if floor >= moment:
+        return floor
+    # the longest bucket of each tier, and a little more: that lands in the next one
+    span = {"minute": timedelta(minutes=1), "hour": timedelta(hours=1), "day": timedelta(hours=26), "month": timedelta(days=32)}
+    return calendar.floor_moment(floor + span[tier], tier, tz)
+
+
+def window_pieces(
+    window: tuple[datetime, datetime], tier: str, settings: Settings,
+    rolled: dict[str, datetime | None], pruned: dict[str, datetime | None],
+) -> list[Piece]:
+    """Pieces that together hold every byte of a window, each byte once.
+
+    Whole buckets come from ``tier``, as far as it has been rolled up; what lies
+    before the first of them, after the last, or past that bound comes from the
+    next finer tier, and so on to minutes.  Where the finer tier's rows are gone
+    the piece is widened to the coarse bucket instead, so the first and last
+    piece tell the window that is really answered.
+    """
+    start, end = (m if m.tzinfo else m.replace(tzinfo=timezone.utc) for m in window)
+    if start >= end:
+        return []
+    start = calendar.floor_moment(start, "minute", settings.tz)
+    if tier == "minute":
+        return [("minute", start, end)]
+    finer = source_of(tier, settings)
+    gone = pruned.get(finer)
+    through = rolled.get(tier)
+    if through is None:
+        return window_pieces((start, end), finer, settings, rolled, pruned)
+    first = next_start(start, tier, settings.tz)
+    if first != start and gone is not None and gone > start:
+        first = calendar.floor_moment(start, tier, settings.tz)
+    last = calendar.floor_moment(min(end, through), tier, settings.tz)
+    if gone is not None and last < min(end, through) and gone > last:
+        # rows of the bucket that the end falls into are gone: all of it that was rolled up
+        last = min(next_start(min(end, through), tier, settings.tz), through)
+    if first >= last:
+        return window_pieces((start, end), finer, settings, rolled, pruned)
+    return [
+        *window_pieces((start, first), finer, settings, rolled, pruned), (tier, first, last),
+        *window_pieces((last, end), finer, settings, rolled, pruned),
+    ]
+
+
 def in_window(facts: DataFrame, window: tuple[datetime, datetime]) -> DataFrame:
     start, end = window
     bucket = F.col("bucket")
@@ -91,14 +143,25 @@ def direction_columns(direction: str = BOTH) -> list[str]:
     return columns[direction]
 
 
+def sees_all(caller_uid: int, settings: Settings = Settings(), is_admin: bool = False) -> bool:
+    """Root always does, and so do admins."""
+    return caller_uid == 0 or caller_uid in settings.admin_uids or is_admin
+
+
 def visible(
     identity: DataFrame, caller_uid: int, settings: Settings = Settings(),
-    is_admin: bool = False, uid: int | None = None,
+    is_admin: bool = False, uid: int | None = None, caller_host: str | None = None,
 ) -> DataFrame:
-    """Identities the caller may see.  Only root and admins may choose a uid."""
-    if caller_uid in settings.admin_uids or is_admin:
+    """Identities the caller may see.
+
+    A caller is a user of one host: the same number on another host is someone
+    else.  Only root and admins see the fleet, and may choose a uid.
+    """
+    if sees_all(caller_uid, settings, is_admin):
         return identity if uid is None else identity.where(F.col("uid") == uid)
-    return identity.where(F.col("uid") == caller_uid)
+    if caller_host is None:
+        raise ValueError("a caller that is no admin belongs to a host")
+    return identity.where((F.col("uid") == caller_uid) & (F.col("host") == caller_host))
 
 
 def dimension_filter(
@@ -146,39 +209,45 @@ def grouped(facts: DataFrame, identity: DataFrame, by: str, narrowed: bool = Fal
     return joined.groupBy("host", "group_key").agg(F.max("label").alias("label"), *byte_sums())
 
 
+def limited(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit or DEFAULT_LIMIT)
+
+
 def top(
     facts: DataFrame,
     identity: DataFrame,
     by: str = "identity",
-    limit: int = 0,
+    limit: int | None = 0,
     scope: str | None = None,
     direction: str = BOTH,
     narrowed: bool = False,
 ) -> DataFrame:
     """Biggest talkers of the facts given, as ranked rows.
 
+    A limit of 0 is the default one, None is no limit.
+
     Both directions together decide the rank but are not shown as one number.
     Hosts are apart, because user numbers and paths mean nothing across hosts.
     Single identities are ranked by id before their wide rows are looked up.
     """
-    limit = limit or DEFAULT_LIMIT
     facts = in_scope(facts, scope)
     if by == "identity":
         if narrowed:
             facts = of_identities(facts, identity)
         totals = of_identities(facts.groupBy("identity_id").agg(*byte_sums()), identity)
-        first = totals.orderBy(_volume(direction).desc(), "identity_id").limit(limit)
+        first = limited(totals.orderBy(_volume(direction).desc(), "identity_id"), limit)
         ranked = first.join(_labelled(identity, by), "identity_id").orderBy(_volume(direction).desc(), "group_key")
     else:
         groups = grouped(facts, identity, by, narrowed)
-        ranked = groups.orderBy(_volume(direction).desc(), "host", "group_key").limit(limit)
+        ranked = limited(groups.orderBy(_volume(direction).desc(), "host", "group_key"), limit)
     return ranked.select(
         "host", F.col("group_key").cast("string").alias("group_key"), "label", *direction_columns(direction)
     )
 
 
 def top_per_bucket(
-    facts: DataFrame, identity: DataFrame, by: str = "identity", limit: int = 0, scope: str | None = None
+    facts: DataFrame, identity: DataFrame, by: str = "identity", limit: int | None = 0,
+    scope: str | None = None,
 ) -> DataFrame:
     """The ranking of ``top`` inside every bucket.
 
@@ -190,11 +259,10 @@ def top_per_bucket(
     labelled = identity.select(F.col("id").alias("identity_id"), "host", key.alias("group_key"))
     groups = totals.join(labelled, "identity_id").groupBy("bucket", "host", "group_key").agg(*byte_sums())
     order = Window.partitionBy("bucket").orderBy(_volume(BOTH).desc(), "host", "group_key")
-    return (
-        groups.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= (limit or DEFAULT_LIMIT))
-        .withColumn("group_key", F.col("group_key").cast("string"))
-    )
+    ranked = groups.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("rank") <= (limit or DEFAULT_LIMIT))
+    return ranked.withColumn("group_key", F.col("group_key").cast("string"))
 
 
 def series(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewake.config import NATURAL_KEY, PROCESS, Settings
+from bytewake.functions import calendar
 from bytewake.functions.calendar import minute_start
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
@@ -28,6 +30,12 @@ class Feeds:
     passwd: DataFrame
     markers: DataFrame
 
+    def captures(self) -> DataFrame:
+        return ids.captures(self.meta, self.snapshots)
+
+    def starts(self) -> DataFrame:
+        return ids.lifetime_starts(self.snapshots, self.captures())
+
 
 def narrowed(feeds: Feeds, folds: DataFrame) -> Feeds:
     """Lookup feeds of the processes at hand; cleaning then skips all others."""
@@ -39,7 +47,7 @@ def narrowed(feeds: Feeds, folds: DataFrame) -> Feeds:
     )
 
 
-def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage) -> DataFrame:
+def lifetime_folds(feeds: Feeds, stage: Stage) -> DataFrame:
     """Minute counters per process lifetime, exact to the microsecond.
 
     Samples are folded by minute first and the folds, not the samples, are
@@ -47,7 +55,7 @@ def lifetime_folds(samples: DataFrame, snapshots: DataFrame, stage: Stage) -> Da
     hands is taken apart: its samples are read again, folded by instant, and
     assigned one by one.
     """
-    starts = ids.lifetime_starts(snapshots)
+    samples, starts = feeds.samples, stage(feeds.starts(), "starts")
     placed = stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed")
     columns = [*LIFETIME, "bucket", "scope", "ingress_bytes", "egress_bytes", "min_ts", "max_ts"]
     whole = placed.where(~F.col("torn")).select(*columns)
@@ -73,7 +81,7 @@ def sightings(folds: DataFrame, feeds: Feeds) -> DataFrame:
     resolved = ids.resolve_chain(
         lifetimes,
         ids.snapshot_records(feeds.snapshots, feeds.passwd, feeds.markers),
-        ids.meta_records(feeds.meta, feeds.passwd),
+        ids.meta_records(feeds.captures(), feeds.passwd),
     )
     seen = F.coalesce("gen_start", "first_ts")
     return resolved.select(
@@ -105,25 +113,41 @@ def minute_facts(folds: DataFrame, seen: DataFrame, dimension: DataFrame) -> Dat
     return folds.join(lookup, same).groupBy("bucket", "identity_id", "scope").agg(*byte_sums())
 
 
-def ingest(spark: SparkSession, store: Store, feeds: Feeds, batch_id: str, settings: Settings) -> None:
+def ingest(
+    spark: SparkSession, store: Store, feeds: Feeds, batch_id: str, settings: Settings,
+    window: tuple[datetime, datetime] | None = None,
+) -> None:
     """Attribute one batch of samples and commit it.
 
-    A batch that was committed before is left alone; one that failed half way
-    replaces what it wrote.
+    With a ``window`` only samples of [from, to) are taken from the feed, and a
+    window that overlaps one taken before is refused, so that a landing folder
+    can be read again and again.  Without one the feed must hold new samples
+    only.  A batch that was committed before is left alone; of one that failed
+    half way nothing is used.
     """
+    if window is not None:
+        taken = store.overlapping(window)
+        if taken is not None and taken != batch_id:
+            raise ValueError(f"samples of this window are part of batch {taken!r}")
+        inside = (F.col("ts") >= calendar.at(window[0])) & (F.col("ts") < calendar.at(window[1]))
+        feeds = replace(feeds, samples=feeds.samples.where(inside))
     if store.committed(batch_id):
         return
     with staging(spark, "ingest") as stage:
-        folds = lifetime_folds(feeds.samples, feeds.snapshots, stage)
+        folds = lifetime_folds(feeds, stage)
         facts = attribute(store, folds, feeds, batch_id, stage)
         batches = store.stage_minutes(facts, batch_id, settings, stage)
-    store.commit_batches([(IDENTITY_TABLE, batch_id), *batches])
+    store.commit_batches([(IDENTITY_TABLE, batch_id), *batches], read=window)
 
 
 def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:
     """Minute facts of folds; the identities they need are staged with them."""
     seen = stage(sightings(folds, narrowed(feeds, folds)), "sightings")
     delta = stage(ids.identity_delta(seen, store.identity_rows(), stage), "delta")
-    store.stage_identities(delta, batch_id)
+    store.stage_identities(delta.where("changed"), batch_id)
     # every key of this batch is in its own delta, so the old dimension is not read again
-    return minute_facts(folds, seen, delta)
+    facts = stage(minute_facts(folds, seen, delta), "facts")
+    before, after = (rows.agg(*byte_sums()).first() for rows in (folds, facts))
+    if before != after:
+        raise RuntimeError(f"batch {batch_id!r} holds {before} but {after} were attributed")
+    return facts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,7 @@ def reconcile(
         (F.col("ts") >= calendar.at(from_ts)) & (F.col("ts") < calendar.at(through))
     )
     with staging(spark, "reconcile") as stage:
-        folds = lifetime_folds(landed, feeds.snapshots, stage)
+        folds = lifetime_folds(replace(feeds, samples=landed), stage)
         facts = attribute(store, folds, feeds, batch_id, stage)
         counted = store.scan("minute", from_ts, through)
         batches = store.stage_minutes(late_samples(facts, counted), batch_id, settings, stage)

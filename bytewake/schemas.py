@@ -49,8 +49,8 @@ TRAFFIC = _struct(
 
 # What a reader of the store may see; see sources/store.py.
 COMMIT = _struct(
-    ("tier", _string), ("action", _string), ("batch_id", _string), ("dt", T.DateType()),
-    ("from_ts", _ts), ("to_ts", _ts),
+    ("seq", _long), ("tier", _string), ("action", _string), ("batch_id", _string), ("attempt", _string),
+    ("dt", T.DateType()), ("from_ts", _ts), ("to_ts", _ts),
 )
 
 

@@ -48,12 +48,17 @@ def work_dir(spark: SparkSession, label: str) -> str:
     The cluster names the parent in ``spark.checkpoint.dir``.  Only a
     single-machine session without that setting gets a local folder.
     """
+    return shared_dir(spark, f"{label}-{uuid.uuid4().hex}")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A folder of a name that is known again later; see ``work_dir``."""
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         parent = _local_parent()
-    return f"{parent.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{parent.rstrip('/')}/{name}"
 
 
 @cache

@@ -1,24 +1,29 @@
 """Tier facts and identities at rest.
 
 Parquet cannot update rows, and need not: counters add up.  Every write is a
-batch of delta rows in its own partition,
+batch of delta rows in partitions of its own,
 
-    <root>/traffic_<tier>/dt=<utc date of bucket>/batch_id=<batch>/...
+    <root>/traffic_<tier>/dt=<utc date of bucket>/batch_id=<attempt>/...
 
-and readers sum deltas by key.  A small commit log says which batches count:
+and readers sum deltas by key.  An attempt is a batch's name and a new suffix
+each time it is staged, so nothing that a failed attempt left can ever become
+part of another one.  A small commit log says which attempts count:
 
-    add     batch is valid, made from finer buckets in [from_ts, to_ts)
-    drop    batch no longer counts on one date (it was compacted away)
+    add     attempt is the batch's content, made from finer buckets in [from_ts, to_ts)
+    drop    batch no longer counts on one date, in whatever attempt (it was compacted away)
     prune   rows before to_ts no longer count
+    read    landed samples of [from_ts, to_ts) went into a batch
 
-Writing a batch again replaces its own partitions, so a repeated batch changes
-nothing; a batch that never reached the log is invisible.  One writer per store.
+Commits are numbered upwards.  Of several attempts of one batch the one
+committed last counts, so a batch that is written again is replaced as a whole,
+whatever dates its attempts touch; a batch that never reached the log is
+invisible.  One writer per store.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta, timezone
-from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +44,10 @@ IDENTITY_TABLE = "identity"
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
+        calendar.require_utc(spark)
         self.spark = spark
         self.root = root.rstrip("/")
+        self._staged: dict[tuple[str, str], str] = {}
 
     # -- files --------------------------------------------------------------
 
@@ -65,7 +72,9 @@ class Store:
         return self._read("commit_log", schemas.COMMIT)
 
     def _commit(self, entries: list[tuple]) -> None:
-        """Append entries as one file, so they become visible together."""
+        """Append entries (tier, action, batch_id, attempt, dt, from_ts, to_ts) as one file, so they become visible together."""
+        last = self.log().agg(F.max("seq")).first()[0] or 0
+        entries = [(last + 1, *entry) for entry in entries]
         fields = schemas.COMMIT.fields
         columns = list(zip(*entries))
         table = pa.table(
@@ -127,12 +136,17 @@ class Store:
         self.stage(tier, facts, batch_id)
         self.commit_batches([(tier, batch_id)], from_ts, to_ts)
 
+    def _attempt(self, tier: str, batch_id: str) -> str:
+        """A name for the folders of a batch that no earlier attempt had."""
+        self._staged[tier, batch_id] = attempt = f"{batch_id}.{uuid.uuid4().hex[:12]}"
+        return attempt
+
     def stage(self, tier: str, facts: DataFrame, batch_id: str) -> None:
-        """Write a delta batch that does not count yet."""
-        rows = facts.select(
+        """Write a delta batch that does not count yet; rows a tier may not hold fail the write."""
+        rows = tiers.checked(facts).select(
             *schemas.TRAFFIC.fieldNames(),
             calendar.utc_date(F.col("bucket")).alias("dt"),
-            F.lit(batch_id).alias("batch_id"),
+            F.lit(self._attempt(tier, batch_id)).alias("batch_id"),
         )
         # rebalance: few files per date, and a date that holds most rows is split;
         # sorted by identity, a series reads few row groups of each date
@@ -140,7 +154,8 @@ class Store:
         self._write(self._table(tier), spread, ["dt", "batch_id"])
 
     def stage_identities(self, rows: DataFrame, batch_id: str) -> None:
-        rows = rows.select(*schemas.IDENTITY.fieldNames(), F.lit(batch_id).alias("batch_id"))
+        attempt = self._attempt(IDENTITY_TABLE, batch_id)
+        rows = rows.select(*schemas.IDENTITY.fieldNames(), F.lit(attempt).alias("batch_id"))
         self._write(IDENTITY_TABLE, rows.hint("rebalance"), ["batch_id"])
 
     def stage_minutes(
@@ -179,31 +194,47 @@ class Store:
         from_ts: datetime | None = None,
         to_ts: datetime | None = None,
         minutes_through: datetime | None = None,
+        read: tuple[datetime, datetime] | None = None,
     ) -> None:
-        """Make staged batches count, all of them or none.
+        """Make what was staged last under these names count, all of it or none.
 
-        ``minutes_through`` says up to where the minute tier is complete.
+        ``minutes_through`` says up to where the minute tier is complete, and
+        ``read`` which stretch of landed samples the batch holds.
         """
-        self._commit([
-            (tier, "add", batch_id, None, from_ts, minutes_through if tier == "minute" else to_ts)
+        entries = [
+            (tier, "add", batch_id, self._staged.pop((tier, batch_id), None), None, from_ts,
+             minutes_through if tier == "minute" else to_ts)
             for tier, batch_id in batches
-        ])
+        ]
+        if read is not None:
+            entries.append(("samples", "read", batches[0][1], None, None, *read))
+        self._commit(entries)
+
+    def overlapping(self, window: tuple[datetime, datetime]) -> str | None:
+        """A batch that holds landed samples of a part of the window."""
+        start, end = window
+        row = self.log().where(
+            (F.col("action") == "read") & (F.col("from_ts") < calendar.at(end)) & (F.col("to_ts") > calendar.at(start))
+        ).select("batch_id").first()
+        return row[0] if row else None
 
     # -- reading ------------------------------------------------------------
 
     def _added(self, tier: str) -> DataFrame:
+        """(batch_id, name, version): folders that count, the batches they are, and when they were committed."""
         log = self.log().where((F.col("tier") == tier) & (F.col("action") == "add"))
-        return log.select("batch_id").distinct()
+        last = log.groupBy(F.col("batch_id").alias("name")).agg(F.max(F.struct("seq", "attempt")).alias("last"))
+        return last.select(F.col("last.attempt").alias("batch_id"), "name", F.col("last.seq").alias("version"))
 
     def _dropped(self, tier: str) -> DataFrame:
-        return self.log().where((F.col("tier") == tier) & (F.col("action") == "drop"))
+        dropped = self.log().where((F.col("tier") == tier) & (F.col("action") == "drop"))
+        return dropped.select(F.col("batch_id").alias("name"), "dt").distinct()
 
     def _live(self, tier: str) -> DataFrame:
+        """Rows that count, with the ``name`` of their batch."""
         rows = self._read(self._table(tier), schemas.TRAFFIC_STORED)
-        dropped = self._dropped(tier).select("batch_id", "dt")
-        return rows.join(self._added(tier), "batch_id", "left_semi").join(
-            dropped, ["batch_id", "dt"], "left_anti"
-        )
+        added = self._added(tier).select("batch_id", "name")
+        return rows.join(added, "batch_id").join(self._dropped(tier), ["name", "dt"], "left_anti")
 
     def deltas(
         self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
@@ -223,7 +254,25 @@ class Store:
         if to_ts is not None:
             end = _utc(to_ts)
             rows = rows.where((dt <= F.lit(end.date())) & (bucket < calendar.at(end)))
-        return verbs.in_scope(rows, scope)
+        return verbs.in_scope(rows, scope).drop("name")
+
+    def batches_of(self, tier: str, prefix: str, but: str, facts: DataFrame) -> DataFrame | None:
+        """Delta rows, in the buckets of ``facts``, of batches with a name's beginning but for another; None if there are none."""
+        name = F.col("batch_id")
+        mine = name.startswith(prefix) & ~name.startswith(but) & (F.col("tier") == tier) & (F.col("action") == "add")
+        if self.log().where(mine).isEmpty():
+            return None
+        span = facts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+        first, last = span.select(F.unix_micros("a"), F.unix_micros("b")).first()
+        if first is None:
+            return None
+        moment = lambda us: calendar.EPOCH + timedelta(microseconds=us)
+        start, end = moment(first), moment(last)
+        rows = self._live(tier).where(F.col("name").startswith(prefix) & ~F.col("name").startswith(but))
+        return rows.where(
+            F.col("dt").between(F.lit(start.date()), F.lit(end.date()))
+            & F.col("bucket").between(calendar.at(start), calendar.at(end))
+        )
 
     def scan(
         self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
@@ -235,11 +284,11 @@ class Store:
     def identity_rows(self) -> DataFrame:
         """Base and delta rows of the dimension, not merged yet."""
         rows = self._read(IDENTITY_TABLE, schemas.IDENTITY_STORED)
-        dropped = self._dropped(IDENTITY_TABLE).select("batch_id")
-        live = rows.join(self._added(IDENTITY_TABLE), "batch_id", "left_semi").join(
-            dropped, "batch_id", "left_anti"
-        )
-        return live.withColumnRenamed("batch_id", "version")
+        # later commits win over earlier ones, whatever the batches are called
+        return rows.join(self._live_identity_batches(), "batch_id").drop("batch_id", "name")
+
+    def _live_identity_batches(self) -> DataFrame:
+        return self._added(IDENTITY_TABLE).join(self._dropped(IDENTITY_TABLE).select("name"), "name", "left_anti")
 
     def identities(self) -> DataFrame:
         """Current state of the dimension."""
@@ -252,8 +301,9 @@ class Store:
     ) -> bool:
         """Roll closed finer buckets past the watermark into ``tier``.
 
-        No further than the source tier itself has got.  ``complete_through`` holds the bound back when the finer tier is still
-        being fed behind the clock.  A second run with nothing new does nothing.
+        No further than the source tier itself has got.  ``complete_through``
+        holds the bound back when the finer tier is still being fed behind the
+        clock.  A second run with nothing new does nothing.
         """
         source, tz = tiers.source_of(tier, settings), settings.tz
         after = self.watermark(tier)
@@ -281,50 +331,59 @@ class Store:
         before = self.pruned_through(tier)
         if bound is None or (before is not None and bound <= before):
             return before
-        self._commit([(tier, "prune", None, None, None, bound)])
+        self._commit([(tier, "prune", None, None, None, None, bound)])
         return bound
 
     def compact(self, tier: str, dt: date) -> str | None:
         """Rewrite the deltas of one closed date as a single one."""
         live = self._live(tier).where(F.col("dt") == F.lit(dt))
-        old = _batches(live)
+        old = _names(live)
         if len(old) < 2:
             return None
-        merged = _merged_name(old)
+        merged = f"merge-{tier}-{dt}-{uuid.uuid4().hex[:12]}"
         self.stage(tier, tiers.minute_merge(live), merged)
         self._commit(
-            [(tier, "add", merged, None, None, None)]
-            + [(tier, "drop", batch, dt, None, None) for batch in old]
+            [(tier, "add", merged, self._staged.pop((tier, merged)), None, None, None)]
+            + [(tier, "drop", name, None, dt, None, None) for name in old]
         )
         return merged
 
     def compact_identities(self) -> str | None:
         """Rewrite base and deltas of the dimension as one base."""
-        old = _batches(self.identity_rows(), "version")
+        old = _names(self._live_identity_batches())
         if len(old) < 2:
             return None
-        merged = _merged_name(old)
+        merged = f"merge-{IDENTITY_TABLE}-{uuid.uuid4().hex[:12]}"
         self.stage_identities(self.identities(), merged)
         self._commit(
-            [(IDENTITY_TABLE, "add", merged, None, None, None)]
-            + [(IDENTITY_TABLE, "drop", batch, None, None, None) for batch in old]
+            [(IDENTITY_TABLE, "add", merged, self._staged.pop((IDENTITY_TABLE, merged)), None, None, None)]
+            + [(IDENTITY_TABLE, "drop", name, None, None, None, None) for name in old]
         )
         return merged
 
     def vacuum(self, tier: str) -> list[str]:
-        """Remove folders no reader looks at: merged, pruned, never committed."""
-        table, log = self._path(self._table(tier)), self._added(tier)
+        """Remove folders no reader looks at: merged, replaced, pruned, never committed.
+
+        What is staged under a name of this store object is left alone: its
+        batch may be about to commit.
+        """
+        table = self._path(self._table(tier))
+        open_ = [attempt for (of, _), attempt in self._staged.items() if of == tier]
+        added = self._added(tier)
+        log = added.select("batch_id")
+        if open_:
+            log = log.unionByName(self.spark.createDataFrame([(attempt,) for attempt in open_], "batch_id string"))
         if tier == IDENTITY_TABLE:
             rows = self._read(table=IDENTITY_TABLE, schema=schemas.IDENTITY_STORED)
             folders = rows.select("batch_id").distinct()
-            dead = folders.join(log, "batch_id", "left_anti").unionByName(
-                folders.join(self._dropped(tier), "batch_id", "left_semi")
-            )
+            live = self._live_identity_batches().select("batch_id")
+            dead = folders.join(live, "batch_id", "left_anti").where(~F.col("batch_id").isin(open_))
             gone = [f"{table}/batch_id={row.batch_id}" for row in dead.collect()]
         else:
             folders = self._read(self._table(tier), schemas.TRAFFIC_STORED).select("dt", "batch_id").distinct()
+            named = folders.join(added.select("batch_id", "name"), "batch_id")
             dead = folders.join(log, "batch_id", "left_anti").unionByName(
-                folders.join(self._dropped(tier), ["batch_id", "dt"], "left_semi").select("dt", "batch_id")
+                named.join(self._dropped(tier), ["name", "dt"], "left_semi").select("dt", "batch_id")
             )
             bound = self.pruned_through(tier)
             if bound is not None:
@@ -346,14 +405,9 @@ def _utc(moment: datetime) -> datetime:
     return moment.astimezone(timezone.utc) if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
 
 
-def _batches(rows: DataFrame, column: str = "batch_id") -> list[str]:
-    """Batch ids of some delta rows: one value per batch, not per row."""
-    return sorted(row[0] for row in rows.select(column).distinct().collect())
-
-
-def _merged_name(batches: list[str]) -> str:
-    """The same inputs give the same name, so a repeated attempt replaces itself."""
-    return "merge-" + md5("\n".join(batches).encode()).hexdigest()[:16]
+def _names(rows: DataFrame) -> list[str]:
+    """Names of the batches of some delta rows: one value per batch, not per row."""
+    return sorted(row[0] for row in rows.select("name").distinct().collect())
 
 
 def _stamp(moment: datetime | None) -> str:

@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
-from bytewake.config import PROCESS, Settings
+from bytewake import schemas, session
+from bytewake.config import PROCESS, TIER_KEY, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
 from bytewake.operators import verbs
+from bytewake.operators.tiers import minute_merge
 from bytewake.plans import attribution
 from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import IDENTITY_TABLE, Store
 from bytewake.staging import Stage, staging
 
 
+BYTES = ("ingress_bytes", "egress_bytes")
+
+
 def _interval(delay: timedelta) -> str:
     return f"{int(delay.total_seconds() * 1000)} milliseconds"
 
@@ -71,13 +78,17 @@ def ingest_stream(
     """Count a sample stream into the store.
 
     ``load`` returns the lookup feeds as of now; their samples are not used.
-    The micro-batch number names the batch, so a replayed one counts once.
-    Every minute up to the last one written is complete, which is recorded for
-    the rollup.
+    The run (the identity that a checkpoint keeps) and the micro-batch number
+    name the batch, so a replayed one counts once.  A run with a new checkpoint
+    reads old samples again, in batches of its own: of each counter that an
+    earlier run of this stream wrote, only the difference is added.  Every
+    minute up to the last one written is complete, which is recorded for the
+    rollup.
     """
 
     def write(folds: DataFrame, number: int) -> None:
-        name = batch_name(stream, number)
+        run = run_id(folds)
+        name = batch_name(f"{stream}-{run}", number)
         with staging(folds.sparkSession, "micro-batch") as stage:
             # read in full even when there is nothing to do: that moves the state on
             minutes = stage(folds, "minutes")
@@ -86,9 +97,11 @@ def ingest_stream(
                 return
             feeds = attribution.narrowed(load(), minutes)
             # the whole minute goes to the process that opened it; reconciling refines that
-            starts = ids.lifetime_starts(feeds.snapshots)
-            placed = stage(ids.tgid_lifetime(minutes, starts, "min_ts"), "placed")
+            placed = stage(ids.tgid_lifetime(minutes, feeds.starts(), "min_ts"), "placed")
             facts = attribution.attribute(store, placed, feeds, name, stage)
+            counted = store.batches_of("minute", f"{stream}-", but=f"{stream}-{run}-", facts=facts)
+            if counted is not None:
+                facts = less(facts, counted)
             batches = store.stage_minutes(facts, name, settings, stage)
         through = calendar.EPOCH + timedelta(microseconds=last) + calendar.MINUTE
         store.commit_batches([(IDENTITY_TABLE, name), *batches], minutes_through=through)
@@ -101,6 +114,19 @@ def ingest_stream(
     )
 
 
+def run_id(folds: DataFrame) -> str:
+    """Of the streaming query that a micro-batch belongs to; a checkpoint keeps it over restarts."""
+    return (folds.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "run").replace("-", "")[:12]
+
+
+def less(facts: DataFrame, counted: DataFrame) -> DataFrame:
+    """What is missing of each counter; counters that ``facts`` does not have stay as they are."""
+    have = minute_merge(counted).select(*TIER_KEY, *[F.col(c).alias(f"have_{c}") for c in BYTES])
+    rest = facts.join(have, list(TIER_KEY), "left").select(
+        *TIER_KEY, *[(F.col(c) - F.coalesce(f"have_{c}", F.lit(0))).alias(c) for c in BYTES])
+    return rest.where((F.col(BYTES[0]) != 0) | (F.col(BYTES[1]) != 0))
+
+
 def idempotent_commit(store: Store, tier: str, stream: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink for fact rows: each micro-batch counts once."""
 
@@ -120,21 +146,53 @@ def stream_watch(
     emit: Callable[[DataFrame, int], None],
     delay: timedelta,
     by: str = "identity",
-    limit: int = 0,
+    limit: int | None = 0,
     scope: str | None = None,
+    closed: bool = False,
 ) -> DataStreamWriter:
-    """Ranking of the minutes that changed, once per trigger.
+    """Ranking of the minutes that changed, once per trigger, or with ``closed`` of each minute when it has ended.
 
     ``emit`` receives the ranked rows.  Only changed counters reach a trigger,
-    already summed.
+    already summed; those of the same minutes that did not change are kept in a
+    table of open minutes, so a ranking is always one of the whole minute.  The
+    table is as large as the stream's own state and is written under the name of
+    the run and the trigger, next to the one before it.
     """
 
-    def rank(folds: DataFrame, number: int) -> None:
+    def rank_closed(folds: DataFrame, number: int) -> None:
         with staging(folds.sparkSession, "watch") as stage:
             facts, identity = identify(stage(folds, "minutes"), stage)
             emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
 
-    return stream_minute_fold(samples, delay).writeStream.outputMode("update").foreachBatch(rank)
+    def rank(folds: DataFrame, number: int) -> None:
+        spark = folds.sparkSession
+        at = lambda n: session.shared_dir(spark, f"watch-{run_id(folds)}/{n:012d}")
+        with staging(spark, "watch") as stage:
+            changed = stage(folds, "minutes")
+            before = read_if_there(spark, at(number - 1), changed.schema)
+            kept = before.join(changed, [*PROCESS, "bucket", "scope"], "left_anti").unionByName(changed)
+            newest = F.lit(kept.agg(F.max("max_ts").alias("ts")).scalar())
+            still_open = F.col("bucket") + F.expr("INTERVAL 1 MINUTE") > newest - F.expr(f"INTERVAL {_interval(delay)}")
+            touched = changed.select("bucket").distinct()
+            # a minute is kept in full as long as it can change, and for this trigger
+            kept.join(touched.withColumn("now", F.lit(True)), "bucket", "left").where(
+                still_open | F.col("now")).drop("now").write.mode("overwrite").parquet(at(number))
+            running = spark.read.schema(changed.schema).parquet(at(number)).join(touched, "bucket", "left_semi")
+            facts, identity = identify(running, stage)
+            emit(verbs.top_per_bucket(facts, identity, by, limit, scope), number)
+        session.remove(spark, [at(number - 2)])
+
+    folded = stream_minute_fold(samples, delay).writeStream
+    return folded.outputMode("append").foreachBatch(rank_closed) if closed else folded.outputMode("update").foreachBatch(rank)
+
+
+def read_if_there(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return schemas.empty(spark, schema)
 
 
 def identify_with(store: Store, load: Callable[[], Feeds]) -> Identify:
@@ -146,7 +204,7 @@ def identify_with(store: Store, load: Callable[[], Feeds]) -> Identify:
 
     def identify(folds: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
         feeds = attribution.narrowed(load(), folds)
-        placed = stage(ids.tgid_lifetime(folds, ids.lifetime_starts(feeds.snapshots), "min_ts"), "placed")
+        placed = stage(ids.tgid_lifetime(folds, feeds.starts(), "min_ts"), "placed")
         seen = stage(attribution.sightings(placed, feeds), "sightings")
         identity = stage(ids.identity_delta(seen, store.identity_rows(), stage), "identities")
         return attribution.minute_facts(placed, seen, identity), identity

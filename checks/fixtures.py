@@ -51,8 +51,9 @@ FROM (SELECT *, {each:1, 2} AS g FROM {customer}) c
 WHERE c_custkey % 5 <> 0 AND (g = 1 OR c_custkey % 6 = 1)""",
     "pid_meta": """
 SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR(9)) AS host, c_custkey AS tgid, CAST(1000 + c_nationkey AS BIGINT) AS uid,
-  CAST(c_custkey % 7 AS VARCHAR(20)) AS cgroup_id, lower(c_mktsegment) || chr(0) || chr(0) AS comm
-FROM {customer} WHERE c_custkey % 10 <> 0""",
+  CAST(c_custkey % 7 AS VARCHAR(20)) AS cgroup_id, CASE WHEN g = 1 THEN lower(c_mktsegment) ELSE 'reused' END || chr(0) || chr(0) AS comm,
+  CASE WHEN g = 1 THEN TIMESTAMP '2024-01-01 00:00:05' ELSE TIMESTAMP '2024-01-20 11:12:13' END AS captured_at
+FROM (SELECT *, {each:1, 2} AS g FROM {customer}) c WHERE c_custkey % 10 <> 0 AND (g = 1 OR c_custkey % 4 = 1)""",
     "passwd": """
 SELECT 'h' || CAST(x AS VARCHAR(9)) AS host, CAST(n_nationkey + 25 * d AS BIGINT) AS line_no,
   CAST(1000 + n_nationkey AS BIGINT) AS uid, n_name || CASE WHEN d = 1 THEN '_alt' ELSE '' END AS username
@@ -119,7 +120,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, **replaced: DataFrame) ->
     sql = spark_view(name)
     inputs = {t: replaced[t] if t in replaced else table(spark, sf_dir, t) for t in _tables_of(sql)}
     rows = spark.sql(sql, **inputs)
-    for column in ("ts", "bucket", "seen_at", "first_seen", "last_seen"):
+    for column in ("ts", "bucket", "seen_at", "captured_at", "first_seen", "last_seen"):
         if column in rows.columns:
             rows = rows.withColumn(column, F.col(column).cast("timestamp"))
     return rows
@@ -196,16 +197,23 @@ SELECT c.tgid, c.seen_at, c.host, c.uid, c.unit_or_cgroup, c.exe, coalesce(r.pro
   k.normalized_cmdline, c.comm, c.raw_cmdline, n.username
 FROM clean c LEFT JOIN roots r ON r.host = c.host AND r.cwd = c.cwd
 LEFT JOIN names n ON n.host = c.host AND n.uid = c.uid JOIN masked k ON k.raw_cmdline = c.raw_cmdline""",
+    "captured": """
+SELECT m.*, coalesce(
+  (SELECT max(s.seen_at) FROM proc_snapshot s WHERE s.host = m.host AND s.tgid = m.tgid
+    AND s.seen_at <= m.captured_at AND s.seen_at >= m.captured_at - INTERVAL 10 SECOND),
+  (SELECT min(s.seen_at) FROM proc_snapshot s WHERE s.host = m.host AND s.tgid = m.tgid
+    AND s.seen_at >= m.captured_at AND s.seen_at <= m.captured_at + INTERVAL 10 SECOND), m.captured_at) AS gen_start
+FROM pid_meta m""",
     "degraded": """
-SELECT m.tgid, m.host, m.uid, 'cgroup-id:' || m.cgroup_id AS unit_or_cgroup, '<unresolved>' AS exe,
+SELECT m.tgid, m.gen_start, m.host, m.uid, 'cgroup-id:' || m.cgroup_id AS unit_or_cgroup, '<unresolved>' AS exe,
   '<unresolved>' AS project_root, '<unresolved:' || split_part(m.comm, chr(0), 1) || '>' AS normalized_cmdline,
   split_part(m.comm, chr(0), 1) AS comm, '' AS raw_cmdline, n.username
-FROM pid_meta m LEFT JOIN names n ON n.host = m.host AND n.uid = m.uid""",
+FROM captured m LEFT JOIN names n ON n.host = m.host AND n.uid = m.uid""",
     "generation": """
-SELECT host, tgid, seen_at AS gen_start,
-  lead(seen_at) OVER (PARTITION BY host, tgid ORDER BY seen_at) AS gen_end,
-  row_number() OVER (PARTITION BY host, tgid ORDER BY seen_at) AS n
-FROM (SELECT DISTINCT host, tgid, seen_at FROM proc_snapshot) s""",
+SELECT host, tgid, started AS gen_start,
+  lead(started) OVER (PARTITION BY host, tgid ORDER BY started) AS gen_end,
+  row_number() OVER (PARTITION BY host, tgid ORDER BY started) AS n
+FROM (SELECT host, tgid, seen_at AS started FROM proc_snapshot UNION SELECT host, tgid, gen_start FROM captured) s""",
     "placed": """
 SELECT m.*, g.gen_start FROM moved m LEFT JOIN generation g ON g.host = m.host AND g.tgid = m.tgid
   AND (m.ts >= g.gen_start OR g.n = 1) AND (m.ts < g.gen_end OR g.gen_end IS NULL)""",
@@ -218,7 +226,7 @@ SELECT p.ts, p.tgid, p.gen_start, p.dir, p.scope, p.bytes, p.host,
   CASE WHEN l.host IS NOT NULL THEN l.project_root ELSE '<unresolved>' END AS project_root,
   CASE WHEN l.host IS NOT NULL THEN l.normalized_cmdline WHEN d.host IS NOT NULL THEN d.normalized_cmdline ELSE '<unresolved>' END AS normalized_cmdline
 FROM placed p LEFT JOIN live l ON l.host = p.host AND l.tgid = p.tgid AND l.seen_at = p.gen_start
-LEFT JOIN degraded d ON d.host = p.host AND d.tgid = p.tgid""",
+LEFT JOIN degraded d ON d.host = p.host AND d.tgid = p.tgid AND d.gen_start = p.gen_start""",
     "hours": f"""
 SELECT date_trunc('hour', bucket) AS bucket, identity_id, scope, {SUMS} FROM traffic_wide
 WHERE bucket < TIMESTAMP '2001-11-05 00:00:00' GROUP BY 1, 2, 3""",
@@ -238,8 +246,9 @@ NEEDS = {
     "names": ["passwd"],
     "masked": ["clean"],
     "live": ["clean", "roots", "names", "masked"],
-    "degraded": ["pid_meta", "names"],
-    "generation": ["proc_snapshot"],
+    "captured": ["pid_meta", "proc_snapshot"],
+    "degraded": ["captured", "names"],
+    "generation": ["proc_snapshot", "captured"],
     "placed": ["moved", "generation"],
     "attributed": ["placed", "live", "degraded"],
     "hours": ["traffic_wide"],

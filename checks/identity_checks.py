@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from bytewake.config import DISPLAY, NATURAL_KEY
@@ -74,9 +76,11 @@ def username_lookup(spark, sf):
     return ids.with_username(clean, fx.view(spark, sf, "passwd")).select("host", "tgid", "uid", "username")
 
 
-@check(oracle(f"SELECT tgid, {KEY}, {DISPLAYED} FROM degraded", "degraded"))
+@check(oracle(f"SELECT tgid, {us('gen_start', 'gen_us')}, {KEY}, {DISPLAYED} FROM degraded", "degraded"))
 def unresolved_from_meta(spark, sf):
-    return ids.meta_records(fx.view(spark, sf, "pid_meta"), fx.view(spark, sf, "passwd"))
+    """Some process numbers are captured twice, with and without snapshots."""
+    f = feeds(spark, sf)
+    return ids.meta_records(f.captures(), f.passwd).withColumn("gen_us", F.unix_micros("gen_start")).drop("gen_start")
 
 
 @check(oracle(f"""SELECT host, tgid, coalesce(CAST(epoch_us(gen_start) AS BIGINT), -1) AS gen_us, scope, {PAIR},
@@ -84,11 +88,11 @@ def unresolved_from_meta(spark, sf):
   FROM placed GROUP BY host, tgid, gen_start, scope""", "placed"))
 def tgid_lifetime(spark, sf):
     stage = stage_in(spark, "lifetimes")
-    folds = lifetime_folds(fx.samples(spark, sf), fx.view(spark, sf, "proc_snapshot"), stage)
+    folds = lifetime_folds(feeds(spark, sf), stage)
     lives = folds.groupBy(*LIFETIME, "scope").agg(
         *byte_sums(), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
-    # -1: a process without any snapshot
+    # -1: a process without any snapshot or capture
     started = F.coalesce(F.unix_micros("gen_start"), F.lit(-1)).alias("gen_us")
     return lives.select(
         "host", "tgid", started, "scope", "ingress_bytes", "egress_bytes",
@@ -99,10 +103,10 @@ def tgid_lifetime(spark, sf):
 @check(oracle(f"SELECT {KEY}, source, {PAIR} FROM attributed GROUP BY {KEY}, source", "attributed"))
 def resolve_chain(spark, sf):
     f = feeds(spark, sf)
-    folds = lifetime_folds(f.samples, f.snapshots, stage_in(spark, "resolve"))
+    folds = lifetime_folds(f, stage_in(spark, "resolve"))
     lives = folds.groupBy(*LIFETIME).agg(*byte_sums())
     resolved = ids.resolve_chain(
-        lives, ids.snapshot_records(f.snapshots, f.passwd, f.markers), ids.meta_records(f.meta, f.passwd)
+        lives, ids.snapshot_records(f.snapshots, f.passwd, f.markers), ids.meta_records(f.captures(), f.passwd)
     )
     keys = [F.col(f"record.{c}").alias(c) for c in NATURAL_KEY[1:]]
     return resolved.groupBy("host", *keys, "source").agg(*byte_sums())
@@ -153,7 +157,7 @@ def attributed(spark, sf, window=None):
         (F.col("ts") >= calendar.at(window[0])) & (F.col("ts") < calendar.at(window[1]))
     )
     stage = stage_in(spark, "attributed")
-    folds = lifetime_folds(samples, f.snapshots, stage)
+    folds = lifetime_folds(replace(f, samples=samples), stage)
     seen = stage(sightings(folds, f), "sightings")
     dimension = stage(ids.identity_delta(seen, fx.empty_identities(spark), stage), "dimension")
     return minute_facts(folds, seen, dimension), dimension

@@ -65,5 +65,5 @@ def direction_pivot(spark, sf):
 @check(oracle(f"SELECT {MINUTE}, host, tgid, scope, {PAIR} "
               "FROM moved WHERE ts < TIMESTAMP '2024-01-20 12:34:00' GROUP BY ALL", "moved"))
 def flush_closed_minutes(spark, sf):
-    closed = smp.closed_minutes(smp.minute_fold(fx.samples(spark, sf)), OPEN_MINUTE)
+    closed = smp.closed_minute_fold(fx.samples(spark, sf), OPEN_MINUTE)
     return closed.select(as_ms("bucket", "bucket_ms"), "host", "tgid", "scope", "ingress_bytes", "egress_bytes")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from bytewake import schemas
 from bytewake.config import FINER, TIERS, Settings
 from bytewake.functions import calendar
-from bytewake.operators import tiers
+from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
+from bytewake.operators import tiers
 from bytewake.session import work_dir
 from bytewake.sources import landing
 from bytewake.sources.store import Store
@@ -46,11 +47,13 @@ def sample_store(spark, sf, label) -> tuple[Store, object]:
 # -- sources and sinks ------------------------------------------------------
 
 @check(oracle(f"""SELECT sample_id, {us('ts', 'ts_us')}, host, tgid, hook, ret, family, daddr_hex, saddr_hex
-  FROM socket_sample""", "socket_sample"))
+  FROM socket_sample WHERE ts >= TIMESTAMP '2024-01-08 06:30:00' AND ts < TIMESTAMP '2024-01-23 18:00:00'""", "socket_sample"))
 def scan_samples(spark, sf):
+    """A window of a landing folder, read from the folders of its dates."""
     path = work_dir(spark, "samples")
-    fx.samples(spark, sf).write.parquet(path)
-    return landing.scan_samples(spark, path).select(
+    landing.land_samples(fx.samples(spark, sf), path)
+    window = (datetime(2024, 1, 8, 6, 30), datetime(2024, 1, 23, 18))
+    return landing.scan_samples(spark, path, window=window).select(
         "sample_id", as_us("ts", "ts_us"), "host", "tgid", "hook", "ret", "family",
         F.hex("daddr").alias("daddr_hex"), F.hex("saddr").alias("saddr_hex"),
     )
@@ -64,15 +67,17 @@ def scan_proc_snapshots(spark, sf):
     return landing.scan_proc_snapshots(spark, path).withColumn("seen_us", F.unix_micros("seen_at")).drop("seen_at")
 
 
-@check(oracle("SELECT host, tgid, uid, cgroup_id, comm FROM pid_meta", "pid_meta"))
+@check(oracle(f"SELECT host, tgid, uid, cgroup_id, comm, {us('captured_at', 'captured_us')} FROM pid_meta", "pid_meta"))
 def scan_pid_meta(spark, sf):
-    """Every process lands twice; the earlier capture must win."""
+    """Every capture lands twice, the second time late and changed; of one lifetime the earlier wins."""
     path = work_dir(spark, "meta")
     meta = fx.view(spark, sf, "pid_meta")
-    first = meta.withColumn("captured_at", calendar.at(fx.SECOND_BATCH))
-    again = meta.withColumn("comm", F.lit("renamed")).withColumn("captured_at", calendar.at(fx.SAMPLES_NOW))
-    again.unionByName(first).write.parquet(path)
-    return landing.scan_pid_meta(spark, path)
+    again = meta.withColumn("comm", F.lit("renamed")).withColumn("captured_at", F.col("captured_at") + F.expr("INTERVAL 2 SECONDS"))
+    again.unionByName(meta).write.parquet(path)
+    # lifetimes as the captures themselves open them
+    marks = meta.select("host", "tgid", F.col("captured_at").alias("seen_at"))
+    first = landing.first_capture(ids.captures(landing.scan_pid_meta(spark, path), marks))
+    return first.select("host", "tgid", "uid", "cgroup_id", "comm", as_us("captured_at", "captured_us"))
 
 
 @check(oracle(f"SELECT {FACT}, strftime(bucket, '%Y-%m-%d') AS dt, 'b1' AS batch_id FROM facts",
@@ -81,7 +86,9 @@ def tier_sink(spark, sf):
     store, facts = sample_store(spark, sf, "sink")
     store.append("minute", facts, "b1")
     written = spark.read.schema(schemas.TRAFFIC_STORED).parquet(f"{store.root}/traffic_minute")
-    return fact_rows(written, F.col("dt").cast("string").alias("dt"), "batch_id")
+    # a folder is named after the batch and the attempt
+    batch = F.substring_index("batch_id", ".", 1).alias("batch_id")
+    return fact_rows(written, F.col("dt").cast("string").alias("dt"), batch)
 
 
 @check(oracle(f"""SELECT {FACT} FROM facts WHERE scope = 'external'

@@ -213,7 +213,7 @@ def test_minute_folds_follow_lifetimes_inside_a_minute(spark):
                    "loopback" if daddr[0] == 127 else "external")
             pair = want.setdefault(key, [0, 0])
             pair[hook == "tcp_sendmsg"] += ret
-        folds = lifetime_folds(f.samples, f.snapshots, stage_in(spark, "t"))
+        folds = lifetime_folds(f, stage_in(spark, "t"))
         placed = ids.minute_lifetime(smp.minute_fold(f.samples), ids.lifetime_starts(f.snapshots))
         assert placed.where("torn").count() > 0
         got = {
@@ -227,7 +227,7 @@ def test_minute_folds_follow_lifetimes_inside_a_minute(spark):
 def test_sightings_cover_every_process_with_traffic(spark):
     starts, samples = random_lives(7, hot=0.2)
     f = feeds(spark, snapshots=[snapshot(t, s) for (_, t), all_ in starts.items() for s in all_], samples=samples)
-    folds = lifetime_folds(f.samples, f.snapshots, stage_in(spark, "t"))
+    folds = lifetime_folds(f, stage_in(spark, "t"))
     seen = sightings(folds, f)
     assert seen.count() == folds.select("host", "tgid", "gen_start").distinct().count()
     assert {r.source for r in seen.collect()} == {"snapshot", "none"}

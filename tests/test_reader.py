@@ -47,7 +47,7 @@ def test_root_sees_everyone_in_every_tier(store):
 
 def test_user_sees_own_traffic_only(store):
     asked = Asked(NOW, since=timedelta(hours=48))
-    mine = Reader(store, SETTINGS, 1000)
+    mine = Reader(store, SETTINGS, 1000, caller_host="h")
     assert rows_of(mine.top(asked), "label", "egress_bytes") == [("/usr/bin/node", 15)]
     assert rows_of(mine.list(), "exe") == [("/usr/bin/node",)]
     other = Reader(store, SETTINGS, 0, uid=1001)

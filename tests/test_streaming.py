@@ -115,7 +115,7 @@ def test_stream_to_store_survives_a_replay_and_takes_late_samples(spark, tmp_pat
     closed = store.watermark("minute")
     assert closed is not None
     assert per_identity(store) == totals(everything, before=closed)
-    # a lost checkpoint replays the same batches under the same names
+    # a lost checkpoint reads everything again
     start(f"{tmp_path}/state-2")
     assert per_identity(store) == totals(everything, before=closed)
 
@@ -165,7 +165,7 @@ def test_watch_shows_a_caller_only_what_is_theirs(spark, tmp_path, root):
             seen.setdefault(caller, []).extend(ranked.select("rank", "host", "egress_bytes").collect())
 
         stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True)
-        reader = Reader(Store(spark, root), Settings(), caller)
+        reader = Reader(Store(spark, root), Settings(), caller, caller_host="h")
         run(reader.watch(stream, lambda: known, emit, DELAY), f"{tmp_path}/state-{caller}")
     assert sorted(map(tuple, seen[1000])) == [(1, "h", 9), (2, "h", 5)]
     assert sorted(map(tuple, seen[0])) == [(1, "h", 9), (2, "h", 7), (3, "h", 5)]

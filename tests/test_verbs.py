@@ -89,9 +89,14 @@ def test_visibility(spark):
     ids = lambda **who: [i for i, in rows_of(verbs.visible(people, **who), "id")]
     assert ids(caller_uid=0) == [1, 2, 3, 4]
     assert ids(caller_uid=0, uid=1001) == [3]
-    assert ids(caller_uid=1001) == [3]
-    assert ids(caller_uid=1001, uid=1000) == [3]
+    assert ids(caller_uid=1001, caller_host="h") == [3]
+    assert ids(caller_uid=1001, caller_host="elsewhere") == []
+    assert ids(caller_uid=1001, uid=1000, caller_host="h") == [3]
     assert ids(caller_uid=1001, is_admin=True, uid=1000) == [1, 2, 4]
+    # root stays root, whoever else is an admin
+    assert ids(caller_uid=0, settings=Settings(admin_uids=(1000,))) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        ids(caller_uid=1001)
 
 
 def test_series_obeys_window_scope_and_visibility(spark):
@@ -101,7 +106,7 @@ def test_series_obeys_window_scope_and_visibility(spark):
         "2024-03-01 00:00", "2024-03-02 00:00"]
     assert verbs.series(traffic(spark), people, 1, window).count() == 1
     assert verbs.series(traffic(spark), people, 1, (DAY, DAY), "all").count() == 0
-    assert verbs.series(traffic(spark), verbs.visible(people, 1001), 1, window, "all").count() == 0
+    assert verbs.series(traffic(spark), verbs.visible(people, 1001, caller_host="h"), 1, window, "all").count() == 0
 
 
 def test_windows_begin_at_local_midnight():
