@@ -19,8 +19,8 @@ and the composed machine is kept as one state per position.
 
 The machine is composed with each *unit* of a text: no piece has a mark behind
 another character, so no arc crosses from a character to a mark, and texts fall
-into units there.  Units repeat, and each task remembers the paths of up to
-``REMEMBERED`` of them.  Whole texts are encoded, of any length.
+into units there.  Units repeat, and each worker remembers the paths of the last
+one or two times ``REMEMBERED`` of them.  Whole texts are encoded, of any length.
 
 Defined results: a null text counts as an empty one, which has no pieces; equal
 texts get equal pieces; an empty table gives an empty one; input columns named
@@ -30,10 +30,12 @@ like result columns are replaced.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +50,7 @@ UNIGRAM, MERGES = 1, 2  # model types
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
 #: a unigram model gives an unknown character so much less than its rarest piece
 UNKNOWN_PENALTY = 10.0
+NEVER = float("-inf")
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -85,6 +88,13 @@ class Transducer:
         self.score = {text: score for text, score, kind in model.pieces if kind == NORMAL}
         self.ids = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         self.longest = max(map(len, self.ids), default=1)
+        known = "".join(text for text in self.ids if len(text) == 1)
+        self.unknown = re.compile(f"([^{re.escape(known)}])") if known else re.compile("(.)", re.DOTALL)
+        # all pieces that end at each place of an input, in one walk over it
+        self.machine = ahocorasick.Automaton()
+        for text in self.ids:
+            self.machine.add_word(text, (len(text), text))
+        self.machine.make_automaton()
         self.bytes = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.lone = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.inner = any(MARK in text.lstrip(MARK) for text in self.ids)
@@ -96,6 +106,7 @@ class Transducer:
         self.starts: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # a new line that is in no piece is a border of its own; its unit begins with it and has no mark
         self.breaks_lines = not any("\n" in text for text in self.ids)
 
@@ -103,16 +114,17 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text after all merges: best score first, the leftmost of equal ones."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score
+        merges = [score.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while merges and (best := max(merges)) > NEVER:
+            at = merges.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del merges[at]
+            if at < len(merges):
+                merges[at] = score.get(parts[at] + parts[at + 1], NEVER)
+            if at:
+                merges[at - 1] = score.get(parts[at - 1] + parts[at], NEVER)
+        return parts
 
     def is_start(self, piece: str) -> bool:
         known = self.starts.get(piece)
@@ -134,21 +146,26 @@ class Transducer:
         return self._merge_path(unit) if self.model.kind == MERGES else self._unigram_path(unit)
 
     def _merge_path(self, unit: str) -> list[str]:
-        last: list[str | None] = [None] * (len(unit) + 1)
-        score, follows, longest = self.score, self.follows, self.longest
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = unit[start:end]
-                if piece not in score and end - start > 1:
+        runs = self.unknown.split(unit)
+        if len(runs) > 1:  # a character in no piece stands alone, and nothing reaches across it
+            return [p for i, run in enumerate(runs) if run for p in ([run] if i % 2 else self._merge_path(run))]
+        last = [""] * (len(unit) + 1)  # the piece that ends at each place
+        pairs = self.pairs
+        for end, (size, piece) in self.machine.iter(unit):
+            end += 1
+            if last[end]:
+                continue
+            if size == end:
+                finite = self.is_start(piece)
+            else:
+                before = last[end - size]
+                if not before:
                     continue
-                if start == 0:
-                    finite = self.is_start(piece)
-                else:
-                    before = last[start]
-                    finite = before is not None and follows(before, piece)
-                if finite:
-                    last[end] = piece
-                    break
+                finite = pairs.get((before, piece))
+                if finite is None:
+                    finite = self.follows(before, piece)
+            if finite:
+                last[end] = piece
         out, end = [], len(unit)
         while end:
             out.append(last[end])
@@ -189,16 +206,24 @@ class Transducer:
 
     def _of(self, key: str) -> bytes:
         unit = key if key[0] == "\n" else MARK + key
-        found = np.array(self.written(self.path(unit)), "<i4").tobytes()
-        if len(self.paths) >= REMEMBERED:
-            self.paths.clear()
+        found = self.older.get(key)
+        if found is None:
+            ids = self.written(self.path(unit))
+            found = struct.pack(f"<{len(ids)}i", *ids)
         self.paths[key] = found
         return found
 
+    def forget(self) -> None:
+        """Between texts: of two generations of remembered units the older goes once the newer is full."""
+        if len(self.paths) >= REMEMBERED:
+            self.older = dict(self.paths)
+            self.paths.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
+        self.forget()
         if self.breaks_lines and self.model.dummy_prefix and self.model.byte_fallback and not self.inner and MARK not in text:
             keys = text.replace("\n", " \n").split(" ")
             if "" not in keys:

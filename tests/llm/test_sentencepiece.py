@@ -94,9 +94,10 @@ def test_memory_of_units_is_bounded(model, monkeypatch):
     monkeypatch.setattr(fst, "REMEMBERED", 5)
     monkeypatch.setattr(fst, "PAIRS", 5)
     machine, library = fst.Transducer(fst.Model.parse(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
-    text = prose(3, 300)
-    assert ids_of(machine, text) == library.encode(text)
-    assert len(machine.paths) <= 5 and len(machine.pairs) <= 5
+    for i in range(100):
+        text = prose(i, 4)
+        assert ids_of(machine, text) == library.encode(text)
+        assert len(machine.paths) <= 5 + 4 and len(machine.older) <= 5 + 4 and len(machine.pairs) <= 5
 
 
 def test_documents(spark, model):
