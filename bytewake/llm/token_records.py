@@ -23,8 +23,9 @@ index says.
 
 Encoding: a text is cut in front of single spaces.  The pre-tokeniser of
 byte-level files never joins anything across such a cut, so the ids of the parts
-are those of the whole.  Parts repeat, and each worker remembers the ids of up
-to ``REMEMBERED`` of them; all come from the tokenizers library.  Where a cut
+are those of the whole.  Parts repeat, and each worker remembers the ids of the
+last one or two times ``REMEMBERED`` of them; all come from the tokenizers
+library, many in one call.  Where a cut
 could fall inside a run of white space the library gets the whole text, and with
 a tokenizer of another kind it always does.
 
@@ -45,6 +46,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,15 @@ from bytewake.staging import Stage
 REMEMBERED = 500_000
 #: parts that the library encodes in one call
 CALL = 2_000
+#: parts whose ids are put together at once
+GATHER = 1_000_000
+#: how byte-level vocabularies write a space
+SPACE = "\u0120"
 INDEX_ENTRY = "<QQQ"
 INDEX_BYTES = struct.calcsize(INDEX_ENTRY)
-#: records that one reading task takes
+#: records that one reading task takes at a time, and the most tasks
 RUN = 20_000
+TASKS = 20_000
 INSIDE_SPACE = re.compile(r"\s \s|\s \Z")
 
 
@@ -106,6 +113,10 @@ class Encoder:
         self.parted = kinds.get("normalizer") is None and kinds.get("pre_tokenizer") == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -113,18 +124,58 @@ class Encoder:
     def library(self, whole: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
 
+    def spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each behind a space, encoded as one text; every part begins where a token with a space does."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False).ids, np.int64)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(parts):
+            return self.library([" " + p for p in parts])
+        packed = ids.astype(f"<u{self.width}").tobytes()
+        bounds = [*(starts * self.width).tolist(), len(packed)]
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def learn(self, needed: set[str]) -> None:
+        """Remember the ids of parts; of two generations the older goes once the newer is full."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        needed = needed.difference(self.known)
+        self.known.update({p: self.older[p] for p in needed.intersection(self.older)})
+        new = list(needed.difference(self.known))
+        # white space at an end of a part would meet that of its neighbour
+        plain = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
+        odd = list(set(new).difference(plain))
+        for some, encode in ((plain, self.spaced), (odd, lambda parts: self.library([" " + p for p in parts]))):
+            for at in range(0, len(some), CALL):
+                self.known.update(zip(some[at:at + CALL], encode(some[at:at + CALL])))
+
     def encode(self, whole: list[str]) -> list[bytes]:
-        parts = [t.split(" ") if self.parted and not INSIDE_SPACE.search(t) else None for t in whole]
-        needed = set().union(*[p[1:] for p in parts if p])
-        if len(self.known) + len(needed) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(needed.difference(known))
-        for at in range(0, len(new), CALL):
-            some = new[at:at + CALL]
-            known.update(zip(some, self.library([" " + p for p in some])))
-        heads = iter(self.library([p[0] if p else t for p, t in zip(parts, whole)]))
-        return [next(heads) + b"".join([known[x] for x in p[1:]]) if p else next(heads) for p in parts]
+        is_cut = [self.parted and not INSIDE_SPACE.search(t) for t in whole]
+        cut = [t for c, t in zip(is_cut, whole) if c]
+        parts = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        ends = parts.offsets.to_numpy()[1:]
+        first = parts.offsets.to_numpy()[:-1]
+        coded = parts.flatten().dictionary_encode()
+        distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(set(distinct))
+        packed = [self.known[p] for p in distinct]
+        size = np.array([len(p) // self.width for p in packed], np.int64)
+        ids = np.frombuffer(b"".join(packed), f"<u{self.width}")
+        place = np.cumsum(size) - size
+        # the first part of a text has no space in front
+        bodies = iter([self.gather(code[a + 1:b], ids, place, size) for a, b in zip(first.tolist(), ends.tolist())])
+        starts = iter(first.tolist())
+        heads = self.library([distinct[code[next(starts)]] if c else t for c, t in zip(is_cut, whole)])
+        return [head + next(bodies) if c else head for head, c in zip(heads, is_cut)]
+
+    @staticmethod
+    def gather(code: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> bytes:
+        """Ids of a run of parts, one after another."""
+        out = []
+        for at in range(0, len(code), GATHER):
+            some = code[at:at + GATHER]
+            n = size[some]
+            out.append(ids[np.repeat(place[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -168,10 +219,13 @@ def write(docs: DataFrame, folder: str, spec: str, stage: Stage, end_id: int = 0
 
 
 def _runs(manifest: DataFrame) -> DataFrame:
-    """Slices of at most RUN records, with the ids in files before theirs."""
+    """Slices of at most RUN records, with the ids in files before theirs, a task for each."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(RUN).cast("long")))
-    return manifest.withColumn("ids_before", before).select("shard", "data", "index", "ids_before", "n_records", first.alias("first"))
+    runs = manifest.withColumn("ids_before", before).select("shard", "data", "index", "ids_before", "n_records", first.alias("first"))
+    # few bytes that stand for much work: their number decides, not their size
+    n = manifest.agg(F.sum(F.ceil(F.col("n_records") / RUN))).first()[0] or 1
+    return runs.repartition(min(int(n), TASKS), "shard", "first")
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -190,7 +244,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     for at in range(0, n, 1000):
                         yield _batch(task, at, entries[at:at + 1000], file, names, with_ids)
 
-    return _runs(manifest).repartition("shard", "first").mapInArrow(
+    return _runs(manifest).mapInArrow(
         run, "shard long, record long, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
@@ -236,5 +290,5 @@ def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
                 names=["doc_id", "ids"])
 
-    entries = _runs(manifest).repartition("shard", "first").mapInArrow(places, "data string, record long, offset long, length long")
+    entries = _runs(manifest).mapInArrow(places, "data string, record long, offset long, length long")
     return entries.orderBy(F.xxhash64(F.lit(seed), "data", "record")).mapInArrow(fetch, "doc_id long, ids array<long>")
