@@ -43,6 +43,8 @@ from bytewake.staging import Stage
 
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+#: the most reading tasks
+TASKS = 20_000
 #: of a member at first; then twice as many each time
 FIRST_BYTES = 1 << 12
 LEVEL = 4
@@ -228,6 +230,8 @@ DDL = ("page_id long, url string, record_type string, payload_digest string, pay
 
 def read(archives: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Page records of archives (path, size); without payloads they are checked but not returned."""
+    # few bytes that stand for much work: their number decides, not their size
+    n = archives.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
     ranges = archives.where("size > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
 
@@ -248,4 +252,4 @@ def read(archives: DataFrame, with_payload: bool = True, range_bytes: int = RANG
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return ranges.repartition("path", "start").mapInArrow(run, DDL)
+    return ranges.repartition(min(int(n), TASKS), "path", "start").mapInArrow(run, DDL)
