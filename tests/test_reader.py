@@ -3,10 +3,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from bytewake import schemas
 from bytewake.config import Settings
 from bytewake.plans.attribution import ingest
 from bytewake.plans.reader import Asked, Reader
-from bytewake.sources.store import Store
+from bytewake.sources.store import IDENTITY_TABLE, Store
 from tests.conftest import rows_of, utc
 from tests.test_identity import feeds, snapshot
 from tests.test_samples import sample
@@ -80,3 +81,43 @@ def test_series_refers_to_its_identity(store):
     assert rows_of(answer.counters) == [(node, start, "external", 0, 10), (node, start + 3600000, "external", 0, 5)]
     assert rows_of(answer.identities, "id") == [(node,)]
     assert answer.identities.where(F.col("comm") == "node").count() == 1
+
+
+def test_windows_lose_no_bytes(spark, tmp_path):
+    from bytewake.config import Settings
+    from tests.test_tiers import facts
+
+    store, settings = Store(spark, str(tmp_path)), Settings()
+    now = utc(2024, 3, 20, 21, 30)
+    store.append("minute", facts(spark, *[(now - timedelta(days=d, minutes=30), 1, "external", 1, 0) for d in range(1, 100)]), "a")
+    store.stage_identities(spark.createDataFrame(
+        [(1, "h", 1000, "u", "e", "p", "n", "c", "r", None, now, now)], schemas.IDENTITY), "a")
+    store.commit_batches([(IDENTITY_TABLE, "a")])
+    store.maintain(now, settings)
+    reader = Reader(store, settings, 0)
+    for days in (32, 60):
+        asked = Asked(now, since=timedelta(days=days, hours=1))
+        answer = reader.top_answer(asked)
+        assert [(r["ingress_bytes"], r["label"]) for r in answer.counters.collect()] == [(days, "e")], days
+        assert [r["id"] for r in answer.identities.collect()] == [1]
+        assert answer.window[0] <= now - timedelta(days=days, hours=1) < answer.window[0] + timedelta(hours=1)
+    history = reader.series(1, asked).counters
+    assert history.agg(F.sum("ingress_bytes")).first()[0] == 60
+    # past what hours hold: the edge is a whole day, and the answer says so
+    old = Asked(now, since=timedelta(days=95))
+    start, _ = reader.effective(old)
+    assert start == utc(2023, 12, 16)
+
+
+def test_pieces_tile_the_window():
+    from bytewake.config import Settings
+    from bytewake.operators import verbs
+
+    tz = "America/New_York"
+    rolled = {"hour": utc(2024, 3, 20, 21, 29), "day": utc(2024, 3, 20, 21), "month": utc(2024, 3, 20, 4)}
+    for start, end in [(utc(2023, 11, 2, 3, 7, 9), utc(2024, 3, 20, 21, 30)), (utc(2024, 3, 10, 6, 30), utc(2024, 3, 11, 4)), (utc(2024, 3, 20, 21), utc(2024, 3, 20, 21, 5))]:
+        for tier in ("minute", "hour", "day", "month"):
+            pieces = verbs.window_pieces((start, end), tier, Settings(tz=tz), rolled, {})
+            assert pieces[0][1] == start.replace(second=0) and pieces[-1][2] == end
+            assert all(a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+            assert all(a < b for _, a, b in pieces)

@@ -3,6 +3,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from bytewake import schemas
 from bytewake.config import Settings
 from bytewake.operators import tiers
 from bytewake.plans.attribution import ingest
@@ -263,3 +264,130 @@ def test_batch_that_failed_before_its_commit_can_be_repeated(spark, root):
     rows = rows_of(store.identities(), "id", "normalized_cmdline")
     assert len({i for i, _ in rows}) == len(rows) == 4
     assert sum(r[2] + r[3] for r in named(store, "minute")) == 5 + 7 + 11 + 1100
+
+
+def died(*args, **kwargs):
+    raise RuntimeError("died")
+
+
+def total(store, tier="minute", *window):
+    return store.scan(tier, *window).agg(F.sum("ingress_bytes")).first()[0]
+
+
+TWO_DAYS = [(utc(2026, 7, 6, 10), 1, "external", 10, 0), (utc(2026, 7, 7, 10), 1, "external", 20, 0)]
+
+
+def test_compaction_that_dies_before_its_commit_counts_nothing(spark, root):
+    store = Store(spark, root)
+    for name in ("a", "b"):
+        store.append("minute", facts(spark, *TWO_DAYS), name)
+    assert store.compact("minute", date(2026, 7, 6))
+    commit, store._commit = store._commit, died
+    with pytest.raises(RuntimeError):
+        store.compact("minute", date(2026, 7, 7))
+    store._commit = commit
+    assert total(store) == 60
+    store = Store(spark, root)
+    assert store.compact("minute", date(2026, 7, 7))
+    assert total(store) == 60
+    store.vacuum("minute")
+    assert total(store) == 60
+
+
+def test_retry_does_not_inherit_dates_of_a_failed_attempt(spark, root):
+    store = Store(spark, root)
+    store.append("minute", facts(spark, TWO_DAYS[1]), "other")
+    store.stage("minute", facts(spark, *TWO_DAYS), "a")
+    store.append("minute", facts(spark, TWO_DAYS[0]), "a")
+    assert total(store, "minute", utc(2026, 7, 7), utc(2026, 7, 8)) == 20
+    # the same after a commit: the later attempt is the batch
+    store.append("minute", facts(spark, *TWO_DAYS), "a")
+    assert total(store) == 50
+    store.append("minute", facts(spark, TWO_DAYS[0]), "a")
+    assert total(store) == 30
+
+
+def test_vacuum_leaves_a_batch_that_is_being_written(spark, root):
+    store = Store(spark, root)
+    store.stage("minute", facts(spark, *TWO_DAYS), "a")
+    assert store.vacuum("minute") == []
+    store.commit_batches([("minute", "a")])
+    assert total(store) == 30
+
+
+@pytest.mark.parametrize("row", [
+    (NOON, 1, "lan", 1, 1), (NOON, 1, None, 1, 1), (NOON, None, "external", 1, 1), (NOON, 1, "external", None, 1)])
+def test_rows_that_a_tier_may_not_hold_are_refused(spark, root, row):
+    store = Store(spark, root)
+    with pytest.raises(Exception, match="not a tier row"):
+        store.append("minute", facts(spark, row), "a")
+    assert store.scan("minute").count() == 0
+
+
+def test_other_session_zones_are_refused(spark, root):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        with pytest.raises(ValueError):
+            Store(spark, root)
+        with pytest.raises(ValueError):
+            tiers.roll(facts(spark, TWO_DAYS[0]), "day", "Europe/Berlin")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_daily_windows_of_one_landing_folder_count_once(spark, root):
+    every = [sample(i, utc(2024, 1, 1 + i % 2, 10, i), 1, "tcp_sendmsg", 10 + i) for i in range(6)]
+    store, both = Store(spark, root), Store(spark, root + "-both")
+    days = [(utc(2024, 1, d), utc(2024, 1, d + 1)) for d in (1, 2)]
+    for window in days:
+        ingest(spark, store, world(spark, every), f"{window[0]:%F}", Settings(), window)
+    ingest(spark, both, world(spark, every), "both", Settings(), (days[0][0], days[1][1]))
+    assert named(store, "minute") == named(both, "minute") and len(named(store, "minute")) == 6
+    with pytest.raises(ValueError, match="2024-01-02"):
+        ingest(spark, store, world(spark, every), "again", Settings(), (utc(2024, 1, 2, 5), utc(2024, 1, 3)))
+    ingest(spark, store, world(spark, every), "2024-01-02", Settings(), days[1])
+    assert named(store, "minute") == named(both, "minute")
+
+
+def test_process_that_does_not_change_is_written_once(spark, root):
+    store = Store(spark, root)
+    for i in range(3):
+        rows = [sample(i, utc(2024, 1, 1, 10, 1 + i), 1, "tcp_sendmsg", 5)]
+        ingest(spark, store, world(spark, rows), f"b{i}", Settings())
+    rows = store.identity_rows().groupBy("normalized_cmdline").count().collect()
+    assert [r["count"] for r in rows] == [1]
+    assert sum(r[3] for r in named(store, "minute")) == 15
+
+
+def test_later_commit_wins_a_tie_whatever_its_name(spark, root):
+    store = Store(spark, root)
+    row = dict(id=1, host="h", uid=1, unit_or_cgroup="u", exe="e", project_root="p", normalized_cmdline="n", comm="c",
+               raw_cmdline="r", first_seen=NOON, last_seen=NOON)
+    for batch, name in (("merge-z", "old"), ("live-a", "new")):
+        store.stage_identities(spark.createDataFrame([{**row, "username": name}], schemas.IDENTITY), batch)
+        store.commit_batches([("identity", batch)])
+    assert store.identities().first()["username"] == "new"
+
+
+def test_no_byte_is_lost_to_missing_fields(spark, root):
+    store = Store(spark, root)
+    rows = [list(sample(i, utc(2024, 1, 1, 9, i), 2, "udp_recvmsg", 10)) for i in range(4)]
+    rows[1][2], rows[2][3] = None, None
+    feed = feeds(spark, samples=[tuple(r) for r in rows], meta=[("h", 2, 1000, "7", None, utc(2024, 1, 1))])
+    ingest(spark, store, feed, "a", Settings())
+    ingest(spark, store, feed, "b", Settings())
+    assert total(store) == 80
+    assert store.identities().count() == 2
+
+
+def test_reused_process_number_with_captures_only(spark, root):
+    store = Store(spark, root)
+    meta = [("h", 2, 1000, "7", "first\0", utc(2024, 1, 1)), ("h", 2, 2000, "7", "second\0", utc(2024, 1, 1, 12))]
+    rows = [sample(1, utc(2024, 1, 1, 11), 2, "udp_recvmsg", 10), sample(2, utc(2024, 1, 1, 12, 0, 1), 2, "udp_recvmsg", 20)]
+    # a snapshot, then a capture of another process under its number
+    rows += [sample(3, utc(2024, 1, 1, 11), 5, "udp_recvmsg", 30), sample(4, utc(2024, 1, 1, 13), 5, "udp_recvmsg", 40)]
+    meta += [("h", 5, 1000, "7", "node\0", utc(2024, 1, 1, 10, 0, 5)), ("h", 5, 3000, "7", "third\0", utc(2024, 1, 1, 12))]
+    feed = feeds(spark, samples=rows, snapshots=[snapshot(5, utc(2024, 1, 1, 10))], meta=meta)
+    ingest(spark, store, feed, "a", Settings())
+    assert [(n, i) for n, _, i, _ in named(store, "minute")] == [
+        ("<unresolved:first>", 10), ("<unresolved:second>", 20), ("<unresolved:third>", 40), ("npm run dev", 30)]

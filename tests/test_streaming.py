@@ -169,3 +169,61 @@ def test_watch_shows_a_caller_only_what_is_theirs(spark, tmp_path, root):
         run(reader.watch(stream, lambda: known, emit, DELAY), f"{tmp_path}/state-{caller}")
     assert sorted(map(tuple, seen[1000])) == [(1, "h", 9), (2, "h", 5)]
     assert sorted(map(tuple, seen[0])) == [(1, "h", 9), (2, "h", 7), (3, "h", 5)]
+
+
+def test_watch_ranks_whole_minutes_and_closed_ones_once(spark, tmp_path):
+    minute = START + timedelta(minutes=1)
+    files = [
+        [sample(1, minute, 1, "tcp_sendmsg", 100), sample(2, minute, 2, "tcp_sendmsg", 50)],
+        [sample(3, minute + timedelta(seconds=9), 2, "tcp_sendmsg", 5)],
+        [sample(4, minute + timedelta(minutes=1), 2, "tcp_sendmsg", 7)],
+        [sample(5, minute + timedelta(minutes=30), 1, "tcp_sendmsg", 1)],
+        [sample(6, minute + timedelta(minutes=31), 1, "tcp_sendmsg", 1)],
+    ]
+    land(spark, f"{tmp_path}/in", files)
+
+    def identify(folds, stage):
+        facts = folds.groupBy("bucket", F.col("tgid").alias("identity_id"), "scope").agg(
+            F.sum("ingress_bytes").alias("ingress_bytes"), F.sum("egress_bytes").alias("egress_bytes"))
+        return facts, facts.select(F.col("identity_id").alias("id"), F.lit("h").alias("host")).distinct()
+
+    def watched(closed):
+        emitted = []
+
+        def emit(ranked, number):
+            rows = ranked.select(F.unix_seconds("bucket").alias("b"), "rank", "group_key", "egress_bytes").collect()
+            emitted.append(sorted(((r.b - int(minute.timestamp())) // 60, r["rank"], r.group_key, r.egress_bytes) for r in rows))
+
+        stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True, maxFilesPerTrigger=1)
+        run(live.stream_watch(stream, identify, emit, DELAY, closed=closed), f"{tmp_path}/state-{closed}")
+        return [rows for rows in emitted if rows]
+
+    first = [(0, 1, "1", 100), (0, 2, "2", 50)]
+    second = [(0, 1, "1", 100), (0, 2, "2", 55)]
+    assert watched(False) == [first, second, [(1, 1, "2", 7)], [(30, 1, "1", 1)], [(31, 1, "1", 1)]]
+    assert [r for rows in watched(True) for r in rows] == second + [(1, 1, "2", 7)]
+
+
+def test_new_checkpoint_with_other_batches_adds_only_what_is_missing(spark, tmp_path, root):
+    store, known = Store(spark, root), lookups(spark)
+    first = [[sample(1, START, 1, "tcp_sendmsg", 1)], [sample(2, START + timedelta(hours=1), 1, "tcp_sendmsg", 5)]]
+    land(spark, f"{tmp_path}/in", first)
+
+    def start(checkpoint, per_trigger):
+        stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True, maxFilesPerTrigger=per_trigger)
+        run(live.ingest_stream(store, stream, lambda: known, DELAY, "live", Settings()), checkpoint)
+
+    start(f"{tmp_path}/a", 1)
+    assert per_identity(store) == [("app 1x", 0, 1)]
+    land(spark, f"{tmp_path}/more", [[sample(3, START + timedelta(minutes=2), 2, "tcp_sendmsg", 101)]])
+    spark.read.schema(first_schema()).parquet(f"{tmp_path}/more").write.mode("append").parquet(f"{tmp_path}/in")
+    start(f"{tmp_path}/b", 100)
+    assert per_identity(store) == [("app 1x", 0, 1), ("app 2x", 0, 101)]
+    start(f"{tmp_path}/b", 100)
+    assert sum(r[2] for r in per_identity(store)) == 102
+
+
+def first_schema():
+    from bytewake import schemas
+
+    return schemas.SOCKET_SAMPLE
