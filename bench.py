@@ -21,7 +21,8 @@ HEADLINE = [
     "minute_merge", "rollup_hour", "rollup_day", "rollup_month", "prune_retention",
     "tier_sink", "tier_scan", "tier_constraints",
     "top_by_identity", "top_by_project", "top_by_exe", "top_by_user", "series",
-    "uid_scope", "unresolved_share", "counter_rows", "stream_minute_fold",
+    "uid_scope", "unresolved_share", "counter_rows", "window_answer", "rollup_watermark", "stream_minute_fold",
+    "stream_ingest", "stream_watch", "late_samples",
 ]
 
 
