@@ -49,35 +49,50 @@ CLASSES = (
     CharacterClass("base64_entropy", "[A-Za-z0-9+/_=-]", 24, 4.1),
 )
 
-#: candidates that are no secrets: words alone, paths and names of them, counting and alphabets, placeholders
+#: candidates that are no secrets: words alone, paths and names of them, counting and alphabets, placeholders;
+#: repeated groups are possessive, since others need a stack frame for each round of a long candidate
 ALLOWED = (
-    r"^[A-Za-z]+$", r"^[a-z0-9_-]*(/[a-z0-9_-]+){2,}/?$", r"^[a-z]+([_-][a-z]+)+$",
+    r"^[A-Za-z]+$", r"^[a-z0-9_-]*(/[a-z0-9_-]+){2,}+/?$", r"^[a-z]+([_-][a-z]+)++$",
     r"(?i)0123456789|abcdefghij|example|placeholder|xxxxxx", r"(.)\1{7}",
 )
 
 
 SPANS = "array<struct<start:int,end:int,match:string>>"
+#: matches that are placed in one go; an array grows by copying, so a text with many takes two levels
+PLACED = 1024
 
 
 def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def places(text: Column, pattern: str, found: Column) -> Column:
-    """Spans (start, end, match) of a pattern's matches, which ``found`` holds; texts without any are not looked at."""
+def pieces(text: Column, pattern: str, found: Column) -> Column:
+    """Each match of a pattern with the length of the gap before it; null without any, and the text is not looked at."""
     gaps = F.split(text, pattern, -1)
-    pieces = F.when(F.size(found) > 0, F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"))))
-    kind = f"struct<at:int,spans:{SPANS}>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
+    return F.when(F.size(found) > 0, F.zip_with(
+        F.slice(gaps, 1, F.size(found)), found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"))))
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
+
+def places(pieces: Column) -> Column:
+    """Spans (start, end, match) of matches; ``pieces`` must be a column by itself, or each chunk would search the text."""
+    state = lambda kind, at, spans: F.struct(at.alias("at"), spans.alias("spans")).cast(f"struct<at:int,spans:{kind}>")
+
+    def step(so_far: Column, piece: Column) -> Column:
+        start = so_far["at"] + piece["gap"]
         end = start + F.length(piece["match"])
         span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans")).cast(kind)
+        return state(SPANS, end, F.concat(so_far["spans"], F.array(span)))
+
+    def chunk(so_far: Column, some: Column) -> Column:
+        return F.aggregate(
+            some, state(SPANS, so_far["at"], F.array()), step,
+            lambda done: state(f"array<{SPANS}>", done["at"], F.concat(so_far["spans"], F.array(done["spans"]))))
 
-    return F.coalesce(F.aggregate(pieces, empty, step, lambda s: s["spans"]), F.array().cast(SPANS))
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / PLACED).cast("int")),
+        lambda i: F.slice(pieces, i * PLACED + 1, PLACED))
+    placed = F.aggregate(chunks, state(f"array<{SPANS}>", F.lit(0), F.array()), chunk, lambda s: F.flatten(s["spans"]))
+    return F.coalesce(F.when(pieces.isNotNull(), placed), F.array().cast(SPANS))
 
 
 def long_enough(spans: Column, pattern: str, group: int, least: int) -> Column:
@@ -160,12 +175,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     patterns = {kind: pattern for kind, pattern, *_ in FIXED} | {c.kind: run_of(c) for c in CLASSES}
     found = {f"_match_{kind}": matches(content, pattern) for kind, pattern in patterns.items()}
-    placed = {f"_place_{kind}": places(content, pattern, F.col(f"_match_{kind}")) for kind, pattern in patterns.items()}
+    parted = {f"_piece_{kind}": pieces(content, pattern, F.col(f"_match_{kind}")) for kind, pattern in patterns.items()}
+    placed = {f"_place_{kind}": places(F.col(f"_piece_{kind}")) for kind in patterns}
     spans = {kind: long_enough(F.col(f"_place_{kind}"), pattern, group, least) for kind, pattern, group, least in FIXED}
     spans |= {c.kind: entropy_spans(F.col(f"_place_{c.kind}"), c) for c in CLASSES}
     ranked = [_ranked(F.col(f"_span_{kind}"), i, kind) for i, kind in enumerate(spans)]
     return (
-        kept.withColumns(found).withColumns(placed).withColumns({f"_span_{kind}": s for kind, s in spans.items()})
+        kept.withColumns(found).withColumns(parted).withColumns(placed).withColumns({f"_span_{kind}": s for kind, s in spans.items()})
         .select(
             *kept.columns, F.array_sort(F.concat(*ranked[:len(FIXED)])).alias(names[0]),
             F.array_sort(F.concat(*ranked)).alias(names[1]),

@@ -93,3 +93,11 @@ def test_empty_table_clashing_columns_and_native_plan(spark):
     assert ss.scan(docs.limit(0)).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_long_candidates_and_many_matches(spark):
+    n = 3 * ss.PLACED
+    check(spark, [
+        "ab-" * 20_000 + "ab", "/ab" * 20_000, "pass_word" * 5_000,
+        "token=abcdefgh1234\n" * (n + 1), "token=abcdefgh1234 " * ss.PLACED, "é secret: x " * n + "secret: abcdefg",
+    ])
