@@ -20,7 +20,7 @@ and the composed machine is kept as one state per position.
 The machine is composed with each *unit* of a text: no piece has a mark behind
 another character, so no arc crosses from a character to a mark, and texts fall
 into units there.  Units repeat, and each worker remembers the paths of the last
-one or two times ``REMEMBERED`` of them.  Whole texts are encoded, of any length.
+one or two times ``REMEMBERED`` of them that are at most ``MEMORABLE`` long.  Whole texts are encoded, of any length.
 
 Defined results: a null text counts as an empty one, which has no pieces; equal
 texts get equal pieces; an empty table gives an empty one; input columns named
@@ -45,6 +45,8 @@ from bytewake.llm.common import add_columns, texts
 
 MARK = "▁"
 REMEMBERED = 400_000
+#: longer units hardly repeat, and in scripts without spaces a unit may be a whole text
+MEMORABLE = 64
 PAIRS = 1_000_000
 UNIGRAM, MERGES = 1, 2  # model types
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
@@ -210,7 +212,8 @@ class Transducer:
         if found is None:
             ids = self.written(self.path(unit))
             found = struct.pack(f"<{len(ids)}i", *ids)
-        self.paths[key] = found
+        if len(key) <= MEMORABLE:
+            self.paths[key] = found
         return found
 
     def forget(self) -> None:

@@ -24,7 +24,8 @@ index says.
 Encoding: a text is cut in front of single spaces.  The pre-tokeniser of
 byte-level files never joins anything across such a cut, so the ids of the parts
 are those of the whole.  Parts repeat, and each worker remembers the ids of the
-last one or two times ``REMEMBERED`` of them; all come from the tokenizers
+last one or two times ``REMEMBERED`` of them but for those longer than
+``MEMORABLE``; all come from the tokenizers
 library, many in one call.  Where a cut
 could fall inside a run of white space the library gets the whole text, and with
 a tokenizer of another kind it always does.
@@ -55,6 +56,8 @@ from bytewake.llm.common import steps, texts
 from bytewake.staging import Stage
 
 REMEMBERED = 500_000
+#: longer parts hardly repeat, and in scripts without spaces a part may be a whole text
+MEMORABLE = 64
 #: parts that the library encodes in one call
 CALL = 2_000
 #: parts whose ids are put together at once
@@ -158,6 +161,9 @@ class Encoder:
         distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self.learn(set(distinct))
         packed = [self.known[p] for p in distinct]
+        for p in distinct:
+            if len(p) > MEMORABLE:
+                del self.known[p]
         size = np.array([len(p) // self.width for p in packed], np.int64)
         ids = np.frombuffer(b"".join(packed), f"<u{self.width}")
         place = np.cumsum(size) - size

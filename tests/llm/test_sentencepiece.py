@@ -108,3 +108,10 @@ def test_documents(spark, model):
     assert all(r["round_trip"] or "▁" in AWKWARD[r["doc_id"]] for r in got)
     assert [r["n_ids"] for r in got] == [len(r["ids"]) for r in got]
     assert fst.encode(docs.limit(0), model).count() == 0
+
+
+def test_long_units_are_not_remembered(model):
+    machine, library = fst.Transducer(fst.Model.parse(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
+    text = "日本語" * 3000 + " short " + "x1" * fst.MEMORABLE + " short"
+    assert ids_of(machine, text) == ids_of(machine, text) == library.encode(text)
+    assert "short" in machine.paths and max(map(len, [*machine.paths, *machine.older])) <= fst.MEMORABLE

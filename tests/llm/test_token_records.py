@@ -39,6 +39,14 @@ def test_parts_give_the_ids_of_the_whole(spec):
     assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
 
 
+def test_long_parts_are_not_remembered(spec):
+    texts = ["start " + "日本語" * 3000 + " short " + "x1" * tr.MEMORABLE, "日本語" * 3000 + " short"]
+    coder = tr.Encoder(spec)
+    for _ in range(2):
+        assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
+    assert "short" in coder.known and max(map(len, coder.known)) <= tr.MEMORABLE
+
+
 def test_other_tokenizers_get_whole_texts():
     spec = tokenizer_files.content("word_bpe_49k.json").decode()
     coder = tr.Encoder(spec)
