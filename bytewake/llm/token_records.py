@@ -137,19 +137,31 @@ class Encoder:
         bounds = [*(starts * self.width).tolist(), len(packed)]
         return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def learn(self, needed: set[str]) -> None:
-        """Remember the ids of parts; of two generations the older goes once the newer is full."""
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts; of two generations of remembered ones the older goes once the newer is full."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        needed = needed.difference(self.known)
-        self.known.update({p: self.older[p] for p in needed.intersection(self.older)})
-        new = list(needed.difference(self.known))
+        packed = list(map(self.known.get, parts))
+        missing = [i for i, ids in enumerate(packed) if ids is None]
+        named = [parts[i] for i in missing]
+        older = list(map(self.older.get, named))
+        fresh = self.fresh([p for p, ids in zip(named, older) if ids is None])
+        for i, p, ids in zip(missing, named, older):
+            packed[i] = ids = fresh[p] if ids is None else ids
+            if len(p) <= MEMORABLE:
+                self.known[p] = ids
+        return packed
+
+    def fresh(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts as the library gives them."""
         # white space at an end of a part would meet that of its neighbour
-        plain = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
-        odd = list(set(new).difference(plain))
+        odd = [p for p in parts if not p or p[0].isspace() or p[-1].isspace()]
+        plain = list(set(parts).difference(odd)) if odd else parts
+        found: dict[str, bytes] = {}
         for some, encode in ((plain, self.spaced), (odd, lambda parts: self.library([" " + p for p in parts]))):
             for at in range(0, len(some), CALL):
-                self.known.update(zip(some[at:at + CALL], encode(some[at:at + CALL])))
+                found.update(zip(some[at:at + CALL], encode(some[at:at + CALL])))
+        return found
 
     def encode(self, whole: list[str]) -> list[bytes]:
         is_cut = [self.parted and not INSIDE_SPACE.search(t) for t in whole]
@@ -159,12 +171,8 @@ class Encoder:
         first = parts.offsets.to_numpy()[:-1]
         coded = parts.flatten().dictionary_encode()
         distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        self.learn(set(distinct))
-        packed = [self.known[p] for p in distinct]
-        for p in distinct:
-            if len(p) > MEMORABLE:
-                del self.known[p]
-        size = np.array([len(p) // self.width for p in packed], np.int64)
+        packed = self.look_up(distinct)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
         ids = np.frombuffer(b"".join(packed), f"<u{self.width}")
         place = np.cumsum(size) - size
         # the first part of a text has no space in front
