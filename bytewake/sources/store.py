@@ -41,6 +41,13 @@ from bytewake.staging import Stage
 
 IDENTITY_TABLE = "identity"
 
+#: hexadecimal digits that tell attempts of one batch apart
+ATTEMPT = 12
+#: batches of a tier that a scan names in its partition filter; beyond, it joins the log
+NAMED = 10_000
+#: files of the log from which on upkeep rewrites log and dimension
+LOG_FILES = 256
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -138,7 +145,7 @@ class Store:
 
     def _attempt(self, tier: str, batch_id: str) -> str:
         """A name for the folders of a batch that no earlier attempt had."""
-        self._staged[tier, batch_id] = attempt = f"{batch_id}.{uuid.uuid4().hex[:12]}"
+        self._staged[tier, batch_id] = attempt = f"{batch_id}.{uuid.uuid4().hex[:ATTEMPT]}"
         return attempt
 
     def stage(self, tier: str, facts: DataFrame, batch_id: str) -> None:
@@ -231,10 +238,24 @@ class Store:
         return dropped.select(F.col("batch_id").alias("name"), "dt").distinct()
 
     def _live(self, tier: str) -> DataFrame:
-        """Rows that count, with the ``name`` of their batch."""
+        """Rows that count, with the ``name`` of their batch.
+
+        Which folders they lie in is known before the scan, so others are not
+        read, and facts are never shuffled by batch.
+        """
         rows = self._read(self._table(tier), schemas.TRAFFIC_STORED)
-        added = self._added(tier).select("batch_id", "name")
-        return rows.join(added, "batch_id").join(self._dropped(tier), ["name", "dt"], "left_anti")
+        added, dropped = self._added(tier), self._dropped(tier)
+        folder = lambda name: F.concat_ws("/", F.col("dt").cast("string"), name)
+        named = added.select("batch_id", F.lit(True).alias("counts")).unionByName(
+            dropped.select(folder(F.col("name")).alias("batch_id"), F.lit(False).alias("counts")))
+        known = named.limit(NAMED + 1).collect()
+        if len(known) > NAMED:
+            return rows.join(added.select("batch_id", "name"), "batch_id").join(dropped, ["name", "dt"], "left_anti")
+        name = F.expr(f"left(batch_id, length(batch_id) - {ATTEMPT + 1})")
+        return rows.where(
+            F.col("batch_id").isin([row.batch_id for row in known if row.counts])
+            & ~folder(name).isin([row.batch_id for row in known if not row.counts])
+        ).withColumn("name", name)
 
     def deltas(
         self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
@@ -288,7 +309,11 @@ class Store:
         return rows.join(self._live_identity_batches(), "batch_id").drop("batch_id", "name")
 
     def _live_identity_batches(self) -> DataFrame:
-        return self._added(IDENTITY_TABLE).join(self._dropped(IDENTITY_TABLE).select("name"), "name", "left_anti")
+        drops = self.log().where((F.col("tier") == IDENTITY_TABLE) & (F.col("action") == "drop"))
+        dropped = drops.groupBy(F.col("batch_id").alias("name")).agg(F.max("seq").alias("dropped_at"))
+        # a batch written again after it was merged counts again, which changes nothing or brings news
+        return self._added(IDENTITY_TABLE).join(dropped, "name", "left").where(
+            F.col("dropped_at").isNull() | (F.col("version") > F.col("dropped_at"))).drop("dropped_at")
 
     def identities(self) -> DataFrame:
         """Current state of the dimension."""
@@ -394,11 +419,18 @@ class Store:
         return gone
 
     def maintain(self, now: datetime, settings: Settings, complete_through: datetime | None = None) -> None:
-        """Rollup of every tier, fine to coarse, then retention."""
+        """Rollup of every tier, fine to coarse, then retention; from time to time one file each for log and dimension.
+
+        Facts are merged only by ``compact``: a stream that starts anew must
+        know which rows its earlier runs wrote, and merged rows do not tell.
+        """
         for tier in TIERS[1:]:
             self.rollup(tier, now, settings, complete_through)
         for tier in TIERS:
             self.prune(tier, now, settings)
+        if len(self.log().inputFiles()) >= LOG_FILES:
+            self.compact_identities()
+            self.compact_log()
 
 
 def _utc(moment: datetime) -> datetime:

@@ -369,6 +369,27 @@ def test_later_commit_wins_a_tie_whatever_its_name(spark, root):
     assert store.identities().first()["username"] == "new"
 
 
+def test_upkeep_bounds_log_and_dimension(spark, root, monkeypatch):
+    monkeypatch.setattr("bytewake.sources.store.LOG_FILES", 5)
+    store = Store(spark, root)
+    row = dict(id=1, host="h", uid=1, unit_or_cgroup="u", exe="e", project_root="p", normalized_cmdline="n", comm="c",
+               raw_cmdline="r", first_seen=NOON)
+    for i in range(12):
+        seen = {**row, "username": f"user{i}", "last_seen": NOON + timedelta(minutes=i)}
+        store.stage_identities(spark.createDataFrame([seen], schemas.IDENTITY), f"b{i}")
+        store.stage("minute", facts(spark, (NOON + timedelta(minutes=i), 1, "external", 1, 1)), f"b{i}")
+        store.commit_batches([("identity", f"b{i}"), ("minute", f"b{i}")])
+        store.maintain(NOON, Settings())
+        assert len(store.log().inputFiles()) <= 6 and store.identity_rows().count() <= 6
+    assert store.identities().first()["username"] == "user11"
+    assert sum(r[3] for r in stamped(store.scan("minute"))) == 12 and all(store.committed(f"b{i}") for i in range(12))
+    # a batch that is written again after it was merged is not lost
+    again = {**row, "username": "again", "last_seen": NOON + timedelta(hours=1)}
+    store.stage_identities(spark.createDataFrame([again], schemas.IDENTITY), "b0")
+    store.commit_batches([("identity", "b0")])
+    assert store.identities().first()["username"] == "again"
+
+
 def test_no_byte_is_lost_to_missing_fields(spark, root):
     store = Store(spark, root)
     rows = [list(sample(i, utc(2024, 1, 1, 9, i), 2, "udp_recvmsg", 10)) for i in range(4)]
