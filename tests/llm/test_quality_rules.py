@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bytewake.llm.quality_rules import BANDS, Rules, judge, keep_good
+from bytewake.llm.quality_rules import BANDS, Rules, chunk_starts, judge, keep_good
 from tests.llm.helpers import AWKWARD, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,3 +79,45 @@ def test_empty_table_and_repeated_rows(spark):
 @pytest.mark.parametrize("low, high", list(zip(BANDS, BANDS[1:])))
 def test_bands_rise_with_length(low, high):
     assert low.up_to < high.up_to and low.high < high.high and low.low <= high.low
+
+
+def encoded(seed, n):
+    """Words of base64 of random bytes."""
+    rnd = random.Random(seed)
+    return " ".join(base64.b64encode(rnd.randbytes(15)).decode()[:rnd.randint(12, 18)] for _ in range(n))
+
+
+def test_default_rules_reject_encoded_text_at_every_length(spark):
+    texts = [encoded(n, n) for n in (52, 56, 60, 100, 400, 3000)]
+    assert {len(t) <= 1024 for t in texts} == {True, False}
+    assert not any(r["kept"] for r in judge(documents(spark, texts), Rules()).collect())
+
+
+def test_default_rules_see_parts_of_ordinary_texts(spark):
+    whole = prose(3, 3000)
+    half = whole[:len(whole) // 2]
+    phrase = " again and over" * 100
+    texts = [
+        half + phrase + whole[len(half):],  # repetition of a tenth of the text
+        half + " " + encoded(5, 120) + " " + whole[len(half):],
+        prose(4, 800) + " " + encoded(6, 60),  # encoded text at the end, shorter than a chunk
+        whole,
+    ]
+    got = judge(documents(spark, texts), Rules()).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == [False, False, False, True]
+    assert all(r["n_bad_chunks"] for r in got[:3])
+
+
+def test_default_bands_reject_symbols_and_fragments(spark):
+    rnd = random.Random(8)
+    words = prose(11, 3000).split()
+    symbols = " ".join(w + rnd.choice("#*$%&") * 3 for w in words)
+    fragments = " | ".join(words)
+    assert [r["kept"] for r in judge(documents(spark, [symbols, fragments]), Rules()).collect()] == [False, False]
+
+
+@pytest.mark.parametrize("size", [0, 5, 1023, 1024, 1025, 1536, 1537, 5000])
+def test_chunks_cover_every_byte(size):
+    starts = chunk_starts(size, 1024)
+    assert set(range(size)) == {b for s in starts for b in range(s, s + 1024)} or (size < 1024 and not starts)
