@@ -52,8 +52,6 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:bytewake:page:"
-#: bytes that a WARC header may take; more is no header
-HEADER_BYTES = 1 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -167,7 +165,7 @@ def inflate(window: Window, start: int) -> Member | None:
         return None
     end = at - len(unpacker.unused_data)
     content = b"".join(parts)
-    return Member(start, end, content) if content.find(b"\r\n\r\n", 0, HEADER_BYTES) >= 0 else None
+    return Member(start, end, content) if b"\r\n\r\n" in content else None
 
 
 def begins(window: Window, at: int) -> bool:

@@ -98,3 +98,12 @@ def test_empty_table_and_extra_columns(spark):
     assert warc.read(kept).count() == 1
     empty = warc.write(pages.limit(0), session.work_dir(spark, "warc"), stage_in(spark, "test"))
     assert empty.count() == 0 and warc.read(empty).count() == 0
+
+
+def test_header_of_any_length_is_a_header():
+    url = "https://host.example/" + "a" * (2 << 20)
+    payload = b"<html>x</html>"
+    made = warc.record(7, url, payload, warc.base32_sha1(payload), None, False, "2024-01-01T00:00:00Z")
+    found = list(warc.members(warc.Window(Bytes(made)), 0, len(made)))
+    row = warc.parse(found[0])
+    assert len(found) == 1 and (row["page_id"], row["url"], row["payload"]) == (7, url, payload)
