@@ -5,6 +5,8 @@ All steps run per process or per directory, never per sample.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -341,17 +343,22 @@ def surrogate_id(fresh: DataFrame, after: Column) -> DataFrame:
     )
 
 
-def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as_is) -> DataFrame:
+def identity_delta(
+    sightings: DataFrame, dimension: DataFrame | Callable[[DataFrame], DataFrame], stage: Stage = as_is, top: int | None = None,
+) -> DataFrame:
     """Rows of the dimension that ``sightings`` refer to, as they are afterwards.
 
     ``changed`` tells which of them are new or differ from what was known; only
     those need to be written.  Known keys keep id and first_seen; new keys get ids above the highest one.
     ``dimension`` may hold several rows per identity (base and deltas, told
-    apart by ``version``).  Only rows of the keys at hand are merged: a small
+    apart by ``version``), or be a function that finds rows for some keys; then
+    ``top``, the highest id given, must be known.  Only rows of the keys at hand are merged: a small
     batch filters the dimension where it lies instead of shuffling it.
     """
     key = list(NATURAL_KEY)
     news = stage(identity_fold(sightings), "news")
+    if callable(dimension):
+        dimension = dimension(news.select(*key))
     if "version" not in dimension.columns:
         dimension = dimension.withColumn("version", F.lit(0))
     known = identity_merge(dimension.join(news.select(*key), key, "left_semi")).select(
@@ -371,8 +378,8 @@ def identity_delta(sightings: DataFrame, dimension: DataFrame, stage: Stage = as
         ).alias("changed"),
     )
     fresh = matched.where(F.col("id").isNull()).select(*key, *DISPLAY, "first_seen", "last_seen")
-    top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = surrogate_id(fresh, top).withColumn("changed", F.lit(True))
+    after = F.lit(top) if top is not None else dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    numbered = surrogate_id(fresh, after).withColumn("changed", F.lit(True))
     return touched.unionByName(numbered.select(*touched.columns))
 
 

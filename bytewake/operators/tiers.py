@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from bytewake.config import COARSER, FINER, NATURAL_KEY, SCOPES, TIER_KEY, Setti
 from bytewake.functions import calendar
 
 
+# folders of the coarse tiers hold more than a date
+FOLDER_UNIT = {"day": "month", "month": "year"}
+
+
 def byte_sums() -> list[Column]:
     return [F.sum("ingress_bytes").alias("ingress_bytes"), F.sum("egress_bytes").alias("egress_bytes")]
 
@@ -33,6 +37,18 @@ def checked(facts: DataFrame) -> DataFrame:
     return facts.withColumn("scope", F.when(valid, F.col("scope")).otherwise(F.raise_error(told).cast("string")))
 
 
+def folder_of(day: Column, tier: str) -> Column:
+    """The date that names the folder of a bucket: about as many buckets lie in each of every tier."""
+    unit = FOLDER_UNIT.get(tier)
+    return F.trunc(day, unit).cast("date") if unit else day
+
+
+def folder_date(day: date, tier: str) -> date:
+    """``folder_of`` for a plain date."""
+    unit = FOLDER_UNIT.get(tier)
+    return day.replace(day=1, **({"month": 1} if unit == "year" else {})) if unit else day
+
+
 def roll(facts: DataFrame, tier: str, tz: str) -> DataFrame:
     """Aggregate finer facts to ``tier``.  Partial sums form before the shuffle."""
     bucket = calendar.tier_start(F.col("bucket"), tier, tz).alias("bucket")

@@ -122,17 +122,21 @@ def ingest(
     With a ``window`` only samples of [from, to) are taken from the feed, and a
     window that overlaps one taken before is refused, so that a landing folder
     can be read again and again.  Without one the feed must hold new samples
-    only.  A batch that was committed before is left alone; of one that failed
-    half way nothing is used.
+    only.  A batch that was committed before is left alone, and refused if it
+    comes with another window than then; of one that failed half way nothing is
+    used.
     """
+    if store.committed(batch_id):
+        taken = store.window_read(batch_id)
+        if window != taken and (window is None or taken is None or tuple(map(calendar.micros, window)) != tuple(map(calendar.micros, taken))):
+            raise ValueError(f"batch {batch_id!r} was committed with samples of {taken or 'no window'}, not of {window}")
+        return
     if window is not None:
         taken = store.overlapping(window)
-        if taken is not None and taken != batch_id:
+        if taken is not None:
             raise ValueError(f"samples of this window are part of batch {taken!r}")
         inside = (F.col("ts") >= calendar.at(window[0])) & (F.col("ts") < calendar.at(window[1]))
         feeds = replace(feeds, samples=feeds.samples.where(inside))
-    if store.committed(batch_id):
-        return
     with staging(spark, "ingest") as stage:
         folds = lifetime_folds(feeds, stage)
         facts = attribute(store, folds, feeds, batch_id, stage)
@@ -143,7 +147,7 @@ def ingest(
 def attribute(store: Store, folds: DataFrame, feeds: Feeds, batch_id: str, stage: Stage) -> DataFrame:
     """Minute facts of folds; the identities they need are staged with them."""
     seen = stage(sightings(folds, narrowed(feeds, folds)), "sightings")
-    delta = stage(ids.identity_delta(seen, store.identity_rows(), stage), "delta")
+    delta = stage(ids.identity_delta(seen, store.identity_rows, stage, store.highest_id()), "delta")
     store.stage_identities(delta.where("changed"), batch_id)
     # every key of this batch is in its own delta, so the old dimension is not read again
     facts = stage(minute_facts(folds, seen, delta), "facts")

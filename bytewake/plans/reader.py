@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from bytewake import schemas
-from bytewake.config import ALL_SCOPES, BOTH, TIERS, Settings
+from bytewake.config import BOTH, TIERS, Settings
 from bytewake.operators import tiers, verbs
 from bytewake.plans.attribution import Feeds
 from bytewake.sources.store import Store
@@ -75,8 +73,9 @@ class Reader:
     def pieces(self, asked: Asked) -> list[verbs.Piece]:
         """Where the bytes of the window are read from, finer tiers at its edges."""
         tier, window = self.window(asked)
-        rolled = {t: self.store.watermark(t) for t in TIERS[1:]}
-        pruned = {t: self.store.pruned_through(t) for t in TIERS[:-1]}
+        marks = self.store.marks()
+        rolled = {t: marks.get(("add", t)) for t in TIERS[1:]}
+        pruned = {t: marks.get(("prune", t)) for t in TIERS[:-1]}
         return verbs.window_pieces(window, tier, self.settings, rolled, pruned)
 
     def effective(self, asked: Asked) -> tuple[datetime, datetime] | None:
@@ -85,10 +84,7 @@ class Reader:
         return (pieces[0][1], pieces[-1][2]) if pieces else None
 
     def _deltas(self, asked: Asked) -> DataFrame:
-        parts = [self.store.deltas(*piece, scope=ALL_SCOPES) for piece in self.pieces(asked)]
-        if not parts:
-            return schemas.empty(self.store.spark, schemas.TRAFFIC_STORED)
-        return reduce(DataFrame.unionByName, parts)
+        return self.store.read(self.pieces(asked))
 
     def top(
         self, asked: Asked, by: str = "identity", limit: int | None = 0, scope: str | None = None,

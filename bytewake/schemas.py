@@ -50,7 +50,7 @@ TRAFFIC = _struct(
 # What a reader of the store may see; see sources/store.py.
 COMMIT = _struct(
     ("seq", _long), ("tier", _string), ("action", _string), ("batch_id", _string), ("attempt", _string),
-    ("dt", T.DateType()), ("from_ts", _ts), ("to_ts", _ts),
+    ("dt", T.DateType()), ("from_ts", _ts), ("to_ts", _ts), ("n", _long),
 )
 
 
@@ -58,7 +58,7 @@ COMMIT = _struct(
 TRAFFIC_STORED = T.StructType(
     TRAFFIC.fields + _struct(("dt", T.DateType()), ("batch_id", _string)).fields
 )
-IDENTITY_STORED = T.StructType(IDENTITY.fields + _struct(("batch_id", _string)).fields)
+IDENTITY_STORED = T.StructType(IDENTITY.fields + _struct(("bucket", _int), ("batch_id", _string)).fields)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # INT96 timestamps carry no statistics, so bucket ranges would not be pushed down
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # many named date folders are listed by some tasks, not by one task each
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # streaming state lives on disk next to the executor, not on its heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -66,10 +69,40 @@ def _local_parent() -> str:
     return tempfile.mkdtemp(prefix="bytewake-")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def folders(spark: SparkSession, path: str, files: bool = False) -> list[str]:
+    """Names of the folders (or files) directly in a folder, none if it is not there; hidden ones are left out."""
+    system, target = _file_system(spark, path)
+    if not system.exists(target):
+        return []
+    found = (x for x in system.listStatus(target) if x.isDirectory() != files)
+    return sorted(name for x in found if not (name := x.getPath().getName()).startswith(("_", ".")))
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern; only the folders that it names or passes through are looked at."""
+    system, target = _file_system(spark, pattern)
+    return sorted(x.getPath().toString() for x in system.globStatus(target) or ())
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders on whatever file system holds them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    def delete(path: str) -> None:
+        system, target = _file_system(spark, path)
+        system.delete(target, True)
+
+    if len(paths) < 8:
+        for path in paths:
+            delete(path)
+    else:  # many folders are many calls to a store
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(delete, paths))

@@ -1,52 +1,63 @@
 """Tier facts and identities at rest.
 
 Parquet cannot update rows, and need not: counters add up.  Every write is a
-batch of delta rows in partitions of its own,
+batch of delta rows in folders of its own,
 
-    <root>/traffic_<tier>/dt=<utc date of bucket>/batch_id=<attempt>/...
+    <root>/traffic_<tier>/dt=<utc date, of days the month, of months the year>/batch_id=<attempt>/...
+    <root>/identity/bucket=<of the key, or -1>/batch_id=<attempt>/...
 
 and readers sum deltas by key.  An attempt is a batch's name and a new suffix
-each time it is staged, so nothing that a failed attempt left can ever become
-part of another one.  A small commit log says which attempts count:
+each time it is staged.  A small commit log, appended file by file, says what
+counts:
 
-    add     attempt is the batch's content, made from finer buckets in [from_ts, to_ts)
-    drop    batch no longer counts on one date, in whatever attempt (it was compacted away)
+    add     the batch was written to rolled-up bound ``to_ts``; ``n`` is its highest identity id
+    lies    the attempt's rows of one date count
+    drop    the batch's rows of one date no longer do: replaced or merged
     prune   rows before to_ts no longer count
     read    landed samples of [from_ts, to_ts) went into a batch
 
-Commits are numbered upwards.  Of several attempts of one batch the one
-committed last counts, so a batch that is written again is replaced as a whole,
-whatever dates its attempts touch; a batch that never reached the log is
-invisible.  One writer per store.
+A scan takes from the log which dates of its window have rows that count and
+opens only those folders, so nothing lists a whole tier.  What never reached
+the log is invisible.  One writer per store.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from bytewake import schemas, session
-from bytewake.config import ALL_SCOPES, TIERS, Settings
+from bytewake.config import ALL_SCOPES, NATURAL_KEY, TIERS, Settings
 from bytewake.functions import calendar
 from bytewake.operators import identity as ids
 from bytewake.operators import tiers, verbs
 from bytewake.staging import Stage
 
 IDENTITY_TABLE = "identity"
-
 #: hexadecimal digits that tell attempts of one batch apart
 ATTEMPT = 12
-#: batches of a tier that a scan names in its partition filter; beyond, it joins the log
-NAMED = 10_000
-#: files of the log from which on upkeep rewrites log and dimension
+#: files of the log from which on upkeep merges folders, removes dead ones and rewrites log and dimension
 LOG_FILES = 256
+#: folders of a date from which on upkeep merges them
+FOLDERS = 16
+#: parts of the merged dimension by hash of the natural key; deltas that were not merged yet lie in RECENT
+BUCKETS, RECENT = 64, -1
+#: stand for no bound
+EARLIEST, LATEST = date(1000, 1, 1), date(9000, 1, 1)
+#: names of the batches of one stream: its name, its run and a number, or what upkeep has merged them to
+STREAM_BATCH = r"^(.*)-([0-9a-z]+)-[0-9a-f]{12}$"
+
+#: A stretch of a tier: its name, and the half-open window
+Span = tuple[str, datetime | None, datetime | None]
 
 
 class Store:
@@ -54,131 +65,110 @@ class Store:
         calendar.require_utc(spark)
         self.spark = spark
         self.root = root.rstrip("/")
-        self._staged: dict[tuple[str, str], str] = {}
+        self._staged: dict[tuple[str, str], tuple[str, list[date]]] = {}
 
-    # -- files --------------------------------------------------------------
+    # -- commit log ---------------------------------------------------------
 
     def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    @staticmethod
-    def _table(tier: str) -> str:
-        return tier if tier == IDENTITY_TABLE else f"traffic_{tier}"
-
-    def _read(self, table: str, schema: StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self._path(table))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return schemas.empty(self.spark, schema)
-
-    # -- commit log ---------------------------------------------------------
+        return f"{self.root}/{table if table in (IDENTITY_TABLE, 'commit_log') else f'traffic_{table}'}"
 
     def log(self) -> DataFrame:
-        return self._read("commit_log", schemas.COMMIT)
-
-    def _commit(self, entries: list[tuple]) -> None:
-        """Append entries (tier, action, batch_id, attempt, dt, from_ts, to_ts) as one file, so they become visible together."""
-        last = self.log().agg(F.max("seq")).first()[0] or 0
-        entries = [(last + 1, *entry) for entry in entries]
-        fields = schemas.COMMIT.fields
-        columns = list(zip(*entries))
-        table = pa.table(
-            {
-                field.name: pa.array(
-                    [_utc(v) if isinstance(v, datetime) else v for v in values], to_arrow_type(field.dataType)
-                )
-                for field, values in zip(fields, columns)
-            }
-        )
+        if not session.exists(self.spark, self._path("commit_log")):
+            return schemas.empty(self.spark, schemas.COMMIT)
+        return self.spark.read.schema(schemas.COMMIT).parquet(self._path("commit_log"))
+
+    def _commit(self, entries: list[dict]) -> None:
+        """Append entries as one file, so that they become visible together."""
+        seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        rows = [{"seq": seq} | {k: _utc(v) if isinstance(v, datetime) else v for k, v in e.items()} for e in entries]
+        table = pa.table({f.name: pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in schemas.COMMIT})
         self.spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(self._path("commit_log"))
 
     def compact_log(self) -> None:
-        """Rewrite the log as one file.
+        """Rewrite the log as one file, without what it says of dates that are gone.
 
-        Entries are statements, so an entry found in both the old and the new
-        file between the two steps does no harm.
+        Entries are statements, so one that is found in old and new files does no harm.
         """
         log = self.log()
         old = log.inputFiles()
-        if len(old) < 2:
-            return
-        log.distinct().coalesce(1).write.mode("append").parquet(self._path("commit_log"))
-        session.remove(self.spark, list(old))
-
-    def _moment(self, condition: Column) -> datetime | None:
-        """Latest to_ts of the matching log entries: one row, one value."""
-        row = self.log().where(condition).agg(F.unix_micros(F.max("to_ts")).alias("us")).first()
-        if row.us is None:
-            return None
-        return calendar.EPOCH + timedelta(microseconds=row.us)
+        if len(old) > 1:
+            for (action, tier), bound in self.marks().items():
+                if action == "prune":
+                    log = log.where((F.col("tier") != tier) | F.col("dt").isNull() | (F.col("dt") >= F.lit(tiers.folder_date(bound.date(), tier))))
+            log.distinct().coalesce(1).write.mode("append").parquet(self._path("commit_log"))
+            session.remove(self.spark, list(old))
+
+    def marks(self) -> dict[tuple[str, str], datetime]:
+        """By (action, tier): how far each tier is rolled up (``add``) and pruned (``prune``), in one read of the log."""
+        bounds = self.log().where(F.col("action").isin("add", "prune")).groupBy("action", "tier").agg(
+            F.unix_micros(F.max("to_ts")).alias("us"))
+        return {(r.action, r.tier): calendar.EPOCH + timedelta(microseconds=r.us) for r in bounds.collect() if r.us is not None}
 
     def watermark(self, tier: str) -> datetime | None:
         """Exclusive bound of the finer buckets already rolled into ``tier``."""
-        return self._moment((F.col("tier") == tier) & (F.col("action") == "add"))
+        return self.marks().get(("add", tier))
 
     def pruned_through(self, tier: str) -> datetime | None:
-        return self._moment((F.col("tier") == tier) & (F.col("action") == "prune"))
+        return self.marks().get(("prune", tier))
+
+    def committed(self, batch_id: str) -> bool:
+        return not self.log().where((F.col("batch_id") == batch_id) & (F.col("action") == "add")).isEmpty()
+
+    def window_read(self, batch_id: str) -> tuple[datetime, datetime] | None:
+        """The stretch of landed samples that a batch holds."""
+        row = self.log().where((F.col("action") == "read") & (F.col("batch_id") == batch_id)).select(
+            F.unix_micros("from_ts").alias("a"), F.unix_micros("to_ts").alias("b")).first()
+        return row and tuple(calendar.EPOCH + timedelta(microseconds=us) for us in row)
+
+    def overlapping(self, window: tuple[datetime, datetime]) -> str | None:
+        """A batch that holds landed samples of a part of the window."""
+        start, end = window
+        row = self.log().where((F.col("action") == "read") & (F.col("from_ts") < calendar.at(end))
+                               & (F.col("to_ts") > calendar.at(start))).select("batch_id").first()
+        return row[0] if row else None
 
     # -- writing ------------------------------------------------------------
 
-    def _write(self, table: str, rows: DataFrame, partitions: list[str]) -> None:
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions)
-            .parquet(self._path(table))
-        )
-
-    def append(
-        self,
-        tier: str,
-        facts: DataFrame,
-        batch_id: str,
-        from_ts: datetime | None = None,
-        to_ts: datetime | None = None,
-    ) -> None:
-        """Write a delta batch of facts and make it count."""
+    def append(self, tier: str, facts: DataFrame, batch_id: str, from_ts: datetime | None = None,
+               to_ts: datetime | None = None) -> None:
+        """Write a delta batch of facts and make it count, in place of an earlier one of that name."""
         self.stage(tier, facts, batch_id)
         self.commit_batches([(tier, batch_id)], from_ts, to_ts)
 
-    def _attempt(self, tier: str, batch_id: str) -> str:
-        """A name for the folders of a batch that no earlier attempt had."""
-        self._staged[tier, batch_id] = attempt = f"{batch_id}.{uuid.uuid4().hex[:ATTEMPT]}"
-        return attempt
+    def _write(self, tier: str, rows: DataFrame, batch_id: str, part: str) -> None:
+        """Write rows under a name that no earlier attempt had, and note which dates they went to."""
+        attempt = f"{batch_id}.{uuid.uuid4().hex[:ATTEMPT]}"
+        rows = rows.withColumn("batch_id", F.lit(attempt))
+        # in ranges: few files per part, a part that holds most rows is split, and many small ones are shared
+        # out; within a date ordered by identity, so that a series reads few files and row groups
+        order = ["dt", "identity_id", "bucket"] if part == "dt" else [part, "id"]
+        spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        spread.write.mode("append").partitionBy(part, "batch_id").parquet(self._path(tier))
+        written = session.matching(self.spark, f"{self._path(tier)}/dt=*/batch_id={attempt}")
+        self._staged[tier, batch_id] = attempt, [date.fromisoformat(p.split("/dt=")[1][:10]) for p in written]
 
     def stage(self, tier: str, facts: DataFrame, batch_id: str) -> None:
         """Write a delta batch that does not count yet; rows a tier may not hold fail the write."""
-        rows = tiers.checked(facts).select(
-            *schemas.TRAFFIC.fieldNames(),
-            calendar.utc_date(F.col("bucket")).alias("dt"),
-            F.lit(self._attempt(tier, batch_id)).alias("batch_id"),
-        )
-        # rebalance: few files per date, and a date that holds most rows is split;
-        # sorted by identity, a series reads few row groups of each date
-        spread = rows.hint("rebalance", F.col("dt")).sortWithinPartitions("dt", "identity_id", "bucket")
-        self._write(self._table(tier), spread, ["dt", "batch_id"])
-
-    def stage_identities(self, rows: DataFrame, batch_id: str) -> None:
-        attempt = self._attempt(IDENTITY_TABLE, batch_id)
-        rows = rows.select(*schemas.IDENTITY.fieldNames(), F.lit(attempt).alias("batch_id"))
-        self._write(IDENTITY_TABLE, rows.hint("rebalance"), ["batch_id"])
-
-    def stage_minutes(
-        self, minutes: DataFrame, batch_id: str, settings: Settings, stage: Stage
-    ) -> list[tuple[str, str]]:
+        dt = tiers.folder_of(calendar.utc_date(F.col("bucket")), tier)
+        rows = tiers.checked(facts).select(*schemas.TRAFFIC.fieldNames(), dt.alias("dt"))
+        self._write(tier, rows, batch_id, "dt")
+
+    def stage_identities(self, rows: DataFrame, batch_id: str, merged: bool = False) -> None:
+        place = key_bucket() if merged else F.lit(RECENT)
+        self._write(IDENTITY_TABLE, rows.select(*schemas.IDENTITY.fieldNames(), place.alias("bucket")), batch_id, "bucket")
+
+    def stage_minutes(self, minutes: DataFrame, batch_id: str, settings: Settings, stage: Stage) -> list[tuple[str, str]]:
         """Stage minute facts and what they owe to coarser tiers.
 
         Rows below a tier's watermark would never be picked up by the rollup
         any more, so they are rolled up here, as part of the same batch.
         Returns what is to be committed.
         """
-        deltas = {"minute": stage(minutes, "minute_delta")}
+        deltas, marks = {"minute": stage(minutes, "minute_delta")}, self.marks()
         self.stage("minute", deltas["minute"], batch_id)
         staged = [("minute", batch_id)]
         for tier in TIERS[1:]:
-            watermark = self.watermark(tier)
+            watermark = marks.get(("add", tier))
             if watermark is None:
                 break
             source = deltas[tiers.source_of(tier, settings)]
@@ -191,129 +181,121 @@ class Store:
             staged.append((tier, batch_id))
         return staged
 
-    def committed(self, batch_id: str) -> bool:
-        entry = (F.col("batch_id") == batch_id) & (F.col("action") == "add")
-        return not self.log().where(entry).isEmpty()
-
     def commit_batches(
-        self,
-        batches: list[tuple[str, str]],
-        from_ts: datetime | None = None,
-        to_ts: datetime | None = None,
-        minutes_through: datetime | None = None,
-        read: tuple[datetime, datetime] | None = None,
+        self, batches: list[tuple[str, str]], from_ts: datetime | None = None, to_ts: datetime | None = None,
+        minutes_through: datetime | None = None, read: tuple[datetime, datetime] | None = None,
     ) -> None:
         """Make what was staged last under these names count, all of it or none.
 
         ``minutes_through`` says up to where the minute tier is complete, and
         ``read`` which stretch of landed samples the batch holds.
         """
-        entries = [
-            (tier, "add", batch_id, self._staged.pop((tier, batch_id), None), None, from_ts,
-             minutes_through if tier == "minute" else to_ts)
-            for tier, batch_id in batches
-        ]
+        entries = []
+        known = self.log().where(F.col("batch_id").isin([name for _, name in batches])).collect()
+        for tier, name in batches:
+            attempt, dates = self._staged.pop((tier, name), (None, []))
+            top = self._highest(attempt) if tier == IDENTITY_TABLE and attempt else None
+            mine = [r for r in known if (r.tier, r.batch_id) == (tier, name)]
+            ends = minutes_through if tier == "minute" else to_ts
+            entries.append(dict(tier=tier, action="add", batch_id=name, attempt=attempt, from_ts=from_ts, to_ts=ends, n=top))
+            gone = {(r.attempt, r.dt) for r in mine if r.action == "drop"}
+            before = {(r.attempt, r.dt) for r in mine if r.action == "lies"} - gone
+            lies = [None] if tier == IDENTITY_TABLE else dates
+            # rows that were merged with others count there, whatever is written again under their name
+            merged = {d for a, d in gone if a is None and d is not None}
+            entries += [dict(tier=tier, action="drop", batch_id=name, attempt=a, dt=d) for a, d in before]
+            entries += [dict(tier=tier, action="lies", batch_id=name, attempt=attempt, dt=d) for d in lies if d not in merged]
         if read is not None:
-            entries.append(("samples", "read", batches[0][1], None, None, *read))
+            entries.append(dict(tier="samples", action="read", batch_id=batches[0][1], from_ts=read[0], to_ts=read[1]))
         self._commit(entries)
 
-    def overlapping(self, window: tuple[datetime, datetime]) -> str | None:
-        """A batch that holds landed samples of a part of the window."""
-        start, end = window
-        row = self.log().where(
-            (F.col("action") == "read") & (F.col("from_ts") < calendar.at(end)) & (F.col("to_ts") > calendar.at(start))
-        ).select("batch_id").first()
-        return row[0] if row else None
-
     # -- reading ------------------------------------------------------------
 
-    def _added(self, tier: str) -> DataFrame:
-        """(batch_id, name, version): folders that count, the batches they are, and when they were committed."""
-        log = self.log().where((F.col("tier") == tier) & (F.col("action") == "add"))
-        last = log.groupBy(F.col("batch_id").alias("name")).agg(F.max(F.struct("seq", "attempt")).alias("last"))
-        return last.select(F.col("last.attempt").alias("batch_id"), "name", F.col("last.seq").alias("version"))
+    def _folders(self, condition: Column) -> DataFrame:
+        """(tier, batch_id, attempt, dt, seq) of the folders that count."""
+        log = self.log().where(condition)
+        gone = log.where((F.col("action") == "drop") & F.col("attempt").isNotNull()).select("tier", "attempt", "dt").distinct()
+        lies = log.where(F.col("action") == "lies").groupBy("tier", "batch_id", "attempt", "dt").agg(F.max("seq").alias("seq"))
+        same = [lies["tier"] == gone["tier"], lies["attempt"] == gone["attempt"], lies["dt"].eqNullSafe(gone["dt"])]
+        return lies.join(gone, same, "left_anti")
 
-    def _dropped(self, tier: str) -> DataFrame:
-        dropped = self.log().where((F.col("tier") == tier) & (F.col("action") == "drop"))
-        return dropped.select(F.col("batch_id").alias("name"), "dt").distinct()
+    def _open(self, tier: str, schema: StructType, parts: list[str]) -> DataFrame:
+        """Rows of named parts (dates or buckets) of a table; no other folder is listed."""
+        table = self._path(tier)
+        return self.spark.read.schema(schema).option("basePath", table).parquet(*[f"{table}/{p}" for p in parts])
 
-    def _live(self, tier: str) -> DataFrame:
-        """Rows that count, with the ``name`` of their batch.
+    def read(self, spans: Sequence[Span], scope: str = ALL_SCOPES, of: Column | None = None) -> DataFrame:
+        """Delta rows of some stretches, with one read of the log; ``of`` narrows by batch name.
 
-        Which folders they lie in is known before the scan, so others are not
-        read, and facts are never shuffled by batch.
-        """
-        rows = self._read(self._table(tier), schemas.TRAFFIC_STORED)
-        added, dropped = self._added(tier), self._dropped(tier)
-        folder = lambda name: F.concat_ws("/", F.col("dt").cast("string"), name)
-        named = added.select("batch_id", F.lit(True).alias("counts")).unionByName(
-            dropped.select(folder(F.col("name")).alias("batch_id"), F.lit(False).alias("counts")))
-        known = named.limit(NAMED + 1).collect()
-        if len(known) > NAMED:
-            return rows.join(added.select("batch_id", "name"), "batch_id").join(dropped, ["name", "dt"], "left_anti")
-        name = F.expr(f"left(batch_id, length(batch_id) - {ATTEMPT + 1})")
-        return rows.where(
-            F.col("batch_id").isin([row.batch_id for row in known if row.counts])
-            & ~folder(name).isin([row.batch_id for row in known if not row.counts])
-        ).withColumn("name", name)
-
-    def deltas(
-        self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
-        scope: str = ALL_SCOPES,
-    ) -> DataFrame:
-        """Delta rows of a window: enough for anything that sums.
-
-        Buckets alone would prune no folders, so the dates are given as well.
+        Folders are named before the scan, by date and batch, so that others
+        are neither listed nor read.
         """
-        rows = self._live(tier)
-        pruned = self.pruned_through(tier)
-        bounds = [b for b in (from_ts, pruned) if b is not None]
-        bucket, dt = F.col("bucket"), F.col("dt")
-        if bounds:
-            start = max(_utc(b) for b in bounds)
-            rows = rows.where((dt >= F.lit(start.date())) & (bucket >= calendar.at(start)))
-        if to_ts is not None:
-            end = _utc(to_ts)
-            rows = rows.where((dt <= F.lit(end.date())) & (bucket < calendar.at(end)))
-        return verbs.in_scope(rows, scope).drop("name")
-
-    def batches_of(self, tier: str, prefix: str, but: str, facts: DataFrame) -> DataFrame | None:
-        """Delta rows, in the buckets of ``facts``, of batches with a name's beginning but for another; None if there are none."""
-        name = F.col("batch_id")
-        mine = name.startswith(prefix) & ~name.startswith(but) & (F.col("tier") == tier) & (F.col("action") == "add")
-        if self.log().where(mine).isEmpty():
-            return None
-        span = facts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-        first, last = span.select(F.unix_micros("a"), F.unix_micros("b")).first()
-        if first is None:
-            return None
-        moment = lambda us: calendar.EPOCH + timedelta(microseconds=us)
-        start, end = moment(first), moment(last)
-        rows = self._live(tier).where(F.col("name").startswith(prefix) & ~F.col("name").startswith(but))
-        return rows.where(
-            F.col("dt").between(F.lit(start.date()), F.lit(end.date()))
-            & F.col("bucket").between(calendar.at(start), calendar.at(end))
-        )
-
-    def scan(
-        self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
-        scope: str = ALL_SCOPES,
-    ) -> DataFrame:
+        pruned = self.marks()
+        bounds = []
+        for tier, start, end in spans:
+            starts = [_utc(b) for b in (start, pruned.get(("prune", tier))) if b is not None]
+            bounds.append((tier, max(starts, default=None), None if end is None else _utc(end)))
+        wanted, reach = F.lit(False), {}
+        for tier, start, end in bounds:
+            first, last = (tiers.folder_date(m.date() if m else d, tier) for m, d in ((start, EARLIEST), (end, LATEST)))
+            reach[tier, start, end] = first, last
+            wanted |= (F.col("tier") == tier) & F.col("dt").between(F.lit(first), F.lit(last))
+        live = self._folders(wanted).where(F.lit(True) if of is None else of).collect() if bounds else []
+        parts = []
+        for tier, start, end in bounds:
+            first, last = reach[tier, start, end]
+            here = [r for r in live if r.tier == tier and first <= r.dt <= last]
+            if not here:
+                continue
+            rows = self._open(tier, schemas.TRAFFIC_STORED, sorted({f"dt={r.dt}" for r in here}))
+            rows = rows.where(F.concat_ws("/", F.col("dt").cast("string"), "batch_id").isin([f"{r.dt}/{r.attempt}" for r in here]))
+            bucket = F.col("bucket")
+            rows = rows if start is None else rows.where(bucket >= calendar.at(start))
+            parts.append(rows if end is None else rows.where(bucket < calendar.at(end)))
+        found = reduce(DataFrame.unionByName, parts) if parts else schemas.empty(self.spark, schemas.TRAFFIC_STORED)
+        return verbs.in_scope(found, scope)
+
+    def deltas(self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
+               scope: str = ALL_SCOPES) -> DataFrame:
+        """Delta rows of a window: enough for anything that sums."""
+        return self.read([(tier, from_ts, to_ts)], scope)
+
+    def scan(self, tier: str, from_ts: datetime | None = None, to_ts: datetime | None = None,
+             scope: str = ALL_SCOPES) -> DataFrame:
         """One row per (bucket, identity, scope)."""
         return tiers.minute_merge(self.deltas(tier, from_ts, to_ts, scope))
 
-    def identity_rows(self) -> DataFrame:
-        """Base and delta rows of the dimension, not merged yet."""
-        rows = self._read(IDENTITY_TABLE, schemas.IDENTITY_STORED)
+    def batches_of(self, tier: str, stream: str, but_run: str, facts: DataFrame) -> DataFrame | None:
+        """Delta rows of a stream's earlier runs in the buckets of ``facts``; None if there are none."""
+        mine = F.col("batch_id").rlike(f"^{re.escape(stream)}-(?!{re.escape(but_run)}-)[0-9a-z]+-[0-9a-f]{{12}}$")
+        if self.log().where(mine & (F.col("tier") == tier) & (F.col("action") == "lies")).isEmpty():
+            return None
+        first, last = facts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).select(
+            F.unix_micros("a"), F.unix_micros("b")).first()
+        if first is None:
+            return None
+        start, end = (calendar.EPOCH + timedelta(microseconds=us) for us in (first, last + 1))
+        return self.read([(tier, start, end)], of=mine)
+
+    def identity_rows(self, keys: DataFrame | None = None) -> DataFrame:
+        """Base and delta rows of the dimension, not merged yet; with ``keys`` from the parts that may hold those."""
+        live = self._folders(F.col("tier") == IDENTITY_TABLE).select(F.col("attempt").alias("batch_id"), F.col("seq").alias("version"))
+        found = session.folders(self.spark, self._path(IDENTITY_TABLE))
+        if keys is not None:
+            touched = {RECENT} | {r[0] for r in keys.select(key_bucket()).distinct().collect()}
+            found = [p for p in found if int(p.partition("=")[2]) in touched]
+        if not found:
+            return schemas.empty(self.spark, schemas.IDENTITY).withColumn("version", F.lit(0).cast("long"))
         # later commits win over earlier ones, whatever the batches are called
-        return rows.join(self._live_identity_batches(), "batch_id").drop("batch_id", "name")
+        return self._open(IDENTITY_TABLE, schemas.IDENTITY_STORED, found).join(live, "batch_id").drop("batch_id", "bucket")
 
-    def _live_identity_batches(self) -> DataFrame:
-        drops = self.log().where((F.col("tier") == IDENTITY_TABLE) & (F.col("action") == "drop"))
-        dropped = drops.groupBy(F.col("batch_id").alias("name")).agg(F.max("seq").alias("dropped_at"))
-        # a batch written again after it was merged counts again, which changes nothing or brings news
-        return self._added(IDENTITY_TABLE).join(dropped, "name", "left").where(
-            F.col("dropped_at").isNull() | (F.col("version") > F.col("dropped_at"))).drop("dropped_at")
+    def _highest(self, attempt: str) -> int | None:
+        """The highest id that an attempt has written."""
+        found = session.matching(self.spark, f"{self._path(IDENTITY_TABLE)}/bucket=*/batch_id={attempt}")
+        return self.spark.read.schema(schemas.IDENTITY).parquet(*found).agg(F.max("id")).first()[0] if found else None
+
+    def highest_id(self) -> int:
+        return self.log().agg(F.max("n")).first()[0] or 0
 
     def identities(self) -> DataFrame:
         """Current state of the dimension."""
@@ -321,20 +303,18 @@ class Store:
 
     # -- upkeep -------------------------------------------------------------
 
-    def rollup(
-        self, tier: str, now: datetime, settings: Settings, complete_through: datetime | None = None
-    ) -> bool:
+    def rollup(self, tier: str, now: datetime, settings: Settings, complete_through: datetime | None = None) -> bool:
         """Roll closed finer buckets past the watermark into ``tier``.
 
         No further than the source tier itself has got.  ``complete_through``
         holds the bound back when the finer tier is still being fed behind the
         clock.  A second run with nothing new does nothing.
         """
-        source, tz = tiers.source_of(tier, settings), settings.tz
-        after = self.watermark(tier)
+        source, tz, marks = tiers.source_of(tier, settings), settings.tz, self.marks()
+        after = marks.get(("add", tier))
         through = tiers.closed_bound(tier, now, tz, source)
         if source != "minute":
-            fed = self.watermark(source)
+            fed = marks.get(("add", source))
             if fed is None:
                 return False
             through = min(through, tiers.closed_bound(tier, fed, tz, source))
@@ -343,103 +323,105 @@ class Store:
         if after is not None and through <= after:
             return False
         delta = tiers.roll(self.deltas(source, after, through), tier, tz)
-        run = f"roll-{_stamp(after)}-{_stamp(through)}"
-        self.append(tier, delta, run, after, through)
+        self.append(tier, delta, f"roll-{_stamp(after)}-{_stamp(through)}", after, through)
         return True
 
     def prune(self, tier: str, now: datetime, settings: Settings) -> datetime | None:
-        """Let rows past retention go, but none that was not rolled up."""
-        fed = [coarse for coarse in TIERS[1:] if tiers.source_of(coarse, settings) == tier]
-        marks = [self.watermark(coarse) for coarse in fed]
-        rolled = min(marks) if marks and None not in marks else None
-        bound = tiers.prune_bound(tier, _utc(now), settings, rolled)
-        before = self.pruned_through(tier)
-        if bound is None or (before is not None and bound <= before):
-            return before
-        self._commit([(tier, "prune", None, None, None, None, bound)])
-        return bound
-
-    def compact(self, tier: str, dt: date) -> str | None:
-        """Rewrite the deltas of one closed date as a single one."""
-        live = self._live(tier).where(F.col("dt") == F.lit(dt))
-        old = _names(live)
-        if len(old) < 2:
-            return None
-        merged = f"merge-{tier}-{dt}-{uuid.uuid4().hex[:12]}"
-        self.stage(tier, tiers.minute_merge(live), merged)
-        self._commit(
-            [(tier, "add", merged, self._staged.pop((tier, merged)), None, None, None)]
-            + [(tier, "drop", name, None, dt, None, None) for name in old]
-        )
-        return merged
+        """Remove rows past retention, but none that was not rolled up: whole folders; a bound hides the rest."""
+        marks = self.marks()
+        fed = [marks.get(("add", coarse)) for coarse in TIERS[1:] if tiers.source_of(coarse, settings) == tier]
+        bound = tiers.prune_bound(tier, _utc(now), settings, min(fed) if fed and None not in fed else None)
+        before = marks.get(("prune", tier))
+        if bound is not None and (before is None or bound > before):
+            self._commit([dict(tier=tier, action="prune", to_ts=bound)])
+            before = bound
+        if before is not None:
+            # dates that nobody can ask for any more; of the first date that stays the bound hides a part
+            old = [d for d in session.folders(self.spark, self._path(tier)) if d.startswith("dt=") and d < f"dt={tiers.folder_date(before.date(), tier)}"]
+            session.remove(self.spark, [f"{self._path(tier)}/{d}" for d in old])
+        return before
+
+    def compact(self, tier: str, *dates: date) -> list[str]:
+        """Rewrite the deltas of closed dates as one for each date, and for each stream that wrote to it.
+
+        A stream's rows stay known as its own, because a run that starts anew
+        adds only what its earlier runs did not write.
+        """
+        kept = self.pruned_through(tier)
+        dates = [d for d in dates if kept is None or d >= tiers.folder_date(kept.date(), tier)]
+        live = self._folders((F.col("tier") == tier) & F.col("dt").isin(dates)).collect()
+        stream = lambda name: (re.match(STREAM_BATCH, name) or ["", ""])[1]
+        done = []
+        for origin in sorted({stream(r.batch_id) for r in live}):
+            old = [r for r in live if stream(r.batch_id) == origin]
+            old = [r for r in old if sum(o.dt == r.dt for o in old) > 1]
+            if not old:
+                continue
+            rows = self._open(tier, schemas.TRAFFIC_STORED, sorted({f"dt={r.dt}" for r in old}))
+            rows = rows.where(F.concat_ws("/", F.col("dt").cast("string"), "batch_id").isin([f"{r.dt}/{r.attempt}" for r in old]))
+            name = f"{origin}-merged-{uuid.uuid4().hex[:12]}"
+            self.stage(tier, tiers.minute_merge(rows), name)
+            attempt, written = self._staged.pop((tier, name))
+            self._commit(
+                [dict(tier=tier, action="add", batch_id=name, attempt=attempt)]
+                + [dict(tier=tier, action="lies", batch_id=name, attempt=attempt, dt=d) for d in written]
+                + [dict(tier=tier, action="drop", batch_id=r.batch_id, attempt=a, dt=r.dt) for r in old for a in (r.attempt, None)])
+            done.append(name)
+        return done
 
     def compact_identities(self) -> str | None:
-        """Rewrite base and deltas of the dimension as one base."""
-        old = _names(self._live_identity_batches())
+        """Rewrite base and deltas of the dimension as one base, in parts by key."""
+        old = self._folders(F.col("tier") == IDENTITY_TABLE).collect()
         if len(old) < 2:
             return None
-        merged = f"merge-{IDENTITY_TABLE}-{uuid.uuid4().hex[:12]}"
-        self.stage_identities(self.identities(), merged)
-        self._commit(
-            [(IDENTITY_TABLE, "add", merged, self._staged.pop((IDENTITY_TABLE, merged)), None, None, None)]
-            + [(IDENTITY_TABLE, "drop", name, None, None, None, None) for name in old]
-        )
-        return merged
+        name = f"merged-{uuid.uuid4().hex[:12]}"
+        self.stage_identities(self.identities(), name, merged=True)
+        attempt, _ = self._staged.pop((IDENTITY_TABLE, name))
+        entry = dict(tier=IDENTITY_TABLE, batch_id=name, attempt=attempt)
+        self._commit([entry | dict(action="add", n=self._highest(attempt)), entry | dict(action="lies")]
+                     + [dict(tier=IDENTITY_TABLE, action="drop", batch_id=r.batch_id, attempt=r.attempt) for r in old])
+        return name
 
     def vacuum(self, tier: str) -> list[str]:
-        """Remove folders no reader looks at: merged, replaced, pruned, never committed.
+        """Remove folders no reader looks at: merged, replaced, never committed.
 
         What is staged under a name of this store object is left alone: its
         batch may be about to commit.
         """
-        table = self._path(self._table(tier))
-        open_ = [attempt for (of, _), attempt in self._staged.items() if of == tier]
-        added = self._added(tier)
-        log = added.select("batch_id")
-        if open_:
-            log = log.unionByName(self.spark.createDataFrame([(attempt,) for attempt in open_], "batch_id string"))
-        if tier == IDENTITY_TABLE:
-            rows = self._read(table=IDENTITY_TABLE, schema=schemas.IDENTITY_STORED)
-            folders = rows.select("batch_id").distinct()
-            live = self._live_identity_batches().select("batch_id")
-            dead = folders.join(live, "batch_id", "left_anti").where(~F.col("batch_id").isin(open_))
-            gone = [f"{table}/batch_id={row.batch_id}" for row in dead.collect()]
-        else:
-            folders = self._read(self._table(tier), schemas.TRAFFIC_STORED).select("dt", "batch_id").distinct()
-            named = folders.join(added.select("batch_id", "name"), "batch_id")
-            dead = folders.join(log, "batch_id", "left_anti").unionByName(
-                named.join(self._dropped(tier), ["name", "dt"], "left_semi").select("dt", "batch_id")
-            )
-            bound = self.pruned_through(tier)
-            if bound is not None:
-                dead = dead.unionByName(folders.where(F.col("dt") < F.lit(bound.date())))
-            # folder names, not rows
-            gone = [f"{table}/dt={row.dt}/batch_id={row.batch_id}" for row in dead.distinct().collect()]
+        table = self._path(tier)
+        live = self._folders(F.col("tier") == tier).select("dt", "attempt").collect()
+        open_ = {attempt for (of, _), (attempt, _) in self._staged.items() if of == tier}
+        keep = {(f"dt={r.dt}" if r.dt else None, f"batch_id={r.attempt}") for r in live}
+        gone = [
+            f"{table}/{part}/{folder}" for part in session.folders(self.spark, table)
+            for folder in session.folders(self.spark, f"{table}/{part}")
+            if not {(part, folder), (None, folder)} & keep and folder.partition("=")[2] not in open_
+        ]
         session.remove(self.spark, gone)
         return gone
 
     def maintain(self, now: datetime, settings: Settings, complete_through: datetime | None = None) -> None:
-        """Rollup of every tier, fine to coarse, then retention; from time to time one file each for log and dimension.
-
-        Facts are merged only by ``compact``: a stream that starts anew must
-        know which rows its earlier runs wrote, and merged rows do not tell.
-        """
+        """Rollup of every tier, fine to coarse, then retention; from time to time fewer folders and one file for the log."""
         for tier in TIERS[1:]:
             self.rollup(tier, now, settings, complete_through)
         for tier in TIERS:
             self.prune(tier, now, settings)
-        if len(self.log().inputFiles()) >= LOG_FILES:
+        if len(session.folders(self.spark, self._path("commit_log"), files=True)) >= LOG_FILES:
+            for tier in TIERS:
+                self.vacuum(tier)  # before merging, so that what is merged now stays for readers until the next time
+                full = self._folders((F.col("tier") == tier) & (F.col("dt") < F.lit(_utc(now).date()))).groupBy("dt").count()
+                self.compact(tier, *[r.dt for r in full.where(F.col("count") >= FOLDERS).collect()])
+            self.vacuum(IDENTITY_TABLE)
             self.compact_identities()
             self.compact_log()
 
 
-def _utc(moment: datetime) -> datetime:
-    return moment.astimezone(timezone.utc) if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+def key_bucket() -> Column:
+    return F.pmod(F.xxhash64(*NATURAL_KEY), F.lit(BUCKETS)).cast("int")
 
 
-def _names(rows: DataFrame) -> list[str]:
-    """Names of the batches of some delta rows: one value per batch, not per row."""
-    return sorted(row[0] for row in rows.select("name").distinct().collect())
+def _utc(moment: datetime) -> datetime:
+    return moment.astimezone(timezone.utc) if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
 
 
 def _stamp(moment: datetime | None) -> str:

@@ -99,7 +99,7 @@ def ingest_stream(
             # the whole minute goes to the process that opened it; reconciling refines that
             placed = stage(ids.tgid_lifetime(minutes, feeds.starts(), "min_ts"), "placed")
             facts = attribution.attribute(store, placed, feeds, name, stage)
-            counted = store.batches_of("minute", f"{stream}-", but=f"{stream}-{run}-", facts=facts)
+            counted = store.batches_of("minute", stream, run, facts)
             if counted is not None:
                 facts = less(facts, counted)
             batches = store.stage_minutes(facts, name, settings, stage)
@@ -128,10 +128,22 @@ def less(facts: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def idempotent_commit(store: Store, tier: str, stream: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink for fact rows: each micro-batch counts once."""
+    """A ``foreachBatch`` sink for fact rows: every counter counts once.
+
+    A replayed micro-batch is known by its run and number.  A run with a new
+    checkpoint may cut the stream elsewhere, so of its counters only what
+    earlier runs did not write is added.
+    """
 
     def write(facts: DataFrame, number: int) -> None:
-        store.append(tier, facts, batch_name(stream, number))
+        run = run_id(facts)
+        name = batch_name(f"{stream}-{run}", number)
+        with staging(facts.sparkSession, "commit") as stage:
+            rows = stage(minute_merge(facts), "rows")
+            if store.committed(name):
+                return
+            counted = store.batches_of(tier, stream, run, rows)
+            store.append(tier, rows if counted is None else less(rows, counted), name)
 
     return write
 
@@ -206,7 +218,7 @@ def identify_with(store: Store, load: Callable[[], Feeds]) -> Identify:
         feeds = attribution.narrowed(load(), folds)
         placed = stage(ids.tgid_lifetime(folds, feeds.starts(), "min_ts"), "placed")
         seen = stage(attribution.sightings(placed, feeds), "sightings")
-        identity = stage(ids.identity_delta(seen, store.identity_rows(), stage), "identities")
+        identity = stage(ids.identity_delta(seen, store.identity_rows, stage, store.highest_id()), "identities")
         return attribution.minute_facts(placed, seen, identity), identity
 
     return identify

@@ -8,6 +8,7 @@ from bytewake.config import Settings
 from bytewake.operators import tiers
 from bytewake.plans.attribution import ingest
 from bytewake.plans.reconcile import reconcile
+from bytewake.session import folders
 from bytewake.sources.store import Store
 from tests.conftest import rows_of, utc
 from tests.test_identity import feeds, snapshot
@@ -94,7 +95,7 @@ def test_compaction_changes_no_result(spark, root):
         store.append("minute", minutes(spark, utc(2026, 7, 6, 23, 50), 20), name)
     before = stamped(store.scan("minute"))
     assert store.compact("minute", date(2026, 7, 6))
-    assert store.compact("minute", date(2026, 7, 6)) is None
+    assert not store.compact("minute", date(2026, 7, 6))
     assert stamped(store.scan("minute")) == before
     live = store.deltas("minute").select("dt", "batch_id").distinct()
     assert live.where(F.col("dt") == F.lit(date(2026, 7, 6))).count() == 1
@@ -116,7 +117,8 @@ def test_prune_is_exact_and_keeps_what_is_not_rolled_up(spark, root):
     # 48 hours before now, to the minute
     assert min(stamped(store.scan("minute")))[0] == "2026-07-09 07:00"
     assert store.scan("hour").agg(F.sum("ingress_bytes")).first()[0] == 240
-    assert any("dt=2026-07-08" in path for path in store.vacuum("minute"))
+    assert folders(spark, f"{root}/traffic_minute")[0] == "dt=2026-07-09"
+    assert len(folders(spark, f"{root}/traffic_hour")) == 10
     assert min(stamped(store.scan("minute")))[0] == "2026-07-09 07:00"
     store.maintain(now, settings)
     assert store.scan("day").agg(F.sum("ingress_bytes")).first()[0] == 240
@@ -349,6 +351,58 @@ def test_daily_windows_of_one_landing_folder_count_once(spark, root):
     assert named(store, "minute") == named(both, "minute")
 
 
+def test_known_name_with_another_window_is_refused(spark, root):
+    store = Store(spark, root)
+    every = [sample(i, utc(2024, 1, 1 + i % 2, 10, i), 1, "tcp_sendmsg", 10 + i) for i in range(6)]
+    days = [(utc(2024, 1, d), utc(2024, 1, d + 1)) for d in (1, 2)]
+    ingest(spark, store, world(spark, every), "nightly", Settings(), days[0])
+    with pytest.raises(ValueError, match="nightly"):
+        ingest(spark, store, world(spark, every), "nightly", Settings(), days[1])
+    with pytest.raises(ValueError, match="nightly"):
+        ingest(spark, store, world(spark, every), "nightly", Settings())
+    ingest(spark, store, world(spark, every), "nightly", Settings(), days[0])
+    ingest(spark, store, world(spark, every), "second", Settings(), days[1])
+    assert sum(e for *_, e in named(store, "minute")) == sum(10 + i for i in range(6))
+
+
+def test_retention_removes_dates_and_the_log_forgets_them(spark, root):
+    store, settings = Store(spark, root), Settings()
+    store.append("minute", minutes(spark, utc(2026, 6, 1), 40, step=24 * 60), "a")
+    now = utc(2026, 7, 11)
+    store.maintain(now, settings)
+    assert folders(spark, f"{root}/traffic_minute") == ["dt=2026-07-09", "dt=2026-07-10"]
+    hours = stamped(store.scan("hour"))
+    store.maintain(now + timedelta(days=300), settings)
+    assert folders(spark, f"{root}/traffic_minute") == [] == folders(spark, f"{root}/traffic_hour")
+    assert len(hours) == store.scan("day").count() == 40 and store.scan("minute").count() == 0
+    # a late row of a date that is gone is rolled up and not asked for
+    store.append("minute", minutes(spark, utc(2026, 6, 3), 1), "late")
+    assert store.scan("minute").count() == 0
+    store.compact_log()
+    assert store.log().where(F.col("dt").isNotNull() & (F.col("tier") == "minute")).isEmpty()
+    assert store.scan("day").count() == 40 and store.committed("a")
+
+
+def test_merged_dates_of_a_stream_stay_its_own(spark, root, monkeypatch):
+    monkeypatch.setattr("bytewake.sources.store.FOLDERS", 2)
+    monkeypatch.setattr("bytewake.sources.store.LOG_FILES", 3)
+    store, day = Store(spark, root), utc(2026, 7, 6)
+    for run, stream in (("aaaaaaaaaaaa", "live"), ("bbbbbbbbbbbb", "live-eu")):
+        for n in range(3):
+            store.append("minute", minutes(spark, day + timedelta(hours=n), 2), f"{stream}-{run}-{n:012d}")
+    store.append("minute", minutes(spark, day, 1, value=7), "nightly")
+    before = stamped(store.scan("minute"))
+    store.maintain(day + timedelta(days=1, hours=1), Settings())
+    store.vacuum("minute")
+    assert stamped(store.scan("minute")) == before
+    # one folder for each stream and one for the batch that is alone
+    assert len(folders(spark, f"{root}/traffic_minute/dt=2026-07-06")) == 3
+    again = minutes(spark, day, 2)
+    mine = store.batches_of("minute", "live", "cccccccccccc", again)
+    assert mine.agg(F.sum("ingress_bytes")).first()[0] == 2
+    assert store.batches_of("minute", "other", "cccccccccccc", again) is None
+
+
 def test_process_that_does_not_change_is_written_once(spark, root):
     store = Store(spark, root)
     for i in range(3):
