@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bytewake import session
 from bytewake.llm import (
     decontamination, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan,
-    sentencepiece_fst, token_records, tokenizer_files, warc,
+    sentencepiece_fst, source_divergence, token_records, tokenizer_files, warc,
 )
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
@@ -83,6 +83,11 @@ def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, host="source", stage=stage_in(spark, "op10")).drop("source")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), stage_in(spark, "op12"))
+
+
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -123,3 +128,29 @@ left_over AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dr
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
 SELECT doc_id, o.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN left_over o USING (doc_id)"""
+
+
+P = "CAST(1 + (1000000000 * CAST({count} + 1 AS HUGEINT)) // ({total} + v) AS BIGINT)"
+F = "((CAST({p} AS HUGEINT) - {q}) * ({p} - {q})) // {q}"
+RANKED = "CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank"
+
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {FOLDED} AS body FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+held AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT g.lang, g.source, coalesce(sum(h.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, {P.format(count="coalesce(h.n, 0)", total="g.total")} AS p,
+    {P.format(count="k.n", total="l.total")} AS q
+  FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum({F.format(p="a.p", q="b.p")}) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST({F.format(p="p", q="q")} AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, {RANKED} FROM pairs
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {RANKED} FROM terms) t WHERE rank <= 200"""
