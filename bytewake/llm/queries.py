@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bytewake import session
 from bytewake.llm import (
-    decontamination, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, secret_scan,
+    decontamination, line_dedup, lm_scoring, near_dedup, ngram_join, quality_classifier, quality_rules, ranked_search, secret_scan,
     sentencepiece_fst, source_divergence, token_records, tokenizer_files, warc,
 )
 from bytewake.llm.common import table
@@ -83,11 +83,21 @@ def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, host="source", stage=stage_in(spark, "op10")).drop("source")
 
 
+@query
+def op11_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), stage_in(spark, "op11"))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"), stage_in(spark, "op12"))
 
 
+@query
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stage_in(spark, "op13"))
+
+
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -154,3 +164,16 @@ pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) A
 terms AS (SELECT lang, source, term AS item, CAST({F.format(p="p", q="q")} AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, 'pair' AS part, item, value, {RANKED} FROM pairs
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {RANKED} FROM terms) t WHERE rank <= 200"""
+
+ORACLES["op13_geometric_blocks"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM b),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) u WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, size GROUP BY term, docs),
+m AS (SELECT k, doc_id, 100 - 90 + (90 * len(w) * docs) // words AS m FROM d, size),
+scores AS (SELECT q, item_id, k, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM t JOIN weights USING (term) JOIN p USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""

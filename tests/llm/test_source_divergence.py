@@ -1,0 +1,76 @@
+"""Divergence of sources against a plain count of everything."""
+
+import re
+from collections import Counter, defaultdict
+
+from bytewake.llm import source_divergence
+from bytewake.staging import stage_in
+from tests.llm.helpers import AWKWARD, prose
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def ranked(rows, top=None):
+    rows.sort(key=lambda r: (-r[1], r[0].encode()))
+    return [(item, value, i + 1) for i, (item, value) in enumerate(rows[:top])]
+
+
+def brute(docs, top=200):
+    docs = [(t or "", g or "", s or "") for t, g, s in docs]
+    out = []
+    for lang in {g for _, g, _ in docs}:
+        df, counts = Counter(), defaultdict(Counter)
+        for text, g, source in docs:
+            if g == lang:
+                words = TERM.findall(lowered(text))
+                df.update(set(words))
+                counts[source].update(words)
+        kept = sorted(t for t, n in df.items() if n >= 3)
+        v = len(kept)
+        total = {s: sum(c[t] for t in kept) for s, c in counts.items()}
+        whole = {t: sum(c[t] for c in counts.values()) for t in kept}
+        n = sum(whole.values())
+        p = {s: {t: 1 + 10**9 * (counts[s][t] + 1) // (total[s] + v) for t in kept} for s in counts}
+        q = {t: 1 + 10**9 * (whole[t] + 1) // (n + v) for t in kept}
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in counts:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in counts if o != s]
+            terms = [(t, f(p[s][t], q[t])) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            out += [(lang, s, "pair", *r) for r in ranked(pairs)] + [(lang, s, "term", *r) for r in ranked(terms, top)]
+    return sorted(out)
+
+
+def corpus():
+    docs = [(t, g, s) for i, t in enumerate(AWKWARD) for g, s in (("en", f"s{i % 3}"), (None, "s1"))]
+    docs += [(prose(i, 60, 40), "en", f"s{i % 5}") for i in range(40)]
+    docs += [(prose(7, 30, 40).upper(), "en", f"s{i % 4}") for i in range(9)] + [(prose(8, 30), "de", None)] * 4
+    docs += [("É É é ß x　y ÀB", "fr", "only")] * 3 + [("rare words here", "it", "a"), ("none shared", "it", "b"), (None, "it", "c")]
+    return docs
+
+
+def run(spark, docs, **conf):
+    df = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "text string, lang string, source string, value long").repartition(3)
+    df = df.selectExpr("text", "lang", "source", "value", "1 AS p", "2 AS digest", "3 AS rank", "4 AS term")  # names that clash
+    found = source_divergence.audit(df, stage_in(spark, "audit"), **conf)
+    assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
+    return sorted(map(tuple, found.collect()))
+
+
+def test_equals_brute_force(spark):
+    assert run(spark, corpus()) == brute(corpus())
+
+
+def test_top_terms_and_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(source_divergence, "HELD", 20)
+    monkeypatch.setattr(source_divergence, "PAIRS", 7)
+    assert run(spark, corpus(), top_terms=3) == brute(corpus(), 3)
+
+
+def test_empty_table_and_language_without_kept_terms(spark):
+    assert run(spark, []) == []
+    assert run(spark, [("one two", "en", "a"), ("two three", "en", "b")]) == [
+        ("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
