@@ -44,28 +44,43 @@ SCALE = 1_000_000_000
 TOP_TERMS = 200
 #: what is no part of a term
 APART = separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-#: (source, term) counts that a task holds before it hands them on
+#: (term, group) counts that a task holds before it hands them on
 HELD = 1_000_000
 #: pairs of entries that are evaluated at once
 PAIRS = 1 << 20
 
 
-def collapse(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, text, copies) with one row per distinct text of a language; copies are (source, number)."""
-    empty = F.lit("")
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    rows = rows.withColumn("digest", F.sha2("text", 256))
+def groups_of(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, g) for every group that occurs; ``g`` is its number once this lies in a table."""
+    return _named(docs, lang=lang, source=source).distinct().withColumn("g", F.monotonically_increasing_id())
+
+
+def _named(docs: DataFrame, **columns: str) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in columns.items()])
+
+
+def collapse(docs: DataFrame, groups: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, text, copies) with one row per distinct text of a language; copies are (g, n), how many in which group."""
+    rows = _named(docs, lang=lang, source=source, text=text).withColumn("digest", F.unhex(F.sha2("text", 256)))
     per_source = rows.groupBy("lang", "digest", "source").agg(F.count(F.lit(1)).alias("n"))
-    copies = per_source.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    copies = per_source.join(groups, ["lang", "source"]).groupBy("lang", "digest").agg(F.collect_list(F.struct("g", "n")).alias("copies"))
     once = rows.groupBy("lang", "digest").agg(F.any_value("text").alias("text"))
     return once.join(copies, ["lang", "digest"]).select("lang", "text", "copies")
 
 
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, in sorted arrays."""
+    fresh = np.ones(len(keys[0]), bool)
+    if len(fresh):
+        fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(fresh)
+
+
 class Counts:
-    """Occurrences and documents of (group, term), added up until they are handed on."""
+    """Occurrences and documents of (term, group), added up until they are handed on."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[str, str], int] = {}
+        self.lang: dict[int, str] = {}  # of each group
         self.terms: dict[int, bytes] = {}
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
@@ -75,48 +90,52 @@ class Counts:
         starts, ends, hashed = words(data, bounds, APART)
         doc = np.repeat(np.arange(batch.num_rows), np.diff(per_text(starts, bounds)))
         order = np.lexsort((hashed, doc))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(doc[order]) != 0) | (hashed[order][1:] != hashed[order][:-1])
-        at = np.flatnonzero(fresh)
+        at = _first(doc[order], hashed[order])
         doc, tf, term, place = doc[order][at], np.diff(np.append(at, len(order))), hashed[order][at], order[at]
-        for h, i in zip(*(a.tolist() for a in np.unique(term, return_index=True))):
+        for h, i in zip(*(x.tolist() for x in np.unique(term, return_index=True))):
             if h not in self.terms:
                 k = place[i]
                 self.terms[h] = data[starts[k]:ends[k]].tobytes().lower()
         begin = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        langs, copies = batch.column("lang").to_pylist(), batch.column("copies").to_pylist()
-        for d, (lang, of) in enumerate(zip(langs, copies)):
+        for d, (lang, copies) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("copies").to_pylist())):
             own = slice(begin[d], begin[d + 1])
-            for c in of:
-                group = self.groups.setdefault((lang, c["source"]), len(self.groups))
-                n = len(term[own])
-                self.parts.append((np.full(n, group), term[own], tf[own] * c["n"], np.full(n, c["n"])))
+            n = own.stop - own.start
+            for c in copies if n else ():
+                self.lang[c["g"]] = lang
+                self.parts.append((np.full(n, c["g"]), term[own], tf[own] * c["n"], np.full(n, c["n"])))
                 self.size += n
                 if self.size > 4 * HELD:
                     self._merge()
 
     def _merge(self) -> None:
-        group, term, n, df = (np.concatenate(p) for p in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 4
-        order = np.lexsort((term, group))
-        group, term, n, df = group[order], term[order], n[order], df[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (term[1:] != term[:-1])
-        at = np.flatnonzero(fresh)
-        if len(at):
-            n, df = np.add.reduceat(n, at), np.add.reduceat(df, at)
-        self.parts, self.size = [(group[at], term[at], n, df)], len(at)
+        if self.parts:
+            g, term, n, df = (np.concatenate(p) for p in zip(*self.parts))
+            order = np.lexsort((term, g))
+            g, term, n, df = g[order], term[order], n[order], df[order]
+            at = _first(g, term)
+            self.parts, self.size = [(g[at], term[at], np.add.reduceat(n, at), np.add.reduceat(df, at))], len(at)
 
     def hand_on(self) -> Iterator[pa.RecordBatch]:
+        """A row for each (language, term) with what its groups hold of it."""
         self._merge()
-        group, term, n, df = self.parts[0]
-        names = list(self.groups)
-        for a in range(0, len(group), 100_000):
-            of = [names[g] for g in group[a:a + 100_000].tolist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in of], pa.string()), pa.array([x[1] for x in of], pa.string()),
-                pa.array([self.terms[h].decode() for h in term[a:a + 100_000].tolist()], pa.string()),
-                pa.array(n[a:a + 100_000], pa.int64()), pa.array(df[a:a + 100_000], pa.int64()),
-            ], names=["lang", "source", "term", "n", "df"])
+        if self.parts:
+            g, term, n, df = self.parts[0]
+            langs = sorted(set(self.lang.values()))
+            known = np.array(sorted(self.lang))
+            code = np.array([langs.index(self.lang[x]) for x in known.tolist()])[np.searchsorted(known, g)]
+            order = np.lexsort((g, term, code))
+            g, term, n, df, code = g[order], term[order], n[order], df[order], code[order]
+            at = _first(code, term)
+            for a in range(0, len(at), 20_000):
+                rows = at[a:a + 20_000]
+                end = at[a + 20_000] if a + 20_000 < len(at) else len(g)
+                own = slice(rows[0], end)
+                held = pa.StructArray.from_arrays([pa.array(x[own], pa.int64()) for x in (g, n, df)], names=["g", "n", "df"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([langs[c] for c in code[rows].tolist()], pa.string()),
+                    pa.array([self.terms[h].decode() for h in term[rows].tolist()], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(np.append(rows, end) - rows[0], pa.int32()), held),
+                ], names=["lang", "term", "held"])
         self.__init__()
 
 
@@ -132,10 +151,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counts.hand_on()
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences of a term in a group, and the group's documents that hold it."""
-    parts = texts.mapInArrow(_count, "lang string, source string, term string, n long, df long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+def kept_terms(texts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(lang, term, all, held) of the terms that enough documents hold; ``held`` has (g, n) for each group with the term.
+
+    What the tasks counted is dealt by (lang, term) once; both sums follow where it lies.
+    """
+    parts = texts.mapInArrow(_count, "lang string, term string, held array<struct<g: long, n: long, df: long>>")
+    entries = parts.repartition("lang", "term").select("lang", "term", F.inline("held"))
+    summed = entries.groupBy("lang", "term", "g").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    whole = summed.groupBy("lang", "term").agg(
+        F.sum("n").alias("all"), F.sum("df").alias("df"), F.collect_list(F.struct("g", "n")).alias("held"))
+    return whole.where(F.col("df") >= min_documents).drop("df")
 
 
 def share(count: Column, total: Column, kept: Column, scale: int) -> Column:
@@ -173,9 +199,7 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = _differ(pa_, pb) - _differ(pa_, zb) - _differ(za, pb) + _differ(za, zb)
             order = np.lexsort((group[right], group[left]))
             x, y, value = group[left][order], group[right][order], value[order]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            at = np.flatnonzero(fresh)
+            at = _first(x, y)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[at]), pa.array(y[at]), pa.array(np.add.reduceat(value, at))], names=["a", "b", "value"])
@@ -187,23 +211,18 @@ def audit(
     min_documents: int = MIN_DOCUMENTS, scale: int = SCALE, top_terms: int = TOP_TERMS,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank) for every occurring group; see above."""
-    texts = collapse(docs, text, lang, source)
-    counts = stage(term_counts(texts), "counts")
-    everywhere = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("df").alias("df"))
-    kept = stage(counts.join(everywhere.where(F.col("df") >= min_documents), ["lang", "term"]).select(
-        "lang", "source", "term", "n", "all"), "kept")
+    occurring = stage(groups_of(docs, lang, source), "groups")
+    kept = stage(kept_terms(collapse(docs, occurring, text, lang, source), min_documents), "kept")
+    held = kept.select("lang", "term", "all", F.inline("held"))
     # one row per language, and per group, with what it counts
-    by_lang = kept.select("lang", "term", "all").distinct().groupBy("lang").agg(
-        F.count(F.lit(1)).alias("v"), F.sum("all").alias("lang_total"))
-    occurring = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]).distinct()
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    groups = occurring.join(totals, ["lang", "source"], "left").join(by_lang, "lang", "left").select(
-        "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total")])
-    groups = groups.withColumn("absent", F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v"), scale)))
-    groups = stage(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
-
-    shares = kept.join(groups, ["lang", "source"])
-    shares = stage(shares.select(
+    by_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("lang_total"))
+    totals = held.groupBy("g").agg(F.sum("n").alias("total"))
+    groups = occurring.join(totals, "g", "left").join(by_lang, "lang", "left").select(
+        "lang", "source", "g", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total")])
+    absent = F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v"), scale))
+    groups = stage(groups.withColumn("absent", absent), "totals")
+
+    shares = stage(held.join(groups.drop("lang"), "g").select(
         "lang", "source", "g", "term", "absent", share(F.col("n"), F.col("total"), F.col("v"), scale).alias("p"),
         share(F.col("all"), F.col("lang_total"), F.col("v"), scale).alias("q")), "shares")
 
@@ -220,8 +239,8 @@ def audit(
         pairs.select("lang", "a", "b", "absent_a", "absent_b"), ["lang", own])
     first = alone("a").select("a", "b", (F.col("n") * (differs(F.col("p"), F.col("absent_b")) - neither)).alias("value"))
     second = alone("b").select("a", "b", (F.col("n") * (differs(F.col("absent_a"), F.col("p")) - neither)).alias("value"))
-    held = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "absent")).alias("held"))
-    both = held.where(F.size("held") > 1).select("held").mapInArrow(_both, "a long, b long, value long")
+    met = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "absent")).alias("held"))
+    both = met.where(F.size("held") > 1).select("held").mapInArrow(_both, "a long, b long, value long")
     added = first.unionByName(second).unionByName(both).groupBy("a", "b").agg(F.sum("value").alias("added"))
     value = F.when(F.col("v") > 0, F.col("v") * neither + F.coalesce("added", F.lit(0))).otherwise(0)
     pairs = pairs.join(added, ["a", "b"], "left").select("lang", "source", "item", value.alias("value"))
