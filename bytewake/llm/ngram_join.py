@@ -5,12 +5,11 @@ the whole sequence.  Two sets link at a Jaccard similarity of ``percent`` or
 more, and documents that are linked over any number of steps form one
 component.
 
-Sets are ordered globally, shingles of rare kind first.  How common a shingle is
-comes from counts of all shingles in a table of fixed size by hash; any order
-gives the same links, this one keeps passages that many documents share out of
-the beginnings of sets.  Sets that link share a shingle among the first
-n - ceil(n * percent / 100) + 1 of each, so only sets with such a shingle in
-common go on:
+Sets are ordered globally, by hash.  Sets that link share l shingles among the
+first n - ceil(n * percent / 100) + l of each, for any l; l grows with the size
+(``EXTRA``), so that a passage which is a small part of a document brings nobody
+together.  Only sets with enough shingles there that another set has there as
+well go on:
 
 1.  they are placed in blocks of at most ``BLOCK_BYTES``, sets that share a
     shingle together, and a block's sets form a prefix tree.  Each set walks
@@ -20,12 +19,12 @@ common go on:
     below are known to be in its component.
 2.  one set of each component found so far stands for it, in blocks of their
     own, until a large group of near copies has one standing for all.
-3.  sets that share an early shingle with a set of another component in another
+3.  sets that share enough early shingles with sets of other components in another
     block visit that block's tree; a block with many visitors is dealt to
     several tasks, with its sets.
 
 Copies are one set, and a task returns at most one row per set and component it
-meets.  Nothing is capped, and no group is gathered whole.  Shingles are 60-bit
+meets.  Nothing is capped, and no group is gathered whole.  Shingles are 64-bit
 hashes and sets are known by 64-bit digests: two of n different sets share one
 with a chance of n * n / 2^65.
 
@@ -48,7 +47,6 @@ from pyspark.sql import functions as F
 from bytewake.llm.common import steps
 from bytewake.llm.components import components
 from bytewake.llm.hashed_words import BLANK, mix, per_text, text_bytes, words
-from bytewake.llm.shared_files import partition
 from bytewake.staging import Stage
 
 SIZE = 4
@@ -58,8 +56,8 @@ BLOCK_BYTES = 1 << 20
 VISIT_BYTES = 8 << 20
 #: shingles of one node of a tree: a walk can turn back after so many
 SEGMENT = 64
-#: places of the table of counts, the parts it is added up in, and how many are added at once
-PLACES_BITS, PARTS, FAN_IN = 20, 16, 16
+#: how many more shingles at the beginning of a set are looked at, in hundredths of its size
+EXTRA = 6
 #: ids of documents that are sent to every task; more are joined by shuffle
 SENT_IDS = 2_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -83,11 +81,14 @@ def shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
     for j in range(size):
         more = length > j
         hashed[more] = mix(hashed[more] * _STEP + word[at[more] + j])
-    order = np.lexsort((hashed, doc))
-    hashed, doc = hashed[order], doc[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])
-    return hashed[fresh], np.searchsorted(doc[fresh], np.arange(len(n) + 1))
+    begin = np.cumsum(count) - count
+    for x, y in zip(begin.tolist(), (begin + count).tolist()):
+        hashed[x:y].sort()
+    fresh = np.ones(len(hashed), bool)
+    fresh[1:] = hashed[1:] != hashed[:-1]
+    fresh[begin[count > 0]] = True
+    until = np.concatenate([[0], np.cumsum(fresh)])
+    return hashed[fresh], np.append(until[begin], until[-1])
 
 
 def digests(hashed: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -97,93 +98,57 @@ def digests(hashed: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(total[begin[1:]] - total[begin[:-1]] + n), np.uint64(0)).view(np.int64)
 
 
-def in_order(hashed: np.ndarray, begin: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Shingles as numbers that follow the global order, ascending within each text."""
-    key = levels[hashed >> np.uint64(64 - PLACES_BITS)].astype(np.uint64) << np.uint64(60) | hashed >> np.uint64(4)
-    return key[np.lexsort((key, np.repeat(np.arange(len(begin) - 1), np.diff(begin))))]
+def shared_at_least(n):
+    """How many shingles a set of that size shares at the beginning with one that links, if both are ``beginning`` long."""
+    return 1 + (n * EXTRA) // 100
 
 
 def beginning(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + (n > 0)
-
-
-# -- how common shingles are --------------------------------------------------
-
-def _tally(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << PLACES_BITS, np.int64)
-        for batch in batches:
-            for part in steps(batch, "text"):
-                hashed, _ = shingles(part.column("text"), size)
-                counts += np.bincount((hashed >> np.uint64(64 - PLACES_BITS)).astype(np.int64), minlength=len(counts))
-        for i, part in enumerate(counts.reshape(PARTS, -1)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition()], pa.int32()), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                names=["lane", "part", "counts"])
-
-    return run
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"lane": table.column("lane")[:1].cast(pa.int32()), "part": table.column("part")[:1].cast(pa.int32()),
-                     "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def kinds(rows: DataFrame, stage: Stage, size: int = SIZE) -> np.ndarray:
-    """How much more common than usual the shingles of each place are, as a power of two; a table of fixed size."""
-    schema = "lane int, part int, counts binary"
-    parts = stage(rows.mapInArrow(_tally(size), schema), "tally")
-    lanes = (parts.agg(F.max("lane")).first()[0] or 0) + 1
-    while lanes > 1:
-        lanes = -(-lanes // FAN_IN)
-        parts = stage(parts.withColumn("lane", F.expr(f"cast(lane div {FAN_IN} as int)")).groupBy("lane", "part").applyInArrow(_add_up, schema), "tally")
-    counts = np.zeros((PARTS, (1 << PLACES_BITS) // PARTS))
-    for row in parts.collect():  # PARTS rows
-        counts[row.part] += np.frombuffer(row.counts, np.int64)
-    return np.clip(np.floor(np.log2(counts.ravel() / max(counts.mean(), 1) + 0.5)), 0, 15).astype(np.uint8)
+    return np.minimum(n, n - (n * percent + 99) // 100 + shared_at_least(n))
 
 
 # -- passes over the documents ------------------------------------------------
 
-def _sets(size: int):
+def _sets(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
                 hashed, begin = shingles(part.column("text"), size)
+                n = np.diff(begin)
+                ends = begin[:-1] + beginning(n, percent)
+                first = [hashed[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests(hashed, begin)), pa.array(np.diff(begin))], names=["doc_id", "node", "n"])
+                    [part.column("doc_id"), pa.array(digests(hashed, begin)), pa.array(n), pa.array(first, pa.binary())],
+                    names=["doc_id", "node", "n", "first"])
 
     return run
 
 
-def _beginnings(size: int, percent: int, levels: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in steps(batch, "text"):
-                hashed, begin = shingles(part.column("text"), size)
-                key, node, n = in_order(hashed, begin, levels), digests(hashed, begin), np.diff(begin)
-                fresh = np.array([x not in seen and (seen.add(x) or True) for x in node.tolist()], bool)  # copies in this task
-                count = np.where(fresh, beginning(n, percent), 0)
-                at = ranges(begin[:-1], count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), pa.array(np.repeat(node, count)), pa.array(np.repeat(n, count))],
-                    names=["shingle", "node", "n"])
-
-    return run
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for batch in batches:
+        for part in steps(batch, "first"):
+            node, first = part.column("node").to_pylist(), part.column("first").to_pylist()
+            fresh = [i for i, x in enumerate(node) if x not in seen and (seen.add(x) or True)]  # copies in this task
+            packed = [first[i] for i in fresh]
+            count, at = np.array([len(x) // 8 for x in packed], np.int64), np.array(fresh, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.frombuffer(b"".join(packed), np.int64)),
+                *(pa.array(np.repeat(np.asarray(part.column(c))[at], count)) for c in ("node", "n"))], names=["shingle", "node", "n"])
 
 
-def _members(size: int, levels: np.ndarray):
+def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
                 hashed, begin = shingles(part.column("text"), size)
-                key = in_order(hashed, begin, levels).astype(">u8")  # bytes sort as the numbers do
+                key = hashed.astype(">u8")  # bytes sort as the numbers do
                 own = np.flatnonzero(digests(hashed, begin) == part.column("node").to_numpy(zero_copy_only=False))
                 packed = [key[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]
+                own = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(own)), pa.array(packed, pa.binary())], names=["node", "keys"])
+                    [part.column("node").take(own), part.column("block").take(own), pa.array(packed, pa.binary())],
+                    names=["node", "block", "keys"])
 
     return run
 
@@ -367,26 +332,29 @@ def links(
     rows: DataFrame, sets: DataFrame, stage: Stage, size: int = SIZE, percent: int = PERCENT,
     block_bytes: int = BLOCK_BYTES, visit_bytes: int = VISIT_BYTES,
 ) -> DataFrame:
-    """(node, root) of every set that links with another; ``sets`` has (doc_id, node, n) of the documents ``rows``."""
-    levels = kinds(rows.select("text"), stage, size)
-    begun = rows.select("text").mapInArrow(_beginnings(size, percent, levels), "shingle long, node long, n long")
+    """(node, root) of every set that links with another; ``sets`` has (doc_id, node, n, first) of the documents ``rows``."""
+    begun = sets.select("node", "n", "first").mapInArrow(_beginnings, "shingle long, node long, n long")
     met = begun.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least <> greatest")
     shared = stage(begun.join(met.select("shingle", "least"), "shingle"), "shared")
 
-    heads = stage(shared.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("head")), "heads")
+    heads = shared.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("head"), F.count(F.lit(1)).alias("shared"))
+    # the other set may be smaller, and ask for fewer
+    least = F.expr(f"1 + (((n * {percent} + 99) div 100) * {EXTRA}) div 100")
+    heads = stage(heads.where(F.col("shared") >= least), "heads")
     of_head = heads.select(F.col("node").alias("head"), F.col("head").alias("cluster"))
-    nodes = stage(_blocks(heads.join(of_head, "head").select("node", "n", "cluster"), block_bytes), "nodes")
+    nodes = heads.join(of_head, "head", "left").withColumn("cluster", F.coalesce("cluster", "head"))
+    nodes = stage(_blocks(nodes.select("node", "n", "cluster"), block_bytes), "nodes")
 
     one = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stage(nodes.select("node").join(one, "node"), "wanted")
+    wanted = stage(nodes.select("node", "block").join(one, "node"), "wanted")
     if wanted.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
-    members = stage(texts.mapInArrow(_members(size, levels), "node long, keys binary"), "members")
-    alone = lambda placed: members.join(placed.select("node", "block"), "node").select(
-        "*", F.lit(0).alias("share"), F.lit(False).alias("visits"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "block", "text")
+    members = stage(texts.mapInArrow(_members(size), "node long, block long, keys binary"), "members")
+    whole = F.lit(0).alias("share"), F.lit(False).alias("visits")
+    alone = lambda placed: members.drop("block").join(placed.select("node", "block"), "node").select("*", *whole)
 
-    edges = stage(_walk(alone(nodes), _within(percent)), "within")
+    edges = stage(_walk(members.select("*", *whole), _within(percent)), "within")
     # of a cluster with several blocks, one set of each component goes on
     standing = nodes.where("blocks > 1")
     before = standing.count()
@@ -407,12 +375,14 @@ def links(
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("fewest") * percent <= F.col("n") * 100)
     other = (F.col("a") != F.col("root")) | (F.col("b") != F.col("root"))
     visits = mixed.join(targets, "shingle").where((F.col("there") > F.col("block")) & other & near)
-    visits = stage(visits.groupBy("node", F.col("there").alias("block")).agg(F.max("n").alias("n")), "visits")
+    # a set that links shares so many of them, and each has brought a row
+    visits = visits.groupBy("node", F.col("there").alias("block")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    visits = stage(visits.where(F.col("shared") >= least), "visits")
     if not visits.isEmpty():
         shares = stage(visits.groupBy("block").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(visit_bytes)).alias("shares")), "shares")
-        guests = visits.join(shares, "block").join(members, "node").select(
+        guests = visits.join(shares, "block").join(members.drop("block"), "node").select(
             "block", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(True).alias("visits"), "node", "keys")
-        hosts = members.join(nodes.select("node", "block").join(shares, "block"), "node").select(
+        hosts = members.join(shares, "block").select(
             "block", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), F.lit(False).alias("visits"), "node", "keys")
         edges = stage(edges.unionByName(_walk(guests.unionByName(hosts), _across(percent))), "across")
     return components(edges, stage)
@@ -421,9 +391,9 @@ def links(
 def join(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, **bounds: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see above."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stage(rows.mapInArrow(_sets(size), "doc_id long, node long, n long"), "sets")
+    sets = stage(rows.mapInArrow(_sets(size, percent), "doc_id long, node long, n long, first binary"), "sets")
     found = links(rows, sets.where("n > 0"), stage, size, percent, **bounds)
-    rooted = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = sets.drop("first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     component: Column = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -108,11 +108,16 @@ def test_tree_finds_what_all_pairs_find(seed):
         assert set(tree.linked(keys, wanted).tolist()) == want
 
 
-def test_beginnings_of_linked_sets_meet():
-    for n in range(1, 200):
+def test_beginnings_of_linked_sets_meet_often_enough():
+    for n in range(1, 400):
         first = int(ngram_join.beginning(np.array([n]), 85)[0])
-        # at least ceil(0.85 n) shingles are shared, so one of them is among these
-        assert 1 <= first <= n and first + -(-85 * n // 100) > n
+        for m in range(-(-85 * n // 100), n + 1):  # a smaller set that links
+            other = int(ngram_join.beginning(np.array([m]), 85)[0])
+            overlap = -(-85 * (n + m) // 185)
+            # the j-th shared shingle stands before all the later ones in both sets
+            j = ngram_join.shared_at_least(m)
+            assert n - overlap + j <= first and m - overlap + j <= other
+            assert j >= ngram_join.shared_at_least(-(-85 * n // 100))
 
 
 def test_windows_change_nothing(monkeypatch):
