@@ -328,6 +328,12 @@ def _blocks(nodes: DataFrame, block_bytes: int) -> DataFrame:
     return nodes.join(size, "cluster").withColumn("block", F.xxhash64("cluster", part))
 
 
+def _mixed(cells: DataFrame) -> DataFrame:
+    """Entries of the shingles that sets of different components have."""
+    ends = cells.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    return cells.join(ends.select("shingle"), "shingle")
+
+
 def links(
     rows: DataFrame, sets: DataFrame, stage: Stage, size: int = SIZE, percent: int = PERCENT,
     block_bytes: int = BLOCK_BYTES, visit_bytes: int = VISIT_BYTES,
@@ -368,8 +374,10 @@ def links(
 
     roots = stage(nodes.join(components(edges, stage), "node", "left").select(
         "node", "n", "block", F.coalesce("root", "node").alias("root")), "roots")
-    mixed = shared.select("shingle", "node").join(roots, "node")
-    mixed = stage(mixed.join(mixed.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle"), "shingle"), "mixed")
+    mixed = stage(_mixed(shared.select("shingle", "node").distinct().join(roots, "node")), "mixed")
+    for _ in range(2):  # without the sets that share too few with other components, fewer shingles are shared
+        enough = mixed.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+        mixed = stage(_mixed(mixed.join(enough.select("node"), "node", "left_semi")), "mixed")
     targets = mixed.groupBy("shingle", F.col("block").alias("there")).agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("fewest"), F.max("n").alias("most"))
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("fewest") * percent <= F.col("n") * 100)
