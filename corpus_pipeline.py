@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewake.llm import decontamination, line_dedup, quality_rules, sentencepiece_fst, tokenizer_files
-from bytewake.llm import near_copies as similar
+from bytewake.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_fst, tokenizer_files
 from bytewake.llm.common import table
 from bytewake.staging import stage_in
 
@@ -29,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share four fifths of their five-word shingles the one with the smallest id stays."""
-    return similar.keep_first(docs, stage_in(spark, "near-copies"))
+    """Of each group of documents whose SimHash fingerprints link the one with the smallest id stays."""
+    return near_dedup.keep_first(docs, stage_in(spark, "near-copies"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
