@@ -42,6 +42,17 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the input has, in whatever case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def add_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Callable[[], ArrowColumns]) -> DataFrame:
     """Rows with more columns, computed from each slice of an Arrow batch.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytewake.llm.common import add_columns, texts
+from bytewake.llm.common import add_columns, free_names, texts
 from bytewake.llm.components import components
 from bytewake.staging import Stage
 
@@ -256,9 +256,10 @@ def near_duplicates(
 def keep_first(
     docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """One document of each group, one with the smallest id, with the columns it came with."""
-    marked = stage(fingerprint(docs, text, "_fp").withColumn("_row", F.monotonically_increasing_id()), "documents")
-    ids = marked.select(F.col(doc_id).alias("_id"), "_fp", "_row")
+    """One document of each group, one with the smallest id, with the columns it came with, whatever they are called."""
+    mark, row = free_names(docs, "_fp", "_row")
+    marked = stage(fingerprint(docs, text, mark).withColumn(row, F.monotonically_increasing_id()), "documents")
+    ids = marked.select(F.col(doc_id).alias("_id"), F.col(mark).alias("_fp"), F.col(row).alias("_row"))
     grouped = ids.join(group(ids, stage, "_id", "_fp", radius), F.col("_fp") == F.col("fp"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first"))
-    return marked.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    return marked.join(first.select(F.col("first._row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -98,14 +98,14 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_one_document_of_each_group_stays(spark):
     texts = near_copies(4, 10) + [prose(50, 100)] * 4 + [prose(i, 90) for i in range(60, 64)]
     docs = documents(spark, texts).union(spark.createDataFrame([(13, texts[13]), (None, texts[13]), (None, prose(77, 90))], "doc_id long, text string"))
-    docs = docs.withColumn("_ROW", F.lit("mine"))
+    docs = docs.withColumn("_ROW", F.lit("mine")).withColumn("_fp", F.lit(77))
     with pytest.raises(Exception):
         nd.keep_first(docs.select("doc_id", "text", F.lit(1).alias("_fp"), F.lit(2).alias("_fp")), stage_in(spark, "test")).count()
-    docs = docs.drop("_ROW").withColumn("extra", F.lit("x"))
     kept = nd.keep_first(docs, stage_in(spark, "test"))
     fps = [brute_fingerprint(t) for t in texts]
     want = sorted({root for root in brute_groups(fps)})
     assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.select("_ROW", "_fp").distinct().collect()] == [("mine", 77)]
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in want] + [(True, None)]
 
 
