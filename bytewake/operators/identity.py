@@ -202,6 +202,18 @@ def lifetime_starts(snapshots: DataFrame, captured: DataFrame | None = None) ->
     return starts.distinct()
 
 
+def contested_minutes(starts: DataFrame) -> DataFrame:
+    """(process, minute) in which a process number changes hands, from the starts alone.
+
+    The first start of a number also covers what precedes it, and one that
+    falls on the minute's beginning leaves the minute whole.
+    """
+    begun = minute_start(F.col("gen_start"))
+    first = F.min("gen_start").over(Window.partitionBy(*PROCESS))
+    later = starts.withColumn("first", first).where((F.col("gen_start") > F.col("first")) & (F.col("gen_start") > begun))
+    return later.select(*PROCESS, begun.alias("bucket")).distinct()
+
+
 def _slice(ts: Column, seconds: int) -> Column:
     whole = F.unix_seconds(ts)
     return whole - F.pmod(whole, F.lit(seconds))

@@ -77,6 +77,19 @@ def minute_fold(samples: DataFrame) -> DataFrame:
     )
 
 
+def split_fold(samples: DataFrame, contested: DataFrame) -> DataFrame:
+    """``minute_fold``, but by ``instant`` in the contested (process, minute) keys, in the same scan.
+
+    ``instant`` is null elsewhere.  Contested keys are few, so which way they
+    are joined is left to their measured size.
+    """
+    moved = transfers(samples).withColumn("bucket", calendar.minute_start(F.col("ts")))
+    marked = moved.join(contested.withColumn("contested", F.lit(True)), [*PROCESS, "bucket"], "left")
+    instant = F.when(F.col("contested"), F.col("ts")).alias("instant")
+    return marked.groupBy(*PROCESS, "bucket", "scope", instant).agg(
+        *direction_sums(F.col("dir"), F.col("bytes")), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+
+
 def first_sight(observations: DataFrame, payload: list[str], order: list[str]) -> DataFrame:
     """Per process the first observation; later ones are ignored."""
     first = F.min_by(F.struct(*payload), F.struct(*order)).alias("first")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from bytewake.config import NATURAL_KEY, PROCESS, Settings
 from bytewake.functions import calendar
-from bytewake.functions.calendar import minute_start
 from bytewake.operators import identity as ids
 from bytewake.operators import samples as smp
 from bytewake.operators.tiers import byte_sums
@@ -50,29 +49,27 @@ def narrowed(feeds: Feeds, folds: DataFrame) -> Feeds:
 def lifetime_folds(feeds: Feeds, stage: Stage) -> DataFrame:
     """Minute counters per process lifetime, exact to the microsecond.
 
-    Samples are folded by minute first and the folds, not the samples, are
-    assigned to lifetimes.  Only a minute in which a process number changes
-    hands is taken apart: its samples are read again, folded by instant, and
-    assigned one by one.
+    Samples are folded by minute and the folds, not the samples, are assigned
+    to lifetimes.  Minutes in which a process number changes hands are known
+    from the starts before any sample is read; the same scan folds those by
+    instant, to be assigned one by one.
     """
     samples, starts = feeds.samples, stage(feeds.starts(), "starts")
-    placed = stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed")
+    contested = stage(ids.contested_minutes(starts), "contested")
     columns = [*LIFETIME, "bucket", "scope", "ingress_bytes", "egress_bytes", "min_ts", "max_ts"]
-    whole = placed.where(~F.col("torn")).select(*columns)
-    torn = placed.where("torn").select(*PROCESS, "bucket", "scope")
-    if torn.isEmpty():
-        return whole
+    if contested.isEmpty():
+        return stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed").select(*columns)
 
-    again = smp.transfers(samples).withColumn("bucket", minute_start(F.col("ts")))
-    again = again.join(torn, [*PROCESS, "bucket", "scope"], "left_semi")
+    folds = stage(smp.split_fold(samples, contested), "folds")
+    whole = ids.minute_lifetime(folds.where(F.col("instant").isNull()).drop("instant"), starts)
     # one row per instant, so a slice of one second has a fixed upper size
-    instants = stage(smp.direction_pivot(again, *PROCESS, "bucket", "scope", "ts"), "instants")
-    reused = starts.join(torn.select(*PROCESS).distinct(), list(PROCESS), "left_semi")
-    exact = ids.tgid_lifetime(instants, reused, "ts", slice_seconds=1)
+    instants = folds.where(F.col("instant").isNotNull())
+    reused = starts.join(contested.select(*PROCESS).distinct(), list(PROCESS), "left_semi")
+    exact = ids.tgid_lifetime(instants, reused, "instant", slice_seconds=1)
     pieces = exact.groupBy(*LIFETIME, "bucket", "scope").agg(
-        *byte_sums(), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")
+        *byte_sums(), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
-    return whole.unionByName(stage(pieces.select(*columns), "pieces"))
+    return stage(whole.select(*columns).unionByName(pieces.select(*columns)), "placed")
 
 
 def sightings(folds: DataFrame, feeds: Feeds) -> DataFrame:

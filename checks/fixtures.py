@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from bytewake import schemas
 from bytewake.config import DISPLAY, NATURAL_KEY
-from bytewake.session import tune
+from bytewake.session import tune, work_dir
 
 TZ = "America/New_York"
 SAMPLES_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -43,8 +43,8 @@ SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR(9)) AS host, c_custkey AS tgid,
   lower(c_mktsegment) || chr(10) AS comm,
   'app' || chr(0) || CASE WHEN g = 1 THEN 'run' ELSE 'build' END || chr(0) || '--port' || chr(0) || CAST(c_custkey AS VARCHAR(9))
     || chr(0) || chr(0) || '--name=' || c_name || chr(0) || '/tmp/x' || CAST(c_custkey AS VARCHAR(9)) || chr(0)
-    || CASE WHEN c_custkey % 3 = 0 THEN '550e8400-e29b-41d4-a716-446655440000'
-            WHEN c_custkey % 3 = 1 THEN 'serve.py' ELSE '3.5e2' END AS cmdline,
+    || CASE WHEN c_custkey % 3 = 0 THEN '3f6c1a92-7b0e-4d58-8c21-e94a07d5b16f'
+            WHEN c_custkey % 3 = 1 THEN 'tool7.py' ELSE '3.5e2' END AS cmdline,
   'Name:' || chr(9) || lower(c_mktsegment) || chr(10) || 'Uid:' || chr(9) || CAST(1000 + c_nationkey AS VARCHAR(9)) || chr(9) || '0' AS status,
   CASE WHEN c_custkey % 13 = 0 THEN 'junk' || chr(10) ELSE '' END || '0::/user.slice/' || lower(c_mktsegment) || '.scope' AS cgroup
 FROM (SELECT *, {each:1, 2} AS g FROM {customer}) c
@@ -135,12 +135,17 @@ def samples(spark: SparkSession, sf_dir: str, **replaced: DataFrame) -> DataFram
     )
 
 
-def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same samples as a file stream."""
+def sample_stream(spark: SparkSession, sf_dir: str, *borders: str) -> DataFrame:
+    """The same samples as a file stream: one file and micro-batch up to each border, and one after the last."""
     tune(spark)
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return samples(spark, sf_dir, events=events)
+    events, path = table(spark, sf_dir, "events"), work_dir(spark, "events")
+    bounds = [F.lit(b).cast("timestamp") for b in borders]
+    for after, until in zip([None, *bounds], [*bounds, None]):
+        part = events if after is None else events.where(F.col("ts") >= after)
+        part = part if until is None else part.where(F.col("ts") < until)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return samples(spark, sf_dir, events=stream)
 
 
 def empty_identities(spark: SparkSession) -> DataFrame:

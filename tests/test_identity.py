@@ -15,7 +15,7 @@ from tests.test_samples import address
 DAY = utc(2024, 1, 1)
 
 
-def snapshot(tgid, seen_at, exe="/usr/bin/node", cwd="/home/x/proj", cmdline="npm\0run\0dev", status="Uid:\t1000\n", host="h"):
+def snapshot(tgid, seen_at, exe="/usr/bin/node", cwd="/home/x/proj", cmdline="cargo\0watch\0lint", status="Uid:\t1000\n", host="h"):
     return (host, tgid, seen_at, exe, cwd, "node\n", cmdline, status, "0::/user.slice\n")
 
 
@@ -30,7 +30,7 @@ def feeds(spark, snapshots=(), meta=(), passwd=(), markers=(), samples=()):
     )
 
 
-def sighting(at, key="npm run dev", raw="npm run dev", username="x", comm="node", seq=0, host="h"):
+def sighting(at, key="cargo watch lint", raw="cargo watch lint", username="x", comm="node", seq=0, host="h"):
     return (host, 1000, "/user.slice", "/usr/bin/node", "/p", key, comm, raw, username, at, at, seq)
 
 
@@ -44,11 +44,11 @@ def upsert(spark, dimension, *seen):
 
 
 def test_same_key_keeps_id_and_takes_newest_display(spark):
-    one = upsert(spark, schemas.empty(spark, schemas.IDENTITY), sighting(DAY, raw="npm --port 3000"))
-    two = upsert(spark, one, sighting(DAY + timedelta(days=1), raw="npm --port 3001"))
-    assert rows_of(two, "id", "raw_cmdline") == [(1, "npm --port 3001")]
-    three = upsert(spark, two, sighting(DAY, key="npm run build"))
-    assert rows_of(three, "id", "normalized_cmdline") == [(1, "npm run dev"), (2, "npm run build")]
+    one = upsert(spark, schemas.empty(spark, schemas.IDENTITY), sighting(DAY, raw="cargo -j 4"))
+    two = upsert(spark, one, sighting(DAY + timedelta(days=1), raw="cargo -j 16"))
+    assert rows_of(two, "id", "raw_cmdline") == [(1, "cargo -j 16")]
+    three = upsert(spark, two, sighting(DAY, key="cargo watch docs"))
+    assert rows_of(three, "id", "normalized_cmdline") == [(1, "cargo watch lint"), (2, "cargo watch docs")]
 
 
 def test_newer_null_username_replaces_a_name(spark):
@@ -129,10 +129,10 @@ def test_first_passwd_line_wins_and_malformed_lines_are_skipped(spark):
 
 
 def test_metadata_record(spark):
-    f = feeds(spark, meta=[("h", 1, 1000, "42", "curl\0\0\0\0", DAY)])
+    f = feeds(spark, meta=[("h", 1, 1000, "42", "rsync\0\0\0\0", DAY)])
     row = ids.meta_records(f.meta, f.passwd).first()
     assert (row.exe, row.project_root, row.unit_or_cgroup, row.normalized_cmdline, row.comm, row.raw_cmdline) == (
-        "<unresolved>", "<unresolved>", "cgroup-id:42", "<unresolved:curl>", "curl", "")
+        "<unresolved>", "<unresolved>", "cgroup-id:42", "<unresolved:rsync>", "rsync", "")
     assert row.username is None
 
 
@@ -140,7 +140,7 @@ def test_every_process_resolves(spark):
     f = feeds(
         spark,
         snapshots=[snapshot(1, DAY), snapshot(4, DAY, status=None)],
-        meta=[("h", i, 1000, "42", "curl\0", DAY) for i in (1, 2, 4)],
+        meta=[("h", i, 1000, "42", "rsync\0", DAY) for i in (1, 2, 4)],
     )
     lives = spark.createDataFrame(
         [("h", 1, DAY), ("h", 2, None), ("h", 3, None), ("h", 4, DAY)], "host string, tgid long, gen_start timestamp")
@@ -158,7 +158,7 @@ def test_repeated_lookup_rows_do_not_multiply_processes(spark):
     f = feeds(
         spark,
         snapshots=[snapshot(1, DAY), snapshot(1, DAY, exe="/usr/bin/other"), snapshot(1, DAY, status=None)],
-        meta=[("h", 2, 1000, "42", c, DAY) for c in ("curl\0", "wget\0")],
+        meta=[("h", 2, 1000, "42", c, DAY) for c in ("rsync\0", "wget\0")],
     )
     lives = spark.createDataFrame([("h", 1, DAY), ("h", 2, None)], "host string, tgid long, gen_start timestamp")
     found = ids.resolve_chain(

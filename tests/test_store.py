@@ -128,8 +128,8 @@ def test_prune_is_exact_and_keeps_what_is_not_rolled_up(spark, root):
 def world(spark, samples):
     return feeds(
         spark, samples=samples,
-        snapshots=[snapshot(1, utc(2024, 1, 1)), snapshot(1, utc(2024, 1, 1, 10, 0, 30), cmdline="npm\0run\0build")],
-        meta=[("h", 2, 1000, "7", "curl\0", utc(2024, 1, 1))],
+        snapshots=[snapshot(1, utc(2024, 1, 1)), snapshot(1, utc(2024, 1, 1, 10, 0, 30), cmdline="cargo\0watch\0docs")],
+        meta=[("h", 2, 1000, "7", "rsync\0", utc(2024, 1, 1))],
         passwd=[("h", 1, 1000, "x")], markers=[("h", "/home/x", ".git")],
     )
 
@@ -159,15 +159,15 @@ def test_ingest_twice_and_in_parts(spark, root):
     ingest(spark, store, world(spark, FIRST), "a", Settings())
     ingest(spark, store, world(spark, FIRST), "a", Settings())
     want = [
-        ("<unresolved:curl>", "01 09:00", 11, 0),
-        ("npm run build", "01 10:00", 0, 7),
-        ("npm run dev", "01 10:00", 0, 5),
+        ("<unresolved:rsync>", "01 09:00", 11, 0),
+        ("cargo watch docs", "01 10:00", 0, 7),
+        ("cargo watch lint", "01 10:00", 0, 5),
     ]
     assert named(store, "minute") == want
     ids_before = dict(rows_of(store.identities(), "normalized_cmdline", "id"))
     ingest(spark, store, world(spark, LATE), "b", Settings())
     assert named(store, "minute") == sorted(
-        [want[0], want[1], ("npm run dev", "01 10:00", 0, 105), ("<unresolved>", "01 09:00", 1000, 0)])
+        [want[0], want[1], ("cargo watch lint", "01 10:00", 0, 105), ("<unresolved>", "01 09:00", 1000, 0)])
     after = dict(rows_of(store.identities(), "normalized_cmdline", "id"))
     assert {k: after[k] for k in ids_before} == ids_before
     assert store.compact_identities()
@@ -183,7 +183,7 @@ def test_reconcile_reaches_every_tier_once(spark, root):
     everything = world(spark, FIRST + LATE)
     reconcile(spark, store, everything, "fix-1", utc(2024, 1, 1), utc(2024, 1, 2), settings)
     want = [
-        ("<unresolved:curl>", 11, 0), ("<unresolved>", 1000, 0), ("npm run build", 0, 7), ("npm run dev", 0, 105),
+        ("<unresolved:rsync>", 11, 0), ("<unresolved>", 1000, 0), ("cargo watch docs", 0, 7), ("cargo watch lint", 0, 105),
     ]
     for tier in ("minute", "hour", "day"):
         assert [(k, i, e) for k, _, i, e in named(store, tier)] == sorted(want), tier
@@ -199,10 +199,10 @@ def test_reconcile_leaves_pruned_minutes_alone(spark, root):
     store = Store(spark, root)
     ingest(spark, store, world(spark, FIRST), "a", Settings())
     store.maintain(utc(2024, 1, 3, 9, 30), Settings())
-    assert [k for k, *_ in named(store, "minute")] == ["npm run build", "npm run dev"]
+    assert [k for k, *_ in named(store, "minute")] == ["cargo watch docs", "cargo watch lint"]
     reconcile(spark, store, world(spark, FIRST + LATE), "fix", utc(2024, 1, 1), utc(2024, 1, 3), Settings())
-    assert ("<unresolved:curl>", "01 09:00", 11, 0) in named(store, "hour")
-    assert ("npm run dev", "01 10:00", 0, 105) in named(store, "hour")
+    assert ("<unresolved:rsync>", "01 09:00", 11, 0) in named(store, "hour")
+    assert ("cargo watch lint", "01 10:00", 0, 105) in named(store, "hour")
     assert sum(r[2] for r in named(store, "hour")) == 11
 
 
@@ -239,7 +239,7 @@ def test_late_batch_reaches_every_tier(spark, root):
     ingest(spark, store, world(spark, LATE), "b", settings)
     store.maintain(utc(2024, 1, 2, 13), settings)
     want = sorted([
-        ("<unresolved:curl>", 11, 0), ("<unresolved>", 1000, 0), ("npm run build", 0, 7), ("npm run dev", 0, 105)])
+        ("<unresolved:rsync>", 11, 0), ("<unresolved>", 1000, 0), ("cargo watch docs", 0, 7), ("cargo watch lint", 0, 105)])
     for tier in ("minute", "hour", "day"):
         assert [(k, i, e) for k, _, i, e in named(store, tier)] == want, tier
 
@@ -465,4 +465,4 @@ def test_reused_process_number_with_captures_only(spark, root):
     feed = feeds(spark, samples=rows, snapshots=[snapshot(5, utc(2024, 1, 1, 10))], meta=meta)
     ingest(spark, store, feed, "a", Settings())
     assert [(n, i) for n, _, i, _ in named(store, "minute")] == [
-        ("<unresolved:first>", 10), ("<unresolved:second>", 20), ("<unresolved:third>", 40), ("npm run dev", 30)]
+        ("<unresolved:first>", 10), ("<unresolved:second>", 20), ("<unresolved:third>", 40), ("cargo watch lint", 30)]

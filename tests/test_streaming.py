@@ -81,7 +81,7 @@ def test_first_sight_is_quiet_until_the_delay_has_passed(spark, tmp_path):
 
 def lookups(spark, samples=()):
     return feeds(spark, samples=samples, snapshots=[snapshot(t, START, cmdline=f"app\0{t}x") for t in (1, 2)],
-                 meta=[("h", 3, 1000, "7", "curl\0", START)])
+                 meta=[("h", 3, 1000, "7", "rsync\0", START)])
 
 
 def per_identity(store, tier="minute"):
@@ -90,7 +90,7 @@ def per_identity(store, tier="minute"):
     return rows_of(rows.groupBy("normalized_cmdline").agg(F.sum("ingress_bytes"), F.sum("egress_bytes")))
 
 
-def totals(samples, names=("<unresolved>", "app 1x", "app 2x", "<unresolved:curl>"), before=None):
+def totals(samples, names=("<unresolved>", "app 1x", "app 2x", "<unresolved:rsync>"), before=None):
     want = {}
     for _, ts, _, tgid, hook, ret, *_ in samples:
         if ret > 0 and (before is None or ts < before):
