@@ -27,8 +27,9 @@ are those of the whole.  Parts repeat, and each worker remembers the ids of the
 last one or two times ``REMEMBERED`` of them but for those longer than
 ``MEMORABLE``; all come from the tokenizers
 library, many in one call.  Where a cut
-could fall inside a run of white space the library gets the whole text, and with
-a tokenizer of another kind it always does.
+could fall inside a run of white space, or where a text names an added token, such
+as the end of a text, the library gets the whole text; with a tokenizer of another
+kind it always does.  So ids are the library's, also those of named tokens.
 
 Defined results: a null text counts as an empty one and holds the end id alone;
 null ids come first; equal ids are ordered by their text; an empty table gives
@@ -109,12 +110,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         kinds = json.loads(spec)
         self.parted = kinds.get("normalizer") is None and kinds.get("pre_tokenizer") == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        names = [t["content"] for t in kinds.get("added_tokens") or [] if t["content"]]
+        self.named = re.compile("|".join(map(re.escape, names)) if names else r"(?!)")
+        if any(" " in name for name in names):
+            self.parted = False  # parts put next to each other could make up a name
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -164,7 +168,7 @@ class Encoder:
         return found
 
     def encode(self, whole: list[str]) -> list[bytes]:
-        is_cut = [self.parted and not INSIDE_SPACE.search(t) for t in whole]
+        is_cut = [self.parted and not INSIDE_SPACE.search(t) and not self.named.search(t) for t in whole]
         cut = [t for c, t in zip(is_cut, whole) if c]
         parts = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
         ends = parts.offsets.to_numpy()[1:]

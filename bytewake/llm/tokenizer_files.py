@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 
-#: Folder of the vocabulary files, if the environment names none.
-FOLDER = "/opt/tokenizers"
+
+def installed() -> bool:
+    return importlib.util.find_spec("public_tokenizers") is not None
+
+
+def path(name: str, folder: str | None = None) -> str:
+    """A vocabulary file in ``folder``, or in the installed package of them."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def content(name: str, folder: str | None = None) -> bytes:
-    with open(os.path.join(folder or os.environ.get("TOKENIZER_FILES", FOLDER), name), "rb") as file:
+    with open(path(name, folder), "rb") as file:
         return file.read()

@@ -19,7 +19,7 @@ from tests.llm.test_decontamination import brute as brute_leaks
 from tests.llm.test_near_dedup import brute_fingerprint, brute_groups, near_copies
 
 SF_DIR = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(tokenizer_files.FOLDER), reason="vocabulary files are absent")
+pytestmark = pytest.mark.skipif(not tokenizer_files.installed(), reason="vocabulary files are absent")
 
 
 def brute(docs, items):
@@ -36,7 +36,7 @@ def brute(docs, items):
     roots = brute_groups([brute_fingerprint(t) for _, t, _ in after])
     after = [row for i, row in enumerate(after) if roots[i] == i]
     leaked = {r[0] for r in brute_leaks([(d, t) for d, t, _ in after], items) if r[5]}
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{tokenizer_files.FOLDER}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_files.path("piece_bpe_32k.model"))
     return sorted((d, tuple(library.encode(t))) for d, t, _ in after if d not in leaked)
 
 

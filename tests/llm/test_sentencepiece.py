@@ -1,4 +1,3 @@
-import os
 import random
 
 import numpy as np
@@ -11,7 +10,7 @@ from bytewake.llm import sentencepiece_fst as fst
 from bytewake.llm import tokenizer_files
 from tests.llm.helpers import AWKWARD, documents, prose
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(tokenizer_files.FOLDER), reason="vocabulary files are absent")
+pytestmark = pytest.mark.skipif(not tokenizer_files.installed(), reason="vocabulary files are absent")
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,3 @@
-import os
 import random
 import zlib
 
@@ -11,7 +10,7 @@ from bytewake.llm import tokenizer_files
 from bytewake.staging import stage_in
 from tests.llm.helpers import AWKWARD, prose
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(tokenizer_files.FOLDER), reason="vocabulary files are absent")
+pytestmark = pytest.mark.skipif(not tokenizer_files.installed(), reason="vocabulary files are absent")
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,6 @@ def library(spec, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(spec)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -39,6 +37,14 @@ def test_parts_give_the_ids_of_the_whole(spec):
     assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
 
 
+def test_named_tokens_are_what_the_library_takes_them_for(spec):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|", "<|endoftext |>", "hello world"]
+    coder = tr.Encoder(spec)
+    for _ in range(2):
+        assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
+    assert coder.tokenizer.token_to_id("<|endoftext|>") in library(spec, texts)[0]
+
+
 def test_long_parts_are_not_remembered(spec):
     texts = ["start " + "日本語" * 3000 + " short " + "x1" * tr.MEMORABLE, "日本語" * 3000 + " short"]
     coder = tr.Encoder(spec)
