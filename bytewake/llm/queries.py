@@ -38,7 +38,7 @@ def op2_warc_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*quality_classifier.COLUMNS)
-    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels"), stage=stage_in(spark, "op3")))
 
 
 @query
