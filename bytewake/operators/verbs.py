@@ -185,6 +185,12 @@ def of_identities(facts: DataFrame, identity: DataFrame) -> DataFrame:
     return facts.join(identity.select(F.col("id").alias("identity_id")), "identity_id", "left_semi")
 
 
+def of_few(facts: DataFrame, identity: DataFrame, most: int) -> DataFrame:
+    """Facts of the identities given, by their ids where there are at most ``most``; then scans skip what holds none of them."""
+    found = [r[0] for r in identity.select("id").limit(most + 1).collect()]
+    return facts.where(F.col("identity_id").isin(found)) if len(found) <= most else facts
+
+
 def _labelled(identity: DataFrame, by: str) -> DataFrame:
     key = F.col(GROUP_COLUMNS[by])
     label = {"identity": F.col("exe"), "user": F.col("username")}.get(by, key)

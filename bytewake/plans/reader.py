@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from bytewake import session
 from bytewake.config import BOTH, TIERS, Settings
 from bytewake.operators import tiers, verbs
 from bytewake.plans.attribution import Feeds
@@ -90,12 +91,12 @@ class Reader:
         self, asked: Asked, by: str = "identity", limit: int | None = 0, scope: str | None = None,
         direction: str = BOTH, project: str | None = None, exe: str | None = None, user: str | None = None,
     ) -> DataFrame:
-        filtered = (project, exe, user) != (None, None, None)
         identity = verbs.dimension_filter(self.identities(), project, exe, user)
-        return verbs.top(
-            self._deltas(asked), identity, by, limit, scope or self.settings.default_scope, direction,
-            narrowed=filtered or not self._sees_all,
-        )
+        narrowed = (project, exe, user) != (None, None, None) or not self._sees_all
+        facts = self._deltas(asked)
+        if narrowed:
+            facts = verbs.of_few(facts, identity, session.FEW)
+        return verbs.top(facts, identity, by, limit, scope or self.settings.default_scope, direction, narrowed)
 
     def top_answer(self, asked: Asked, by: str = "identity", limit: int | None = 0, **narrow) -> Answer:
         """The ranking with the visible identities that its groups are made of."""

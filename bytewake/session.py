@@ -9,6 +9,9 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
+#: values that are looked up by themselves; more are joined
+FEW = 200
+
 # Settable at run time on any session, including one that is handed to us.
 RUNTIME_CONF = {
     # stored instants are UTC; local calendars are reached through explicit zones
@@ -20,6 +23,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # INT96 timestamps carry no statistics, so bucket ranges would not be pushed down
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # a list of that many values is looked up in statistics and bloom filters of row groups one by one
+    "spark.sql.parquet.pushdown.inFilterThreshold": str(FEW),
     # many named date folders are listed by some tasks, not by one task each
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # streaming state lives on disk next to the executor, not on its heap

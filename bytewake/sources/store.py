@@ -51,6 +51,8 @@ LOG_FILES = 256
 FOLDERS = 16
 #: parts of the merged dimension by hash of the natural key; deltas that were not merged yet lie in RECENT
 BUCKETS, RECENT = 64, -1
+#: tells of a row group whether an identity is in it; as large as the identities in the group need
+BLOOM = {"parquet.bloom.filter.enabled#identity_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: stand for no bound
 EARLIEST, LATEST = date(1000, 1, 1), date(9000, 1, 1)
 #: names of the batches of one stream: its name, its run and a number, or what upkeep has merged them to
@@ -143,7 +145,7 @@ class Store:
         # out; within a date ordered by identity, so that a series reads few files and row groups
         order = ["dt", "identity_id", "bucket"] if part == "dt" else [part, "id"]
         spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        spread.write.mode("append").partitionBy(part, "batch_id").parquet(self._path(tier))
+        spread.write.mode("append").options(**BLOOM).partitionBy(part, "batch_id").parquet(self._path(tier))
         written = session.matching(self.spark, f"{self._path(tier)}/dt=*/batch_id={attempt}")
         self._staged[tier, batch_id] = attempt, [date.fromisoformat(p.split("/dt=")[1][:10]) for p in written]
 

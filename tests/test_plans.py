@@ -75,6 +75,42 @@ def test_window_reaches_folders_and_row_groups(spark, root):
     assert window.count() == 6
 
 
+def read_rows(df) -> int:
+    """Rows that the scans of a query without shuffles have handed on."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_identities_are_found_by_row_group(spark, root):
+    store = Store(spark, root)
+    rows = lambda ids: spark.createDataFrame([(START + timedelta(minutes=i % 60), i, "external", 1, 1) for i in ids], schemas.TRAFFIC)
+    for name, first in (("even", 0), ("odd", 1)):
+        store.append("minute", rows(range(first, 20_000, 2)).coalesce(1), name)
+    one = store.deltas("minute").where("identity_id = 9001")
+    # one of two batches of the date is skipped
+    assert read_rows(one) <= 10_000 and one.count() == 1
+    # statistics cannot tell that even ids hold no odd one, bloom filters can, without dictionaries
+    even = [f for f in one.inputFiles() if "batch_id=even" in f]
+    plain = spark.read.schema(schemas.TRAFFIC).option("parquet.filter.dictionary.enabled", "false")
+    some = plain.parquet(*even).where(F.col("identity_id").isin(list(range(4001, 4301, 2))))
+    assert read_rows(some) == 0
+    blind = plain.option("parquet.filter.bloom.enabled", "false").parquet(*even).where(F.col("identity_id").isin(list(range(4001, 4301, 2))))
+    assert read_rows(blind) > 0
+
+
+def test_few_identities_narrow_the_scan_and_many_are_joined(spark, root):
+    store = Store(spark, root)
+    store.append("minute", facts(spark, *[(START, i, "external", 1, 1) for i in range(1, 9)]), "a")
+    few = identity(spark)
+    n = few.count()
+    narrow = verbs.of_few(store.deltas("minute"), few, n)
+    assert "In(identity_id" in scans(narrow)[0].split("PushedFilters")[1]
+    assert narrow.count() == n
+    assert verbs.of_few(store.deltas("minute"), few, n - 1).count() == 8
+    assert verbs.of_few(store.deltas("minute"), few.limit(0), 5).count() == 0
+
+
 def test_facts_are_not_shuffled_by_batch(spark, root):
     store = Store(spark, root)
     for name in ("a", "b", "c"):
