@@ -127,12 +127,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 ORACLES["op10_site_relative_lines"] = rf"""
-WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS held_by FROM lines
+totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS held_by FROM lines
     WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*') GROUP BY source, line) h JOIN totals t USING (source)
-  WHERE held_by >= {line_dedup.MIN_PAGES} AND held_by > {line_dedup.MAX_RATIO} * pages),
+  WHERE held_by >= {line_dedup.MIN_PAGES}
+    AND 1000 * held_by > pages * CASE WHEN length(line) <= 20 THEN 100 WHEN length(line) <= 200 THEN 20 ELSE 5 END),
 marked AS (SELECT lines.*, often.line IS NOT NULL AS gone FROM lines LEFT JOIN often USING (source, line)),
 left_over AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)

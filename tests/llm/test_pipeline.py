@@ -1,8 +1,6 @@
 """The stages one after another against brute force, and the queries with SQL against DuckDB."""
 
 import os
-import re
-from collections import Counter
 
 import duckdb
 import pytest
@@ -11,11 +9,11 @@ import zstandard
 
 import corpus_pipeline
 from bytewake.llm import tokenizer_files
-from bytewake.llm.line_dedup import MAX_RATIO, MIN_PAGES
 from bytewake.llm.quality_rules import Rules, measure
 from bytewake.llm.queries import ORACLES, QUERIES
 from tests.llm.helpers import prose
 from tests.llm.test_decontamination import brute as brute_leaks
+from tests.llm.test_line_dedup import blank, brute as brute_lines
 from tests.llm.test_near_dedup import brute_fingerprint, brute_groups, near_copies
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -25,13 +23,11 @@ pytestmark = pytest.mark.skipif(not tokenizer_files.installed(), reason="vocabul
 def brute(docs, items):
     compressor = zstandard.ZstdCompressor(level=Rules().level)
     docs = [(d, t, s) for d, t, s in docs if measure(t or "", Rules(), compressor).kept]
-    pages = Counter(s for _, _, s in docs)
-    held = Counter((s, line) for _, t, s in docs for line in set(t.split("\n")))
     after = []
-    for d, t, s in docs:
-        blank = lambda line: re.fullmatch(r"[\x20\x09-\x0D]*", line)
-        kept = [x for x in t.split("\n") if blank(x) or held[s, x] < MIN_PAGES or held[s, x] <= MAX_RATIO * pages[s]]
-        after.append((d, "\n".join(kept) if any(not blank(x) for x in kept) else t, s))
+    cut = brute_lines([(s, t) for _, t, s in docs])
+    for (d, _, s), (_, text, _, dropped) in zip(docs, cut):
+        if not dropped or any(not blank(x) for x in text.split("\n")):
+            after.append((d, text, s))
     after.sort()
     roots = brute_groups([brute_fingerprint(t) for _, t, _ in after])
     after = [row for i, row in enumerate(after) if roots[i] == i]
