@@ -20,9 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; a document that would lose all its lines is a copy, and left to the next stage."""
-    left = line_dedup.drop_boilerplate(
-        docs, host="source", keep_whole=True, prefix="_line_", stage=stage_in(spark, "lines"))
+    """Boilerplate lines of a source go, and documents that consist of nothing else."""
+    cut = line_dedup.drop_boilerplate(docs, host="source", prefix="_line_", stage=stage_in(spark, "lines"))
+    left = cut.where((F.col("_line_n_dropped") == 0) | ~F.col("text").rlike(line_dedup.ALL_BLANK))
     changed = F.when(F.col("_line_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed.cast("long")).select(*docs.columns)
 
