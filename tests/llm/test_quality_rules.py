@@ -121,3 +121,31 @@ def test_default_bands_reject_symbols_and_fragments(spark):
 def test_chunks_cover_every_byte(size):
     starts = chunk_starts(size, 1024)
     assert set(range(size)) == {b for s in starts for b in range(s, s + 1024)} or (size < 1024 and not starts)
+
+
+def in_script(text, first):
+    """Letters a to z and A to Z swapped one for one for those of another script."""
+    lower = {ord("a") + i: first + 2 * i for i in range(26)}
+    upper = {ord("A") + i: first + 2 * i + 1 for i in range(26)}
+    return text.translate(lower | upper)
+
+
+@pytest.mark.parametrize("first", [0x3B1, 0x430, 0x531, 0x5D0, 0x10D0])
+def test_scripts_are_judged_alike(spark, first):
+    clean = [prose(n, n) for n in (60, 100, 300, 1500, 6000)]
+    phrase = [prose(2, 600) + " again and over" * 100]
+    noise = [encoded(n, n) for n in (60, 600)]
+    rules = Rules(max_repeat_percent=100)
+    got = judge(documents(spark, [in_script(t, first) for t in clean + phrase + noise]), rules).orderBy("doc_id").collect()
+    assert [r["kept"] for r in got] == [True] * 5 + [False] * 3
+
+
+def test_large_alphabets(spark):
+    """Words of 3,000 characters, the first ones most common; repetition goes."""
+    rnd = random.Random(10)
+    points, weights = range(0x4E00, 0x4E00 + 3000), [1 / (i + 1) for i in range(3000)]
+    clean = [" ".join("".join(map(chr, rnd.choices(points, weights, k=4))) for _ in range(n)) for n in (150, 1000, 9000)]
+    again = [clean[0] + clean[1] + (" " + clean[0][:40]) * 300]
+    got = judge(documents(spark, clean + again), Rules(max_repeat_percent=100)).orderBy("doc_id").collect()
+    assert all(len(set(t)) > 256 for t in clean) and not any(r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == [True] * 3 + [False]
