@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from bytewake.config import EGRESS, INGRESS, PROCESS, UNKNOWN_TGID, UNRESOLVED
@@ -84,12 +84,22 @@ def split_fold(samples: DataFrame, contested: DataFrame) -> DataFrame:
     are joined is left to their measured size.
     """
     moved = transfers(samples).withColumn("bucket", calendar.minute_start(F.col("ts")))
-    marked = moved.join(contested.withColumn("contested", F.lit(True)), [*PROCESS, "bucket"], "left")
-    instant = F.when(F.col("contested"), F.col("ts")).alias("instant")
-    return marked.groupBy(*PROCESS, "bucket", "scope", instant).agg(
+    return _by_instant(moved, contested, "ts").agg(
         *direction_sums(F.col("dir"), F.col("bytes")), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
 
 
+def split_parts(parts: DataFrame, contested: DataFrame) -> DataFrame:
+    """``split_fold`` of minutes that come in parts: those of contested minutes stay apart, at their first sample."""
+    return _by_instant(parts, contested, "min_ts").agg(
+        *[F.sum(c).alias(c) for c in ("ingress_bytes", "egress_bytes")],
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+
+
+def _by_instant(rows: DataFrame, contested: DataFrame, ts: str) -> GroupedData:
+    marked = rows.join(contested.withColumn("contested", F.lit(True)), [*PROCESS, "bucket"], "left")
+    return marked.groupBy(*PROCESS, "bucket", "scope", F.when(F.col("contested"), F.col(ts)).alias("instant"))
+
+
 def first_sight(observations: DataFrame, payload: list[str], order: list[str]) -> DataFrame:
     """Per process the first observation; later ones are ignored."""
     first = F.min_by(F.struct(*payload), F.struct(*order)).alias("first")

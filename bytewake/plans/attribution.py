@@ -17,6 +17,7 @@ from bytewake.sources.store import IDENTITY_TABLE, Store
 from bytewake.staging import Stage, staging
 
 LIFETIME = [*PROCESS, "gen_start"]
+PLACED = (*LIFETIME, "bucket", "scope", "ingress_bytes", "egress_bytes", "min_ts", "max_ts")
 
 
 @dataclass(frozen=True)
@@ -56,11 +57,13 @@ def lifetime_folds(feeds: Feeds, stage: Stage) -> DataFrame:
     """
     samples, starts = feeds.samples, stage(feeds.starts(), "starts")
     contested = stage(ids.contested_minutes(starts), "contested")
-    columns = [*LIFETIME, "bucket", "scope", "ingress_bytes", "egress_bytes", "min_ts", "max_ts"]
     if contested.isEmpty():
-        return stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed").select(*columns)
+        return stage(ids.minute_lifetime(smp.minute_fold(samples), starts), "placed").select(*PLACED)
+    return placed(stage(smp.split_fold(samples, contested), "folds"), starts, contested, stage)
 
-    folds = stage(smp.split_fold(samples, contested), "folds")
+
+def placed(folds: DataFrame, starts: DataFrame, contested: DataFrame, stage: Stage) -> DataFrame:
+    """Minute counters per process lifetime, from folds that have an ``instant`` where the minute is contested."""
     whole = ids.minute_lifetime(folds.where(F.col("instant").isNull()).drop("instant"), starts)
     # one row per instant, so a slice of one second has a fixed upper size
     instants = folds.where(F.col("instant").isNotNull())
@@ -69,7 +72,7 @@ def lifetime_folds(feeds: Feeds, stage: Stage) -> DataFrame:
     pieces = exact.groupBy(*LIFETIME, "bucket", "scope").agg(
         *byte_sums(), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
-    return stage(whole.select(*columns).unionByName(pieces.select(*columns)), "placed")
+    return stage(whole.select(*PLACED).unionByName(pieces.select(*PLACED)), "placed")
 
 
 def sightings(folds: DataFrame, feeds: Feeds) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
@@ -25,6 +25,8 @@ from bytewake.staging import Stage, staging
 
 
 BYTES = ("ingress_bytes", "egress_bytes")
+#: how finely a stream tells processes apart that had the same number within one minute
+SLICE = timedelta(seconds=1)
 
 
 def _interval(delay: timedelta) -> str:
@@ -37,10 +39,25 @@ def stream_minute_fold(samples: DataFrame, delay: timedelta) -> DataFrame:
     Only sums and a span are kept per (minute, process, scope), so the state is
     as wide as the processes that moved bytes within the delay.
     """
+    return _minutes(samples, delay)
+
+
+def stream_slice_fold(samples: DataFrame, delay: timedelta, slices: timedelta) -> DataFrame:
+    """``stream_minute_fold`` with one row per slice of time in which a process moved bytes.
+
+    The slices of a minute appear together, once the watermark closes the
+    minute.  The state has at most (minute / slice) times the rows, and no more
+    than there are samples.
+    """
+    instant, wide = F.unix_micros("ts"), F.lit(slices // timedelta(microseconds=1))
+    return _minutes(samples, delay, F.timestamp_micros(instant - F.pmod(instant, wide)).alias("slice"))
+
+
+def _minutes(samples: DataFrame, delay: timedelta, *more: Column) -> DataFrame:
     folded = (
         smp.transfers(samples)
         .withWatermark("ts", _interval(delay))
-        .groupBy(F.window("ts", "1 minute").alias("minute"), *PROCESS, "scope")
+        .groupBy(F.window("ts", "1 minute").alias("minute"), *PROCESS, "scope", *more)
         .agg(
             *smp.direction_sums(F.col("dir"), F.col("bytes")),
             F.min("ts").alias("min_ts"),
@@ -73,10 +90,16 @@ def batch_name(stream: str, number: int) -> str:
 
 def ingest_stream(
     store: Store, samples: DataFrame, load: Callable[[], Feeds], delay: timedelta, stream: str,
-    settings: Settings,
+    settings: Settings, slices: timedelta = SLICE,
 ) -> DataStreamWriter:
     """Count a sample stream into the store.
 
+    A minute in which a process number changes hands is split between its
+    processes.  Which minutes those are is known when a minute closes, from the
+    starts that ``load`` knows by then, so until that the stream keeps counters
+    by slice.  A slice goes to the process that had the number at its first
+    sample; all other minutes are whole again before anything is looked up.
+
     ``load`` returns the lookup feeds as of now; their samples are not used.
     The run (the identity that a checkpoint keeps) and the micro-batch number
     name the batch, so a replayed one counts once.  A run with a new checkpoint
@@ -91,13 +114,15 @@ def ingest_stream(
         name = batch_name(f"{stream}-{run}", number)
         with staging(folds.sparkSession, "micro-batch") as stage:
             # read in full even when there is nothing to do: that moves the state on
-            minutes = stage(folds, "minutes")
-            last = minutes.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
+            parts = stage(folds, "parts")
+            last = parts.agg(F.unix_micros(F.max("bucket")).alias("us")).first().us
             if last is None or store.committed(name):
                 return
-            feeds = attribution.narrowed(load(), minutes)
-            # the whole minute goes to the process that opened it; reconciling refines that
-            placed = stage(ids.tgid_lifetime(minutes, feeds.starts(), "min_ts"), "placed")
+            feeds = attribution.narrowed(load(), parts)
+            starts = stage(feeds.starts(), "starts")
+            here = parts.select(*PROCESS, "bucket").distinct()
+            contested = stage(ids.contested_minutes(starts).join(here, [*PROCESS, "bucket"], "left_semi"), "contested")
+            placed = attribution.placed(stage(smp.split_parts(parts, contested), "folds"), starts, contested, stage)
             facts = attribution.attribute(store, placed, feeds, name, stage)
             counted = store.batches_of("minute", stream, run, facts)
             if counted is not None:
@@ -107,7 +132,7 @@ def ingest_stream(
         store.commit_batches([(IDENTITY_TABLE, name), *batches], minutes_through=through)
 
     return (
-        stream_minute_fold(samples, delay)
+        stream_slice_fold(samples, delay, slices)
         .writeStream.outputMode("append")
         .queryName(stream)
         .foreachBatch(write)

@@ -114,15 +114,13 @@ def late_samples(spark, sf):
     )
 
 
-@check(oracle(f"SELECT {MINUTE}, {KEY}, scope, {PAIR} FROM opened WHERE {CLOSED} GROUP BY ALL", "attributed", opened=f"""
-  SELECT a.ts, a.dir, a.scope, a.bytes, {', '.join('o.' + c for c in NATURAL_KEY)} FROM attributed a
-  JOIN (SELECT * FROM attributed QUALIFY row_number() OVER (PARTITION BY host, tgid, scope, date_trunc('minute', ts) ORDER BY ts) = 1) o
-  ON o.host = a.host AND o.tgid = a.tgid AND o.scope = a.scope AND date_trunc('minute', o.ts) = date_trunc('minute', a.ts)"""))
+@check(oracle(f"SELECT {MINUTE}, {KEY}, scope, {PAIR} FROM attributed WHERE {CLOSED} GROUP BY ALL", "attributed"))
 def stream_ingest(spark, sf):
-    """Stream to store, all the way to identities."""
+    """Stream to store, all the way to identities; a minute in which a number changes hands is split at the millisecond."""
     store = Store(spark, work_dir(spark, "live"))
     known = feeds(spark, sf)
-    run(live.ingest_stream(store, fx.sample_stream(spark, sf, *OTHERS), lambda: known, DELAY, "live", SETTINGS), f"{store.root}/state")
+    run(live.ingest_stream(store, fx.sample_stream(spark, sf, *OTHERS), lambda: known, DELAY, "live", SETTINGS,
+                           slices=timedelta(milliseconds=1)), f"{store.root}/state")
     names = store.identities().select(F.col("id").alias("identity_id"), *NATURAL_KEY)
     return store.scan("minute").join(names, "identity_id").select(
         as_ms("bucket", "bucket_ms"), *NATURAL_KEY, "scope", "ingress_bytes", "egress_bytes"

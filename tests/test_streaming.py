@@ -128,6 +128,25 @@ def test_stream_to_store_survives_a_replay_and_takes_late_samples(spark, tmp_pat
         assert per_identity(store, tier) == totals(everything + [late]), tier
 
 
+def test_minute_in_which_a_number_changes_hands_is_split(spark, tmp_path, root):
+    """Within one minute and over two micro-batches; number 1 passes on at 1:30, number 2 stays with its process."""
+    at = lambda seconds: START + timedelta(seconds=seconds)
+    land(spark, f"{tmp_path}/in", [
+        [sample(1, at(61), 1, "tcp_sendmsg", 1), sample(2, at(89.9), 1, "tcp_sendmsg", 10), sample(3, at(89.9), 2, "tcp_sendmsg", 7)],
+        [sample(4, at(90), 1, "tcp_sendmsg", 100), sample(5, at(119), 1, "udp_recvmsg", 1000), sample(6, at(100), 2, "tcp_sendmsg", 7)],
+        [sample(7, at(121), 1, "tcp_sendmsg", 10000)],
+        [sample(8, at(900), 2, "tcp_sendmsg", 5)],
+    ])
+    known = feeds(spark, samples=(), snapshots=[
+        snapshot(1, START, cmdline="first app"), snapshot(1, at(90), cmdline="second app"), snapshot(2, START, cmdline="other app")])
+    store = Store(spark, root)
+    stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True, maxFilesPerTrigger=1)
+    run(live.ingest_stream(store, stream, lambda: known, DELAY, "live", Settings()), f"{tmp_path}/state")
+    assert per_identity(store) == [("first app", 0, 11), ("other app", 0, 14), ("second app", 1000, 10100)]
+    rows = store.scan("minute").groupBy("bucket", "identity_id", "scope").count()
+    assert rows.where("count > 1").isEmpty()
+
+
 def test_watch_emits_changed_minutes_per_trigger(spark, tmp_path):
     files = traffic(3, 10)
     land(spark, f"{tmp_path}/in", files)
