@@ -35,6 +35,22 @@ def test_merge_adds_up(spark):
     ]
 
 
+def test_more_rows_are_merged_by_more_tasks(spark):
+    smaller = {f"spark.sql.adaptive.{key}": "64k" for key in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")}
+    before = {key: spark.conf.get(key) for key in smaller}
+    for key, size in smaller.items():
+        spark.conf.set(key, size)
+    try:
+        rows = spark.range(400_000, numPartitions=4).select(
+            F.timestamp_seconds(F.col("id") * 60).alias("bucket"), F.xxhash64("id").alias("identity_id"),
+            F.lit("external").alias("scope"), F.col("id").alias("ingress_bytes"), F.col("id").alias("egress_bytes"))
+        merged = tiers.minute_merge(rows).withColumn("task", F.spark_partition_id())
+        assert merged.select("task").distinct().count() > 20
+    finally:
+        for key, size in before.items():
+            spark.conf.set(key, size)
+
+
 def test_bytes_overflow_raises(spark):
     huge = facts(spark, (NOON, 1, "external", 2**63 - 1, 0), (NOON, 1, "external", 1, 0))
     with pytest.raises(Exception, match="OVERFLOW"):
