@@ -246,3 +246,48 @@ def first_schema():
     from bytewake import schemas
 
     return schemas.SOCKET_SAMPLE
+
+
+def test_micro_batches_are_worked_on_with_adaptive_plans(spark, tmp_path):
+    land(spark, f"{tmp_path}/in", traffic(5, 10))
+    stream = landing.scan_samples(spark, f"{tmp_path}/in", streaming=True, maxFilesPerTrigger=1)
+    seen = []
+
+    def identify(folds, stage):
+        seen.append((folds.sparkSession.conf.get("spark.sql.adaptive.enabled"), folds.count()))
+        facts = folds.select("bucket", F.col("tgid").alias("identity_id"), "scope", "ingress_bytes", "egress_bytes")
+        return facts, schemas.empty(spark, schemas.IDENTITY)
+
+    run(live.stream_watch(stream, identify, lambda ranked, number: ranked.collect(), DELAY), f"{tmp_path}/state")
+    assert {adaptive for adaptive, _ in seen} == {"true"} and sum(n for _, n in seen) > 0
+
+
+def test_lookup_feeds_are_narrowed_before_they_are_cleaned(spark, tmp_path):
+    from bytewake.plans.attribution import narrowed
+    from bytewake.staging import staging
+
+    every = feeds(spark, snapshots=[snapshot(1, START), snapshot(2, START)])
+    folds = smp.minute_fold(spark.createDataFrame([sample(1, START, 2, "tcp_sendmsg", 1)], schemas.SOCKET_SAMPLE))
+    with staging(spark, "narrow") as stage:
+        near = narrowed(every, folds, stage)
+        assert rows_of(near.snapshots, "tgid") == [(2,)]
+        assert near.snapshots.inputFiles() and not every.snapshots.inputFiles()
+
+
+def test_a_micro_batch_of_a_large_table_is_read_by_many_tasks_but_ends_at_its_border(spark, tmp_path):
+    from checks import fixtures as fx
+
+    rows = [(i, START + timedelta(hours=i), i % 3, "click", 1.0, '{"k": 1}') for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(24).write.parquet(f"{tmp_path}/events.parquet")
+    # the last border is passed by a single sample, so most of its files are empty
+    stream = fx.sample_stream(spark, str(tmp_path), "2024-01-01 10:00:00", "2024-01-02 15:00:00")
+    batches = []
+
+    def keep(df, number):
+        rows = df.select("sample_id", F.spark_partition_id().alias("task")).collect()
+        batches.append((len({r.task for r in rows}), sorted(r.sample_id for r in rows)))
+
+    run(stream.writeStream.foreachBatch(keep), f"{tmp_path}/state")
+    assert [ids for _, ids in batches] == [list(range(10)), list(range(10, 39)), [39]]
+    assert batches[0][0] > 1 and batches[1][0] > 1
