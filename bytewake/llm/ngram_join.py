@@ -11,8 +11,11 @@ first n - ceil(n * percent / 100) + l of each, for any l; l grows with the size
 together.  Only sets with enough shingles there that another set has there as
 well go on:
 
-1.  they are placed in blocks of at most ``BLOCK_BYTES``, sets that share a
-    shingle together, and a block's sets form a prefix tree.  Each set walks
+1.  they are placed in blocks of about ``BLOCK_BYTES``, sets that share a
+    shingle together.  A cluster that needs several is dealt by the most common
+    shingles whose sets fit into a block, or into ``FAR`` of them, so that sets
+    which share much without linking meet in few blocks.  A block's sets form a
+    prefix tree.  Each set walks
     the tree; a walk shares the overlap of a common beginning among all sets
     below it, and turns back where the shingles that remain on either side
     cannot make the overlap that the sizes below ask for, or where all sets
@@ -20,8 +23,8 @@ well go on:
 2.  one set of each component found so far stands for it, in blocks of their
     own, until a large group of near copies has one standing for all.
 3.  sets that share enough early shingles with sets of other components in another
-    block visit that block's tree; a block with many visitors is dealt to
-    several tasks, with its sets.
+    block visit that block's tree, the sets of the block with fewer sets the
+    other one; a block with many visitors is dealt to several tasks, with its sets.
 
 Copies are one set, and a task returns at most one row per set and component it
 meets.  Nothing is capped, and no group is gathered whole.  Shingles are 64-bit
@@ -41,7 +44,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytewake.llm.common import steps
@@ -52,8 +55,10 @@ from bytewake.staging import Stage
 SIZE = 4
 PERCENT = 85
 #: bytes of sets in a prefix tree, and of visitors that one task takes to it
-BLOCK_BYTES = 1 << 20
-VISIT_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+VISIT_BYTES = 2 << 20
+#: blocks that sets with a shingle may fill, for those of a large cluster to be dealt by it
+FAR = 8
 #: shingles of one node of a tree: a walk can turn back after so many
 SEGMENT = 64
 #: how many more shingles at the beginning of a set are looked at, in hundredths of its size
@@ -321,16 +326,37 @@ def _walk(rows: DataFrame, links: Callable) -> DataFrame:
 
 # -- the join -----------------------------------------------------------------
 
+def _needed(nodes: DataFrame, block_bytes: int, name: str, *keys: str) -> DataFrame:
+    """How many blocks the nodes of each group need."""
+    return nodes.groupBy(*keys).agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(block_bytes)).alias(name))
+
+
+def _signs(nodes: DataFrame, shared: DataFrame, block_bytes: int) -> DataFrame:
+    """Nodes of clusters that a block does not hold, with the shingles they are dealt by.
+
+    ``near`` is the most common one whose sets in the cluster fit into a block, ``far`` into FAR blocks.
+    """
+    large = _needed(nodes, block_bytes, "blocks", "cluster").where("blocks > 1").select("cluster")
+    entries = shared.select("shingle", "node").distinct().join(nodes.join(large, "cluster"), "node")
+    size = entries.groupBy("cluster", "shingle").agg(F.sum(F.col("n") * 8).alias("bytes")).where(F.col("bytes") <= FAR * block_bytes)
+    most = lambda fits: F.max(F.when(fits, F.struct("bytes", "shingle")))["shingle"]
+    return entries.join(size, ["cluster", "shingle"]).groupBy("node").agg(
+        most(F.col("bytes") <= block_bytes).alias("near"), most(F.lit(True)).alias("far"))
+
+
 def _blocks(nodes: DataFrame, block_bytes: int) -> DataFrame:
     """Nodes with the block they lie in; a cluster's nodes are dealt to as many as its bytes need."""
-    size = nodes.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(block_bytes)).alias("blocks"))
-    part = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    return nodes.join(size, "cluster").withColumn("block", F.xxhash64("cluster", part))
+    placed = nodes.join(_needed(nodes, block_bytes, "blocks", "cluster"), "cluster")
+    placed = placed.join(_needed(nodes, block_bytes, "parts", "cluster", "far"), ["cluster", "far"])
+    alone = F.xxhash64("cluster", "far", F.pmod(F.xxhash64("near"), "parts"))
+    together = F.xxhash64("cluster", F.pmod(F.xxhash64("far"), "blocks"))
+    return placed.withColumn("block", F.when(F.col("parts") > 1, alone).otherwise(together)).drop("parts")
 
 
 def _mixed(cells: DataFrame) -> DataFrame:
-    """Entries of the shingles that sets of different components have."""
-    ends = cells.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    """Entries of the shingles that sets of different components have in different blocks."""
+    ends = cells.groupBy("shingle").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("root", "block")))
+    ends = ends.where("min_root <> max_root AND min_block <> max_block")
     return cells.join(ends.select("shingle"), "shingle")
 
 
@@ -340,8 +366,10 @@ def links(
 ) -> DataFrame:
     """(node, root) of every set that links with another; ``sets`` has (doc_id, node, n, first) of the documents ``rows``."""
     begun = sets.select("node", "n", "first").mapInArrow(_beginnings, "shingle long, node long, n long")
-    met = begun.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least <> greatest")
-    shared = stage(begun.join(met.select("shingle", "least"), "shingle"), "shared")
+    # a window, because a join with the counts would shuffle these entries twice; what is common spills
+    of_shingle = Window.partitionBy("shingle")
+    met = begun.select("*", F.min("node").over(of_shingle).alias("least"), F.max("node").over(of_shingle).alias("greatest"))
+    shared = stage(met.where("least <> greatest").drop("greatest"), "shared")
 
     heads = shared.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("head"), F.count(F.lit(1)).alias("shared"))
     # the other set may be smaller, and ask for fewer
@@ -349,7 +377,10 @@ def links(
     heads = stage(heads.where(F.col("shared") >= least), "heads")
     of_head = heads.select(F.col("node").alias("head"), F.col("head").alias("cluster"))
     nodes = heads.join(of_head, "head", "left").withColumn("cluster", F.coalesce("cluster", "head"))
-    nodes = stage(_blocks(nodes.select("node", "n", "cluster"), block_bytes), "nodes")
+    nodes = stage(nodes.select("node", "n", "cluster"), "clusters")
+    signs = nodes.join(_signs(nodes, shared, block_bytes), "node", "left").select(
+        "node", "n", "cluster", F.coalesce("near", "node").alias("near"), F.coalesce("far", "node").alias("far"))
+    nodes = stage(_blocks(stage(signs, "signs"), block_bytes), "nodes")
 
     one = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = stage(nodes.select("node", "block").join(one, "node"), "wanted")
@@ -365,24 +396,26 @@ def links(
     standing = nodes.where("blocks > 1")
     before = standing.count()
     while before:
-        standing = stage(_blocks(standing.select("node", "n", "cluster").join(edges, "node", "left_anti"), block_bytes), "standing")
+        standing = stage(_blocks(standing.select("node", "n", "cluster", "near", "far").join(edges, "node", "left_anti"), block_bytes), "standing")
         left = standing.count()
         if left == before:
             break
         before = left if not standing.where("blocks > 1").isEmpty() else 0
         edges = stage(edges.unionByName(_walk(alone(standing), _within(percent))), "within")
 
-    roots = stage(nodes.join(components(edges, stage), "node", "left").select(
-        "node", "n", "block", F.coalesce("root", "node").alias("root")), "roots")
+    weights = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("weight"))
+    roots = stage(nodes.join(components(edges, stage), "node", "left").join(weights, "block").select(
+        "node", "n", "block", "weight", F.coalesce("root", "node").alias("root")), "roots")
     mixed = stage(_mixed(shared.select("shingle", "node").distinct().join(roots, "node")), "mixed")
     for _ in range(2):  # without the sets that share too few with other components, fewer shingles are shared
         enough = mixed.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
         mixed = stage(_mixed(mixed.join(enough.select("node"), "node", "left_semi")), "mixed")
-    targets = mixed.groupBy("shingle", F.col("block").alias("there")).agg(
+    targets = mixed.groupBy("shingle", F.col("block").alias("there"), F.col("weight").alias("heavy")).agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("fewest"), F.max("n").alias("most"))
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("fewest") * percent <= F.col("n") * 100)
     other = (F.col("a") != F.col("root")) | (F.col("b") != F.col("root"))
-    visits = mixed.join(targets, "shingle").where((F.col("there") > F.col("block")) & other & near)
+    heavier = F.struct("heavy", "there") > F.struct(F.col("weight").alias("heavy"), F.col("block").alias("there"))
+    visits = mixed.join(targets, "shingle").where(heavier & other & near)
     # a set that links shares so many of them, and each has brought a row
     visits = visits.groupBy("node", F.col("there").alias("block")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shared"))
     visits = stage(visits.where(F.col("shared") >= least), "visits")

@@ -86,6 +86,34 @@ def test_equals_all_pairs_in_small_blocks(spark, monkeypatch):
     assert run(spark, docs, block_bytes=4000, visit_bytes=3000) == brute(docs)
 
 
+def test_a_large_cluster_is_dealt_by_what_its_sets_share(spark):
+    """Each shingle of eight sets lies in one block, each of forty in a few, and no block is much too large."""
+    nodes = spark.createDataFrame([(i, 10, 0) for i in range(400)], "node long, n long, cluster long")
+    shared = spark.createDataFrame(
+        [(s, i) for i in range(400) for s in (-1, i // 8, 1000 + i // 40)], "shingle long, node long")
+    signs = {r.node: (r.near, r.far) for r in ngram_join._signs(nodes, shared, 800).collect()}
+    assert signs == {i: (i // 8, 1000 + i // 40) for i in range(400)}
+    dealt = nodes.join(ngram_join._signs(nodes, shared, 800), "node")
+    block = {r.node: r.block for r in ngram_join._blocks(dealt, 800).collect()}
+    assert len(block) == 400
+    for size, most in ((8, 1), (40, 4)):
+        assert all(len({block[i] for i in range(first, first + size)}) <= most for first in range(0, 400, size))
+    assert max(sum(b == x for b in block.values()) for x in set(block.values())) <= 40
+
+
+def test_a_passage_that_many_sets_share_in_small_blocks(spark):
+    """Sets without links share much, some of them with near copies."""
+    rnd, texts = random.Random(5), []
+    for group in range(6):
+        passage = prose(2000 + group, 60)
+        for i in range(25):
+            texts.append(f"{passage} {prose(3000 + 100 * group + i, 40)}")
+            if i % 5 == 0:
+                texts.append(changed(texts[-1], rnd, 1))
+    docs = list(enumerate(texts))
+    assert run(spark, docs, block_bytes=6000, visit_bytes=5000) == brute(docs)
+
+
 def test_empty_table_and_missing_ids(spark):
     assert run(spark, []) == []
     text = prose(1, 50)
