@@ -57,6 +57,8 @@ END = b""  # no word is empty
 SMOOTH = 0.1
 FLUSH = 400_000
 FAN_IN = 16
+#: places whose logits stay in a core's cache
+CACHED = 2048
 
 
 @dataclass(frozen=True)
@@ -284,22 +286,39 @@ class Model:
         target = padded[self.settings.context:][places]
         n, size = len(places), self.settings.class_size
         group = target // size
-        logits = predicted @ self.class_out.T + self.class_bias
-        out = (logits[np.arange(n), group] - _log_sum(logits)).astype(np.float64)
+        out = np.zeros(n)
+        for a in range(0, n, CACHED):
+            b = min(a + CACHED, n)
+            out[a:b] = _log_shares(predicted[a:b], self.class_out, self.class_bias, group[a:b])
         for c, rows in _groups(group):
             block = slice(c * size, (c + 1) * size)
-            logits = predicted[rows] @ self.out[block].T + self.bias[block]
-            out[rows] += logits[np.arange(len(rows)), target[rows] - c * size] - _log_sum(logits)
+            for a in range(0, len(rows), CACHED):
+                some = rows[a:a + CACHED]
+                out[some] += _log_shares(predicted[some], self.out[block], self.bias[block], target[some] - c * size)
         return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1) if len(logits) else np.zeros(0, logits.dtype)
-    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+def _log_shares(predicted: np.ndarray, vectors: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the targets; places lie along the rows, where numpy is fastest."""
+    logits = vectors @ predicted.T + bias[:, None]
+    chosen = logits[target, np.arange(len(target))]
+    top = logits.max(0)
+    logits -= top
+    shares = np.exp(logits, out=logits)
+    if len(vectors) % 8 or len(vectors) > 128:
+        return chosen - (top + np.log(np.ascontiguousarray(shares.T).sum(1)))
+    s = shares.reshape(-1, 8, len(target)).sum(0)  # in the order in which numpy adds up a row, so that scores stay the same
+    return chosen - (top + np.log(((s[0] + s[1]) + (s[2] + s[3])) + ((s[4] + s[5]) + (s[6] + s[7]))))
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0; small ones are sorted by digits."""
+    small = len(values) and values.max() <= np.iinfo(np.uint16).max
+    return np.argsort(values.astype(np.uint16) if small else values, kind="stable")
 
 
 def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(values, kind="stable")
+    order = _order(values)
     ranked = values[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else []
     for a, b in zip(first, [*first[1:], len(ranked)]):
@@ -309,7 +328,7 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, rows.shape[1]), rows.dtype)
     if len(at):
-        order = np.argsort(at, kind="stable")
+        order = _order(at)
         ranked = at[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         out[ranked[first]] = np.add.reduceat(rows[order], first, axis=0)
@@ -329,10 +348,15 @@ class Trainer:
         k = self.model.settings.noise
         noise = self.rng.choice(len(share), k, p=share)
         offset = bias - np.log(k * share).astype(np.float32)
-        data = (predicted * vectors[target]).sum(1) + offset[target]
+        own, other = vectors[target], vectors[noise]
+        data = (predicted * own).sum(1) + offset[target]
         pull = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - P(data)
-        push = -1 / (1 + np.exp(-np.clip(predicted @ vectors[noise].T + offset[noise], -30, 30)))
-        g_predicted = pull[:, None] * vectors[target] + push @ vectors[noise]
+        push = predicted @ other.T + offset[noise]
+        np.clip(push, -30, 30, out=push)
+        np.exp(np.negative(push, out=push), out=push)
+        push += 1
+        np.divide(-1, push, out=push)
+        g_predicted = pull[:, None] * own + push @ other
         g_vectors = _sum_rows(target, pull[:, None] * predicted, len(vectors))
         np.add.at(g_vectors, noise, push.T @ predicted)
         g_bias = np.bincount(target, pull, len(vectors)) + np.bincount(noise, push.sum(0), len(vectors))

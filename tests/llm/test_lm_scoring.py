@@ -134,3 +134,37 @@ def test_mean_of_models_is_weighted(spark):
     assert got == 2
     both = spark.createDataFrame(rows, lm.TRAINED).withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInArrow(lm._mean, lm.TRAINED).first()
     assert both["tokens"] == 4 and np.frombuffer(both["state"], "<f4").tolist() == [4.0, 2.0]
+
+
+@pytest.mark.parametrize("settings", [lm.Settings(), SMALL])
+def test_log_probabilities_in_pieces(monkeypatch, settings):
+    """Places are taken a few at a time, and each gets what the whole softmax gives."""
+    rng = np.random.default_rng(1)
+    model = lm.Model(settings, rng.integers(0, 90, settings.symbols))
+    for name in ("class_out", "out"):
+        setattr(model, name, rng.normal(0, 1, getattr(model, name).shape).astype(np.float32))
+    padded = rng.integers(0, settings.symbols + 1, 500)
+    counted = padded[settings.context:] < settings.symbols
+    whole = model.log_probabilities(padded, counted)
+    monkeypatch.setattr(lm, "CACHED", 7)
+    pieces = model.log_probabilities(padded, counted)
+    predicted = model.predict(padded, len(counted))[counted].astype(float)
+    target, size = padded[settings.context:][counted], settings.class_size
+
+    def softmax(vectors, bias):
+        logits = predicted @ vectors.T.astype(float) + bias
+        return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+
+    at = np.arange(len(target))
+    inside = softmax(model.out, model.bias).reshape(len(target), -1, size)[at, target // size]
+    inside -= np.log(np.exp(inside).sum(1, keepdims=True))
+    plain = softmax(model.class_out, model.class_bias)[at, target // size] + inside[at, target % size]
+    assert np.allclose(whole, plain, atol=1e-4) and np.allclose(pieces, plain, atol=1e-4)
+
+
+def test_small_numbers_are_ordered_as_large_ones():
+    rng = np.random.default_rng(2)
+    for most in (1, 70, 1 << 16, 1 << 20):
+        values = rng.integers(0, most, 3000)
+        assert (lm._order(values) == np.argsort(values, kind="stable")).all()
+    assert len(lm._order(np.zeros(0, np.int64))) == 0
