@@ -70,7 +70,8 @@ INDEX_BYTES = struct.calcsize(INDEX_ENTRY)
 #: records that one reading task takes at a time, and the most tasks
 RUN = 20_000
 TASKS = 20_000
-INSIDE_SPACE = re.compile(r"\s \s|\s \Z")
+#: looks at the spaces, of which there are fewer than characters
+INSIDE_SPACE = re.compile(r" (?<=\s )(?=\s|\Z)")
 
 
 def masked(data: bytes) -> int:
@@ -129,11 +130,13 @@ class Encoder:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def library(self, whole: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
+        # without the places of tokens in the text, which nobody asks for
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
 
     def spaced(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each behind a space, encoded as one text; every part begins where a token with a space does."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(parts), add_special_tokens=False).ids, np.int64)
+        encoded, = self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)
+        ids = np.array(encoded.ids, np.int64)
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(parts):
             return self.library([" " + p for p in parts])
@@ -148,12 +151,14 @@ class Encoder:
         packed = list(map(self.known.get, parts))
         missing = [i for i, ids in enumerate(packed) if ids is None]
         named = [parts[i] for i in missing]
-        older = list(map(self.older.get, named))
-        fresh = self.fresh([p for p, ids in zip(named, older) if ids is None])
-        for i, p, ids in zip(missing, named, older):
-            packed[i] = ids = fresh[p] if ids is None else ids
-            if len(p) <= MEMORABLE:
-                self.known[p] = ids
+        if named:
+            older = list(map(self.older.get, named)) if self.older else [None] * len(named)
+            fresh = self.fresh([p for p, ids in zip(named, older) if ids is None])
+            found = [fresh[p] if ids is None else ids for p, ids in zip(named, older)]
+            for i, ids in zip(missing, found):
+                packed[i] = ids
+            self.known.update(zip(named, found) if len(max(named, key=len)) <= MEMORABLE else
+                              ((p, ids) for p, ids in zip(named, found) if len(p) <= MEMORABLE))
         return packed
 
     def fresh(self, parts: list[str]) -> dict[str, bytes]:

@@ -37,6 +37,24 @@ def test_parts_give_the_ids_of_the_whole(spec):
     assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
 
 
+def test_the_library_is_asked_for_ids_alone(spec):
+    """Not for the places of tokens, which cost more than the ids; parts that it has told are not asked for again."""
+    class Fast:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, []
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.asked.append(texts)
+            return self.tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    coder = tr.Encoder(spec)
+    coder.tokenizer = fast = Fast(coder.tokenizer)
+    texts = [prose(1, 300), f"{prose(1, 20)} {'long' * 40} \ttab", "", "  two  spaces "]
+    for _ in range(2):
+        assert coder.encode(texts) == [coder.pack(ids) for ids in library(spec, texts)]
+    assert "long" * 40 not in coder.known and sum("ving" in t for asked in fast.asked for t in asked if len(t) > 1000) == 1
+
+
 def test_named_tokens_are_what_the_library_takes_them_for(spec):
     texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|", "<|endoftext |>", "hello world"]
     coder = tr.Encoder(spec)
