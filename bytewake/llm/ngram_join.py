@@ -21,7 +21,8 @@ well go on:
     cannot make the overlap that the sizes below ask for, or where all sets
     below are known to be in its component.
 2.  one set of each component found so far stands for it, in blocks of their
-    own, until a large group of near copies has one standing for all.
+    own, as long as that leaves out a tenth of them, so that a large group of
+    near copies has few standing for all.
 3.  sets that share enough early shingles with sets of other components in another
     block visit that block's tree, the sets of the block with fewer sets the
     other one; a block with many visitors is dealt to several tasks, with its sets.
@@ -63,7 +64,7 @@ FAR = 8
 SEGMENT = 64
 #: how many more shingles at the beginning of a set are looked at, in hundredths of its size
 EXTRA = 6
-#: ids of documents that are sent to every task; more are joined by shuffle
+#: ids of documents or sets that are sent to every task; more are joined by shuffle, with the texts or sets
 SENT_IDS = 2_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -338,10 +339,11 @@ def _signs(nodes: DataFrame, shared: DataFrame, block_bytes: int) -> DataFrame:
     """
     large = _needed(nodes, block_bytes, "blocks", "cluster").where("blocks > 1").select("cluster")
     entries = shared.select("shingle", "node").distinct().join(nodes.join(large, "cluster"), "node")
-    size = entries.groupBy("cluster", "shingle").agg(F.sum(F.col("n") * 8).alias("bytes")).where(F.col("bytes") <= FAR * block_bytes)
+    # a window, as for what is met: the entries are shuffled once, and no join makes them again
+    size = F.sum(F.col("n") * 8).over(Window.partitionBy("cluster", "shingle"))
+    sized = entries.withColumn("bytes", size).where(F.col("bytes") <= FAR * block_bytes)
     most = lambda fits: F.max(F.when(fits, F.struct("bytes", "shingle")))["shingle"]
-    return entries.join(size, ["cluster", "shingle"]).groupBy("node").agg(
-        most(F.col("bytes") <= block_bytes).alias("near"), most(F.lit(True)).alias("far"))
+    return sized.groupBy("node").agg(most(F.col("bytes") <= block_bytes).alias("near"), most(F.lit(True)).alias("far"))
 
 
 def _blocks(nodes: DataFrame, block_bytes: int) -> DataFrame:
@@ -353,11 +355,15 @@ def _blocks(nodes: DataFrame, block_bytes: int) -> DataFrame:
     return placed.withColumn("block", F.when(F.col("parts") > 1, alone).otherwise(together)).drop("parts")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def _mixed(cells: DataFrame) -> DataFrame:
     """Entries of the shingles that sets of different components have in different blocks."""
-    ends = cells.groupBy("shingle").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("root", "block")))
-    ends = ends.where("min_root <> max_root AND min_block <> max_block")
-    return cells.join(ends.select("shingle"), "shingle")
+    of_shingle = Window.partitionBy("shingle")
+    ends = cells.select("*", *(f(c).over(of_shingle).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("root", "block")))
+    return ends.where("min_root <> max_root AND min_block <> max_block").select(cells.columns)
 
 
 def links(
@@ -383,22 +389,20 @@ def links(
     nodes = stage(_blocks(stage(signs, "signs"), block_bytes), "nodes")
 
     one = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stage(nodes.select("node", "block").join(one, "node"), "wanted")
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _sent(stage(nodes.select("node", "block").join(one, "node"), "wanted"))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "block", "text")
     members = stage(texts.mapInArrow(_members(size), "node long, block long, keys binary"), "members")
     whole = F.lit(0).alias("share"), F.lit(False).alias("visits")
-    alone = lambda placed: members.drop("block").join(placed.select("node", "block"), "node").select("*", *whole)
+    alone = lambda placed: members.drop("block").join(_sent(placed.select("node", "block")), "node").select("*", *whole)
 
     edges = stage(_walk(members.select("*", *whole), _within(percent)), "within")
-    # of a cluster with several blocks, one set of each component goes on
+    # of a cluster with several blocks, one set of each component goes on while they become fewer
     standing = nodes.where("blocks > 1")
     before = standing.count()
     while before:
         standing = stage(_blocks(standing.select("node", "n", "cluster", "near", "far").join(edges, "node", "left_anti"), block_bytes), "standing")
         left = standing.count()
-        if left == before:
+        if left * 10 > before * 9:  # a walk costs as much as their sets; the last step finds what is left
             break
         before = left if not standing.where("blocks > 1").isEmpty() else 0
         edges = stage(edges.unionByName(_walk(alone(standing), _within(percent))), "within")
@@ -421,8 +425,9 @@ def links(
     visits = stage(visits.where(F.col("shared") >= least), "visits")
     if not visits.isEmpty():
         shares = stage(visits.groupBy("block").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(visit_bytes)).alias("shares")), "shares")
-        guests = visits.join(shares, "block").join(members.drop("block"), "node").select(
-            "block", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(True).alias("visits"), "node", "keys")
+        dealt = stage(visits.join(shares, "block").select(
+            "node", "block", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share")), "dealt")
+        guests = members.drop("block").join(_sent(dealt), "node").select("block", "share", F.lit(True).alias("visits"), "node", "keys")
         hosts = members.join(shares, "block").select(
             "block", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), F.lit(False).alias("visits"), "node", "keys")
         edges = stage(edges.unionByName(_walk(guests.unionByName(hosts), _across(percent))), "across")

@@ -114,6 +114,35 @@ def test_a_passage_that_many_sets_share_in_small_blocks(spark):
     assert run(spark, docs, block_bytes=6000, visit_bytes=5000) == brute(docs)
 
 
+def test_sets_are_walked_again_only_while_they_become_fewer(spark):
+    """One near copy among sets of a large cluster is no reason to walk all of them once more."""
+    passage = prose(70, 60)
+    texts = [f"{passage} {prose(7100 + i, 40)}" for i in range(40)]
+    docs, names = list(enumerate([*texts, changed(texts[3], random.Random(7), 1)])), []
+    write = stage_in(spark, "join")
+
+    def stage(df, name):
+        names.append(name)
+        return write(df, name)
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = ngram_join.join(df, stage, block_bytes=6000, visit_bytes=5000).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(docs)
+    assert names.count("within") == 1
+
+
+def test_shared_shingles_are_counted_without_a_join(spark):
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    cells = spark.createDataFrame([(1, 10, 10, 1), (1, 11, 11, 2), (2, 10, 10, 1), (2, 12, 10, 3)], "shingle long, node long, root long, block long")
+    assert sorted(map(tuple, ngram_join._mixed(cells).collect())) == [(1, 10, 10, 1), (1, 11, 11, 2)]
+    assert joins(ngram_join._mixed(cells)) == 0
+    nodes = spark.createDataFrame([(i, 30, 0) for i in range(8)], "node long, n long, cluster long")
+    shared = spark.createDataFrame([(s, i) for i in range(8) for s in (100, 200 + i // 4, 300 + i // 2)], "shingle long, node long")
+    signs = ngram_join._signs(nodes, shared, 480)
+    assert {r.node: (r.near, r.far) for r in signs.collect()} == {i: (300 + i // 2, 100) for i in range(8)}
+    assert joins(signs) == 2  # with the clusters that are large, and with their nodes
+
+
 def test_empty_table_and_missing_ids(spark):
     assert run(spark, []) == []
     text = prose(1, 50)
