@@ -1,6 +1,8 @@
+import os
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from bytewake import schemas
@@ -8,8 +10,8 @@ from bytewake.config import Settings
 from bytewake.operators import tiers
 from bytewake.plans.attribution import ingest
 from bytewake.plans.reconcile import reconcile
-from bytewake.session import folders
-from bytewake.sources.store import Store
+from bytewake.session import folders, matching, remove
+from bytewake.sources.store import Store, _among
 from tests.conftest import rows_of, utc
 from tests.test_identity import feeds, snapshot
 from tests.test_samples import sample
@@ -466,3 +468,60 @@ def test_reused_process_number_with_captures_only(spark, root):
     ingest(spark, store, feed, "a", Settings())
     assert [(n, i) for n, _, i, _ in named(store, "minute")] == [
         ("<unresolved:first>", 10), ("<unresolved:second>", 20), ("<unresolved:third>", 40), ("cargo watch lint", 30)]
+
+
+def test_rows_are_computed_once_to_be_written(spark, root):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    store = Store(spark, root)
+    rows = minutes(spark, NOON, 100).repartition(4).withColumn("ingress_bytes", counted("ingress_bytes"))
+    store.append("minute", rows, "a")
+    assert seen.value == 100
+    assert store.scan("minute").count() == 100
+
+
+def test_busy_date_is_shared_out(spark, root):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store = Store(spark, root)
+        busy = spark.range(60000).select(
+            F.lit(NOON).cast("timestamp").alias("bucket"), F.xxhash64("id").alias("identity_id"), F.lit("external").alias("scope"),
+            F.col("id").alias("ingress_bytes"), F.lit(0).cast("long").alias("egress_bytes"))
+        quiet = minutes(spark, NOON - timedelta(days=1), 10)
+        store.append("minute", busy.repartition(8).unionByName(quiet), "a")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    rows = store.scan("minute")
+    assert (rows.count(), rows.agg(F.sum("ingress_bytes")).first()[0]) == (60010, 59999 * 30000 + 10)
+    files = store.deltas("minute").select("dt", F.input_file_name().alias("file")).distinct().groupBy("dt").count()
+    assert {str(r.dt): r["count"] > 2 for r in files.collect()} == {"2026-07-05": False, "2026-07-06": True}
+
+
+def test_folders_of_a_large_batch_are_named_by_stretches(spark):
+    days = [date(2026, 7, 6) + timedelta(days=n) for n in (0, 1, 2, 5, 6, 9, 10, 11, 12)]
+    live = [Row(attempt="all", dt=d) for d in days if d != days[4]]  # of one date it was merged
+    live += [Row(attempt=a, dt=days[n]) for a, n in (("b", 4), ("c", 4), ("c", 0), ("d", 8), ("c", 8), ("e", 3), ("e", 5))]
+    every = spark.createDataFrame([(a, d) for a in ("all", "b", "c", "d", "e", "f") for d in days], "batch_id string, dt date")
+    named = _among(live)
+    assert rows_of(every.where(named)) == sorted(((r.attempt, r.dt) for r in live), key=repr)
+    wide = [Row(attempt="all", dt=date(2000, 1, 1) + timedelta(days=2 * n)) for n in range(1000)]
+    assert len(str(_among(wide))) < 300
+
+
+def test_many_folders_are_found_and_removed(spark, tmp_path):
+    for number in range(20):
+        (tmp_path / f"a, b/dt={number:02}" / "batch_id=x").mkdir(parents=True)
+    (tmp_path / "a, b" / "dt=00" / "batch_id=y,z").mkdir()
+    found = matching(spark, f"{tmp_path}/a, b/dt=*/batch_id=x")
+    assert found == [f"file:{tmp_path}/a, b/dt={number:02}/batch_id=x" for number in range(20)]
+    assert matching(spark, f"{tmp_path}/a, b/dt=00/batch_id=y,z") == [f"file:{tmp_path}/a, b/dt=00/batch_id=y,z"]
+    assert matching(spark, f"{tmp_path}/none/dt=*") == []
+    remove(spark, found)
+    assert [x for x in found if os.path.exists(x.removeprefix("file:"))] == []
+    assert len(folders(spark, f"{tmp_path}/a, b")) == 20
