@@ -5,11 +5,14 @@ the whole sequence.  Two sets link at a Jaccard similarity of ``percent`` or
 more, and documents that are linked over any number of steps form one
 component.
 
-Sets are ordered globally, by hash.  Sets that link share l shingles among the
-first n - ceil(n * percent / 100) + l of each, for any l; l grows with the size
-(``EXTRA``), so that a passage which is a small part of a document brings nobody
-together.  Only sets with enough shingles there that another set has there as
-well go on:
+Sets are ordered globally.  Sets that link share l shingles among the first
+n - ceil(n * percent / 100) + l of each, in any order and for any l; l grows with
+the size (``EXTRA``), so that a passage which is a small part of a document brings
+nobody together.  Only sets with enough shingles there that another set has there
+as well go on: first in the order of hashes, then, those that are left, with the
+shingles last that ``COMMON`` of them or more have, the most common ones at the
+very end.  So a passage that many documents share brings only those together whose
+own words agree as well, and what a shingle brings together grows no further.
 
 1.  they are placed in blocks of about ``BLOCK_BYTES``, sets that share a
     shingle together.  A cluster that needs several is dealt by the most common
@@ -64,6 +67,11 @@ FAR = 8
 SEGMENT = 64
 #: how many more shingles at the beginning of a set are looked at, in hundredths of its size
 EXTRA = 6
+#: sets that have a shingle, for it to come late in their order, and how many such shingles are sent to every task
+COMMON = 16
+SENT_SHINGLES = 1 << 20
+#: parts in which shingles are counted, by their first bits; the 32 bits after them tell two shingles of a part apart
+PARTS = 1 << 10
 #: ids of documents or sets that are sent to every task; more are joined by shuffle, with the texts or sets
 SENT_IDS = 2_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -152,9 +160,90 @@ def _members(size: int):
                 own = np.flatnonzero(digests(hashed, begin) == part.column("node").to_numpy(zero_copy_only=False))
                 packed = [key[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]
                 own = pa.array(own)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(own), part.column("block").take(own), pa.array(packed, pa.binary())],
-                    names=["node", "block", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(own), pa.array(packed, pa.binary())], names=["node", "keys"])
+
+    return run
+
+
+# -- shingles that many sets have -----------------------------------------------
+
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _counted(hashed: np.ndarray) -> np.ndarray:
+    """What shingles are counted by: the bits that name the part, and 32 more."""
+    return hashed >> np.uint64(64 - 32 - PARTS.bit_length() + 1)
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all sets, one after another, and how many each set has."""
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), ">u8").astype(np.uint64), np.array([len(x) // 8 for x in packed], np.int64)
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets have each shingle, one row for each part and some of the sets."""
+    for batch in batches:
+        for piece in steps(batch, "keys"):
+            value, times = np.unique(_counted(_unpacked(piece.column("keys"))[0]), return_counts=True)
+            low, times = (value & _LOW).astype(np.uint32), times.astype(np.uint32)
+            part, at = np.unique(value >> np.uint64(32), return_index=True)
+            cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(value)]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part.astype(np.int64)),
+                *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (low, times))], names=["part", "low", "times"])
+
+
+def _frequent(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one part the shingles that so many sets have, and the number of digits of their count."""
+    def run(rows: pa.Table) -> pa.Table:
+        low, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32) for c in ("low", "times"))
+        value, at = np.unique(low, return_inverse=True)
+        count = np.bincount(at, weights=times).astype(np.int64)
+        value, count = value[count >= least], count[count >= least]
+        part = rows.column("part")[0].as_py() << 32
+        return pa.table({"counted": part + value.astype(np.int64), "digits": np.frexp(count)[1].astype(np.int32)})
+
+    return run
+
+
+def _common(members: DataFrame, stage: Stage, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, ascending as they are counted, and the binary digits of their counts.
+
+    No more than ``most``: where there are more, the rarer ones are left in the order of hashes.
+    """
+    tallies = members.select("keys").mapInArrow(_tallies, "part long, low binary, times binary")
+    found = stage(tallies.groupBy("part").applyInArrow(_frequent(least), "counted long, digits int"), "common")
+    lowest, size = 64, 0
+    for row in sorted(found.groupBy("digits").count().collect(), reverse=True):
+        size += row["count"]
+        if size > most:
+            break
+        lowest = row["digits"]
+    sent = found.where(F.col("digits") >= lowest).toArrow()
+    counted, digits = sent.column("counted").to_numpy().astype(np.uint64), sent.column("digits").to_numpy().astype(np.int8)
+    order = np.argsort(counted)
+    return counted[order], digits[order]
+
+
+def _rarest(common, percent: int):
+    """Entries of the beginnings of sets, with common shingles last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, digits = common.value
+        for batch in batches:
+            for part in steps(batch, "keys"):
+                hashed, n = _unpacked(part.column("keys"))
+                late = np.zeros(len(hashed), np.int8)
+                if len(counted):
+                    value = _counted(hashed)
+                    place = np.minimum(np.searchsorted(counted, value), len(counted) - 1)
+                    late = np.where(counted[place] == value, digits[place], late)
+                begin, count = np.cumsum(n) - n, beginning(n, percent)
+                order = np.lexsort((late, np.repeat(np.arange(len(n)), n)))  # the hashes of a set ascend already
+                first = hashed[order[ranges(begin, count)]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(first), *(pa.array(np.repeat(x, count)) for x in (part.column("node").to_numpy(), n))],
+                    names=["shingle", "node", "n"])
 
     return run
 
@@ -366,21 +455,36 @@ def _mixed(cells: DataFrame) -> DataFrame:
     return ends.where("min_root <> max_root AND min_block <> max_block").select(cells.columns)
 
 
+def _met(begun: DataFrame) -> DataFrame:
+    """Entries of the shingles that several sets have at the beginning, with the least of those sets."""
+    # a window, because a join with the counts would shuffle these entries twice; what is common spills
+    of_shingle = Window.partitionBy("shingle")
+    ends = begun.select("*", F.min("node").over(of_shingle).alias("least"), F.max("node").over(of_shingle).alias("greatest"))
+    return ends.where("least <> greatest").drop("greatest")
+
+
 def links(
     rows: DataFrame, sets: DataFrame, stage: Stage, size: int = SIZE, percent: int = PERCENT,
     block_bytes: int = BLOCK_BYTES, visit_bytes: int = VISIT_BYTES,
 ) -> DataFrame:
     """(node, root) of every set that links with another; ``sets`` has (doc_id, node, n, first) of the documents ``rows``."""
-    begun = sets.select("node", "n", "first").mapInArrow(_beginnings, "shingle long, node long, n long")
-    # a window, because a join with the counts would shuffle these entries twice; what is common spills
-    of_shingle = Window.partitionBy("shingle")
-    met = begun.select("*", F.min("node").over(of_shingle).alias("least"), F.max("node").over(of_shingle).alias("greatest"))
-    shared = stage(met.where("least <> greatest").drop("greatest"), "shared")
-
-    heads = shared.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("head"), F.count(F.lit(1)).alias("shared"))
+    entries = "shingle long, node long, n long"
     # the other set may be smaller, and ask for fewer
     least = F.expr(f"1 + (((n * {percent} + 99) div 100) * {EXTRA}) div 100")
-    heads = stage(heads.where(F.col("shared") >= least), "heads")
+
+    def sharing(shared: DataFrame) -> DataFrame:
+        found = shared.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("head"), F.count(F.lit(1)).alias("shared"))
+        return found.where(F.col("shared") >= least)
+
+    met = _met(sets.select("node", "n", "first").mapInArrow(_beginnings, entries))
+    one = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = _sent(stage(sharing(met).select("node").join(one, "node"), "wanted"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    members = stage(texts.mapInArrow(_members(size), "node long, keys binary"), "members")
+
+    common = rows.sparkSession.sparkContext.broadcast(_common(members, stage, COMMON, SENT_SHINGLES))
+    shared = stage(_met(members.mapInArrow(_rarest(common, percent), entries)), "shared")
+    heads = stage(sharing(shared), "heads")
     of_head = heads.select(F.col("node").alias("head"), F.col("head").alias("cluster"))
     nodes = heads.join(of_head, "head", "left").withColumn("cluster", F.coalesce("cluster", "head"))
     nodes = stage(nodes.select("node", "n", "cluster"), "clusters")
@@ -388,14 +492,10 @@ def links(
         "node", "n", "cluster", F.coalesce("near", "node").alias("near"), F.coalesce("far", "node").alias("far"))
     nodes = stage(_blocks(stage(signs, "signs"), block_bytes), "nodes")
 
-    one = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = _sent(stage(nodes.select("node", "block").join(one, "node"), "wanted"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "block", "text")
-    members = stage(texts.mapInArrow(_members(size), "node long, block long, keys binary"), "members")
     whole = F.lit(0).alias("share"), F.lit(False).alias("visits")
-    alone = lambda placed: members.drop("block").join(_sent(placed.select("node", "block")), "node").select("*", *whole)
+    alone = lambda placed: members.join(_sent(placed.select("node", "block")), "node").select("*", *whole)
 
-    edges = stage(_walk(members.select("*", *whole), _within(percent)), "within")
+    edges = stage(_walk(alone(nodes), _within(percent)), "within")
     # of a cluster with several blocks, one set of each component goes on while they become fewer
     standing = nodes.where("blocks > 1")
     before = standing.count()
@@ -427,8 +527,8 @@ def links(
         shares = stage(visits.groupBy("block").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(visit_bytes)).alias("shares")), "shares")
         dealt = stage(visits.join(shares, "block").select(
             "node", "block", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share")), "dealt")
-        guests = members.drop("block").join(_sent(dealt), "node").select("block", "share", F.lit(True).alias("visits"), "node", "keys")
-        hosts = members.join(shares, "block").select(
+        guests = members.join(_sent(dealt), "node").select("block", "share", F.lit(True).alias("visits"), "node", "keys")
+        hosts = members.join(_sent(nodes.join(shares, "block").select("node", "block", "shares")), "node").select(
             "block", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), F.lit(False).alias("visits"), "node", "keys")
         edges = stage(edges.unionByName(_walk(guests.unionByName(hosts), _across(percent))), "across")
     return components(edges, stage)

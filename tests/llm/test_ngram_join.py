@@ -131,6 +131,48 @@ def test_sets_are_walked_again_only_while_they_become_fewer(spark):
     assert names.count("within") == 1
 
 
+def test_sets_that_share_only_what_many_have_are_not_placed(spark):
+    """A passage that is the larger part of forty texts brings none of them into a tree, however many blocks they would fill."""
+    passage = prose(80, 60)
+    texts = [f"{passage} {prose(8100 + i, 40)}" for i in range(40)]
+    docs, rows = list(enumerate([*texts, changed(texts[3], random.Random(8), 1)])), {}
+    write = stage_in(spark, "join")
+
+    def stage(df, name):
+        staged = write(df, name)
+        rows[name] = staged.count()
+        return staged
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = ngram_join.join(df, stage, block_bytes=6000, visit_bytes=5000).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(docs)
+    assert rows["nodes"] == 2
+
+
+def test_common_shingles_come_last(spark, monkeypatch):
+    rnd = random.Random(9)
+    numbers = lambda n: [rnd.getrandbits(64) for _ in range(n)]
+    every, some = numbers(30), numbers(10)
+    sets = [sorted({*every, *numbers(50), *(some if i < 20 else ())}) for i in range(64)]
+    rows = [(i, np.array(s, ">u8").tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, keys binary").repartition(3)
+    stage = stage_in(spark, "join")
+    low = lambda values: sorted(x >> 22 for x in values)
+    counted, digits = ngram_join._common(members, stage, 16, 100)
+    assert counted.tolist() == low([*every, *some])
+    assert dict(zip(counted.tolist(), digits.tolist())) == {x >> 22: 7 for x in every} | {x >> 22: 5 for x in some}
+    assert ngram_join._common(members, stage, 16, 35)[0].tolist() == low(every)
+    assert [len(x) for x in ngram_join._common(members, stage, 16, 9)] == [0, 0]
+    assert [len(x) for x in ngram_join._common(members.limit(0), stage, 16, 9)] == [0, 0]
+
+    monkeypatch.setattr(ngram_join, "beginning", lambda n, percent: n)
+    common = spark.sparkContext.broadcast((counted, digits))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([k for _, k in rows], pa.binary())], names=["node", "keys"])
+    got = pa.Table.from_batches(ngram_join._rarest(common, 85)([batch])).to_pydict()
+    want = [(x, i, len(s)) for i, s in enumerate(sets) for x in sorted(s, key=lambda x: ((x in every) * 2 + (x in some), x))]
+    assert [(x % (1 << 64), i, n) for x, i, n in zip(got["shingle"], got["node"], got["n"])] == want
+
+
 def test_shared_shingles_are_counted_without_a_join(spark):
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     cells = spark.createDataFrame([(1, 10, 10, 1), (1, 11, 11, 2), (2, 10, 10, 1), (2, 12, 10, 3)], "shingle long, node long, root long, block long")
